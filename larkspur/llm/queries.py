@@ -4,11 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from larkspur.session import prepare, table
 
-from . import decontaminate, near_dedup
+from . import bpe, decontaminate, line_dedup, near_dedup, quality
+
+#: Where the public tokenizers lie; the path is a parameter of the operators.
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
+    ids = bpe.encode(documents, BYTE_BPE, public_tokenizers.PATTERN).select("doc_id", "ids")
+    return bpe.digest(bpe.decode(ids, BYTE_BPE, public_tokenizers.PATTERN))
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,9 +31,22 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find(documents, table(spark, sf_dir, "benchmark"), offsets=False))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(table(prepare(spark), sf_dir, "documents"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(prepare(spark), sf_dir, "pages")
+    lines = pages.select("page_id", line_dedup.url_host(F.col("url")).alias("host"), line_dedup.html_lines(F.col("html")).alias("text"))
+    return line_dedup.clean(lines, report="n_dropped").select("page_id", "host", "n_dropped", F.size(F.split("text", "\n")).cast("long").alias("n_lines"), F.sha2("text", 256).alias("text_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_bpe": op3_bpe,
     "op4_near_dedup": op4_near_dedup,
     "op5_decontaminate": op5_decontaminate,
+    "op6_quality": op6_quality,
+    "op9_line_dedup": op9_line_dedup,
 }
 
 ORACLES: dict[str, str] = {}
