@@ -122,27 +122,29 @@ def posterior(votes: dict[str, Column], model: dict) -> Column:
 
 
 def fit(featured: DataFrame, features: str = "q_features", iterations: int = ITERATIONS) -> dict:
-    """Expectation-maximisation over all documents' vote patterns; each round is one aggregate over the pattern counts."""
-    votes = {k: v.cast("int").alias(k) for k, v in rules(_fields(features)).items()}
-    patterns = cut(featured.select(*votes.values()).groupBy(*RULES).agg(F.count("*").cast("double").alias("n")))
-    cols = {k: F.col(k) for k in RULES}
+    """Expectation-maximisation over all documents' vote patterns, whose counts alone come to the driver."""
+    votes = [v.cast("int").alias(k) for k, v in rules(_fields(features)).items()]
+    patterns = [(tuple(r[k] for k in RULES), r["n"]) for r in featured.select(*votes).groupBy(*RULES).agg(F.count("*").alias("n")).collect()]
+    total = sum(n for _, n in patterns)
     model = {"prior": START["prior"], "good": dict.fromkeys(RULES, START["good"]), "bad": dict.fromkeys(RULES, START["bad"])}
     within = lambda x, low, high: min(max(x, low), high)
-    for _ in range(iterations):
-        good = patterns.withColumn("p", posterior(cols, model))
-        sums = [F.sum("n").alias("n"), F.sum(F.col("n") * F.col("p")).alias("p")]
-        for k in RULES:
-            for kind, weight in (("g", F.col("p")), ("b", 1 - F.col("p"))):
-                sums += [F.sum(F.when(F.col(k) == 1, F.col("n") * weight)).alias(f"{k}_{kind}1"), F.sum(F.when(F.col(k).isNotNull(), F.col("n") * weight)).alias(f"{k}_{kind}")]
-        s = good.agg(*sums).first()
-        if not s["n"]:
-            return model
-        share = lambda k, kind: ((s[f"{k}_{kind}1"] or 0.0) + 1) / ((s[f"{k}_{kind}"] or 0.0) + 2)  # noqa: B023, E731
-        model = {
-            "prior": within(s["p"] / s["n"], *PRIOR_RANGE),
-            "good": {k: within(share(k, "g"), *GOOD_RANGE) for k in RULES},
-            "bad": {k: within(share(k, "b"), *BAD_RANGE) for k in RULES},
-        }
+    for _ in range(iterations if total else 0):
+        seen = {side: [[1.0, 2.0] for _ in RULES] for side in ("good", "bad")}
+        share = 0.0
+        for pattern, n in sorted(patterns, key=str):
+            odds = math.log(model["prior"] / (1 - model["prior"]))
+            for name, vote in zip(RULES, pattern, strict=True):
+                if vote is not None:
+                    g, b = model["good"][name], model["bad"][name]
+                    odds += math.log(g / b) if vote else math.log((1 - g) / (1 - b))
+            p = 1 / (1 + math.exp(-odds))
+            share += n * p
+            for side, weight in (("good", n * p), ("bad", n * (1 - p))):
+                for sums, vote in zip(seen[side], pattern, strict=True):
+                    if vote is not None:
+                        sums[0] += weight * vote
+                        sums[1] += weight
+        model = {"prior": within(share / total, *PRIOR_RANGE)} | {side: {k: within(a / b, *limits) for k, (a, b) in zip(RULES, seen[side], strict=True)} for side, limits in (("good", GOOD_RANGE), ("bad", BAD_RANGE))}
     return model
 
 
