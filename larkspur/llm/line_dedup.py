@@ -76,19 +76,5 @@ def clean(pages: DataFrame, *, page_id: str = "page_id", host: str = "host", tex
     return out.drop("_id", "_places")
 
 
-#: Elements whose ends break a line, and those whose content is no text.
-_BREAKS = "(?i)</?(p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|nav|header|footer|title|body|head|html|pre|blockquote)( [^>]*)?/?>"
-_SILENT = "(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->"
-
-
-def html_lines(html: Column) -> Column:
-    """The text of a page, one line for each block."""
-    text = F.regexp_replace(html, _SILENT, "")
-    text = F.regexp_replace(F.regexp_replace(text, _BREAKS, "\n"), "<[^>]*>", "")
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return F.regexp_replace(F.regexp_replace(text, "[ \\x09\\x0B-\\x0D]+", " "), " ?\n[ \n]*", "\n")
-
-
 def url_host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))

@@ -10,10 +10,19 @@ from pyspark.sql import functions as F
 
 from larkspur.session import prepare, table
 
-from . import bpe, decontaminate, line_dedup, near_dedup, quality
+from . import bpe, decontaminate, line_dedup, lm_score, near_dedup, pii, quality, secret_scan, token_counts, warc
 
 #: Where the public tokenizers lie; the path is a parameter of the operators.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(prepare(spark), sf_dir, "documents")))
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(secret_scan.find(table(prepare(spark), sf_dir, "documents")), kinds=secret_scan.BASE)
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,18 +44,36 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(prepare(spark), sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.derive(warc.responses(table(prepare(spark), sf_dir, "pages")))
+    return records.select("page_id", "type", "record_id", "refers_to", "concurrent_to", "target_uri", "content_type", "content_length", "block_digest", "payload_digest")
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(prepare(spark), sf_dir, "documents"), PIECES)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(prepare(spark), sf_dir, "pages")
-    lines = pages.select("page_id", line_dedup.url_host(F.col("url")).alias("host"), line_dedup.html_lines(F.col("html")).alias("text"))
+    lines = pages.select("page_id", line_dedup.url_host(F.col("url")).alias("host"), warc.plain_text(F.col("html")).alias("text"))
     return line_dedup.clean(lines, report="n_dropped").select("page_id", "host", "n_dropped", F.size(F.split("text", "\n")).cast("long").alias("n_lines"), F.sha2("text", 256).alias("text_sha256"))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(prepare(spark), sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
+    "op2_secrets": op2_secrets,
     "op3_bpe": op3_bpe,
     "op4_near_dedup": op4_near_dedup,
     "op5_decontaminate": op5_decontaminate,
     "op6_quality": op6_quality,
+    "op7_warc": op7_warc,
+    "op8_token_counts": op8_token_counts,
     "op9_line_dedup": op9_line_dedup,
+    "op10_lm_score": op10_lm_score,
 }
 
 ORACLES: dict[str, str] = {}
