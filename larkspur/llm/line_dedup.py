@@ -19,10 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.session import cut
+
 RATIO = 0.1
 MIN_PAGES = 10
 MIN_REPEATS = 3
-EDGE = "^[ \\x09-\\x0D]+|[ \\x09-\\x0D]+$"
+BLANKS = " \t\n\x0b\f\r"
 
 
 def page_lines(text: Column) -> Column:
@@ -31,31 +33,29 @@ def page_lines(text: Column) -> Column:
 
 def _key(line: Column) -> Column:
     """The line's 128-bit digest; null for blank ones."""
-    bare = F.regexp_replace(line, EDGE, "")
+    bare = F.btrim(line, F.lit(BLANKS))
     return F.when(bare != "", F.unhex(F.md5(F.encode(bare, "utf-8"))))
 
 
 def lines_of(pages: DataFrame, page_id: str, host: str, text: str) -> DataFrame:
-    """id, host, place and key of each line that isn't blank."""
-    own = pages.select(F.col(page_id).alias("id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.posexplode(page_lines(F.col(text).cast("string"))).alias("place", "line"))
-    return own.select("id", "host", "place", _key(F.col("line")).alias("key")).where(F.col("key").isNotNull())
+    """id, host and key of each different line of a page that isn't blank."""
+    keys = F.array_distinct(F.filter(F.transform(page_lines(F.col(text).cast("string")), _key), lambda k: k.isNotNull()))
+    return pages.select(F.col(page_id).alias("id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.explode(keys).alias("key"))
 
 
-def boilerplate(pages: DataFrame, *, host: str = "host", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, min_repeats: int = MIN_REPEATS) -> DataFrame:
+def boilerplate(lines: DataFrame, pages: DataFrame, host: str, ratio: float, min_pages: int, min_repeats: int) -> DataFrame:
     """host, key, n_pages, host_pages and ratio of the lines that are dropped."""
-    keys = F.array_distinct(F.filter(F.transform(page_lines(F.col(text).cast("string")), _key), lambda k: k.isNotNull()))
-    once = pages.select(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.explode(keys).alias("key"))
-    counts = once.groupBy("host", "key").agg(F.count("*").alias("n_pages")).where(F.col("n_pages") >= min_repeats)
+    counts = lines.groupBy("host", "key").agg(F.count("*").alias("n_pages")).where(F.col("n_pages") >= min_repeats)
     totals = pages.groupBy(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host")).agg(F.count("*").alias("host_pages")).where(F.col("host_pages") >= min_pages)
-    share = F.col("n_pages") / F.col("host_pages")
-    return counts.join(totals, "host").withColumn("ratio", share).where(F.col("ratio") > ratio)
+    return counts.join(totals, "host").withColumn("ratio", F.col("n_pages") / F.col("host_pages")).where(F.col("ratio") > ratio)
 
 
-def dropped(pages: DataFrame, *, page_id: str = "page_id", host: str = "host", text: str = "text", **limits) -> DataFrame:
-    """id and the places (from 0) of its lines that are dropped; pages without such lines are not listed."""
-    common = boilerplate(pages, host=host, text=text, **limits).select("host", "key")
-    hits = lines_of(pages, page_id, host, text).where(F.col("id").isNotNull()).join(common, ["host", "key"])
-    return hits.groupBy("id").agg(F.array_sort(F.collect_set("place")).alias("places"))
+def dropped(pages: DataFrame, *, page_id: str = "page_id", host: str = "host", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, min_repeats: int = MIN_REPEATS) -> DataFrame:
+    """id and the keys of its lines that are dropped; pages without such lines are not listed."""
+    lines = cut(lines_of(pages, page_id, host, text))
+    common = boilerplate(lines, pages, host, ratio, min_pages, min_repeats).select("host", "key")
+    hits = lines.where(F.col("id").isNotNull()).join(common, ["host", "key"])
+    return hits.groupBy("id").agg(F.collect_set("key").alias("keys"))
 
 
 def clean(pages: DataFrame, *, page_id: str = "page_id", host: str = "host", text: str = "text", report: str | None = None, max_share: float = 1.0, **limits) -> DataFrame:
@@ -64,16 +64,19 @@ def clean(pages: DataFrame, *, page_id: str = "page_id", host: str = "host", tex
     max_share: pages that would lose a larger share of their non-blank lines are left as they are. They
     are copies of each other rather than pages with the same frame, which is for document dedup to judge.
     """
-    gone = dropped(pages, page_id=page_id, host=host, text=text, **limits).select(F.col("id").alias("_id"), F.col("places").alias("_places"))
-    kept = F.array_join(F.filter(page_lines(F.col(text)), lambda x, i: ~F.array_contains(F.col("_places"), i)), "\n")
-    out = pages.join(gone, F.col(page_id) == F.col("_id"), "left")
+    gone = dropped(pages, page_id=page_id, host=host, text=text, **limits).select(F.col("id").alias("_id"), F.col("keys").alias("_keys"))
+    lines = F.transform(page_lines(F.col(text)), lambda x: F.struct(x.alias("line"), _key(x).alias("key")))
+    out = pages.join(gone, F.col(page_id) == F.col("_id"), "left").withColumn("_lines", F.when(F.col("_keys").isNotNull(), lines))
+    kept = F.filter("_lines", lambda x: x["key"].isNull() | ~F.array_contains(F.col("_keys"), x["key"]))
+    out = out.withColumn("_kept", kept).withColumn("_dropped", F.size("_lines") - F.size("_kept"))
     if max_share < 1:
-        filled = F.size(F.filter(page_lines(F.col(text)), lambda x: F.rlike(x, F.lit("[^ \\x09-\\x0D]"))))
-        out = out.withColumn("_places", F.when(F.size("_places") <= filled * max_share, F.col("_places")))
-    out = out.withColumn(text, F.when(F.col("_places").isNotNull(), kept).otherwise(F.col(text)))
+        filled = F.size(F.filter("_lines", lambda x: x["key"].isNotNull()))
+        out = out.withColumn("_dropped", F.when(F.col("_dropped") <= filled * max_share, F.col("_dropped")))
+    joined = F.array_join(F.transform("_kept", lambda x: x["line"]), "\n")
+    out = out.withColumn(text, F.when(F.col("_dropped").isNotNull(), joined).otherwise(F.col(text)))
     if report:
-        out = out.withColumn(report, F.coalesce(F.size("_places"), F.lit(0)).cast("long"))
-    return out.drop("_id", "_places")
+        out = out.withColumn(report, F.coalesce("_dropped", F.lit(0)).cast("long"))
+    return out.drop("_id", "_keys", "_lines", "_kept", "_dropped")
 
 
 def url_host(url: Column) -> Column:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.session import prepare, table
+from larkspur.session import prepare, saved, table
 
 from . import bpe, decontaminate, line_dedup, lm_score, near_dedup, pii, quality, secret_scan, token_counts, warc
 
@@ -56,7 +56,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(prepare(spark), sf_dir, "pages")
     lines = pages.select("page_id", line_dedup.url_host(F.col("url")).alias("host"), warc.plain_text(F.col("html")).alias("text"))
-    return line_dedup.clean(lines, report="n_dropped").select("page_id", "host", "n_dropped", F.size(F.split("text", "\n")).cast("long").alias("n_lines"), F.sha2("text", 256).alias("text_sha256"))
+    return line_dedup.clean(saved(lines), report="n_dropped").select("page_id", "host", "n_dropped", F.size(F.split("text", "\n")).cast("long").alias("n_lines"), F.sha2("text", 256).alias("text_sha256"))
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
