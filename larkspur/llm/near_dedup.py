@@ -10,14 +10,15 @@ where 100 * |A n B| >= percent * |A u B|, and a document's component is the smal
   step + fraction into them, the bins keep minima, and steps beyond the largest minimum are not taken.
   The marginals are those of MinHash, so P(a band of r bins agrees) is about J^r; with 35 bands of 5
   bins a pair at J = 0.8 is missed with a chance of 1e-6. The variance is lower than MinHash's.
-* In each bucket, pairs with the bucket's smallest id, its hub, are formed and verified on the full
-  sets, which joins groups of near copies. Where a bucket is then still in several components, its
-  other members meet across components if that makes 16 pairs a member at most. Larger buckets are
-  split by every later band, which close pairs agree in as well: at J = 0.8 a pair agrees in fewer than
-  two bands of 35 with a chance of 2e-5, in fewer than three with 1e-4. After two splits, at 15 agreeing
+* Each bucket has a hub, its most central class: the one that shares the most buckets with the most
+  others (ties: the smallest id). Every class is verified, on the full sets, with the most central of
+  its hubs, then with those of its other hubs that are still in another component. Where a bucket is
+  then still in several components, its members meet across components if that makes 16 pairs a member
+  at most. Larger buckets are split by each of the next 12 bands, which close pairs agree in as well:
+  at J = 0.8 a pair agrees in fewer than two bands of 35 with a chance of 2e-5. There, at 10 agreeing
   bins, all pairs across components are verified. No bucket expands into its pairs within a component.
-* Links are contracted by union-find in each partition, then across partitions by alternately hooking
-  to and jumping over smaller neighbours.
+* Links are contracted by union-find in tasks of a bounded number of links, then across tasks by
+  alternately hooking to and jumping over smaller neighbours.
 
 Null and blank texts have empty sets and are linked with nothing. Equal rows are returned as often as
 they occur, with equal results. Rows that share an id but not their text are one node: it is linked if
@@ -40,8 +41,10 @@ from .wordhash import NOT_SPACE, U, mix, windows, words
 WORDS, PERCENT, BANDS, ROWS = 5, 80, 35, 5
 #: The members left in a bucket meet across components if that makes so many pairs a member at most.
 PARTNERS = 16
-#: Larger buckets are split by later bands so many times.
-LEVELS = 2
+#: Larger buckets are split by each of so many bands after their own.
+NEXT_BANDS = 12
+#: Links that one task contracts at a time.
+LINKS_PER_TASK = 1 << 20
 _ELEMENTS = 1 << 17
 
 
@@ -179,66 +182,88 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], ["node", "root"])
 
 
-def components(links: DataFrame) -> DataFrame:
+def _contracted(links: DataFrame, per_task: int) -> tuple[DataFrame, int]:
+    """Edges (node, root) of the forests of tasks with about so many links each, and the number of tasks."""
+    tasks = -(-links.count() // per_task) or 1
+    return cut(links.toDF("node", "root").coalesce(tasks).mapInArrow(_forest, "node long, root long")), tasks
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has one root, and no root is a node."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("node").alias("x"), F.lit(1).alias("n")), F.struct(F.col("root").alias("x"), F.lit(0).alias("n")))).alias("e")).select("e.*")
+    roles = ends.groupBy("x").agg(F.sum("n").alias("n"), F.min("n").alias("least"))
+    return roles.where((F.col("n") > 1) | ((F.col("n") == 1) & (F.col("least") == 0))).isEmpty()
+
+
+def components(links: DataFrame, per_task: int = LINKS_PER_TASK) -> DataFrame:
     """node and component, the smallest id that it can reach, of all nodes of links (a, b) that are not the smallest themselves."""
-    edges = cut(links.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(_forest, "node long, root long"))
-    seen = None
-    while True:
+    edges, tasks = _contracted(links.select(F.col("a").cast("long"), F.col("b").cast("long")), per_task)
+    while tasks > 1 and not _are_stars(edges):
         # every node's larger neighbours hook to its smallest neighbour, then all of its smaller ones do
         both = edges.unionByName(edges.select(F.col("root").alias("node"), F.col("node").alias("root")))
         least = both.groupBy("node").agg(F.min("root").alias("low"))
-        large = both.join(least, "node").where(F.col("root") > F.col("node")).select(F.col("root").alias("node"), F.least("low", "node").alias("root")).distinct()
+        large = both.join(least, "node").where(F.col("root") > F.col("node")).select(F.col("root").alias("node"), F.least("low", "node").alias("root"))
         low = large.groupBy("node").agg(F.min("root").alias("low"))
         small = large.join(low, "node")
         rest = small.where(F.col("root") != F.col("low")).select(F.col("root").alias("node"), F.col("low").alias("root"))
-        edges = cut(rest.unionByName(small.select("node", F.col("low").alias("root"))).distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("node", "root") % (1 << 31))).first()
-        if now == seen:
-            return edges.select("node", F.col("root").alias("component"))
-        seen = now
+        edges, tasks = _contracted(cut(rest.unionByName(small.select("node", F.col("low").alias("root"))).distinct()), per_task)
+    return edges.select("node", F.col("root").alias("component"))
+
 
+def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Of the pairs (a, b), those between components."""
+    for end in ("a", "b"):
+        pairs = pairs.join(found.toDF(end, f"c_{end}"), end, "left")
+    return pairs.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
 
-def grouped(documents: DataFrame, sketches: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
+
+def grouped(documents: DataFrame, sketches: DataFrame, doc_id: str, text: str, size: int, percent: int, *, next_bands: int = NEXT_BANDS, partners: int = PARTNERS, per_task: int = LINKS_PER_TASK) -> DataFrame:
     """class (a, b) and component of the classes of sketches."""
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = cut(pairs)
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        return verify(pairs, _sets(documents, doc_id, text, size, wanted), percent)
+
     full = sketches.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = cut(full.groupBy("class_a", "class_b").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")))
     entries = classes.select("id", F.posexplode("bands").alias("band", "bucket"))
-    hubs = entries.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where(F.col("n") > 1)
-    met = cut(entries.join(hubs, "bucket").where(F.col("id") != F.col("hub")))
-    pairs = met.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    sets = _sets(documents, doc_id, text, size, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    links = cut(verify(pairs, sets, percent))
-    found = components(links)
+    shared = entries.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    met = cut(entries.join(shared, "bucket"))
+    rank = met.groupBy("id").agg((-F.sum("n")).alias("rank"))
+    hubs = met.join(rank, "id").groupBy("bucket").agg(F.min(F.struct("rank", F.col("id").alias("hub"))).alias("hub"))
+    stars = cut(met.join(hubs, "bucket").where(F.col("id") != F.col("hub.hub")).select("bucket", "band", "n", "id", "hub"))
+    best = stars.groupBy("id").agg(F.min("hub")["hub"].alias("best"))
+    links = cut(verified(best.select(F.col("best").alias("a"), F.col("id").alias("b"))))
+    found = components(links, per_task)
+    others = stars.join(best, "id").where(F.col("hub.hub") != F.col("best")).select(F.col("hub.hub").alias("a"), F.col("id").alias("b")).distinct()
+    links = cut(links.unionByName(verified(_across(others, found))))
+    found = components(links, per_task)
     # A bucket's hub has met all others. Those left meet each other if they are in several components.
-    left, few = met.where(F.col("n") > 2).select("bucket", "band", "id"), None
-    for level in range(LEVELS + 1):
+    left = stars.where(F.col("n") > 2).select("bucket", "band", "id")
+    for split in (False, True):
         known = left.join(found.withColumnRenamed("node", "id"), "id", "left").select("bucket", "band", "id", F.coalesce("component", "id").alias("component"))
         parts = known.groupBy("bucket", "component").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("same"))
         parts = parts.select("bucket", "n", ((F.col("n") * F.col("n") - F.col("same")) / 2).alias("across")).where(F.col("across") > 0)
-        few_pairs = (F.col("across") <= F.col("n") * PARTNERS) | F.lit(level == LEVELS)
-        met = cut(known.join(parts.select("bucket", few_pairs.alias("few")), "bucket"))
-        if met.isEmpty():
-            break
-        if few is None:
-            few = cut(_sets(documents, doc_id, text, size, met.select("id").distinct()))
-        small = met.where("few")
+        apart = cut(known.join(parts.select("bucket", (F.lit(split) | (F.col("across") <= F.col("n") * partners)).alias("few")), "bucket"))
+        small = apart.where("few")
         other = small.select("bucket", F.col("id").alias("a"), F.col("component").alias("other"))
         pairs = small.join(other, "bucket").where((F.col("a") < F.col("id")) & (F.col("other") != F.col("component"))).select("a", F.col("id").alias("b")).distinct()
-        more = cut(verify(pairs, few, percent))
-        if not more.isEmpty():
-            links = cut(links.unionByName(more).distinct())
-            found = components(links)
-        # Close members of a larger bucket agree in a later band as well; the buckets of both are finer.
-        finer = met.where(~F.col("few")).select("bucket", "band", "id").join(classes.select("id", "bands"), "id")
-        finer = finer.select("id", "bucket", "band", F.posexplode("bands").alias("at", "key")).where(F.col("at") > F.col("band"))
-        left = finer.select("id", F.col("at").alias("band"), F.xxhash64("bucket", "key").alias("bucket"))
+        links = cut(links.unionByName(verified(pairs)))
+        found = components(links, per_task)
+        # Close members of a larger bucket agree in another band as well; the buckets of both are finer.
+        finer = apart.where(~F.col("few")).select("bucket", "band", "id")
+        if finer.isEmpty():
+            break
+        finer = finer.join(classes.select("id", "bands"), "id").select("id", "bucket", "band", F.size("bands").alias("n"), F.posexplode("bands").alias("at", "key"))
+        left = finer.where(F.pmod(F.col("at") - F.col("band"), F.col("n")).between(1, next_bands)).select("id", F.col("at").alias("band"), F.xxhash64("bucket", "key").alias("bucket"))
     return classes.join(found.withColumnRenamed("node", "id"), "id", "left").select("class_a", "class_b", F.coalesce("component", "id").alias("component"))
 
 
-def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words_per_shingle: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words_per_shingle: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, **splits: int) -> DataFrame:
     """Per row of documents: doc_id, n_shingles, component_id and kept (doc_id = component_id)."""
     sketches = cut(sketch(documents, doc_id, text, words_per_shingle, bands, rows))
-    found = grouped(documents, sketches, doc_id, text, words_per_shingle, percent)
+    found = grouped(documents, sketches, doc_id, text, words_per_shingle, percent, **splits)
     out = sketches.drop("bands").join(found, ["class_a", "class_b"], "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
