@@ -3,7 +3,8 @@
 Three base kinds (assign, access, hex) are found by rule and always reported. Every other long token
 near a sensitive word is a candidate. Its novelty is the marginal number of compressed bytes: the code
 around it is compressed with and without the token, by zstandard primed with a dictionary of the
-identifiers that stand around candidates in all documents and of the text around this one. Ordinary
+identifiers that stand around candidates, and of the words that candidates are made of, in all documents
+and of the text around this one. Ordinary
 names repeat what the dictionary and the surroundings hold and cost little; random keys cost about
 their entropy. Candidates that cost enough bytes, and enough for each character, are reported.
 
@@ -42,6 +43,8 @@ _SENSITIVE = re.compile(r"(?ai:passw|passphrase|pwd|secret|token|api[_ -]?key|ac
 _SENSITIVE_PARTS = ("passw", "passphrase", "pwd", "secret", "token", "api", "access", "private", "credential", "bearer", "auth", "client", "signing", "encryption", "begin ")
 _TOKEN = re.compile(r"[A-Za-z0-9+/_=~.-]{%d,%d}+" % (MIN_LENGTH, MAX_LENGTH))
 _IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]{3,31}")
+#: Parts of a candidate that look like words; a random key has next to none.
+_PART = re.compile(r"[A-Za-z]?[a-z]{5,31}")
 
 
 def base_spans(text: str) -> list[Span]:
@@ -107,6 +110,8 @@ def dictionary(documents: DataFrame, text: str = "text", size: int = DICTIONARY_
                     for part in (t[max(0, a - AROUND) : a], t[b : b + AROUND]):
                         for word in _IDENTIFIER.findall(part):
                             counts[word] = counts.get(word, 0) + 1
+                    for word in _PART.findall(t[a:b]):
+                        counts[word] = counts.get(word, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
     words = documents.select(F.col(text).cast("string")).mapInArrow(seen, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
