@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.session import cut
+from larkspur.session import cut, saved
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -163,6 +163,6 @@ def assess(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
 
 
 def keep(documents: DataFrame, *, text: str = "text") -> DataFrame:
-    """documents that are judged good; all columns are kept. Texts are read twice rather than shuffled."""
-    model = fit(with_features(documents.select(F.col(text)), text).select("q_features"))
-    return judged(with_features(documents, text), model).where("q_kept").select(*(F.col(f"`{c}`") for c in documents.columns))
+    """documents that are judged good; all columns are kept. Features are written once beside the rows, as inlining them into every rule would compute them many times."""
+    featured = saved(with_features(documents, text))
+    return judged(featured, fit(featured)).where("q_kept").select(*(F.col(f"`{c}`") for c in documents.columns))
