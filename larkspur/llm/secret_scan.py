@@ -31,7 +31,7 @@ DICTIONARY_BYTES = 32 << 10
 #: Code points around a candidate that it is measured against.
 AROUND = 160
 MIN_BYTES, MIN_PER_CHARACTER = 12, 0.55
-MIN_LENGTH, MAX_LENGTH = 16, 512
+MIN_LENGTH = 16
 
 _ASSIGN = re.compile(r"(?ai:password|passwd|secret|token|api_?key)[\"']?\x20*+[:=]\x20*+[\"']?([A-Za-z0-9+/_.=-]+)")
 _ASSIGN_WORDS = ("passw", "secret", "token", "apikey", "api_key")
@@ -41,7 +41,11 @@ _HEX_TO_0 = bytes(48 if chr(b) in "0123456789abcdef" else 32 for b in range(256)
 #: Words near which a token is worth measuring.
 _SENSITIVE = re.compile(r"(?ai:passw|passphrase|pwd|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|credential|bearer|authorization|auth[_ -]?key|client[_ -]?id|signing|encryption|BEGIN [A-Z ]*KEY)")
 _SENSITIVE_PARTS = ("passw", "passphrase", "pwd", "secret", "token", "api", "access", "private", "credential", "bearer", "auth", "client", "signing", "encryption", "begin ")
-_TOKEN = re.compile(r"[A-Za-z0-9+/_=~.-]{%d,%d}+" % (MIN_LENGTH, MAX_LENGTH))
+_TOKEN_CHARACTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=~.-")
+_TOKEN = re.compile(r"[A-Za-z0-9+/_=~.-]{%d,}+" % MIN_LENGTH)
+_REST = re.compile(r"[A-Za-z0-9+/_=~.-]*+")
+#: What follows BEGIN ... KEY in a PEM block: header fields and long base64 runs, with line ends (escaped ones too), quotes and margins between them.
+_PEM = re.compile(r"[A-Z\x20]*+-*+(?:(?:\\[nrt]|[\s\"'+,>#*|\\])*+(?:[A-Z][A-Za-z-]*+:\x20[^\r\n\\\"]*+|[A-Za-z0-9+/=]{%d,}+))*+" % MIN_LENGTH)
 _IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]{3,31}")
 #: Parts of a candidate that look like words; a random key has next to none.
 _PART = re.compile(r"[A-Za-z]?[a-z]{5,31}")
@@ -61,7 +65,11 @@ def base_spans(text: str) -> list[Span]:
 
 
 def candidates(text: str, base: list[Span]) -> list[tuple[int, int]]:
-    """Long tokens of mixed characters near a sensitive word that meet no base span."""
+    """Long tokens of mixed characters near a sensitive word that meet no base span.
+
+    The window around a word, with the lines of a PEM block that it opens, is what a token must touch;
+    the token is taken whole, however far it reaches.
+    """
     low = text.lower()
     if not any(p in low for p in _SENSITIVE_PARTS):
         return []
@@ -69,7 +77,14 @@ def candidates(text: str, base: list[Span]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     done = 0
     for word in _SENSITIVE.finditer(text):
-        for m in _TOKEN.finditer(text, max(done, word.start() - AROUND // 2), min(len(text), word.end() + AROUND)):
+        first, last = max(done, word.start() - AROUND // 2), min(len(text), word.end() + AROUND)
+        if word[0][:5].upper() == "BEGIN":
+            last = max(last, _PEM.match(text, word.end()).end())
+        while first > done and text[first - 1] in _TOKEN_CHARACTERS:
+            first -= 1
+        if last > first and text[last - 1] in _TOKEN_CHARACTERS:
+            last = _REST.match(text, last).end()
+        for m in _TOKEN.finditer(text, first, last):
             done = max(done, m.end())
             token = m[0]
             kinds = any(c.isdigit() for c in token) + any(c.islower() for c in token) + any(c.isupper() for c in token)

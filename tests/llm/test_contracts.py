@@ -2,7 +2,9 @@
 
 import hashlib
 import math
+import random
 import re
+import string
 from collections import Counter
 
 import duckdb
@@ -82,6 +84,23 @@ def test_novel_secret_and_ordinary_name(spark):
     assert got[1] == ["Zk3v9QxT7LmR2pWd8YbN4cHs"] and not any(got[k] for k in range(2, 30))
 
 
+def test_secrets_are_whole():
+    draw = random.Random(7)
+    key = lambda n: "".join(draw.choices(string.ascii_letters + string.digits, k=n))
+    lines = [key(64) for _ in range(12)]
+    jwt, late, early, long = f"eyJ{key(60)}.{key(200)}.{key(43)}", key(40), key(120), key(1700)
+    block = "\n".join(["-----BEGIN RSA PRIVATE KEY-----", "Proc-Type: 4,ENCRYPTED", "", *lines, "-----END RSA PRIVATE KEY-----"])
+    cases = [
+        (f"Authorization: Bearer {jwt} sent", [jwt]), ("our credential is" + " ." * 75 + f" {late} here", [late]), (f"{early}{' x' * 20} passphrase", [early]), (f"signing by {long}", [long]), (block, lines),
+        ("secret word " * 5000 + f"{long} " * 50, [long]), ("no PEM -----BEGIN RSA PRIVATE KEY----- but " + "prose of short words, " * 20 + late, []),
+    ]
+    for text, expected in cases:
+        assert [text[a:b] for a, b in secret_scan.candidates(text, [])] == expected
+    escaped = block.replace("\n", "\\n")
+    found = [escaped[a:b] for a, b in secret_scan.candidates(escaped, [])]
+    assert len(found) == 12 and all(x in y for x, y in zip(lines, found, strict=True))
+
+
 def test_bpe(spark):
     from tokenizers import Tokenizer
 
