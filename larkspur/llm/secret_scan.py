@@ -6,16 +6,19 @@ around it is compressed with and without the token, by zstandard primed with a d
 identifiers that stand around candidates, and of the words that candidates are made of, in all documents
 and of the text around this one. Ordinary
 names repeat what the dictionary and the surroundings hold and cost little; random keys cost about
-their entropy. Candidates that cost enough bytes, and enough for each character, are reported.
+their entropy. Candidates that cost enough bytes, and enough for each character, are reported. So that
+no secret vouches for itself, candidates, base spans and tokens equal to the measured one are blanked
+out of the surroundings, in the dictionary as in the measure, and copies of one surrounding text count once.
 
-The identifiers are counted over all documents by partial sums; the dictionary is the most frequent
-ones up to `dictionary_bytes`, which bounds it whatever the input. Texts are read twice, never
-shuffled. Spans are in code points. Null and empty texts have no spans; equal rows get equal spans
+The identifiers are counted over all documents by the digests of the surroundings they stand in, distinct
+ones first by partial aggregates; the dictionary is the most frequent ones up to `dictionary_bytes`,
+which bounds it whatever the input. Texts are read twice, never shuffled. Spans are in code points. Null and empty texts have no spans; equal rows get equal spans
 (ties among identifiers break by their text); other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -93,6 +96,28 @@ def candidates(text: str, base: list[Span]) -> list[tuple[int, int]]:
     return out
 
 
+def blanked(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text with blanks in place of the spans."""
+    out, done = [], 0
+    for a, b in sorted(spans):
+        if b > done:
+            a = max(a, done)
+            out += [text[done:a], " " * (b - a)]
+            done = b
+    return "".join([*out, text[done:]])
+
+
+def measured(text: str, base: list[Span]) -> Iterator[tuple[int, int, str, str]]:
+    """The candidates, each with the text before and after it, in which no secret is left."""
+    spans = candidates(text, base)
+    bare = blanked(text, [*spans, *((a, b) for _, a, b in base)]) if spans else ""
+    for a, b in spans:
+        token, blank = text[a:b], " " * (b - a)
+        # A token's length more, so that an equal one at the edge is whole.
+        before = bare[max(0, a - AROUND - len(token)) : a].replace(token, blank)[-AROUND:]
+        yield a, b, before, bare[b : b + AROUND + len(token)].replace(token, blank)[:AROUND]
+
+
 class Novelty:
     """Marginal compressed bytes under a dictionary."""
 
@@ -101,16 +126,16 @@ class Novelty:
 
         self.zstandard, self.level, self.dictionary = zstandard, level, dictionary
 
-    def cost(self, text: str, start: int, end: int) -> int:
+    def cost(self, before: str, token: str, after: str) -> int:
         """How many more compressed bytes the text around has with the token than without it."""
-        before, after = text[max(0, start - AROUND) : start].encode(), text[end : end + AROUND].encode()
-        primed = self.zstandard.ZstdCompressionDict(self.dictionary + b"\n" + before + after, dict_type=self.zstandard.DICT_TYPE_RAWCONTENT)
+        head, tail = before.encode(), after.encode()
+        primed = self.zstandard.ZstdCompressionDict(self.dictionary + b"\n" + head + tail, dict_type=self.zstandard.DICT_TYPE_RAWCONTENT)
         press = self.zstandard.ZstdCompressor(level=self.level, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
-        return len(press.compress(before + text[start:end].encode() + after)) - len(press.compress(before + after))
+        return len(press.compress(head + token.encode() + tail)) - len(press.compress(head + tail))
 
-    def novel(self, text: str, start: int, end: int) -> bool:
-        cost = self.cost(text, start, end)
-        return cost >= MIN_BYTES and cost >= MIN_PER_CHARACTER * (end - start)
+    def novel(self, before: str, token: str, after: str) -> bool:
+        cost = self.cost(before, token, after)
+        return cost >= MIN_BYTES and cost >= MIN_PER_CHARACTER * len(token)
 
 
 def dictionary(documents: DataFrame, text: str = "text", size: int = DICTIONARY_BYTES) -> bytes:
@@ -118,18 +143,16 @@ def dictionary(documents: DataFrame, text: str = "text", size: int = DICTIONARY_
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: dict[str, int] = {}
+            pairs: set[tuple[str, bytes]] = set()
             for x in batch.column(0):
                 t = x.as_py() or ""
-                for a, b in candidates(t, base_spans(t)):
-                    for part in (t[max(0, a - AROUND) : a], t[b : b + AROUND]):
-                        for word in _IDENTIFIER.findall(part):
-                            counts[word] = counts.get(word, 0) + 1
-                    for word in _PART.findall(t[a:b]):
-                        counts[word] = counts.get(word, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
-
-    words = documents.select(F.col(text).cast("string")).mapInArrow(seen, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+                for a, b, before, after in measured(t, base_spans(t)):
+                    at = hashlib.md5(f"{before}\0{after}".encode()).digest()
+                    pairs.update((word, at) for word in (*_IDENTIFIER.findall(before), *_IDENTIFIER.findall(after), *_PART.findall(t[a:b])))
+            words, places = zip(*pairs, strict=True) if pairs else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(places, pa.binary())], ["word", "place"])
+
+    words = documents.select(F.col(text).cast("string")).mapInArrow(seen, "word string, place binary").distinct().groupBy("word").agg(F.count("*").alias("n"))
     top = words.where(F.col("n") > 1).orderBy(F.desc("n"), "word").limit(size // 5).collect()
     out, room = [], size
     for r in top:
@@ -153,7 +176,7 @@ def find(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text") ->
             for x in batch.column(1):
                 t = x.as_py() or ""
                 base = base_spans(t)
-                more = [("novel", a, b) for a, b in candidates(t, base) if measure.novel(t, a, b)]
+                more = [("novel", a, b) for a, b, before, after in measured(t, base) if measure.novel(before, t[a:b], after)]
                 bases.append(pack(base))
                 alls.append(pack(ordered([*base, *more], KINDS)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bases, kind), pa.array(alls, kind)], [doc_id, "base", "spans"])

@@ -101,6 +101,18 @@ def test_secrets_are_whole():
     assert len(found) == 12 and all(x in y for x, y in zip(lines, found, strict=True))
 
 
+def test_copies_do_not_hide_a_secret(spark):
+    draw = random.Random(11)
+    key = lambda n=40: "".join(draw.choices(string.ascii_letters + string.digits, k=n))
+    twice, edge, pair, lines = key(), key(), (key(), key()), [key(64) for _ in range(12)]
+    block = "\n".join(["-----BEGIN PRIVATE KEY-----", *lines, "-----END PRIVATE KEY-----"])
+    texts = [f"credential {twice} or again {twice}", f"bearer {edge} {'. ' * 65} {edge} signing", block] + [f"access_key: {pair[0]} and secret_key: {pair[1]} of the account"] * 30
+    expected = [[twice] * 2, [edge] * 2, lines] + [list(pair)] * 30
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.spans if s.kind == "novel"] for r in secret_scan.find(docs).collect()}
+    assert [got[k] for k in range(len(texts))] == expected
+
+
 def test_bpe(spark):
     from tokenizers import Tokenizer
 
