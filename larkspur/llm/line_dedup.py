@@ -2,8 +2,8 @@
 
 A line's ratio on a host is the number of the host's pages that contain it by the number of the host's
 pages. Lines beyond the boilerplate ratio are dropped from that host's pages. Lines are compared
-without white space at their ends; blank lines are never dropped. A host of fewer than `min_pages`
-pages, or a line on fewer than `min_repeats` pages, tells nothing and is left alone.
+without white space at their ends; blank lines are never dropped. A line on fewer than `min_repeats`
+of the host's pages is no repetition yet and is left alone; hosts of all sizes are judged.
 
 Counts are partial sums per (host, line) of what each page has once, so that a host with a third of
 all pages is no hot key; joins on (host, line) are of the splittable kind. Only hashes (128 bits of a
@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from larkspur.session import cut
 
 RATIO = 0.1
-MIN_PAGES = 10
 MIN_REPEATS = 3
 BLANKS = " \t\n\x0b\f\r"
 
@@ -43,17 +42,17 @@ def lines_of(pages: DataFrame, page_id: str, host: str, text: str) -> DataFrame:
     return pages.select(F.col(page_id).alias("id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.explode(keys).alias("key"))
 
 
-def boilerplate(lines: DataFrame, pages: DataFrame, host: str, ratio: float, min_pages: int, min_repeats: int) -> DataFrame:
+def boilerplate(lines: DataFrame, pages: DataFrame, host: str, ratio: float, min_repeats: int) -> DataFrame:
     """host, key, n_pages, host_pages and ratio of the lines that are dropped."""
     counts = lines.groupBy("host", "key").agg(F.count("*").alias("n_pages")).where(F.col("n_pages") >= min_repeats)
-    totals = pages.groupBy(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host")).agg(F.count("*").alias("host_pages")).where(F.col("host_pages") >= min_pages)
+    totals = pages.groupBy(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host")).agg(F.count("*").alias("host_pages"))
     return counts.join(totals, "host").withColumn("ratio", F.col("n_pages") / F.col("host_pages")).where(F.col("ratio") > ratio)
 
 
-def dropped(pages: DataFrame, *, page_id: str = "page_id", host: str = "host", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, min_repeats: int = MIN_REPEATS) -> DataFrame:
+def dropped(pages: DataFrame, *, page_id: str = "page_id", host: str = "host", text: str = "text", ratio: float = RATIO, min_repeats: int = MIN_REPEATS) -> DataFrame:
     """id and the keys of its lines that are dropped; pages without such lines are not listed."""
     lines = cut(lines_of(pages, page_id, host, text))
-    common = boilerplate(lines, pages, host, ratio, min_pages, min_repeats).select("host", "key")
+    common = boilerplate(lines, pages, host, ratio, min_repeats).select("host", "key")
     hits = lines.where(F.col("id").isNotNull()).join(common, ["host", "key"])
     return hits.groupBy("id").agg(F.collect_set("key").alias("keys"))
 
