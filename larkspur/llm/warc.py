@@ -12,6 +12,9 @@ their own names; those that clash with the records' columns are dropped.
 
 from __future__ import annotations
 
+import html as markup
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +23,11 @@ COLUMNS = ["record_id", "type", "refers_to", "concurrent_to", "target_uri", "dat
 #: Elements whose ends break a line, and those whose content is no text.
 BREAKS = "(?i)</?(p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|nav|header|footer|title|body|head|html|pre|blockquote)( [^>]*)?/?>"
 SILENT = "(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->"
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&"))
+#: HTML's named references, and the numeric ones of control characters, which stand for others or for nothing; no-break spaces become spaces.
+NAMED = {name: text.replace("\xa0", " ") for name, text in html5.items()}
+CONTROLS = {str(n): markup.unescape(f"&#{n};").replace("\xa0", " ") for n in (*range(32), *range(127, 161))}
+#: Names that hold without a semicolon, the longest first.
+OPEN_NAMES = sorted((name for name in html5 if not name.endswith(";")), key=lambda name: (-len(name), name))
 
 
 def uuid_of(seed: Column) -> Column:
@@ -28,12 +35,43 @@ def uuid_of(seed: Column) -> Column:
     return F.regexp_replace(F.md5(F.encode(seed, "utf-8")), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "<urn:uuid:$1-$2-$3-$4-$5>")
 
 
+def _constant(table: dict[str, str]) -> Column:
+    """A map that is one literal once the plan is made."""
+    return F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in table.items())), F.lit("\x01"), F.lit("\x02"))
+
+
+def _character(number: Column) -> Column:
+    """The character of a numeric reference, by HTML's rules for those that stand for none."""
+    digits = F.regexp_extract(number, "^#[xX]?0*([0-9a-fA-F]*)", 1)
+    given = F.concat(F.lit("0"), F.substring(digits, 1, 8))
+    code = F.when(number.rlike("^#[xX]"), F.conv(given, 16, 10)).otherwise(F.conv(given, 10, 10)).cast("long")
+    return (
+        F.when((F.length(digits) > 7) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF), F.lit("\ufffd"))
+        .when((code < 32) | code.between(127, 160), F.try_element_at(_constant(CONTROLS), code.cast("string")))
+        .when(code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(0xFFFE) == 0xFFFE), F.lit(""))
+        .otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "utf-32"))
+    )
+
+
+def _reference(part: Column) -> Column:
+    """What follows an ampersand, with the reference that it starts with decoded; with the ampersand where it starts with none."""
+    after = lambda found: F.substring(part, F.length(found) + 1, F.length(part))
+    whole, number = F.regexp_extract(part, "^[A-Za-z][A-Za-z0-9]{0,30};", 0), F.regexp_extract(part, "^#([0-9]+|[xX][0-9a-fA-F]+);?", 0)
+    short = F.regexp_extract(part, f"^({'|'.join(OPEN_NAMES)})", 0)
+    return F.when(number != "", F.concat(_character(number), after(number))).otherwise(
+        F.coalesce(
+            F.concat(F.try_element_at(_constant(NAMED), F.nullif(whole, F.lit(""))), after(whole)),
+            F.concat(F.try_element_at(_constant(NAMED), F.nullif(short, F.lit(""))), after(short)),
+            F.concat(F.lit("&"), part),
+        )
+    )
+
+
 def plain_text(html: Column) -> Column:
-    """A page's text, a line for each block; white space is collapsed."""
+    """A page's text, a line for each block; character references are decoded, white space is collapsed."""
     text = F.regexp_replace(F.regexp_replace(html, SILENT, ""), BREAKS, "\n")
     text = F.regexp_replace(text, "<[^>]*>", "")
-    for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
+    text = F.array_join(F.transform(F.split(text, "&"), lambda part, k: F.when(k == 0, part).otherwise(_reference(part))), "")
     text = F.regexp_replace(F.regexp_replace(text, "[ \\t\\f\\r]+", " "), " ?\n[ \n]*", "\n")
     return F.regexp_replace(text, "^[ \n]+|[ \n]+$", "")
 
@@ -59,7 +97,9 @@ def derive(source: DataFrame) -> DataFrame:
     """Two records for each response."""
     payload = F.coalesce(F.col("payload"), F.lit(""))
     ids = {kind: uuid_of(F.concat_ws("|", F.lit(kind), F.coalesce("record_id", F.lit("")), F.coalesce("target_uri", F.lit("")), F.sha1(F.encode(payload, "utf-8")))) for kind in ("metadata", "conversion")}
-    text = plain_text(payload)
+    # A projection of its own, so that each text is made once.
+    source = source.withColumn("_text", plain_text(payload))
+    text = F.col("_text")
     lines = F.concat(
         _field("source-record", F.col("record_id")),
         _field("source-payload-digest", digest(payload)),
@@ -72,7 +112,7 @@ def derive(source: DataFrame) -> DataFrame:
         digest(block).alias("block_digest"), digest(payload).alias("payload_digest"), F.octet_length(block).cast("long").alias("content_length"), block.alias("block"),
     )
     both = F.array(record("metadata", "conversion", "application/warc-fields", lines), record("conversion", "metadata", "text/plain; charset=utf-8", text))
-    others = [c for c in source.columns if c not in {*COLUMNS, "headers", "payload"}]
+    others = [c for c in source.columns if c not in {*COLUMNS, "headers", "payload", "_text"}]
     return source.select(*(F.col(f"`{c}`") for c in others), F.explode(both).alias("_record")).select(*(F.col(f"`{c}`") for c in others), "_record.*")
 
 

@@ -1,15 +1,18 @@
 """The registered queries against plain brute-force readings of what they promise, over a whole small table."""
 
 import hashlib
+import html as markup
 import math
 import random
 import re
 import string
 from collections import Counter
+from html.entities import html5
 
 import duckdb
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from larkspur.llm import bpe, decontaminate, line_dedup, lm_score, pii, quality, queries, secret_scan, token_counts, warc
 
@@ -189,6 +192,16 @@ def test_warc(spark, tmp_path):
     assert back == {r.record_id: (r.type, r.refers_to, r.block_digest, r.block) for r in got.values()}
 
 
+def test_references(spark):
+    texts = [f"a&{name}b" for name in html5] + [f"a&{name[:-1]}" for name in html5] + [f"x&#{n};y&#{n}z&#x{n:X};" for n in (*range(33, 300), 8217, 0xD800, 0xFDD0, 0xFFFE, 0xFFFF, 128512, 0x10FFFF, 0x110000, 10**9, 10**30)]
+    texts += ["&", "&;", "&#;", "&#x;", "&#xg", "R&D & co", "&amp;lt; &amp;#39;", "&copy2024 &notit; &#0000000000039; &#x0000000000027", "é&eacute;東&hearts;🙂", "a &amp;&amp; b"]
+    expected = [markup.unescape(t).replace("\xa0", " ") for t in texts]
+    lines = lambda t: "\n".join(x for x in (re.sub("[ \t\f\r]+", " ", x).strip(" ") for x in t.split("\n")) if x)
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string").select("k", warc.plain_text(F.col("t")).alias("text"))
+    got = {r.k: r.text for r in df.collect()}
+    assert [(texts[k], got[k]) for k in range(len(texts)) if lines(got[k]) != lines(expected[k])] == []
+
+
 def test_token_counts(spark):
     own = token_counts.Vocabulary(["▁a", "b", "ab", "▁ab", "c"])
     words = ["", "a", "ab", "abc", "abab", "zé", "cab"]
