@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from larkspur.llm import bpe, decontaminate, line_dedup, near_dedup, quality
 from larkspur.session import prepare, table
 
-#: A line on more than a tenth of a source's documents is boilerplate. A document that would lose more
-#: than half of its lines so is a copy, for near-dedup to judge.
-BOILERPLATE_RATIO, MAX_SHARE = 0.1, 0.5
+#: A line on more than this share of a source's documents is boilerplate. Of the good documents of sf0.1, the
+#: commonest line is on 8.8 to 14.0 % of each of the 20 sources and no other is on more than 5.4 % of one: the
+#: ratio is the middle of that gap, so that a line is judged alike on all sources.
+BOILERPLATE_RATIO = 0.07
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -30,9 +31,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that are boilerplate on their source; n_chars is that of the text that is left."""
+    """All documents, without the lines that are boilerplate on their source; those that hold nothing else are left whole. n_chars is that of the text that is left."""
     prepare(spark)
-    cleaned = line_dedup.clean(docs, page_id="doc_id", host="source", ratio=BOILERPLATE_RATIO, max_share=MAX_SHARE)
+    cleaned = line_dedup.clean(docs, page_id="doc_id", host="source", ratio=BOILERPLATE_RATIO, emptied=False)
     return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -57,20 +57,19 @@ def dropped(pages: DataFrame, *, page_id: str = "page_id", host: str = "host", t
     return hits.groupBy("id").agg(F.collect_set("key").alias("keys"))
 
 
-def clean(pages: DataFrame, *, page_id: str = "page_id", host: str = "host", text: str = "text", report: str | None = None, max_share: float = 1.0, **limits) -> DataFrame:
+def clean(pages: DataFrame, *, page_id: str = "page_id", host: str = "host", text: str = "text", report: str | None = None, emptied: bool = True, **limits) -> DataFrame:
     """pages without boilerplate lines. report: the name of a column for the number of lines dropped.
 
-    max_share: pages that would lose a larger share of their non-blank lines are left as they are. They
-    are copies of each other rather than pages with the same frame, which is for document dedup to judge.
+    emptied: whether a page of nothing but boilerplate loses all its lines; else that page is left as it is.
     """
     gone = dropped(pages, page_id=page_id, host=host, text=text, **limits).select(F.col("id").alias("_id"), F.col("keys").alias("_keys"))
     lines = F.transform(page_lines(F.col(text)), lambda x: F.struct(x.alias("line"), _key(x).alias("key")))
     out = pages.join(gone, F.col(page_id) == F.col("_id"), "left").withColumn("_lines", F.when(F.col("_keys").isNotNull(), lines))
     kept = F.filter("_lines", lambda x: x["key"].isNull() | ~F.array_contains(F.col("_keys"), x["key"]))
     out = out.withColumn("_kept", kept).withColumn("_dropped", F.size("_lines") - F.size("_kept"))
-    if max_share < 1:
+    if not emptied:
         filled = F.size(F.filter("_lines", lambda x: x["key"].isNotNull()))
-        out = out.withColumn("_dropped", F.when(F.col("_dropped") <= filled * max_share, F.col("_dropped")))
+        out = out.withColumn("_dropped", F.when(F.col("_dropped") < filled, F.col("_dropped")))
     joined = F.array_join(F.transform("_kept", lambda x: x["line"]), "\n")
     out = out.withColumn(text, F.when(F.col("_dropped").isNotNull(), joined).otherwise(F.col(text)))
     if report:

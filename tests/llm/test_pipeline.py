@@ -1,6 +1,9 @@
 """The pipeline's stages on a whole small table."""
 
+from collections import Counter
+
 import corpus_pipeline
+from larkspur.llm import line_dedup
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -12,3 +15,36 @@ def test_pipeline(spark):
     assert set(docs.columns) <= set(out.columns)
     assert 0 < len(got) < docs.count() and all(r.round_trip and r.n_tokens == len(r.ids) for r in got.values())
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "line_dedup", "near_dedup", "decontaminate", "bpe"]
+
+
+def dropped_lines(docs):
+    """The stage by brute force: the text of each document afterwards."""
+    bare = lambda line: line.strip(line_dedup.BLANKS)
+    pages = Counter(d.source for d in docs)
+    on = Counter((d.source, x) for d in docs for x in {bare(line) for line in (d.text or "").split("\n")} - {""})
+    common = {k for k, n in on.items() if n >= line_dedup.MIN_REPEATS and n / pages[k[0]] > corpus_pipeline.BOILERPLATE_RATIO}
+    out = {}
+    for d in docs:
+        lines = (d.text or "").split("\n")
+        kept = [x for x in lines if (d.source, bare(x)) not in common]
+        out[d.doc_id] = "\n".join(kept) if any(map(bare, kept)) else d.text
+    return out
+
+
+def test_drop_lines(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    made = [(k, "menu\nabout\nlegal\n" + f"own {k}") for k in range(6)] + [(6, "menu\n\nlegal")] + [(k, f"text {k}") for k in range(7, 20)]
+    small = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in made], docs.schema)
+    for given in (docs, small):
+        rows = corpus_pipeline.drop_lines(spark, given, "").collect()
+        got, expected = {r.doc_id: r.text for r in rows}, dropped_lines(given.collect())
+        assert got == expected and all(r.n_chars == len(r.text) for r in rows if r.text is not None)
+    assert got[0] == "own 0" and got[6] == "menu\n\nlegal"
+
+
+def test_a_line_is_judged_alike_on_all_sources(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "source", "text")
+    left = line_dedup.lines_of(corpus_pipeline.drop_lines(spark, docs.withColumn("n_chars", docs.doc_id), ""), "doc_id", "source", "text").groupBy("key").count()
+    before = line_dedup.lines_of(docs, "doc_id", "source", "text").groupBy("key").count()
+    changed = before.withColumnRenamed("count", "n").join(left, "key", "left").na.fill(0, ["count"]).where("n != count").collect()
+    assert [(r.n, r["count"]) for r in changed] == [(1061, 0)]
