@@ -1,16 +1,21 @@
-"""Session settings that the operators rely on, and readers for the tables of a folder."""
+"""Session settings that the operators rely on, readers for the tables of a folder, and tables written in between."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable
+from functools import cache
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REPO = str(Path(__file__).resolve().parent.parent)
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -30,24 +35,67 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c in naive}) if naive else df
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the checkpoint folder and go on from the files.
+def unused(name: str, columns: Iterable[str]) -> str:
+    """name, or name with so many underscores that none of the columns is called that, in whatever case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
-    The cluster names the folder in spark.checkpoint.dir, which every executor can read; a folder
-    of our own is set only where that is unset, as on one machine.
-    """
-    spark = df.sparkSession
+
+@cache
+def _own_folder(application: str) -> str:
+    folder = tempfile.mkdtemp(prefix="larkspur-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for tables in between, which all executors can reach: spark.checkpoint.dir. Only on one machine may it be unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
     sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="larkspur-checkpoints-"))
-    return df.checkpoint(eager=True)
+    if sc.master != "local" and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own_folder(sc.applicationId)
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Write df as a Parquet table below the checkpoint folder and go on from it; smaller than a checkpoint where texts are long."""
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever Spark can reach it."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """Write df as Parquet to path and go on from the files; the shuffle files of the write go as soon as it ends."""
     spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="larkspur-tables-")
-    path = f"{shared}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Write df as a table below the shared folder and go on from it, which cuts its lineage."""
+    return written(df, f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}")
+
+
+class Scratch:
+    """Tables below the shared folder that are deleted together, when a with block ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.count = spark, f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}", 0
+
+    def save(self, df: DataFrame) -> DataFrame:
+        self.count += 1
+        return written(df, f"{self.folder}/{self.count}")
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error) -> None:
+        delete(self.spark, self.folder)
