@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.session import cut
+from larkspur.session import saved
 
 RATIO = 0.1
 MIN_REPEATS = 3
@@ -51,7 +51,7 @@ def boilerplate(lines: DataFrame, pages: DataFrame, host: str, ratio: float, min
 
 def dropped(pages: DataFrame, *, page_id: str = "page_id", host: str = "host", text: str = "text", ratio: float = RATIO, min_repeats: int = MIN_REPEATS) -> DataFrame:
     """id and the keys of its lines that are dropped; pages without such lines are not listed."""
-    lines = cut(lines_of(pages, page_id, host, text))
+    lines = saved(lines_of(pages, page_id, host, text))
     common = boilerplate(lines, pages, host, ratio, min_repeats).select("host", "key")
     hits = lines.where(F.col("id").isNotNull()).join(common, ["host", "key"])
     return hits.groupBy("id").agg(F.collect_set("key").alias("keys"))

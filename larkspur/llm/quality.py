@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.session import cut, saved
+from larkspur.session import saved
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -157,7 +157,7 @@ def judged(featured: DataFrame, model: dict, features: str = "q_features") -> Da
 
 def assess(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: the features, base_failed, quality (the posterior) and kept."""
-    featured = cut(with_features(documents.select(F.col(doc_id), F.col(text)), text).select(F.col(doc_id), "q_features"))
+    featured = saved(with_features(documents.select(F.col(doc_id), F.col(text)), text).select(F.col(doc_id), "q_features"))
     out = judged(featured, fit(featured))
     return out.select(F.col(doc_id), *(f"q_features.{c}" for c in FEATURES[:5]), failed(_fields("q_features")).alias("base_failed"), F.col("q_posterior").alias("quality"), F.col("q_kept").alias("kept"))
 

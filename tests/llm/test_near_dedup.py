@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from larkspur.llm import near_dedup
+from larkspur.session import Scratch
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -68,7 +69,7 @@ def test_families_around_a_hidden_centre(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     expected = brute(rows, 2)
     assert result(near_dedup.near_duplicates(docs, words_per_shingle=2)) == expected
-    # small limits: buckets are split, and links are contracted over many tasks
+    # small limits: all buckets go by differences, and links are contracted over many tasks
     assert result(near_dedup.near_duplicates(docs, words_per_shingle=2, partners=0, per_task=16)) == expected
 
 
@@ -93,5 +94,6 @@ def test_signatures_estimate_similarity():
 
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(100, 300)] + [(1, 5), (5, 9), (9, 1)], "a long, b long")
-    got = {r.node: r.component for r in near_dedup.components(links, per_task=8).collect()}
+    with Scratch(spark) as scratch:
+        got = {r.node: r.component for r in near_dedup.components(links, scratch, per_task=8).collect()}
     assert got == {k: 100 for k in range(101, 301)} | {5: 1, 9: 1}
