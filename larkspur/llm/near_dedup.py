@@ -157,7 +157,8 @@ def id_kind(documents: DataFrame, doc_id: str) -> str:
 class Texts:
     """The texts of documents by id, and the shingle sets made of them."""
 
-    def __init__(self, documents: DataFrame, doc_id: str, text: str, size: int):
+    def __init__(self, documents: DataFrame, doc_id: str, text: str, size: int, scratch: Scratch):
+        self.scratch = scratch
         self.rows = documents.select(F.col(doc_id).cast(id_kind(documents, doc_id)).alias("doc"), F.col(text).cast("string").alias("text"))
         self.size = size
 
@@ -175,9 +176,12 @@ class Texts:
         return met.mapInArrow(built, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in wanted.schema), f"{name} array<long>"]))
 
     def facing(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b, ...) with their sets, left and right. Pairs of an a with many b are dealt over several tasks."""
-        tasks = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_PER_TASK).cast("int").alias("tasks"))
-        salted = pairs.join(tasks, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("tasks")).cast("int")).drop("tasks")
+        """The pairs (a, b, ...) with their sets, left and right. Pairs of an a with many b are dealt over several tasks.
+
+        Both sides are written before they meet the texts, so that Spark knows their sizes: texts are only shuffled where a side is too large to broadcast.
+        """
+        tasks = self.scratch.save(pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_PER_TASK).cast("int").alias("tasks")))
+        salted = self.scratch.save(pairs.join(tasks, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("tasks")).cast("int")).drop("tasks"))
         left = self.sets(tasks, "a", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).drop("tasks")
         return self.sets(salted, "b", "right").join(left, ["a", "salt"]).where((F.size("left") > 0) & (F.size("right") > 0))
 
@@ -279,7 +283,8 @@ def grouped(sketches: DataFrame, texts: Texts, percent: int, scratch: Scratch, *
     classes = full.groupBy("class_a", "class_b").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"))
     entries = classes.select("id", "size", F.explode("bands").alias("bucket"))
     shared = scratch.save(entries.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1))
-    met = scratch.save(entries.join(shared, "bucket"))
+    # shared grows with the documents, so it is never broadcast
+    met = scratch.save(entries.join(shared.hint("merge"), "bucket"))
     rank = met.groupBy("id").agg((-F.sum("n")).alias("rank"))
     hubs = met.join(rank, "id").groupBy("bucket").agg(F.min(F.struct("rank", F.col("id").alias("hub"), F.col("size").alias("hub_size"))).alias("first"))
     stars = scratch.save(met.join(hubs, "bucket").where(F.col("id") != F.col("first.hub")).select("bucket", "n", "id", "size", "first"))
@@ -316,7 +321,7 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     """Per row of documents: doc_id, n_shingles, component_id and kept (doc_id = component_id). Tables in between are deleted."""
     with Scratch(documents.sparkSession) as scratch:
         sketches = scratch.save(sketch(documents, doc_id, text, words_per_shingle, bands, rows))
-        found = grouped(sketches, Texts(documents, doc_id, text, words_per_shingle), percent, scratch, **limits)
+        found = grouped(sketches, Texts(documents, doc_id, text, words_per_shingle, scratch), percent, scratch, **limits)
         one = sketches.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("class_a", "class_b").agg(F.min("doc_id").alias("node"))
         named = _labelled(one, "node", found, "component").drop("node")
         out = sketches.select("doc_id", "n_shingles", "class_a", "class_b").join(named, ["class_a", "class_b"], "left")
