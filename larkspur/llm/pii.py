@@ -5,12 +5,19 @@ looser forms: numbers without a country code, addresses with spelled-out signs,
 names behind a form of address. Regex labelers judge the form, gazetteer labelers the words around a
 candidate and its parts, context labelers what stands beside it; each votes yes, no or abstains.
 Expectation-maximisation over the counts of vote patterns of all documents estimates how reliable each
-labeler is, and a logistic classifier over the kind, the votes and the form, fitted to the resulting
-probabilities, decides on every candidate that isn't a base span.
-
-Patterns are made of bounded values (kinds, three votes, form buckets), so what comes to the driver
-does not grow with the documents; the texts are read twice and never shuffled. Spans are in code
-points. Null and empty texts have no spans; equal rows get equal spans; other columns are ignored.
+labeler is on each kind (rare kinds lean on the estimate for all kinds). A logistic classifier over the
+votes and over features that no labeler sees, of the form (digits, separators, words) and the context
+(what stands before and behind), is fitted to the resulting probabilities, and decides on every
+candidate that isn't a base span.
+
+Texts are read once and never shuffled: candidates are written without them, as (kind, place, votes,
+traits), and both the estimation and the verdicts go on from that table. Votes and traits are of bounded
+sets of values, so what comes to the driver does not grow with the documents.
+
+Spans are in code points. Null and empty texts have no spans, an empty table gives an empty result, equal
+rows get equal spans, and other columns are ignored. Where candidates overlap, base spans come first, then
+the stricter kinds, then the leftmost. The time for a text grows with its length times the logarithm of
+the number of its candidates.
 """
 
 from __future__ import annotations
@@ -19,11 +26,14 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spans import Span, free, ordered
+from larkspur.session import Scratch, saved, unused
+
+from .spans import Span, Taken, ordered
 
 BASE = ["email", "ip", "card", "phone"]
 KINDS = [*BASE, "ssn", "iban", "ipv6", "name"]
@@ -109,7 +119,7 @@ def base_spans(text: str) -> list[Span]:
 
 def loose_spans(text: str, base: list[Span]) -> list[Span]:
     """Candidates that meet no base span and none before them."""
-    taken = [(a, b) for _, a, b in base]
+    taken = Taken(base)
     out: list[Span] = []
     digits = bool(_DIGIT.search(text))
     for kind in _ORDER:
@@ -121,8 +131,7 @@ def loose_spans(text: str, base: list[Span]) -> list[Span]:
             a, b = m.span()
             if kind == "email" and not _SPELLED.search(m[0]):
                 continue
-            if free(a, b, taken):
-                taken.append((a, b))
+            if taken.take(a, b):
                 out.append((kind, a, b))
     return out
 
@@ -170,115 +179,169 @@ def votes(text: str, span: Span) -> tuple[int, ...]:
 
 
 LABELERS = ["form", "cue", "part", "near", "edge", "shape"]
+TRAITS = ["digits", "marks", "words", "left", "right"]
+_SIDES = {"": "edge", " ": "space", "\n": "edge", "\t": "space", "(": "open", "<": "open", "[": "open", '"': "open", "'": "open", ":": "colon", "=": "colon", ".": "stop", ",": "stop", ";": "stop", "!": "stop", "?": "stop", ")": "close", ">": "close", "]": "close"}
+
+
+def traits(text: str, span: Span) -> tuple[str, ...]:
+    """Features of form and context that no labeler looks at, each of a few values."""
+    _, a, b = span
+    found = text[a:b]
+    n = sum("0" <= c <= "9" for c in found)
+    marks = {c for c in found if not c.isalnum()}
+    return (
+        "none" if not n else "few" if n < 7 else "short" if n < 9 else "number" if n < 13 else "long",
+        "none" if not marks else {" ": "space", "-": "dash", ".": "dot", "/": "slash", ":": "colon"}.get(next(iter(marks)), "other") if len(marks) == 1 else "mixed",
+        str(min(len(found.split()), 4)),
+        _SIDES.get(text[a - 1 : a] if a else "", "other"),
+        _SIDES.get(text[b : b + 1], "other"),
+    )
+
+
 #: What a labeler is trusted with at first: it says yes to 8 of 10 right candidates and to 3 of 10 wrong ones.
 YES, FALSE_YES = 0.8, 0.3
 START = {f"{name}=1": math.log(YES / FALSE_YES) for name in LABELERS} | {f"{name}=-1": 1.5 * math.log((1 - YES) / (1 - FALSE_YES)) for name in LABELERS}
+#: A candidate as it is counted: kind, whether it is a base span, votes, traits.
+Pattern = tuple[str, bool, tuple[int, ...], tuple[str, ...]]
 
 
-def _features(kind: str, pattern: tuple[int, ...], base: bool) -> list[str]:
+def _features(kind: str, cast: tuple[int, ...], seen: tuple[str, ...]) -> list[str]:
     """Features of the classifier."""
-    return ["bias", f"kind={kind}", *(f"{name}={v}" for name, v in zip(LABELERS, pattern, strict=True) if v)]
+    return ["bias", f"kind={kind}", *(f"{name}={v}" for name, v in zip(LABELERS, cast, strict=True) if v), *(f"{kind}.{name}={v}" for name, v in zip(TRAITS, seen, strict=True))]
 
 
-def expectation_maximisation(patterns: dict[tuple, int], iterations: int = ITERATIONS) -> dict[tuple, float]:
-    """The probability of each vote pattern being personal data. patterns: counts of (kind, is base, votes)."""
-    right = dict.fromkeys(LABELERS, YES)
-    wrong = dict.fromkeys(LABELERS, FALSE_YES)
+def expectation_maximisation(patterns: dict[Pattern, int], iterations: int = ITERATIONS) -> dict[Pattern, float]:
+    """The probability of each pattern being personal data, by its kind and votes."""
+    counts: dict[tuple, int] = {}
+    for (kind, base, cast, _), n in patterns.items():
+        counts[kind, base, cast] = counts.get((kind, base, cast), 0) + n
+    right = {(kind, name): YES for kind in KINDS for name in LABELERS}
+    wrong = {(kind, name): FALSE_YES for kind in KINDS for name in LABELERS}
     prior: dict[str, float] = dict.fromkeys(KINDS, 0.5)
     p: dict[tuple, float] = {}
     for _ in range(iterations):
-        for kind, base, pattern in patterns:
+        for kind, base, cast in counts:
             odds = math.log(prior[kind] / (1 - prior[kind]))
-            for name, v in zip(LABELERS, pattern, strict=True):
+            for name, v in zip(LABELERS, cast, strict=True):
                 if v:
-                    odds += math.log(right[name] / wrong[name]) if v > 0 else math.log((1 - right[name]) / (1 - wrong[name]))
-            p[kind, base, pattern] = 1.0 if base else 1 / (1 + math.exp(-odds))
+                    yes, false_yes = right[kind, name], wrong[kind, name]
+                    odds += math.log(yes / false_yes) if v > 0 else math.log((1 - yes) / (1 - false_yes))
+            p[kind, base, cast] = 1.0 if base else 1 / (1 + math.exp(-odds))
         for k, name in enumerate(LABELERS):
             for side, sign in ((right, 1), (wrong, 0)):
-                # each starts from ten imagined votes, so that rare labelers keep their meaning
-                yes = 10 * (YES if sign else FALSE_YES) + sum(n * (p[x] if sign else 1 - p[x]) for x, n in patterns.items() if x[2][k] > 0)
-                cast = 10 + sum(n * (p[x] if sign else 1 - p[x]) for x, n in patterns.items() if x[2][k])
-                side[name] = min(max(yes / cast, 0.05), 0.95)
-            if right[name] < wrong[name]:
-                right[name] = wrong[name] = (right[name] + wrong[name]) / 2
+                votes_of = {kind: [0.0, 0.0] for kind in KINDS}
+                for x, n in counts.items():
+                    if x[2][k]:
+                        weight = n * (p[x] if sign else 1 - p[x])
+                        votes_of[x[0]][0] += weight * (x[2][k] > 0)
+                        votes_of[x[0]][1] += weight
+                # all kinds start from ten imagined votes, and each kind from ten like those of all kinds
+                yes, cast_all = (sum(v[i] for v in votes_of.values()) for i in (0, 1))
+                overall = (10 * (YES if sign else FALSE_YES) + yes) / (10 + cast_all)
+                for kind, (yes, cast_own) in votes_of.items():
+                    side[kind, name] = min(max((10 * overall + yes) / (10 + cast_own), 0.05), 0.95)
+            for kind in KINDS:
+                if right[kind, name] < wrong[kind, name]:
+                    right[kind, name] = wrong[kind, name] = (right[kind, name] + wrong[kind, name]) / 2
         for kind in KINDS:
-            own = [(x, n) for x, n in patterns.items() if x[0] == kind and not x[1]]
+            own = [(x, n) for x, n in counts.items() if x[0] == kind and not x[1]]
             prior[kind] = min(max((5 + sum(n * p[x] for x, n in own)) / (10 + sum(n for _, n in own)), 0.1), 0.9)
-    return p
+    return {x: p[x[:3]] for x in patterns}
 
 
-def train(patterns: dict[tuple, int], target: dict[tuple, float], steps: int = 300, rate: float = 0.5, decay: float = 1e-3) -> dict[str, float]:
+def train(patterns: dict[Pattern, int], target: dict[Pattern, float], steps: int = 300, rate: float = 5.0, decay: float = 1e-3) -> dict[str, float]:
     """A logistic classifier fitted to the probabilities; each pattern weighs the logarithm of its count.
 
     Weights are drawn to where they start, which is what votes no document cast keep.
     """
-    rows = [(_features(*_key(x)), target[x], math.log1p(n)) for x, n in sorted(patterns.items(), key=str)]
-    total = sum(w for *_, w in rows) or 1.0
-    weights = dict(START)
-    for fs, *_ in rows:
-        for f in fs:
-            weights.setdefault(f, 0.0)
+    rows = sorted(patterns, key=str)
+    names = sorted({*START, *(f for x in rows for f in _features(x[0], x[2], x[3]))})
+    place = {name: k for k, name in enumerate(names)}
+    start = np.array([START.get(name, 0.0) for name in names])
+    if not rows:
+        return dict(zip(names, start.tolist(), strict=True))
+    at = [[place[f] for f in _features(x[0], x[2], x[3])] for x in rows]
+    row, column = np.repeat(np.arange(len(rows)), [len(x) for x in at]), np.concatenate(at)
+    y, weight = np.array([target[x] for x in rows]), np.log1p([patterns[x] for x in rows])
+    weights = start.copy()
     for _ in range(steps):
-        gradient = {f: decay * (w - START.get(f, 0.0)) for f, w in weights.items()}
-        for fs, y, w in rows:
-            error = (score(weights, fs) - y) * w / total
-            for f in fs:
-                gradient[f] += error
-        for f, g in gradient.items():
-            weights[f] -= rate * 10 * g
-    return weights
-
-
-def _key(x: tuple) -> tuple[str, tuple[int, ...], bool]:
-    return x[0], x[2], x[1]
+        total = np.bincount(row, weights[column], len(rows))
+        error = (1 / (1 + np.exp(-np.clip(total, -30, 30))) - y) * weight / weight.sum()
+        weights -= rate * (np.bincount(column, error[row], len(names)) + decay * (weights - start))
+    return dict(zip(names, weights.tolist(), strict=True))
 
 
 def score(weights: dict[str, float], features: list[str]) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(weights.get(f, 0.0) for f in features)))))
 
 
-def _texts(batch: pa.RecordBatch, column: int) -> Iterator[str]:
-    return (x.as_py() or "" for x in batch.column(column))
+_SPOTTED = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("pattern", pa.string())]))
+_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
-def fit(documents: DataFrame, text: str = "text") -> dict[str, float]:
-    """The classifier's weights, from the candidates of all documents."""
+def spotted(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, base and loose: the candidates, with their votes and traits as one string."""
+    names = [doc_id, unused("base", [doc_id]), unused("loose", [doc_id])]
 
-    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, int] = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t in _texts(batch, 0):
+            out: tuple[list, list] = ([], [])
+            for x in batch.column(1):
+                t = x.as_py() or ""
                 base = base_spans(t)
-                for is_base, spans in ((1, base), (0, loose_spans(t, base))):
-                    for s in spans:
-                        key = f"{s[0]}|{is_base}|{','.join(map(str, votes(t, s)))}"
-                        counts[key] = counts.get(key, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["pattern", "n"])
-
-    rows = documents.select(F.col(text).cast("string")).mapInArrow(seen, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
-    patterns = {(k, b == "1", tuple(map(int, v.split(",")))): r["n"] for r in rows for k, b, v in [r["pattern"].split("|")]}
+                for found, spans in zip(out, (base, loose_spans(t, base)), strict=True):
+                    found.append([{"kind": s[0], "start": s[1], "end": s[2], "pattern": ",".join(map(str, (*votes(t, s), *traits(t, s))))} for s in spans])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, _SPOTTED) for x in out)], names)
+
+    own = documents.select(F.col(doc_id), F.col(text).cast("string"))
+    span = "array<struct<kind:string,start:long,end:long,pattern:string>>"
+    return own.mapInArrow(run, f"`{doc_id}` {own.schema[0].dataType.simpleString()}, {names[1]} {span}, {names[2]} {span}")
+
+
+def _pattern(x: str) -> tuple[tuple[int, ...], tuple[str, ...]]:
+    parts = x.split(",")
+    return tuple(map(int, parts[: len(LABELERS)])), tuple(parts[len(LABELERS) :])
+
+
+def fit(candidates: DataFrame) -> dict[str, float]:
+    """The classifier's weights, from all candidates."""
+    _, base, loose = candidates.columns
+    each = [candidates.select(F.explode(c).alias("s"), F.lit(c == base).alias("base")) for c in (base, loose)]
+    rows = each[0].unionByName(each[1]).groupBy("s.kind", "base", "s.pattern").agg(F.count("*").alias("n")).collect()
+    patterns = {(r["kind"], r["base"], *_pattern(r["pattern"])): r["n"] for r in rows}
     return train(patterns, expectation_maximisation(patterns))
 
 
 def find(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", weights: dict[str, float] | None = None) -> DataFrame:
-    """doc_id, base and spans: arrays of (kind, start, end)."""
-    model = fit(documents, text) if weights is None else weights
-    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+    """doc_id, base and spans: arrays of (kind, start, end). weights: of a classifier fitted before."""
+    with Scratch(documents.sparkSession) as scratch:
+        candidates = scratch.save(spotted(documents, doc_id, text))
+        return saved(_judged(candidates, fit(candidates) if weights is None else weights))
+
+
+def _judged(candidates: DataFrame, model: dict[str, float]) -> DataFrame:
+    doc_id = candidates.columns[0]
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple[str, str], bool] = {}
+
+        def right(kind: str, pattern: str) -> bool:
+            if (kind, pattern) not in known:
+                known[kind, pattern] = score(model, _features(kind, *_pattern(pattern))) >= KEEP
+            return known[kind, pattern]
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = lambda spans: [{"kind": k, "start": a, "end": b} for k, a, b in spans]
         for batch in batches:
             bases, alls = [], []
-            for t in _texts(batch, 1):
-                base = base_spans(t)
-                more = [s for s in loose_spans(t, base) if score(model, _features(s[0], votes(t, s), False)) >= KEEP]
+            for base, loose in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                base = [(s["kind"], s["start"], s["end"]) for s in base]
+                more = [(s["kind"], s["start"], s["end"]) for s in loose if right(s["kind"], s["pattern"])]
                 bases.append(pack(base))
                 alls.append(pack(ordered([*base, *more], KINDS)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bases, kind), pa.array(alls, kind)], [doc_id, "base", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bases, _SPANS), pa.array(alls, _SPANS)], [doc_id, "base", "spans"])
 
-    own = documents.select(F.col(doc_id), F.col(text).cast("string"))
     span = "array<struct<kind:string,start:long,end:long>>"
-    return own.mapInArrow(found, f"`{doc_id}` {own.schema[0].dataType.simpleString()}, base {span}, spans {span}")
+    return candidates.mapInArrow(judged, f"`{doc_id}` {candidates.schema[0].dataType.simpleString()}, base {span}, spans {span}")
 
 
 def mask(text: str, spans: list[Span]) -> str:

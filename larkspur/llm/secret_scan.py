@@ -12,8 +12,13 @@ out of the surroundings, in the dictionary as in the measure, and copies of one
 
 The identifiers are counted over all documents by the digests of the surroundings they stand in, distinct
 ones first by partial aggregates; the dictionary is the most frequent ones up to `dictionary_bytes`,
-which bounds it whatever the input. Texts are read twice, never shuffled. Spans are in code points. Null and empty texts have no spans; equal rows get equal spans
-(ties among identifiers break by their text); other columns are ignored.
+which bounds it whatever the input. Texts are read once and never shuffled: candidates are written with
+the few code points around them, measured from that table, and the table is deleted.
+
+Spans are in code points. Null and empty texts have no spans, an empty table gives an empty result, equal
+rows get equal spans (ties among identifiers break by their text), and other columns are ignored. Tokens
+and texts may be of any length; the time for a text grows with its length times the logarithm of the
+number of its spans.
 """
 
 from __future__ import annotations
@@ -26,7 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spans import Span, free, ordered
+from larkspur.session import Scratch, saved, unused
+
+from .spans import Span, Taken, ordered
 
 BASE = ["assign", "access", "hex"]
 KINDS = [*BASE, "novel"]
@@ -76,7 +83,7 @@ def candidates(text: str, base: list[Span]) -> list[tuple[int, int]]:
     low = text.lower()
     if not any(p in low for p in _SENSITIVE_PARTS):
         return []
-    taken = [(a, b) for _, a, b in base]
+    taken = Taken(base)
     out: list[tuple[int, int]] = []
     done = 0
     for word in _SENSITIVE.finditer(text):
@@ -91,7 +98,7 @@ def candidates(text: str, base: list[Span]) -> list[tuple[int, int]]:
             done = max(done, m.end())
             token = m[0]
             kinds = any(c.isdigit() for c in token) + any(c.islower() for c in token) + any(c.isupper() for c in token)
-            if kinds >= 2 and "@" not in (text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1]) and free(*m.span(), taken):
+            if kinds >= 2 and "@" not in (text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1]) and taken.free(*m.span()):
                 out.append(m.span())
     return out
 
@@ -138,21 +145,44 @@ class Novelty:
         return cost >= MIN_BYTES and cost >= MIN_PER_CHARACTER * len(token)
 
 
-def dictionary(documents: DataFrame, text: str = "text", size: int = DICTIONARY_BYTES) -> bytes:
-    """The identifiers around candidates of all documents, the most frequent last, where zstandard reaches them at the least cost."""
+_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+_LOOSE = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("token", pa.string()), ("before", pa.string()), ("after", pa.string())]))
+_SPAN = "array<struct<kind:string,start:long,end:long>>"
+
+
+def spotted(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, base and loose: the candidates with what stands around them."""
+    names = [doc_id, unused("base", [doc_id]), unused("loose", [doc_id])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bases, looses = [], []
+            for x in batch.column(1):
+                t = x.as_py() or ""
+                base = base_spans(t)
+                bases.append([{"kind": k, "start": a, "end": b} for k, a, b in base])
+                looses.append([{"start": a, "end": b, "token": t[a:b], "before": before, "after": after} for a, b, before, after in measured(t, base)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bases, _SPANS), pa.array(looses, _LOOSE)], names)
+
+    own = documents.select(F.col(doc_id), F.col(text).cast("string"))
+    return own.mapInArrow(run, f"`{doc_id}` {own.schema[0].dataType.simpleString()}, {names[1]} {_SPAN}, {names[2]} array<struct<start:long,end:long,token:string,before:string,after:string>>")
+
+
+def dictionary(candidates: DataFrame, size: int = DICTIONARY_BYTES) -> bytes:
+    """The identifiers around all candidates, the most frequent last, where zstandard reaches them at the least cost."""
+    loose = candidates.columns[2]
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pairs: set[tuple[str, bytes]] = set()
-            for x in batch.column(0):
-                t = x.as_py() or ""
-                for a, b, before, after in measured(t, base_spans(t)):
-                    at = hashlib.md5(f"{before}\0{after}".encode()).digest()
-                    pairs.update((word, at) for word in (*_IDENTIFIER.findall(before), *_IDENTIFIER.findall(after), *_PART.findall(t[a:b])))
+            for found in batch.column(0).to_pylist():
+                for s in found:
+                    at = hashlib.md5(f"{s['before']}\0{s['after']}".encode()).digest()
+                    pairs.update((word, at) for word in (*_IDENTIFIER.findall(s["before"]), *_IDENTIFIER.findall(s["after"]), *_PART.findall(s["token"])))
             words, places = zip(*pairs, strict=True) if pairs else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(places, pa.binary())], ["word", "place"])
 
-    words = documents.select(F.col(text).cast("string")).mapInArrow(seen, "word string, place binary").distinct().groupBy("word").agg(F.count("*").alias("n"))
+    words = candidates.select(loose).where(F.size(loose) > 0).mapInArrow(seen, "word string, place binary").distinct().groupBy("word").agg(F.count("*").alias("n"))
     top = words.where(F.col("n") > 1).orderBy(F.desc("n"), "word").limit(size // 5).collect()
     out, room = [], size
     for r in top:
@@ -160,27 +190,27 @@ def dictionary(documents: DataFrame, text: str = "text", size: int = DICTIONARY_
         if room < 0:
             break
         out.append(r["word"])
-    return " ".join(reversed(out)).encode() or b"key value"
+    return " ".join(reversed(out)).encode()
 
 
-def find(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def find(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", dictionary_bytes: int = DICTIONARY_BYTES) -> DataFrame:
     """doc_id, base and spans: arrays of (kind, start, end)."""
-    primer = dictionary(documents, text)
-    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+    with Scratch(documents.sparkSession) as scratch:
+        candidates = scratch.save(spotted(documents, doc_id, text))
+        return saved(_judged(candidates, dictionary(candidates, dictionary_bytes)))
+
+
+def _judged(candidates: DataFrame, primer: bytes) -> DataFrame:
+    doc_id = candidates.columns[0]
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = lambda spans: [{"kind": k, "start": a, "end": b} for k, a, b in spans]
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measure = Novelty(primer)
         for batch in batches:
-            bases, alls = [], []
-            for x in batch.column(1):
-                t = x.as_py() or ""
-                base = base_spans(t)
-                more = [("novel", a, b) for a, b, before, after in measured(t, base) if measure.novel(before, t[a:b], after)]
-                bases.append(pack(base))
-                alls.append(pack(ordered([*base, *more], KINDS)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bases, kind), pa.array(alls, kind)], [doc_id, "base", "spans"])
-
-    own = documents.select(F.col(doc_id), F.col(text).cast("string"))
-    span = "array<struct<kind:string,start:long,end:long>>"
-    return own.mapInArrow(found, f"`{doc_id}` {own.schema[0].dataType.simpleString()}, base {span}, spans {span}")
+            bases, alls = batch.column(1).to_pylist(), []
+            for base, loose in zip(bases, batch.column(2).to_pylist(), strict=True):
+                more = [("novel", s["start"], s["end"]) for s in loose if measure.novel(s["before"], s["token"], s["after"])]
+                spans = ordered([*((s["kind"], s["start"], s["end"]) for s in base), *more], KINDS)
+                alls.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bases, _SPANS), pa.array(alls, _SPANS)], [doc_id, "base", "spans"])
+
+    return candidates.mapInArrow(judged, f"`{doc_id}` {candidates.schema[0].dataType.simpleString()}, base {_SPAN}, spans {_SPAN}")
