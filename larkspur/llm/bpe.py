@@ -6,26 +6,31 @@ heap, all positions of a pair are merged at once, left to right, and the pairs t
 enter the lists of their own ranks. Words never interact, so each ends as it would alone.
 
 Ids equal those of the tokenizers library for the same file (without special tokens added, truncation
-or padding); strings of added tokens in a text become their ids. Null texts are empty: no ids, and
-back an empty text. Nothing is shuffled; memory is bounded by a batch and a word table.
+or padding); strings of added tokens in a text become their ids. Null and empty texts have no ids, and
+come back as an empty text. Equal rows get equal ids, an empty table gives an empty result, and other
+columns stay as they are: a column that has the name of the result is replaced. There are no ties: of
+equal pairs the leftmost merges first, as the ranks are all different. Nothing is shuffled; memory is
+bounded by a slice of a batch (or one longer text) and a word table that is emptied when it is full.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 import json
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words that a task keeps between batches.
-WORD_TABLE = 300_000
-#: Bytes of text for which ids are laid out at once.
-SLICE = 4 << 20
+#: Words that a task keeps between slices.
+WORD_TABLE = 100_000
+#: Bytes of text that are split, and tokens that are decoded, at once.
+SLICE = 2 << 20
 #: Characters that the regex module and the tokenizers library class alike, whatever Unicode version they know.
 COMMON = "\u0000-՗‐-⁯ぁ-ゖァ-ヺ一-龥가-힣"
 
@@ -42,8 +47,8 @@ class Encoder:
 
     def __init__(self, path: str, pattern: str):
         import regex
-        from tokenizers import Tokenizer
 
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab: dict[str, int] = spec["model"]["vocab"]
@@ -67,7 +72,13 @@ class Encoder:
         self.split = regex.compile(pattern).findall
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else None
         self.uncommon = regex.compile(f"[^{COMMON}]").search
-        self.pre_tokenizer = Tokenizer.from_file(path).pre_tokenizer
+
+    @cached_property
+    def pre_tokenizer(self):
+        """The library's own splitter, for texts of scripts that it may class otherwise."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path).pre_tokenizer
 
     def pre_tokens(self, text: str) -> list[str]:
         if self.uncommon(text):
@@ -169,68 +180,74 @@ class WordTable(dict):
         return place
 
 
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts of about a slice of bytes each; a longer text is a run of its own."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < len(sizes):
+        before = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + SLICE, "right")))
+        yield at, to
+        at = to
+
+
 def _encoded(texts: pa.Array, own: Encoder, table: WordTable, ids: np.ndarray, bounds: np.ndarray):
-    """Slices of list arrays of ids, then the grown table's ids and bounds."""
+    """A list array of the texts' ids, and the grown table's ids and bounds."""
     known = len(table)
     docs = [np.fromiter(map(table.__getitem__, own.words(x.as_py() or "")), np.int32) for x in texts]
     if len(table) > known:
-        more, ends = own.encode(list(table)[known:])
+        more, ends = own.encode(list(itertools.islice(table, known, None)))
         bounds = np.concatenate([bounds, bounds[-1] + ends[1:]])
         ids = np.concatenate([ids, more])
-    sizes = np.diff(bounds)
-    slices, at = [], 0
-    while at < len(docs):
-        to, words = at, 0
-        while to < len(docs) and (to == at or words + len(docs[to]) <= SLICE // 4):
-            words += len(docs[to])
-            to += 1
-        each = np.concatenate(docs[at:to]) if words else np.empty(0, np.int32)
-        count = sizes[each]
-        ends = np.concatenate([[0], np.cumsum(count)])
-        flat = ids[np.repeat(bounds[each] - ends[:-1], count) + np.arange(ends[-1])]
-        cuts = ends[np.concatenate([[0], np.cumsum([len(d) for d in docs[at:to]])])]
-        slices.append((at, to, pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat, pa.int32()))))
-        at = to
-    return slices, ids, bounds
+    each = np.concatenate(docs) if docs else np.empty(0, np.int32)
+    count = np.diff(bounds)[each]
+    ends = np.concatenate([[0], np.cumsum(count)])
+    flat = ids[np.repeat(bounds[each] - ends[:-1], count) + np.arange(ends[-1])]
+    cuts = ends[np.concatenate([[0], np.cumsum([len(d) for d in docs])])]
+    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat, pa.int32())), ids, bounds
 
 
 def _append(df: DataFrame, name: str, kind: str) -> str:
-    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != name), f"`{name}` {kind}"])
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name.lower() != name.lower()), f"`{name}` {kind}"])
 
 
 def encode(df: DataFrame, path: str, pattern: str, *, text: str = "text", out: str = "ids") -> DataFrame:
     """df with an array column of the text's ids; a column of that name is replaced, all others stay."""
-    names = [c for c in df.columns if c != out]
+    names = [c for c in df.columns if c.lower() != out.lower()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
         table, ids, bounds = WordTable(), np.empty(0, np.int32), np.zeros(1, np.int64)
         for batch in batches:
             columns = dict(zip(batch.schema.names, batch.columns, strict=True))
-            slices, ids, bounds = _encoded(columns[text], own, table, ids, bounds)
-            for a, b, got in slices:
+            for a, b in _slices(columns[text]):
+                got, ids, bounds = _encoded(columns[text].slice(a, b - a), own, table, ids, bounds)
                 yield pa.RecordBatch.from_arrays([*(columns[c].slice(a, b - a) for c in names), got], [*names, out])
-            if len(table) > WORD_TABLE:
-                table, ids, bounds = WordTable(), np.empty(0, np.int32), np.zeros(1, np.int64)
+                if len(table) > WORD_TABLE:
+                    table, ids, bounds = WordTable(), np.empty(0, np.int32), np.zeros(1, np.int64)
 
     return df.mapInArrow(run, _append(df, out, "array<int>"))
 
 
 def decode(df: DataFrame, path: str, pattern: str, *, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """df with a column of the texts that ids stand for; null ids are an empty text."""
-    names = [c for c in df.columns if c != out]
+    names = [c for c in df.columns if c.lower() != out.lower()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
         for batch in batches:
             columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+            counts = pc.fill_null(pc.list_value_length(columns[ids]), 0).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(counts)
             at = 0
             while at < len(batch):
-                lists = columns[ids].slice(at, 2000)
-                sizes = np.fromiter((len(x) if x.is_valid else 0 for x in lists), np.int64, len(lists))
-                texts = own.decode(lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(sizes)]))
-                yield pa.RecordBatch.from_arrays([*(columns[c].slice(at, 2000) for c in names), pa.array(texts, pa.string())], [*names, out])
-                at += 2000
+                before = int(ends[at - 1]) if at else 0
+                to = max(at + 1, int(np.searchsorted(ends, before + SLICE // 4, "right")))
+                lists = columns[ids].slice(at, to - at)
+                texts = own.decode(lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(counts[at:to])]))
+                yield pa.RecordBatch.from_arrays([*(columns[c].slice(at, to - at) for c in names), pa.array(texts, pa.string())], [*names, out])
+                at = to
 
     return df.mapInArrow(run, _append(df, out, "string"))
 
