@@ -3,12 +3,19 @@
 Words are runs of ASCII letters and digits and of any characters beyond ASCII, A-Z in lower case. A
 window of an item is `width` consecutive words; an item of fewer words, but not none, is one window.
 Every occurrence of a window in a document is found by its hash, verified on the words themselves,
-and all its words are hit. Documents are only read: nothing is shuffled, and the items are broadcast
-in blocks of at most `block_bytes` of text, so that a benchmark of any size needs bounded memory.
+and all its words are hit.
+
+A broadcast set is made of at most `block_bytes` of items' text, which is checked first. A larger
+benchmark is dealt into such blocks by a hash: the documents are scanned for one block at a time, the
+hits so far being written beside them as bits, and a block's broadcast is destroyed before the next is
+made. Driver and workers thus hold one block at a time; an item beyond a block's size is a block of its
+own. Documents are never shuffled.
 
 Nulls and texts without words have no words, no hits and no items. Items that are null or have no
-words have no windows. A null item_id counts for hits but is not listed. Repeated rows are judged
-alike, each by itself. Other columns of the inputs are kept as they are by `drop` and `redact`.
+words have no windows; an empty benchmark hits nothing, an empty table gives an empty result. A null
+item_id counts for hits but is not listed. Repeated rows are judged alike, each by itself; of items with
+equal windows all are listed. Texts of any length are scanned whole, a block of words at a time. Other
+columns of the inputs are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.session import saved, unused
+
 from .wordhash import ALNUM, FOLD, U, windows, words
 
 WIDTH = 13
 BLOCK_BYTES = 32 << 20
-FOUND = "_larkspur_found"
 
 
 @dataclass
@@ -102,67 +110,93 @@ def scan(texts: pa.Array, sets: dict[int, Windows]) -> Iterator[tuple[int, np.nd
             yield int(doc), hit[a:b], items.get(k, set()), int(b - a), block.starts[a:b], block.ends[a:b]
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str, width: int, block_bytes: int) -> list[dict[int, Windows]]:
-    """The benchmark's windows in blocks of bounded size. The size is summed first; hashing deals items to blocks evenly."""
+def _items(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> tuple[DataFrame, int]:
+    """The benchmark's items with the block of each, and the number of blocks."""
     own = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).cast("string").alias("words")).where(F.length("words") > 0)
     total = own.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()[0]
-    n = -(-total // block_bytes) or 1
-    out = []
-    for k in range(n):
-        rows = own.where(F.pmod(F.xxhash64("item", "words"), F.lit(n)) == k).collect()
-        out.append(item_windows([r.item for r in rows], [r.words for r in rows], width))
-    return out
-
+    n = 1 if total <= block_bytes else -(-2 * total // block_bytes)
+    return own.withColumn("block", F.pmod(F.xxhash64("item", "words"), F.lit(n))), n
 
-def find(documents: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, block_bytes: int = BLOCK_BYTES, offsets: bool = True) -> DataFrame:
-    """documents with a struct column of what was found: n_words, n_hit, spans of hit runs in bytes (if offsets), sorted items."""
-    spark = documents.sparkSession
-    parts = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, item_id, item_text, width, block_bytes)]
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text))
-            rows: list[dict] = [{"n_words": 0, "n_hit": 0, "spans": [], "items": []} for _ in range(len(batch))]
-            for chunks in zip(*(scan(texts, p.value) for p in parts), strict=True):
-                doc, hit, items, n, starts, ends = chunks[0]
-                for _, more, others, *_ in chunks[1:]:
-                    hit, items = hit | more, items | others
-                row = rows[doc]
-                row["n_words"] = n
-                if items or hit.any():
-                    row["n_hit"], row["items"] = int(hit.sum()), sorted(items)
-                    if offsets:
-                        turn = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-                        row["spans"] = [{"start": int(starts[i]), "end": int(ends[j - 1])} for i, j in zip(turn[::2], turn[1::2], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], [*batch.schema.names, FOUND])
+_RESULT = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
+_SO_FAR = pa.struct([("bits", pa.binary()), ("items", pa.list_(pa.string()))])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
-    return documents.mapInArrow(found, f"{fields}, {FOUND} struct<n_words:long,n_hit:long,spans:array<struct<start:long,end:long>>,items:array<string>>")
 
+def find(documents: DataFrame, benchmark: DataFrame, *, out: str = "found", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, block_bytes: int = BLOCK_BYTES, offsets: bool = True) -> DataFrame:
+    """documents with a struct column of what was found: n_words, n_hit, spans of hit runs in bytes (if offsets), sorted items.
 
-def contaminated(found: Column | str = FOUND, percent: int = 5) -> Column:
+    out: a name that no column of documents has (`unused` makes one).
+    """
+    if unused(out, documents.columns) != out:
+        raise ValueError(f"documents has a column {out!r}")
+    items, n = _items(benchmark, item_id, item_text, block_bytes)
+    if n > 1:
+        items = saved(items)
+    sc = documents.sparkSession.sparkContext
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
+    so_far = unused("so_far", [*documents.columns, out])
+    own = documents
+    for block in range(n):
+        rows = items.where(F.col("block") == block).collect()
+        sets = sc.broadcast(item_windows([r.item for r in rows], [r.words for r in rows], width))
+        last = block == n - 1
+        kind, name = ("struct<n_words:long,n_hit:long,spans:array<struct<start:long,end:long>>,items:array<string>>", out) if last else ("struct<bits:binary,items:array<string>>", so_far)
+        own = own.mapInArrow(_scanner(sets, text, documents.columns, name, so_far, last, offsets), f"{fields}, `{name}` {kind}")
+        if not last:
+            own = saved(own)
+            sets.destroy()
+    return own
+
+
+def _scanner(sets, text: str, columns: list[str], name: str, so_far: str, last: bool, offsets: bool):
+    """Scans batches for the windows of one block and adds them to what was found before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            given = dict(zip(batch.schema.names, batch.columns, strict=True))
+            before = given[so_far] if so_far in given else None
+            rows: list[dict] = []
+            for doc, hit, items, n, starts, ends in scan(given[text], sets.value):
+                if before is not None and (known := before[doc].as_py())["bits"] is not None:
+                    hit = hit | np.unpackbits(np.frombuffer(known["bits"], np.uint8), count=n).astype(bool)
+                    items = items | set(known["items"])
+                if not last:
+                    rows.append({"bits": np.packbits(hit).tobytes() if hit.any() else None, "items": sorted(items)})
+                    continue
+                row: dict = {"n_words": n, "n_hit": int(hit.sum()), "spans": [], "items": sorted(items)}
+                if offsets and row["n_hit"]:
+                    turn = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
+                    row["spans"] = [{"start": int(starts[i]), "end": int(ends[j - 1])} for i, j in zip(turn[::2], turn[1::2], strict=True)]
+                rows.append(row)
+            yield pa.RecordBatch.from_arrays([*(given[c] for c in columns), pa.array(rows, _RESULT if last else _SO_FAR)], [*columns, name])
+
+    return run
+
+
+def contaminated(found: str = "found", percent: int = 5) -> Column:
     """Whether at least so many percent of the words are hit."""
-    n_hit, n_words = (F.col(f"{found}.{c}") for c in ("n_hit", "n_words"))
+    n_hit, n_words = (F.col(f"`{found}`.{c}") for c in ("n_hit", "n_words"))
     return (n_hit > 0) & (n_hit * 100 >= n_words * percent)
 
 
 def drop(documents: DataFrame, benchmark: DataFrame, percent: int = 5, **options) -> DataFrame:
     """documents without those of which at least so many percent of the words are hit; all columns are kept."""
-    return find(documents, benchmark, offsets=False, **options).where(~contaminated(percent=percent)).drop(FOUND)
+    out = unused("found", documents.columns)
+    return find(documents, benchmark, out=out, offsets=False, **options).where(~contaminated(out, percent)).drop(out)
 
 
 def redact(documents: DataFrame, benchmark: DataFrame, *, text: str = "text", mark: str = "", **options) -> DataFrame:
     """documents with every hit run of words replaced by mark."""
-    found = find(documents, benchmark, text=text, **options)
-    raw, spans = F.encode(F.col(text), "utf-8"), F.col(f"{FOUND}.spans")
+    out = unused("found", documents.columns)
+    found = find(documents, benchmark, out=out, text=text, **options)
+    raw, spans = F.encode(F.col(text), "utf-8"), F.col(f"`{out}`.spans")
     before = lambda i: F.when(i > 0, F.try_element_at(spans, F.greatest(i, F.lit(1)).cast("int"))["end"]).otherwise(F.lit(0))
     kept = F.transform(spans, lambda x, i: F.concat(F.decode(F.substring(raw, (before(i) + 1).cast("int"), (x["start"] - before(i)).cast("int")), "utf-8"), F.lit(mark)))
     last = F.decode(F.substring(raw, (F.try_element_at(spans, F.lit(-1))["end"] + 1).cast("int"), F.octet_length(F.col(text))), "utf-8")
-    return found.withColumn(text, F.when(F.size(spans) > 0, F.concat(F.array_join(kept, ""), last)).otherwise(F.col(text))).drop(FOUND)
+    return found.withColumn(text, F.when(F.size(spans) > 0, F.concat(F.array_join(kept, ""), last)).otherwise(F.col(text))).drop(out)
 
 
-def digest(found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+def digest(found: DataFrame, doc_id: str = "doc_id", out: str = "found") -> DataFrame:
     """The report per document: counts, hash of the items and the verdict."""
-    items = F.array_join(F.array_sort(f"{FOUND}.items"), ",")
-    return found.select(F.col(doc_id), F.col(f"{FOUND}.n_words").alias("n_words"), F.col(f"{FOUND}.n_hit").alias("n_hit"), F.size(f"{FOUND}.items").cast("long").alias("n_items"), F.sha2(F.encode(items, "utf-8"), 256).alias("items_sha256"), contaminated().alias("contaminated"))
+    items = F.array_join(F.array_sort(f"{out}.items"), ",")
+    return found.select(F.col(doc_id), F.col(f"{out}.n_words").alias("n_words"), F.col(f"{out}.n_hit").alias("n_hit"), F.size(f"{out}.items").cast("long").alias("n_items"), F.sha2(F.encode(items, "utf-8"), 256).alias("items_sha256"), contaminated(out).alias("contaminated"))
