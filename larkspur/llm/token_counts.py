@@ -4,13 +4,16 @@ The distinct pre-tokens (words between white space, with the word-start sign bef
 are the paths of a trie. A node's forward score is the best score of any segmentation of its prefix;
 it depends on the node's ancestors alone, so it is computed once for all pre-tokens that share the
 prefix, level by level. A pre-token's count of tokens stands at its last node; a document's is the sum.
+Once only a few pre-tokens are left, as when one is far longer than all others, no prefix of theirs is
+shared any more: each goes on by itself from its node's scores, by the pieces that end at each byte.
 
 Scores come from the vocabulary's order: a piece of rank r costs log(r + 2). A byte that no piece
 covers is a piece of its own, at the cost of the whole vocabulary's logarithm times two. Of equal
 scores the segmentation with fewer tokens counts, then the one with the longer last piece.
 
-Null and blank texts have no tokens. Equal rows get equal counts; other columns are ignored. Nothing
-is shuffled; memory is bounded by a batch of texts.
+Null and blank texts have no tokens, an empty table gives an empty result, equal rows get equal counts,
+and other columns are ignored. The time for a text, of one word or of many, grows with its length.
+Nothing is shuffled; memory is bounded by a batch of texts.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from pyspark.sql import functions as F
 from .wordhash import _BASE, _BYTE_VALUES, NOT_SPACE, Powers, U, mix, words
 
 START = "▁".encode()
+#: From so few pre-tokens on, each goes on by itself.
+FEW = 96
 _UP = Powers(_BASE)
 
 
@@ -41,6 +46,8 @@ class Vocabulary:
         self.cost = ranked
         self.byte_cost = 2 * math.log(len(pieces) + 2)
         self.longest = max(map(len, ranked), default=1)
+        #: All ends of pieces: where a run of bytes is none, no longer piece ends there either.
+        self.ends = {piece[k:] for piece in ranked for k in range(len(piece))}
         hashes = np.array([piece_hash(p) for p in ranked], np.uint64)
         order = np.argsort(hashes)
         self.hashes, self.costs = hashes[order], np.array(list(ranked.values()))[order]
@@ -83,8 +90,8 @@ def counts(texts: list[bytes], own: Vocabulary) -> np.ndarray:
         ended = lengths[live] == depth
         done[live[ended]] = levels[-1][3][node[ended]]
         live, node = live[~ended], node[~ended]
-        if not len(live):
-            return done
+        if len(live) <= FEW:
+            return _finish(texts, own, done, live, node, levels, depth)
         byte = data[starts[live] + depth]
         # texts are sorted, so those that share a prefix are neighbours
         fresh = np.ones(len(live), bool)
@@ -110,6 +117,36 @@ def counts(texts: list[bytes], own: Vocabulary) -> np.ndarray:
             levels.pop(0)
 
 
+def _finish(texts: list[bytes], own: Vocabulary, done: np.ndarray, live: np.ndarray, node: np.ndarray, levels: list, depth: int) -> np.ndarray:
+    """done, with the counts of the live texts, whose first depth bytes stand at the nodes."""
+    known = min(depth, own.longest)
+    above, history = node, []
+    for k in range(known + 1):
+        parent, _, scores, n = levels[-1 - k]
+        history.append((scores[above].tolist(), n[above].tolist()))
+        above = parent[above]
+    for i, place in enumerate(live.tolist()):
+        text = texts[place]
+        # of the prefixes that end with each byte, from known bytes before depth on
+        score = [history[k][0][i] for k in range(known, -1, -1)]
+        tokens = [history[k][1][i] for k in range(known, -1, -1)]
+        first = depth - known
+        for end in range(depth + 1, len(text) + 1):
+            best, least = score[-1] + own.byte_cost, tokens[-1] + 1
+            for size in range(1, min(end, own.longest) + 1):
+                piece = text[end - size : end]
+                if piece not in own.ends:
+                    break
+                if (cost := own.cost.get(piece)) is not None:
+                    new, m = score[end - size - first] + cost, tokens[end - size - first] + 1
+                    if new < best - 1e-9 or abs(new - best) <= 1e-9 and m <= least:
+                        best, least = new, m
+            score.append(best)
+            tokens.append(least)
+        done[place] = tokens[-1]
+    return done
+
+
 def count_tokens(documents: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words (pre-tokens), n_tokens."""
 
