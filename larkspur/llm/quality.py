@@ -8,7 +8,9 @@ many words in repeated windows.
 
 Features are computed inside the row, with no shuffle; only the pattern counts are, as partial sums.
 Null and blank texts have no words, fail the hard rule and are not kept. Equal rows are judged alike,
-empty tables give empty results, and other columns never matter.
+a posterior of just 0.5 keeps the document, empty tables give empty results, and other columns never
+matter and stay as they are, whatever their names. Texts of any length are judged whole, in time that
+grows with the length (times its logarithm where windows repeat).
 """
 
 from __future__ import annotations
@@ -39,8 +41,16 @@ def word_list(text: Column) -> Column:
     return F.filter(F.split(text, f"{SPACE}+"), lambda w: w != "")
 
 
+def free_prefix(columns: list[str]) -> str:
+    """A prefix that none of the columns begins with."""
+    prefix = "q_"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
 def with_features(df: DataFrame, text: str = "text", prefix: str = "q_") -> DataFrame:
-    """df with a struct column q_features."""
+    """df with a struct column, the prefix and `features`. No column of df may begin with the prefix."""
     own = F.coalesce(F.col(text).cast("string"), F.lit(""))
     words, hashes, grams, marks, lines = (F.col(f"{prefix}{x}") for x in ("words", "hashes", "grams", "marks", "lines"))
     df = df.withColumns({f"{prefix}words": word_list(own), f"{prefix}lines": F.filter(F.split(own, "\n"), lambda x: F.rlike(x, F.lit("[^ \\x09-\\x0D]")))})
@@ -105,8 +115,8 @@ def failed(f: dict[str, Column]) -> Column:
     return (f["n_words"] < MIN_WORDS) | (f["n_repeat_words"] * 100 > f["n_words"] * MAX_REPEAT_PERCENT)
 
 
-def _fields(features: str) -> dict[str, Column]:
-    return {c: F.col(f"{features}.{c}") for c in FEATURES}
+def _fields(prefix: str) -> dict[str, Column]:
+    return {c: F.col(f"{prefix}features.{c}") for c in FEATURES}
 
 
 def _log_odds(votes: dict[str, Column], model: dict) -> Column:
@@ -121,9 +131,9 @@ def posterior(votes: dict[str, Column], model: dict) -> Column:
     return 1 / (1 + F.exp(-_log_odds(votes, model)))
 
 
-def fit(featured: DataFrame, features: str = "q_features", iterations: int = ITERATIONS) -> dict:
+def fit(featured: DataFrame, prefix: str = "q_", iterations: int = ITERATIONS) -> dict:
     """Expectation-maximisation over all documents' vote patterns, whose counts alone come to the driver."""
-    votes = [v.cast("int").alias(k) for k, v in rules(_fields(features)).items()]
+    votes = [v.cast("int").alias(k) for k, v in rules(_fields(prefix)).items()]
     patterns = [(tuple(r[k] for k in RULES), r["n"]) for r in featured.select(*votes).groupBy(*RULES).agg(F.count("*").alias("n")).collect()]
     total = sum(n for _, n in patterns)
     model = {"prior": START["prior"], "good": dict.fromkeys(RULES, START["good"]), "bad": dict.fromkeys(RULES, START["bad"])}
@@ -148,21 +158,23 @@ def fit(featured: DataFrame, features: str = "q_features", iterations: int = ITE
     return model
 
 
-def judged(featured: DataFrame, model: dict, features: str = "q_features") -> DataFrame:
-    """featured with q_posterior and q_kept."""
-    f = _fields(features)
+def judged(featured: DataFrame, model: dict, prefix: str = "q_") -> DataFrame:
+    """featured with the posterior and the verdict, the prefix and `posterior` and `kept`."""
+    f = _fields(prefix)
     p = posterior(rules(f), model)
-    return featured.withColumn("q_posterior", p).withColumn("q_kept", ~failed(f) & (F.col("q_posterior") >= KEEP))
+    return featured.withColumn(f"{prefix}posterior", p).withColumn(f"{prefix}kept", ~failed(f) & (F.col(f"{prefix}posterior") >= KEEP))
 
 
 def assess(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: the features, base_failed, quality (the posterior) and kept."""
-    featured = saved(with_features(documents.select(F.col(doc_id), F.col(text)), text).select(F.col(doc_id), "q_features"))
-    out = judged(featured, fit(featured))
-    return out.select(F.col(doc_id), *(f"q_features.{c}" for c in FEATURES[:5]), failed(_fields("q_features")).alias("base_failed"), F.col("q_posterior").alias("quality"), F.col("q_kept").alias("kept"))
+    prefix = free_prefix([doc_id, text])
+    featured = saved(with_features(documents.select(F.col(doc_id), F.col(text)), text, prefix).select(F.col(doc_id), f"{prefix}features"))
+    out = judged(featured, fit(featured, prefix), prefix)
+    return out.select(F.col(doc_id), *(f"{prefix}features.{c}" for c in FEATURES[:5]), failed(_fields(prefix)).alias("base_failed"), F.col(f"{prefix}posterior").alias("quality"), F.col(f"{prefix}kept").alias("kept"))
 
 
 def keep(documents: DataFrame, *, text: str = "text") -> DataFrame:
     """documents that are judged good; all columns are kept. Features are written once beside the rows, as inlining them into every rule would compute them many times."""
-    featured = saved(with_features(documents, text))
-    return judged(featured, fit(featured)).where("q_kept").select(*(F.col(f"`{c}`") for c in documents.columns))
+    prefix = free_prefix(documents.columns)
+    featured = saved(with_features(documents, text, prefix))
+    return judged(featured, fit(featured, prefix), prefix).where(f"{prefix}kept").select(*(F.col(f"`{c}`") for c in documents.columns))
