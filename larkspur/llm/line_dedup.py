@@ -2,8 +2,9 @@
 
 A line's ratio on a host is the number of the host's pages that contain it by the number of the host's
 pages. Lines beyond the boilerplate ratio are dropped from that host's pages. Lines are compared
-without white space at their ends; blank lines are never dropped. A line on fewer than `min_repeats`
-of the host's pages is no repetition yet and is left alone; hosts of all sizes are judged.
+without white space at their ends; blank lines are never dropped. Hosts of all sizes are judged. A line
+that stands on one page only (of `min_repeats` - 1 pages, 1 by default) is no repetition: on a host of
+few pages its share alone would drop whatever is there. A line at just the ratio stays.
 
 Counts are partial sums per (host, line) of what each page has once, so that a host with a third of
 all pages is no hot key; joins on (host, line) are of the splittable kind. Only hashes (128 bits of a
@@ -11,7 +12,9 @@ line) and places are shuffled for the counts; texts move once, to meet the place
 
 Null hosts form one host. Null texts have no lines and stay null. Rows are told apart by the id: rows
 that repeat an id count as often as they occur and lose the same lines. Rows with a null id are
-counted but not changed. Other columns stay as they are.
+counted but not changed. An empty table gives an empty result. Texts and lines may be of any length; only
+digests of lines are compared. Other columns stay as they are, whatever their names, but one that has
+the name of the report is replaced.
 """
 
 from __future__ import annotations
@@ -19,10 +22,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.session import saved
+from larkspur.session import saved, unused
 
 RATIO = 0.1
-MIN_REPEATS = 3
+MIN_REPEATS = 2
 BLANKS = " \t\n\x0b\f\r"
 
 
@@ -62,19 +65,19 @@ def clean(pages: DataFrame, *, page_id: str = "page_id", host: str = "host", tex
 
     emptied: whether a page of nothing but boilerplate loses all its lines; else that page is left as it is.
     """
-    gone = dropped(pages, page_id=page_id, host=host, text=text, **limits).select(F.col("id").alias("_id"), F.col("keys").alias("_keys"))
-    lines = F.transform(page_lines(F.col(text)), lambda x: F.struct(x.alias("line"), _key(x).alias("key")))
-    out = pages.join(gone, F.col(page_id) == F.col("_id"), "left").withColumn("_lines", F.when(F.col("_keys").isNotNull(), lines))
-    kept = F.filter("_lines", lambda x: x["key"].isNull() | ~F.array_contains(F.col("_keys"), x["key"]))
-    out = out.withColumn("_kept", kept).withColumn("_dropped", F.size("_lines") - F.size("_kept"))
+    own_id, keys, lines, kept, n = (unused(x, [*pages.columns, report or ""]) for x in ("own_id", "keys", "lines", "kept_lines", "n_gone"))
+    gone = dropped(pages, page_id=page_id, host=host, text=text, **limits).select(F.col("id").alias(own_id), F.col("keys").alias(keys))
+    split = F.transform(page_lines(F.col(text)), lambda x: F.struct(x.alias("line"), _key(x).alias("key")))
+    out = pages.join(gone, F.col(page_id) == F.col(own_id), "left").withColumn(lines, F.when(F.col(keys).isNotNull(), split))
+    out = out.withColumn(kept, F.filter(lines, lambda x: x["key"].isNull() | ~F.array_contains(F.col(keys), x["key"]))).withColumn(n, F.size(lines) - F.size(kept))
     if not emptied:
-        filled = F.size(F.filter("_lines", lambda x: x["key"].isNotNull()))
-        out = out.withColumn("_dropped", F.when(F.col("_dropped") < filled, F.col("_dropped")))
-    joined = F.array_join(F.transform("_kept", lambda x: x["line"]), "\n")
-    out = out.withColumn(text, F.when(F.col("_dropped").isNotNull(), joined).otherwise(F.col(text)))
+        filled = F.size(F.filter(lines, lambda x: x["key"].isNotNull()))
+        out = out.withColumn(n, F.when(F.col(n) < filled, F.col(n)))
+    joined = F.array_join(F.transform(kept, lambda x: x["line"]), "\n")
+    out = out.withColumn(text, F.when(F.col(n).isNotNull(), joined).otherwise(F.col(text)))
     if report:
-        out = out.withColumn(report, F.coalesce("_dropped", F.lit(0)).cast("long"))
-    return out.drop("_id", "_keys", "_lines", "_kept", "_dropped")
+        out = out.withColumn(report, F.coalesce(n, F.lit(0)).cast("long"))
+    return out.drop(own_id, keys, lines, kept, n)
 
 
 def url_host(url: Column) -> Column:
