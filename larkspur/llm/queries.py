@@ -46,7 +46,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.derive(warc.responses(table(prepare(spark), sf_dir, "pages")))
-    return records.select("page_id", "type", "record_id", "refers_to", "concurrent_to", "target_uri", "content_type", "content_length", "block_digest", "payload_digest")
+    return records.select("page_id", "type", "record_id", "refers_to", "concurrent_to", "target_uri", "content_type", "content_length", "source_status", "source_headers", "payload_digest", "block_digest")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,10 +4,12 @@ Both refer to the response by its identifier and name each other as concurrent;
 carries the response's HTTP headers and digests on. All of it is DataFrame functions, row by row, with
 no shuffle. Records can be written as WARC files and read again.
 
-Responses have record_id, target_uri, date, headers and payload, all strings. A null payload is empty;
-null headers, dates and addresses leave their fields out. A null record_id leaves Refers-To out. Rows
-that repeat give equal records. Other columns of the responses are kept beside the records, under
-their own names; those that clash with the records' columns are dropped.
+Responses have record_id, target_uri, date and block, all strings; the block is an HTTP message, whose
+status line and headers are parsed, and whose body is the payload. A block that is no HTTP message is
+payload as a whole and has no headers. A null block is empty; null dates and addresses leave their
+fields out. A null record_id leaves Refers-To out. Rows that repeat give equal records, an empty table
+gives none, and texts may be of any length: all patterns run through a page once. There are no ties.
+Other columns stay beside the records; those whose names the records use get underscores behind them.
 """
 
 from __future__ import annotations
@@ -18,11 +20,20 @@ from html.entities import html5
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.session import unused
+
 CRLF = "\r\n"
-COLUMNS = ["record_id", "type", "refers_to", "concurrent_to", "target_uri", "date", "content_type", "block_digest", "payload_digest", "content_length", "block"]
-#: Elements whose ends break a line, and those whose content is no text.
-BREAKS = "(?i)</?(p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|nav|header|footer|title|body|head|html|pre|blockquote)( [^>]*)?/?>"
-SILENT = "(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->"
+COLUMNS = ["record_id", "type", "refers_to", "concurrent_to", "target_uri", "date", "content_type", "source_status", "source_headers", "payload_digest", "block_digest", "content_length", "block"]
+#: The fields of a record's head, in order.
+FIELDS = {
+    "type": "WARC-Type", "record_id": "WARC-Record-ID", "refers_to": "WARC-Refers-To", "concurrent_to": "WARC-Concurrent-To", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "content_type": "Content-Type",
+    "source_status": "WARC-Source-HTTP-Status", "source_headers": "WARC-Source-HTTP-Headers", "payload_digest": "WARC-Source-Payload-Digest", "block_digest": "WARC-Block-Digest", "content_length": "Content-Length",
+}
+#: What a response is made of.
+RESPONSE = ["record_id", "target_uri", "date", "block"]
+#: Elements whose ends break a line, and those whose content is no text; where these aren't closed, the rest of the page is none.
+BREAKS = "(?i)</?(p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|nav|header|footer|title|body|head|html|pre|blockquote)(\\s[^<>]*)?/?>"
+SILENT = "(?is)<script[^<>]*>.*?(?:</script>|\\z)|<style[^<>]*>.*?(?:</style>|\\z)|<!--.*?(?:-->|\\z)"
 #: HTML's named references, and the numeric ones of control characters, which stand for others or for nothing; no-break spaces become spaces.
 NAMED = {name: text.replace("\xa0", " ") for name, text in html5.items()}
 CONTROLS = {str(n): markup.unescape(f"&#{n};").replace("\xa0", " ") for n in (*range(32), *range(127, 161))}
@@ -70,7 +81,7 @@ def _reference(part: Column) -> Column:
 def plain_text(html: Column) -> Column:
     """A page's text, a line for each block; character references are decoded, white space is collapsed."""
     text = F.regexp_replace(F.regexp_replace(html, SILENT, ""), BREAKS, "\n")
-    text = F.regexp_replace(text, "<[^>]*>", "")
+    text = F.regexp_replace(text, "<[^<>]*>", "")
     text = F.array_join(F.transform(F.split(text, "&"), lambda part, k: F.when(k == 0, part).otherwise(_reference(part))), "")
     text = F.regexp_replace(F.regexp_replace(text, "[ \\t\\f\\r]+", " "), " ?\n[ \n]*", "\n")
     return F.regexp_replace(text, "^[ \n]+|[ \n]+$", "")
@@ -80,12 +91,31 @@ def digest(block: Column) -> Column:
     return F.concat(F.lit("sha1:"), F.sha1(F.encode(block, "utf-8")))
 
 
-def responses(pages: DataFrame, *, url: str = "url", html: str = "html", date: str = "1970-01-01T00:00:00Z", headers: str = "Content-Type: text/html; charset=utf-8") -> DataFrame:
-    """Response records of a table of pages, under the pages' own columns."""
-    return pages.withColumns({
-        "record_id": uuid_of(F.concat_ws("|", F.lit("response"), F.coalesce(F.col(url), F.lit("")), F.coalesce(F.sha1(F.encode(F.col(html), "utf-8")), F.lit("")))),
-        "target_uri": F.col(url), "date": F.lit(date), "headers": F.lit(headers), "payload": F.col(html),
-    })
+def _kept(df: DataFrame, names: list[str]) -> DataFrame:
+    """df with underscores behind the columns that have one of the names."""
+    taken = [*names, *df.columns]
+    for c in df.columns:
+        if c.lower() in {x.lower() for x in names}:
+            df = df.withColumnRenamed(c, new := unused(c, taken))
+            taken.append(new)
+    return df
+
+
+def responses(pages: DataFrame, *, url: str = "url", html: str = "html", date: str | None = None, status: str = "HTTP/1.1 200 OK", headers: tuple[str, ...] = ("Content-Type: text/html; charset=utf-8",)) -> DataFrame:
+    """Response records of a table of pages, beside the pages' own columns. date: the name of a column with the time of capture, if there is one.
+
+    The pages' tables hold bodies only; status line, type and length are put before them as a server would.
+    """
+    body = F.coalesce(F.col(html), F.lit(""))
+    made = {
+        "record_id": uuid_of(F.concat_ws("|", F.lit("response"), F.coalesce(F.col(url), F.lit("")), F.sha1(F.encode(body, "utf-8")))),
+        "target_uri": F.col(url),
+        "date": F.col(date).cast("string") if date else F.lit(None).cast("string"),
+        "block": F.when(F.col(html).isNotNull(), F.concat(F.lit(CRLF.join([status, *headers, "Content-Length: "])), F.octet_length(body).cast("string"), F.lit(CRLF * 2), body)),
+    }
+    out = pages.withColumns({f"{unused('made', pages.columns)}{k}": c for k, c in made.items()})
+    names = out.columns[len(pages.columns) :]
+    return _kept(out, RESPONSE).withColumnsRenamed(dict(zip(names, made, strict=True)))
 
 
 def _field(name: str, value: Column) -> Column:
@@ -95,35 +125,38 @@ def _field(name: str, value: Column) -> Column:
 
 def derive(source: DataFrame) -> DataFrame:
     """Two records for each response."""
-    payload = F.coalesce(F.col("payload"), F.lit(""))
-    ids = {kind: uuid_of(F.concat_ws("|", F.lit(kind), F.coalesce("record_id", F.lit("")), F.coalesce("target_uri", F.lit("")), F.sha1(F.encode(payload, "utf-8")))) for kind in ("metadata", "conversion")}
-    # A projection of its own, so that each text is made once.
-    source = source.withColumn("_text", plain_text(payload))
-    text = F.col("_text")
+    others = [c for c in source.columns if c not in RESPONSE]
+    source = _kept(source.select(*(F.col(f"`{c}`") for c in others), *(F.col(c).alias(f"{unused('of', others)}{c}") for c in RESPONSE)), COLUMNS)
+    others, names = source.columns[: len(others)], source.columns[len(others) :]
+    given, target, date, message = (F.col(c) for c in names)
+    made = unused("made", source.columns)
+    # Projections of their own, so that each text, digest and identifier is made once.
+    parts = F.split(F.coalesce(message, F.lit("")), CRLF * 2, 2)
+    source = source.withColumn(made, F.when(message.startswith("HTTP/"), F.struct(parts[0].alias("head"), F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit("")).alias("payload"))).otherwise(F.struct(F.lit(None).cast("string").alias("head"), F.coalesce(message, F.lit("")).alias("payload"))))
+    payload, head = F.col(f"{made}.payload"), F.col(f"{made}.head")
+    source = source.withColumn(made, F.struct(
+        plain_text(payload).alias("text"), digest(payload).alias("payload_digest"), F.octet_length(payload).cast("string").alias("length"),
+        F.regexp_extract(head, "^HTTP/[0-9.]+ +([0-9]{3})", 1).alias("status"), F.regexp_replace(F.nullif(F.regexp_replace(head, "^[^\r\n]*(\r?\n)?", ""), F.lit("")), "(\r?\n[ \t]*)+", "; ").alias("headers"),
+    ))
+    field = lambda name: F.col(f"{made}.{name}")
+    seed = lambda kind: uuid_of(F.concat_ws("|", F.lit(kind), F.coalesce(given, F.lit("")), F.coalesce(target, F.lit("")), field("payload_digest")))
+    source = source.withColumn(made, F.struct(*(field(x).alias(x) for x in ("text", "payload_digest", "length", "status", "headers")), *(seed(x).alias(x) for x in ("metadata", "conversion"))))
     lines = F.concat(
-        _field("source-record", F.col("record_id")),
-        _field("source-payload-digest", digest(payload)),
-        _field("source-length", F.octet_length(payload).cast("string")),
-        _field("source-headers", F.regexp_replace(F.col("headers"), "\r?\n", "; ")),
-        _field("conversion", ids["conversion"]),
-    )
+        _field("source-record", given), _field("source-payload-digest", field("payload_digest")), _field("source-length", field("length")),
+        _field("source-status", field("status")), _field("source-headers", field("headers")), _field("conversion", field("conversion")),
+    )
     record = lambda kind, other, mime, block: F.struct(
-        ids[kind].alias("record_id"), F.lit(kind).alias("type"), F.col("record_id").alias("refers_to"), ids[other].alias("concurrent_to"), F.col("target_uri"), F.col("date"), F.lit(mime).alias("content_type"),
-        digest(block).alias("block_digest"), digest(payload).alias("payload_digest"), F.octet_length(block).cast("long").alias("content_length"), block.alias("block"),
+        field(kind).alias("record_id"), F.lit(kind).alias("type"), given.alias("refers_to"), field(other).alias("concurrent_to"), target.alias("target_uri"), date.alias("date"), F.lit(mime).alias("content_type"),
+        field("status").alias("source_status"), field("headers").alias("source_headers"), field("payload_digest").alias("payload_digest"), digest(block).alias("block_digest"), F.octet_length(block).cast("long").alias("content_length"), block.alias("block"),
     )
-    both = F.array(record("metadata", "conversion", "application/warc-fields", lines), record("conversion", "metadata", "text/plain; charset=utf-8", text))
-    others = [c for c in source.columns if c not in {*COLUMNS, "headers", "payload", "_text"}]
-    return source.select(*(F.col(f"`{c}`") for c in others), F.explode(both).alias("_record")).select(*(F.col(f"`{c}`") for c in others), "_record.*")
+    both = F.array(record("metadata", "conversion", "application/warc-fields", lines), record("conversion", "metadata", "text/plain; charset=utf-8", field("text")))
+    keep = [F.col(f"`{c}`") for c in others]
+    return source.select(*keep, F.explode(both).alias(made)).select(*keep, f"{made}.*")
 
 
 def serialised(records: DataFrame) -> DataFrame:
     """One string column, the records in WARC/1.1 form without the two line ends that follow each."""
-    head = F.concat(
-        F.lit(f"WARC/1.1{CRLF}"),
-        _field("WARC-Type", F.col("type")), _field("WARC-Record-ID", F.col("record_id")), _field("WARC-Refers-To", F.col("refers_to")), _field("WARC-Concurrent-To", F.col("concurrent_to")),
-        _field("WARC-Target-URI", F.col("target_uri")), _field("WARC-Date", F.col("date")), _field("Content-Type", F.col("content_type")),
-        _field("WARC-Block-Digest", F.col("block_digest")), _field("WARC-Source-Payload-Digest", F.col("payload_digest")), _field("Content-Length", F.col("content_length").cast("string")), F.lit(CRLF),
-    )
+    head = F.concat(F.lit(f"WARC/1.1{CRLF}"), *(_field(name, F.col(c).cast("string")) for c, name in FIELDS.items()), F.lit(CRLF))
     return records.select(F.concat(head, F.col("block")).alias("value"))
 
 
@@ -133,12 +166,14 @@ def write(records: DataFrame, path: str, compression: str = "gzip") -> None:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """The records of WARC files that hold text. A block must not contain the start of a record after an empty line."""
+    """The records of WARC files that hold text.
+
+    A block must not hold an empty line and the start of a record behind it; those that derive makes don't, as they have no empty lines.
+    """
     raw = spark.read.option("lineSep", f"{CRLF}{CRLF}WARC/1.1{CRLF}").text(path).where(F.length("value") > 0)
     cut = F.instr("value", CRLF * 2)
     head, rest = F.substring(F.col("value"), F.lit(1), cut + 1), F.substring(F.col("value"), cut + 4, F.length("value"))
-    field = lambda name: F.nullif(F.regexp_extract(head, f"(?im)^{name}: (.*?)\r?$", 1), F.lit(""))
-    length = field("Content-Length").cast("long")
-    names = {"record_id": "WARC-Record-ID", "type": "WARC-Type", "refers_to": "WARC-Refers-To", "concurrent_to": "WARC-Concurrent-To", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "content_type": "Content-Type", "block_digest": "WARC-Block-Digest", "payload_digest": "WARC-Source-Payload-Digest"}
-    block = F.decode(F.substring(F.encode(rest, "utf-8"), F.lit(1), length.cast("int")), "utf-8")
-    return raw.select(*(field(v).alias(k) for k, v in names.items()), length.alias("content_length"), block.alias("block"))
+    fields = {c: F.nullif(F.regexp_extract(head, f"(?im)^{name}: (.*?)\r?$", 1), F.lit("")) for c, name in FIELDS.items()}
+    fields["content_length"] = fields["content_length"].cast("long")
+    block = F.decode(F.substring(F.encode(rest, "utf-8"), F.lit(1), fields["content_length"].cast("int")), "utf-8")
+    return raw.select(*(c.alias(name) for name, c in fields.items()), block.alias("block")).select(COLUMNS)
