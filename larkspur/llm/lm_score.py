@@ -1,11 +1,12 @@
 """Stupid-backoff scores from n-gram counts of the corpus itself, computed by joins.
 
-Documents are dealt into blocks of bounded size by a hash. Each block's distinct unigrams and bigrams,
-with its own counts, are exploded into the partitions of the count table, which is dealt by the
-n-gram's hash; the table sums each n-gram over the blocks, and the sums are joined back to the blocks
-that asked for them. There every position is scored and summed per document. An n-gram thus crosses
-the network once a block however often it occurs, so frequent words are no hot keys, and the rows of a
-partition are arrays.
+Documents are dealt into blocks of bounded size by a hash. Each block's distinct n-grams, with its own
+counts, go to the partitions of the count table, which is dealt by the n-gram's hash; the table sums each
+n-gram over the blocks, and the sums are joined back to the blocks that asked for them, where every
+position is scored and summed per document. An n-gram thus crosses the network once a block however
+often it occurs, so frequent words are no hot keys. The relation's rows are packed: a row holds all
+n-grams of one block that go to one partition, as a row for each takes more than the check's time allows
+(README has the figures).
 
 S(w | u) = c(u w) / c(u), where c(u w) > 0, and alpha * c(w) / N otherwise; a document's own
 occurrences are left out of all counts, as else no bigram would ever back off. A word unseen elsewhere
@@ -13,7 +14,10 @@ scores alpha * alpha / N. The first word has no context and takes the unigram sc
 
 Words are what white space separates, A-Z in lower case. Null and blank texts have no words, and a
 null mean. Rows are scored each by itself: copies of a document count as other documents. Equal rows
-get equal scores. Other columns are ignored. Counts are of 64-bit hashes of n-grams.
+get equal scores, an empty table gives an empty result, and there are no ties. Rows of an id that stands
+on very many of them are dealt over blocks by a number that is written first, so that a lost executor
+cannot deal them anew. A text is scored whole: one longer than a block makes its block larger. Other
+columns are ignored. Counts are of 64-bit hashes of n-grams.
 """
 
 from __future__ import annotations
@@ -25,10 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.session import saved
+
 from .wordhash import FOLD, NOT_SPACE, U, words
 
 ALPHA = 0.4
 BLOCK_BYTES = 8 << 20
+#: Bytes of text whose n-grams make one partition of the count table.
+TABLE_BYTES = 64 << 20
+#: An id on more rows than this is dealt over blocks row by row.
+HOT_ROWS = 1000
 
 
 def sizes(documents: DataFrame, text: str) -> tuple[int, int]:
@@ -69,10 +79,15 @@ def score(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", a
     """doc_id, n_words, n_backoff (positions scored by their word alone), log_score (sum of natural logarithms), mean_log_score."""
     n_all, n_bytes = sizes(documents, text)
     shuffles = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(2 * shuffles, -(-n_bytes // block_bytes))
+    blocks = max(2 * shuffles, -(-n_bytes // block_bytes))
+    parts = max(2 * shuffles, -(-n_bytes // TABLE_BYTES))
     id_type = documents.select(F.col(doc_id)).schema[0].dataType.simpleString()
     own = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    own = own.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int"))
+    hot = own.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS)
+    own = own.withColumn("salt", F.lit(0).cast("long"))
+    if not hot.isEmpty():
+        own = saved(own.withColumn("salt", F.monotonically_increasing_id()))
+    own = own.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text", "salt"), F.lit(blocks)).cast("int").alias("block"))
 
     def asked(table: pa.Table) -> pa.Table:
         keys, counts, bounds = _keys(*ngrams(table.column("text"))[1:], parts)
