@@ -9,12 +9,14 @@ from .text import slug
 
 # Fixed values.
 PLATFORM_ALIASES = {"ashbyhq": "ashby"}
+TENANT_PREFIXES = ["careers", "career", "jobs", "recruiting", "talent", "apply"]
+BADGES = [(80, "#28a745"), (60, "#17a2b8"), (40, "#ffc107"), (float("-inf"), "#dc3545")]
 #: Dollars per million tokens, by price list entry: input, output. Reads of a cache cost a tenth of the input, writes five quarters.
 CACHE_READ, CACHE_WRITE = 0.1, 1.25
 
 
 def recommendation(fit: Column) -> Column:
-    return F.when(fit.isNull(), F.lit(None).cast("string")).when(fit >= 80, "strong").when(fit >= 60, "good").when(fit >= 40, "maybe").otherwise("skip")
+    return F.when(fit.isNull(), F.lit(None).cast("string")).when(fit >= 80, "strong_match").when(fit >= 60, "consider").when(fit >= 40, "weak_match").otherwise("skip")
 
 
 def platform_label(platform: Column) -> Column:
@@ -25,21 +27,31 @@ def platform_label(platform: Column) -> Column:
     return chain
 
 
-def falsy(first: Column, second: Column) -> Column:
-    """first unless it is null, empty or 0; then second."""
-    return F.coalesce(F.when(~first.cast("string").isin("", "0", "0.0"), first), second)
-
-
 def branch_name(company: Column, row_id: Column, day: Column) -> Column:
     return F.concat_ws("-", slug(company), row_id.cast("string"), F.date_format(day, "yyyyMMdd"))
 
 
-def display_name(identifier: Column, url: Column) -> Column:
-    """A name from the parts that identify a board, in order, with capitals."""
-    keys = ["board", "company", "org", "slug", "tenant", "host"]
-    raw = F.coalesce(*(F.nullif(F.try_element_at(identifier, F.lit(k)), F.lit("")) for k in keys), url)
-    bare = F.regexp_replace(F.substring_index(raw, ".", 1), "^(careers|jobs)-", "")
-    return F.initcap(F.regexp_replace(bare, "[-_]+", " "))
+def titled(text: Column) -> Column:
+    """Each run of letters with a capital first, the rest small."""
+    runs = F.regexp_extract_all(text, F.lit("[\\p{L}]+|[^\\p{L}]+"), F.lit(0))
+    return F.array_join(F.transform(runs, F.initcap), "")
+
+
+def _capital(text: Column) -> Column:
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, 2, 1 << 20)))
+
+
+def display_name(identifier: Column, platform: Column, url: Column) -> Column:
+    """A company's name from what identifies its board; from the host of the address where nothing does."""
+    has = lambda k: F.nullif(F.try_element_at(identifier, F.lit(k)), F.lit(""))
+    board = F.coalesce(*(has(k) for k in ("board", "company", "org", "slug")))
+    tenant = F.regexp_replace(has("tenant"), f"^({'|'.join(TENANT_PREFIXES)})-", "")
+    host = F.nullif(F.regexp_extract(url, "https?://([^/]+)", 1), F.lit(""))
+    named = F.coalesce(
+        titled(F.regexp_replace(board, "[-_]", " ")), titled(F.replace(tenant, F.lit("-"), F.lit(" "))),
+        F.when(platform == "workday", _capital(F.substring_index(has("host"), ".", 1))), F.lit("Unnamed"),
+    )
+    return F.when(F.coalesce(F.size(identifier), F.lit(0)) <= 0, _capital(F.substring_index(F.coalesce(host, F.lit("Unnamed")), ".", 1))).otherwise(named)
 
 
 def decode_list(json: Column) -> Column:
@@ -47,12 +59,27 @@ def decode_list(json: Column) -> Column:
     return F.coalesce(F.from_json(json, "array<string>"), F.array().cast("array<string>"))
 
 
+def normalised_analysis(analysis: Column) -> Column:
+    """summary, strengths, gaps and recommendation of an analysis in JSON, under its newer names or its older ones; what is null or empty gives way."""
+    text = lambda k: F.nullif(F.get_json_object(analysis, f"$.{k}"), F.lit(""))
+    items = lambda k: F.when(F.size(decode_list(F.get_json_object(analysis, f"$.{k}"))) > 0, decode_list(F.get_json_object(analysis, f"$.{k}")))
+    none = F.array().cast("array<string>")
+    return F.struct(
+        F.coalesce(text("candidate_explanation"), text("summary"), F.lit("")).alias("summary"), F.coalesce(items("candidate_strengths"), items("strengths"), none).alias("strengths"),
+        F.coalesce(items("candidate_deficiencies"), items("gaps"), none).alias("gaps"), F.get_json_object(analysis, "$.recommendation").alias("recommendation"),
+    )
+
+
 def gates_text(gates: Column) -> Column:
     return F.array_join(F.transform(gates, lambda g: F.concat(g["gate"], F.lit(": "), F.substring(F.coalesce(g["evidence"], F.lit("")), 1, 120))), "; ")
 
 
 def badge_color(score: Column) -> Column:
-    return F.when(score.isNull(), "grey").when(score >= 80, "green").when(score >= 60, "blue").when(score >= 40, "amber").otherwise("red")
+    """The colour of a score's bucket; null where there is no score."""
+    chain = F.when(score.isNull(), F.lit(None).cast("string"))
+    for least, color in BADGES:
+        chain = chain.when(score >= least, F.lit(color))
+    return chain
 
 
 def cron_hours(per_day: Column) -> Column:

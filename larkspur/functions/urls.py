@@ -58,16 +58,23 @@ def parameter(url: Column, name: str) -> Column:
     return F.nullif(decoded(F.regexp_extract(F.concat(F.lit("&"), query(url)), f"[&]{name}=([^&]+)", 1)), F.lit(""))
 
 
+def _quoted(text: Column) -> Column:
+    """Percent-encoded but for letters, digits and _ . - ~, with plus signs for spaces."""
+    return F.replace(F.replace(F.url_encode(text), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def canonical_url(url: Column) -> Column:
-    """Without tracking parameters, fragment and closing slashes; a posting id in gh_jid stands alone."""
+    """Without tracking parameters, fragment and closing slashes (a path of one slash stays); a posting id in gh_jid stands alone, as it reads."""
     pairs = F.filter(F.split(query(url), "&"), lambda p: F.rlike(p, F.lit("^[^=]+=.+$")))
     kept = F.filter(pairs, lambda p: ~decoded(F.substring_index(p, "=", 1)).isin(TRACKING))
-    again = lambda x: F.url_encode(decoded(x))
+    again = lambda x: _quoted(decoded(x))
     encoded = F.array_join(F.transform(kept, lambda p: F.concat(again(F.substring_index(p, "=", 1)), F.lit("="), again(F.substring(p, F.instr(p, "=") + 1, F.length(p))))), "&")
     jid = parameter(url, "gh_jid")
-    tail = F.when(jid.isNotNull(), F.concat(F.lit("gh_jid="), F.url_encode(jid))).otherwise(encoded)
-    head = F.concat(F.when(scheme(url) != "", F.concat(scheme(url), F.lit(":"))).otherwise(""), F.when(netloc(url) != "", F.concat(F.lit("//"), netloc(url))).otherwise(""), F.regexp_replace(path(url), "/+$", ""))
-    return F.when(url.isNull() | (url == ""), url).otherwise(F.concat(head, F.when(tail != "", F.concat(F.lit("?"), tail)).otherwise("")))
+    bare = F.regexp_replace(path(url), "/+$", "")
+    at = F.when(jid.isNotNull(), F.coalesce(F.nullif(bare, F.lit("")), F.lit("/"))).when(F.length(path(url)) > 1, bare).otherwise(path(url))
+    tail = F.when(jid.isNotNull(), F.concat(F.lit("gh_jid="), jid)).otherwise(encoded)
+    head = F.concat(F.when(scheme(url) != "", F.concat(scheme(url), F.lit(":"))).otherwise(""), F.when(netloc(url) != "", F.concat(F.lit("//"), netloc(url))).otherwise(""), at)
+    return F.when(url.isNull() | (url == "") | F.startswith(url, F.lit("manual-paste")), url).otherwise(F.concat(head, F.when(tail != "", F.concat(F.lit("?"), tail)).otherwise("")))
 
 
 def requisition_id(url_path: Column) -> Column:
@@ -156,16 +163,19 @@ def careers_url(url: Column) -> Column:
 
 
 def registrable_label(host: Column) -> Column:
-    """The label before the public suffix."""
-    parts = F.split(F.lower(host), "\\.")
-    double = F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), 2), ".").isin(TWO_PART_SUFFIXES)
-    return F.coalesce(F.when(double, F.get(parts, F.size(parts) - 3)), F.get(parts, F.size(parts) - 2), F.get(parts, 0))
+    """The label before the public suffix; null where a host has none."""
+    parts = F.filter(F.split(F.lower(host), "\\."), lambda p: p != "")
+    double = F.concat_ws(".", F.get(parts, F.size(parts) - 2), F.get(parts, F.size(parts) - 1)).isin(TWO_PART_SUFFIXES)
+    return F.when(F.size(parts) >= 2, F.when(double, F.get(parts, F.size(parts) - 3)).otherwise(F.get(parts, F.size(parts) - 2)))
 
 
 def board_candidates(host: Column) -> Column:
-    """Names that a company's board may have, most likely first."""
+    """Names that a company's board may have, most likely first; none for hosts that name no company."""
     label = registrable_label(host)
-    return F.array_distinct(F.array(label, F.concat(label, F.lit("jobs")), F.replace(label, F.lit("-"), F.lit(""))))
+    bare = F.replace(label, F.lit("-"), F.lit(""))
+    names = F.array(label, F.concat(label, F.lit("jobs")), bare, F.concat(bare, F.lit("jobs")))
+    none = F.array().cast("array<string>")
+    return F.when(label.isNull() | label.isin(GENERIC_LABELS), none).otherwise(F.array_distinct(names))
 
 
 def is_scoreable(url: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.session import saved
+
 
 def first_per_key(rows: DataFrame, key: str, pos: str, tie: str | None = None) -> DataFrame:
     w = Window.partitionBy(key).orderBy(pos, *([tie] if tie else []))
@@ -42,17 +44,45 @@ def capped(rows: DataFrame, group: str, pos: str, cap: int) -> DataFrame:
 
 
 def poll(postings: DataFrame, seen: DataFrame, *, denied: Column, allowed: Column, long_enough: Column, max_new: int, key: str = "dedupe_key", target: str = "target_id", pos: str = "pos", dry_run: bool = False) -> DataFrame:
-    """postings with the reason why each left the walk: seen, denied, region, short, duplicate, capped or scored.
+    """postings with the reason why each left the walk of its target: seen, duplicate, denied, region, capped, short, scored or unread.
+
+    A target is walked in order. Known keys, denied titles and regions are passed over; then, once max_new postings are scored,
+    the walk stops (capped), and what lies behind is unread. Only scored postings make later ones of their key
+    duplicates, in their own target and in those after it; in a dry run none do. A null key is never a duplicate.
 
-    Only scored postings make later ones of their key seen, across targets in order; in a dry run none do.
+    Within a target that is a matter of windows. Whether a key was scored in a target before depends on the walks before, so
+    the walks are repeated with the keys scored so far until these no longer change: one more time than walks depend on each
+    other in a row, and as often as there are targets at most.
     """
     s = seen.where(F.coalesce(F.col(key), F.lit("")) != "").select(key).distinct().withColumn("_seen", F.lit(True))
-    early = F.when(F.col("_seen"), "seen").when(denied, "denied").when(~allowed, "region").when(~long_enough, "short")
-    rows = postings.join(s, key, "left").withColumn("_early", early).drop("_seen")
-    passed = F.col("_early").isNull().cast("int")
-    rank = F.row_number().over(Window.partitionBy(key, "_early").orderBy(target, pos))
-    rows = rows.withColumn("_dup", (F.lit(not dry_run)) & (passed == 1) & (rank > 1))
-    live = (passed == 1) & ~F.col("_dup")
-    n = F.sum(live.cast("int")).over(Window.partitionBy(target).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0))
-    reason = F.coalesce("_early", F.when(F.col("_dup"), "duplicate"), F.when(n > max_new, "capped"), F.lit("scored"))
-    return rows.withColumn("exit_reason", reason).drop("_early", "_dup")
+    flags = {"_denied": denied, "_region": ~allowed, "_long": long_enough}
+    rows = saved(postings.join(s, key, "left").withColumns({k: F.coalesce(c, F.lit(False)) for k, c in flags.items()}).withColumn("_seen", F.coalesce("_seen", F.lit(False))))
+    walked = saved(_walk(rows.withColumn("_before", F.lit(False)), max_new, key, target, pos, dry_run))
+    firsts = lambda w: w.where((F.col("exit_reason") == "scored") & F.col(key).isNotNull()).groupBy(key).agg(F.min(target).alias("_first"))
+    while not dry_run:
+        known = firsts(walked)
+        again = rows.join(known, key, "left").withColumn("_before", F.coalesce(F.col("_first") < F.col(target), F.lit(False))).drop("_first")
+        walked = saved(_walk(again, max_new, key, target, pos, dry_run))
+        now = firsts(walked).withColumnRenamed("_first", "_now")
+        if known.join(now, key, "full").where(~F.col("_first").eqNullSafe(F.col("_now"))).isEmpty():
+            break
+    return walked.select(*postings.columns, "exit_reason")
+
+
+def _walk(rows: DataFrame, max_new: int, key: str, target: str, pos: str, dry_run: bool) -> DataFrame:
+    """One walk of all targets, _before telling whether a row's key was scored in a target before."""
+    order = Window.partitionBy(target).orderBy(pos)
+    so_far = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    passes = ~F.col("_seen") & ~F.col("_before") & ~F.col("_denied") & ~F.col("_region")
+    good = (passes & F.col("_long")).cast("int")
+    twin = F.col(key).isNotNull() & (F.coalesce(F.sum(good).over(so_far(Window.partitionBy(target, key).orderBy(pos))), F.lit(0)) > 0)
+    rows = rows.withColumn("_dup", F.col("_before") | (twin if not dry_run else F.lit(False)))
+    reached = passes & ~F.col("_dup")
+    rows = rows.withColumn("_n", F.coalesce(F.sum((reached & F.col("_long")).cast("int")).over(so_far(order)), F.lit(0)))
+    stop = (reached & (F.col("_n") >= max_new)).cast("int")
+    rows = rows.withColumn("_stops", F.coalesce(F.sum(stop).over(so_far(order)), F.lit(0)))
+    reason = (
+        F.when(F.col("_stops") > 0, "unread").when(F.col("_seen"), "seen").when(F.col("_dup"), "duplicate").when(F.col("_denied"), "denied").when(F.col("_region"), "region")
+        .when(F.col("_n") >= max_new, "capped").when(~F.col("_long"), "short").otherwise("scored")
+    )
+    return rows.withColumn("exit_reason", reason)

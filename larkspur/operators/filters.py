@@ -18,6 +18,9 @@ DENIED_LOCATIONS = [
     "LATAM", "EMEA", "APAC", "ASEAN", "DACH", "ANZ",
 ]
 TITLE_DROPS = "intern|internship|apprentice|new[- ]grad"
+NO_TITLE = "no title"
+#: Lists that people keep by hand travel as one array with every row, up to this length.
+MAX_LISTED = 10_000
 
 
 def denied_phrase(title: Column, phrases: Column) -> Column:
@@ -45,8 +48,9 @@ def location_verdict(location: Column, allow: list[str] = ALLOWED_LOCATIONS, den
 
 
 def csv_or_default(raw: Column, default: list[str]) -> Column:
-    parts = F.filter(F.transform(F.split(F.coalesce(raw, F.lit("")), ","), F.trim), lambda x: x != "")
-    return F.when(F.size(parts) > 0, parts).otherwise(F.array(*map(F.lit, default)))
+    """The listed values; the default only where nothing is set, as an empty text is an empty list."""
+    parts = F.filter(F.transform(F.split(raw, ","), F.trim), lambda x: x != "")
+    return F.when(raw.isNotNull(), parts).otherwise(F.array(*map(F.lit, default)))
 
 
 def long_enough(text: Column, least: int = 100) -> Column:
@@ -54,9 +58,11 @@ def long_enough(text: Column, least: int = 100) -> Column:
 
 
 def title_drop(title: Column, extra: list[str] = ()) -> Column:
-    """The word of a title by which it is dropped."""
-    terms = "|".join([TITLE_DROPS, *("\\Q" + t + "\\E" for t in extra)])
-    return F.nullif(F.lower(F.regexp_extract(F.coalesce(title, F.lit("")), f"(?i)(?U)\\b({terms})\\b", 1)), F.lit(""))
+    """Why a title is dropped: the word in it, the general ones first, or that there is none."""
+    own = F.regexp_replace(F.coalesce(title, F.lit("")), "(?U)^\\s+|\\s+$", "")
+    word = lambda terms: F.nullif(F.lower(F.regexp_extract(own, f"(?i)(?U)\\b({terms})\\b", 1)), F.lit(""))
+    more = [word("|".join("\\Q" + t + "\\E" for t in extra))] if extra else []
+    return F.when(own == "", F.lit(NO_TITLE)).otherwise(F.coalesce(word(TITLE_DROPS), *more))
 
 
 def code_status(revoked: Column, expires: Column, as_of: Column) -> Column:
@@ -88,11 +94,16 @@ def cleanup_decision(candidates: DataFrame, dead: DataFrame, as_of: Column, days
     return candidates.join(gone, "id", "left").withColumn("reason", reason).where(F.col("reason").isNotNull()).drop("dead")
 
 
-def lint(lines: DataFrame, needles: DataFrame) -> DataFrame:
-    """The first hit: the least path, then line, then needle order. lines: path, line_no, line. needles: pos, needle.
+def as_list(rows: DataFrame, entry: Column, name: str, limit: int = MAX_LISTED) -> DataFrame:
+    """One row with the sorted entries of a list kept by hand, marked for broadcast; longer lists are refused."""
+    n = rows.count()
+    if n > limit:
+        raise ValueError(f"{name}: {n} entries, more than the {limit} of a list kept by hand")
+    return F.broadcast(rows.agg(F.sort_array(F.collect_list(entry)).alias(name)))
+
 
-    The needles are a list kept by hand; they travel as one array.
-    """
-    listed = needles.select(F.struct("pos", F.lower("needle").alias("needle")).alias("x")).agg(F.sort_array(F.collect_list("x")).alias("needles"))
-    hits = lines.join(F.broadcast(listed), F.lit(True)).withColumn("hit", F.get(F.filter("needles", lambda n: (n["needle"] != "") & F.contains(F.lower(F.col("line")), n["needle"])), 0)["needle"])
+def lint(lines: DataFrame, needles: DataFrame) -> DataFrame:
+    """The first hit: the least path, then line, then needle order. lines: path, line_no, line. needles: pos, needle."""
+    listed = as_list(needles, F.struct("pos", F.lower("needle").alias("needle")), "needles")
+    hits = lines.join(listed, F.lit(True)).withColumn("hit", F.get(F.filter("needles", lambda n: (n["needle"] != "") & F.contains(F.lower(F.col("line")), n["needle"])), 0)["needle"])
     return hits.where(F.col("hit").isNotNull()).select("path", "line_no", F.col("hit").alias("needle")).orderBy("path", "line_no").limit(1)

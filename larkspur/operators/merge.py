@@ -9,20 +9,30 @@ OPEN = ("discovered", "ranked")
 STATEFUL = ("applied", "closed")
 
 
-def upsert_jobs(current: DataFrame, new: DataFrame, key: str = "dedupe_key", kept: tuple[str, ...] = ("status", "applied_at", "branch")) -> DataFrame:
-    """New values win over old ones unless they are null; kept columns never change; new keys are discovered.
+def upsert_jobs(current: DataFrame, new: DataFrame, *, id: str = "id", key: str = "dedupe_key", url: str = "url", pos: str = "pos", kept: tuple[str, ...] = ("status", "applied_at", "branch")) -> DataFrame:
+    """current after the rows of new were written one by one, in order of pos.
 
-    Each key is taken once from new: its last row by pos. Rows without a key are inserted as they are.
+    A new row meets the current row (of several the one with the smallest id) that has its key or its address; rows that meet none
+    are inserted, once for each key, or address where there is no key. New values win over old ones unless they are null, later
+    ones over earlier ones; a key is only filled in where there was none, and kept columns never change. Inserted rows are
+    discovered and have a null id, which the sink gives out.
     """
-    columns = [c for c in current.columns if c not in (key, *kept)]
-    last = Window.partitionBy(key).orderBy(F.desc("pos"))
-    fresh = new.where(F.col(key).isNotNull()).withColumn("_n", F.row_number().over(last)).where(F.col("_n") == 1)
-    c, n = current.alias("c"), fresh.select(key, *columns).alias("n")
-    both = c.join(n, F.col(f"c.{key}") == F.col(f"n.{key}"), "full")
-    new_row = F.col(f"c.{key}").isNull() & F.col(f"n.{key}").isNotNull()
-    out = [F.coalesce(f"n.{key}", f"c.{key}").alias(key), *(F.coalesce(f"n.{x}", f"c.{x}").alias(x) for x in columns)]
-    out += [F.when(new_row, F.lit("discovered")).otherwise(F.col("c.status")).alias("status") if x == "status" else F.col(f"c.{x}").alias(x) for x in kept]
-    return both.select(*out)
+    columns = [c for c in current.columns if c not in (id, key, *kept)]
+    first = lambda c, name: current.where(F.col(c).isNotNull()).groupBy(c).agg(F.min(id).alias(name))
+    met = new.join(first(key, "_by_key"), key, "left").join(first(url, "_by_url"), url, "left").withColumn("_target", F.least("_by_key", "_by_url"))
+    tag = lambda name, c: F.concat(F.lit(name), F.col(c).cast("string"))
+    place = F.coalesce(tag("id:", "_target"), tag("key:", key), tag("url:", url), tag("pos:", pos))
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col(pos))).alias(c)
+    folded = met.groupBy(place.alias("_place")).agg(F.first("_target").alias("_target"), *(last(c) for c in (key, *columns)))
+    c, n = current.alias("c"), folded.where(F.col("_target").isNotNull()).alias("n")
+    updated = c.join(n, F.col(f"c.{id}") == F.col("n._target"), "left").select(
+        f"c.{id}", F.coalesce(f"c.{key}", f"n.{key}").alias(key), *(F.coalesce(f"n.{x}", f"c.{x}").alias(x) for x in columns), *(f"c.{x}" for x in kept)
+    )
+    types = dict(current.dtypes)
+    inserted = folded.where(F.col("_target").isNull()).select(
+        F.lit(None).cast(types[id]).alias(id), key, *columns, *((F.lit("discovered") if x == "status" else F.lit(None).cast(types[x])).alias(x) for x in kept)
+    )
+    return updated.unionByName(inserted).select(current.columns)
 
 
 def guarded_status(status: Column, wanted: Column) -> Column:
@@ -84,11 +94,14 @@ def delete(jobs: DataFrame, outcomes: DataFrame, ids: DataFrame) -> tuple[DataFr
 
 
 def merge_collisions(jobs: DataFrame, key: str = "dedupe_key") -> DataFrame:
-    """One row a key: the only one that carries workflow state, else the oldest. Keys with several such rows, and rows without a key, stay."""
-    state = F.col("status").isin(*STATEFUL).cast("int")
-    w = Window.partitionBy(key)
-    marked = jobs.withColumn("_states", F.sum(state).over(w)).withColumn("_n", F.row_number().over(w.orderBy(state.desc(), F.col("id"))))
-    return marked.where(F.col(key).isNull() | (F.col("_states") > 1) | (F.col("_n") == 1)).drop("_states", "_n")
+    """One row a key: the only one that carries workflow state, else the oldest. Keys with several such rows, and rows without a key, stay.
+
+    What a key keeps is found by sums, not by a window, so a key on very many rows is no hot group.
+    """
+    state = F.col("status").isin(*STATEFUL)
+    best = jobs.where(F.col(key).isNotNull()).groupBy(key).agg(F.sum(state.cast("long")).alias("_states"), F.min(F.struct((~state).alias("s"), F.col("id").alias("id")))["id"].alias("_best"))
+    marked = jobs.join(best, key, "left")
+    return marked.where(F.col(key).isNull() | (F.col("_states") > 1) | (F.col("id") == F.col("_best"))).select(jobs.columns)
 
 
 def update_targets(current: DataFrame, changes: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .filters import long_enough, title_drop
+from .filters import NO_TITLE, long_enough, title_drop
 
 # Families that are kept.
 KEEP_FAMILIES = ["platform", "devops", "build-release", "developer-experience", "infrastructure", "sre"]
@@ -29,7 +29,8 @@ def screen(postings: DataFrame, *, extra_titles: list[str] = (), min_length: int
     out = postings.withColumn("stage", stage).withColumn("n_gates", F.coalesce(F.size(gates), F.lit(0)))
     out = out.withColumn("keep", (F.col("stage") == "error") | ((F.col("stage") == "gates") & (F.col("n_gates") <= 0) & ~low))
     reason = (
-        F.when((F.col("stage") == "rules") & word.isNotNull(), F.concat(F.lit("title:"), word))
+        F.when((F.col("stage") == "rules") & (word == NO_TITLE), F.lit(NO_TITLE))
+        .when((F.col("stage") == "rules") & word.isNotNull(), F.concat(F.lit("title:"), word))
         .when(F.col("stage") == "rules", F.lit("short"))
         .when(F.col("stage") == "triage", F.concat(F.lit("family:"), F.coalesce("family", F.lit("none"))))
         .when(F.col("stage") == "error", F.lit("error"))

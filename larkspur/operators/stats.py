@@ -60,13 +60,23 @@ def systemic_failure(summaries: DataFrame) -> DataFrame:
     return summaries.agg(F.when((attempted > 0) & (attempted == failed), 1).otherwise(0).alias("exit_code"))
 
 
-def board_positions(board: DataFrame, rows: DataFrame) -> DataFrame:
-    """rows (id, rank, fit) with the position each would take on the board: one more than the strictly better entries.
+#: Scores are counted in steps of this size; what lies within a step is sorted in one task.
+STEP = 0.001
 
-    Both sides are ranked in one sorted pass instead of comparing each with each.
+
+def board_positions(board: DataFrame, rows: DataFrame, by: str = "formula") -> DataFrame:
+    """rows (by, id, rank, fit) with the position each would take on its board: one more than the strictly better entries. Rows without a rank have none.
+
+    A histogram of the board's scores tells how many entries lie in better steps: scores end at 125, so it has a bounded number of
+    rows. Entries of a row's own step are counted by a window over the distinct (rank, fit) of that step.
     """
-    one = board.select(F.lit(None).cast("long").alias("id"), "rank", F.coalesce("fit", F.lit(0.0)).alias("fit"), F.lit(1).alias("on_board"))
-    all_ = one.unionByName(rows.select("id", "rank", F.coalesce("fit", F.lit(0.0)).alias("fit"), F.lit(0).alias("on_board")))
-    points = all_.groupBy("rank", "fit").agg(F.sum("on_board").alias("n"), F.collect_list("id").alias("ids"))
-    better = F.sum("n").over(Window.orderBy(F.desc("rank"), F.desc("fit")).rowsBetween(Window.unboundedPreceding, -1))
-    return points.withColumn("position", F.coalesce(better, F.lit(0)) + 1).select(F.explode("ids").alias("id"), "position")
+    step = F.floor(F.col("rank") / STEP).cast("long")
+    fit = F.coalesce("fit", F.lit(0.0))
+    entries = board.where(F.col("rank").isNotNull()).groupBy(by, step.alias("step"), "rank", fit.alias("fit")).agg(F.count("*").alias("n"))
+    asked = rows.where(F.col("rank").isNotNull()).select(by, "id", step.alias("step"), "rank", fit.alias("fit"))
+    points = entries.unionByName(asked.select(by, "step", "rank", "fit", F.lit(0).cast("long").alias("n"))).groupBy(by, "step", "rank", "fit").agg(F.sum("n").alias("n"))
+    ahead = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = points.withColumn("within", ahead(Window.partitionBy(by, "step").orderBy(F.desc("rank"), F.desc("fit"))))
+    steps = points.groupBy(by, "step").agg(F.sum("n").alias("n")).withColumn("before", ahead(Window.partitionBy(by).orderBy(F.desc("step")))).drop("n")
+    placed = within.join(steps, [by, "step"]).select(by, "step", "rank", "fit", (F.col("before") + F.col("within") + 1).alias("position"))
+    return asked.join(placed, [by, "step", "rank", "fit"]).select(by, "id", "position")

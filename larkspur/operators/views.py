@@ -9,18 +9,35 @@ from larkspur.functions.dates import age_label
 from larkspur.functions.ranking import legacy_score, rank_score, shown
 from larkspur.functions.rows import recommendation
 
-from .stats import board_positions, global_stats, platform_stats
+from .filters import as_list
+from .stats import applied_outcomes, board_positions
 
 
 def with_stats(jobs: DataFrame, outcomes: DataFrame) -> DataFrame:
     """jobs with the figures of their platform and of all platforms.
 
-    The global figures are one row. The platforms' are joined by key; a platform that is unknown has none.
+    Outcomes are summed once by platform, and the global row from those sums. The platforms' are joined by key; a platform that is unknown has none.
     """
-    both = jobs.join(platform_stats(jobs, outcomes), "ats_platform", "left").join(F.broadcast(global_stats(jobs, outcomes)), F.lit(True))
+    sums = applied_outcomes(jobs, outcomes).groupBy("ats_platform").agg(F.coalesce(F.sum("callback"), F.lit(0)).cast("long").alias("callbacks"), F.count("*").alias("applied"))
+    rate = F.coalesce(F.try_divide(F.sum("callbacks"), F.sum("applied")), F.lit(0.0)).cast("double")
+    total = sums.agg(rate.alias("global_rate"), F.coalesce(F.sum("applied"), F.lit(0)).alias("global_applied"))
+    both = jobs.join(sums.where(F.col("ats_platform").isNotNull()), "ats_platform", "left").join(F.broadcast(total), F.lit(True))
     return both.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("callbacks", "applied")})
 
 
+def company_adjustment(rows: DataFrame, adjustments: DataFrame, company: str = "company") -> DataFrame:
+    """rows with an adjustment: that of the company's own name, else of the first listed name that is part of it, else 0.
+
+    adjustments (pos, name, points) are a list that people keep by hand; every row looks through it.
+    """
+    own = F.lower(F.trim(F.coalesce(F.col(company), F.lit(""))))
+    listed = as_list(adjustments, F.struct("pos", F.lower(F.trim("name")).alias("name"), F.col("points").cast("double").alias("points")), "_adjustments")
+    exact = F.filter("_adjustments", lambda x: x["name"] == own)
+    within = F.filter("_adjustments", lambda x: (x["name"] != "") & F.contains(own, x["name"]))
+    both = rows.join(listed, F.lit(True), "left")
+    return both.withColumn("adjustment", F.coalesce(F.get(exact, 0)["points"], F.get(within, 0)["points"], F.lit(0.0))).drop("_adjustments")
+
+
 def live_rank(jobs: DataFrame, outcomes: DataFrame, as_of: Column, *, preferences: bool = False, adjustment: Column | None = None) -> DataFrame:
     """jobs with live_rank, unrounded."""
     s = {c: F.col(c) for c in ("callbacks", "applied", "global_rate", "global_applied")}
@@ -40,14 +57,14 @@ def high_priority(jobs: DataFrame, outcomes: DataFrame, as_of: Column, fit_min:
     return open_.where((F.col("fit_score") > fit_min) & (F.col("live_rank") > rank_min))
 
 
-def backtest(jobs: DataFrame, outcomes: DataFrame, as_of: Column, top: int = 25) -> DataFrame:
-    """For both formulas: how many applied postings would be on the board's first places."""
+def backtest(jobs: DataFrame, outcomes: DataFrame, as_of: Column, top: int = 5) -> DataFrame:
+    """For both formulas: how many applied postings would be among the board's first places, and how many have no desirability yet."""
     s = {c: F.col(c) for c in ("callbacks", "applied", "global_rate", "global_applied")}
     cols = [F.col(c) for c in ("fit_score", "desirability_score", "posted_at", "discovered_at")]
-    both = live_rank(jobs, outcomes, as_of).withColumn("legacy", legacy_score(*cols, as_of, **s)).where(F.col("fit_score").isNotNull())
-    parts = []
-    for name, rank in (("current", "live_rank"), ("legacy", "legacy")):
-        rows = both.select("id", "status", F.col(rank).alias("rank"), F.col("fit_score").alias("fit"))
-        placed = board_positions(rows.where(F.col("status").isin("discovered", "ranked")), rows.where(F.col("status") == "applied"))
-        parts.append(placed.agg(F.lit(name).alias("formula"), F.count("*").alias("n_applied"), F.coalesce(F.sum((F.col("position") <= top).cast("long")), F.lit(0)).alias("hits"), F.min("position").alias("best")))
-    return parts[0].unionByName(parts[1])
+    both = live_rank(jobs, outcomes, as_of).withColumn("legacy", legacy_score(*cols, as_of, **s)).where(F.col("status").isin("discovered", "ranked", "applied"))
+    formulas = F.array(*(F.struct(F.lit(name).alias("formula"), F.col(rank).alias("rank")) for name, rank in (("current", "live_rank"), ("legacy", "legacy"))))
+    rows = both.select("id", (F.col("status") != "applied").alias("on_board"), F.col("fit_score").alias("fit"), F.col("desirability_score").isNull().alias("pending"), F.explode(formulas).alias("f")).select("id", "on_board", "fit", "pending", "f.*")
+    counts = rows.where(~F.col("on_board")).groupBy("formula").agg(F.count("*").alias("n_applied"), F.sum(F.col("pending").cast("long")).alias("n_pending"))
+    placed = board_positions(rows.where("on_board"), rows.where(~F.col("on_board")))
+    hits = placed.groupBy("formula").agg(F.sum((F.col("position") <= top).cast("long")).alias("hits"), F.min("position").alias("best"))
+    return counts.join(hits, "formula", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))

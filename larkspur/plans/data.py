@@ -22,7 +22,7 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("https://jobs.example.com/"), F.col("source"), F.lit("/"), (i % 700).cast("string")).alias("url"),
         F.concat(F.lit("k"), (i % 800).cast("string")).alias("dedupe_key"),
         F.concat(F.lit("Company "), (i % 97).cast("string")).alias("company"),
-        F.substring("text", 1, 40).alias("title"),
+        F.col("text").alias("title"),
         F.col("text").alias("description"),
         F.col("source").alias("ats_platform"),
         F.col("lang").alias("discovered_by"),
@@ -37,7 +37,7 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 JOBS = """jobs AS (SELECT doc_id AS id, 'https://jobs.example.com/' || source || '/' || CAST(doc_id % 700 AS VARCHAR) AS url,
- 'k' || CAST(doc_id % 800 AS VARCHAR) AS dedupe_key, 'Company ' || CAST(doc_id % 97 AS VARCHAR) AS company, substr(text, 1, 40) AS title, text AS description,
+ 'k' || CAST(doc_id % 800 AS VARCHAR) AS dedupe_key, 'Company ' || CAST(doc_id % 97 AS VARCHAR) AS company, text AS title, text AS description,
  source AS ats_platform, lang AS discovered_by,
  CASE WHEN doc_id % 10 = 0 THEN 'applied' WHEN doc_id % 10 = 1 THEN 'closed' WHEN doc_id % 10 <= 4 THEN 'discovered' ELSE 'ranked' END AS status,
  CAST((doc_id * 37) % 100 + 1 AS DOUBLE) AS fit_score, CASE WHEN doc_id % 3 <> 0 THEN CAST((doc_id * 53) % 100 + 1 AS DOUBLE) END AS desirability_score,

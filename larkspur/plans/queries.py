@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions import dates, ranking, rows, text, urls
-from larkspur.operators import dedupe, filters, merge, screening, stats, views, windows
+from larkspur.operators import dedupe, filters, merge, order, screening, stats, views, windows
 from larkspur.session import prepare, table
 
 from .data import AS_OF, JOBS, MESSAGES, OUTCOMES, RANK_SQL, STATS, _day, as_of, jobs, messages, outcomes
@@ -69,9 +69,7 @@ def s5_rerank_scan(spark, d):
 
 @query("SELECT s_suppkey AS id, s_name AS name, row_number() OVER (ORDER BY lower(s_name), s_suppkey) AS place FROM supplier")
 def s6_targets_by_name(spark, d):
-    from pyspark.sql import Window
-
-    return table(prepare(spark), d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.row_number().over(Window.orderBy(F.lower("s_name"), "s_suppkey")).cast("long").alias("place"))
+    return order.numbered(table(prepare(spark), d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")), F.lower("name"), F.col("id"))
 
 
 _SETTINGS = [("theme", "dark"), ("limit", "20")]
@@ -140,7 +138,7 @@ def a7_exit_code(spark, d):
 
 
 _POSITIONS = " UNION ALL ".join(
-    f"SELECT '{n}' AS formula, count(*) AS n_applied, CAST(coalesce(sum(CASE WHEN position <= 25 THEN 1 ELSE 0 END), 0) AS BIGINT) AS hits, min(position) AS best FROM (SELECT a.id, 1 + (SELECT count(*) FROM ranked b WHERE b.status IN ('discovered', 'ranked') AND (b.{c} > a.{c} OR (b.{c} = a.{c} AND b.fit_score > a.fit_score))) AS position FROM ranked a WHERE a.status = 'applied')"
+    f"SELECT '{n}' AS formula, count(*) AS n_applied, CAST(coalesce(sum(CASE WHEN desirability_score IS NULL THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_pending, CAST(coalesce(sum(CASE WHEN position <= 5 THEN 1 ELSE 0 END), 0) AS BIGINT) AS hits, min(position) AS best FROM (SELECT a.id, a.desirability_score, CASE WHEN a.{c} IS NOT NULL THEN 1 + (SELECT count(*) FROM ranked b WHERE b.status IN ('discovered', 'ranked') AND (b.{c} > a.{c} OR (b.{c} = a.{c} AND b.fit_score > a.fit_score))) END AS position FROM ranked a WHERE a.status = 'applied')"
     for n, c in (("current", "live_rank"), ("legacy", "legacy"))
 )
 
@@ -196,10 +194,10 @@ _ADJUST = [(1, "company 1", -30.0), (2, "Company 5", 10.0), (3, "company 9", 5.0
 
 @query(f"{WITH}, adj AS (SELECT pos, lower(name) AS name, CAST(points AS DOUBLE) AS points FROM {_literals(_ADJUST, 'pos, name, points')}) SELECT id, coalesce((SELECT points FROM adj WHERE name = lower(company) ORDER BY pos LIMIT 1), (SELECT points FROM adj WHERE name <> '' AND contains(lower(company), name) ORDER BY pos LIMIT 1), 0.0) AS adjustment FROM jobs")
 def j7_company_adjustment(spark, d):
-    return ranking.company_adjustment(jobs(spark, d), _values(spark, "pos int, name string, points double", _ADJUST)).select("id", "adjustment")
+    return views.company_adjustment(jobs(spark, d), _values(spark, "pos int, name string, points double", _ADJUST)).select("id", "adjustment")
 
 
-@query(f"{RANK_SQL} SELECT id, status, ats_platform, fit_score, desirability_score, floor(live_rank * 100 + 0.5) / 100 AS rank, CASE WHEN fit_score >= 80 THEN 'strong' WHEN fit_score >= 60 THEN 'good' WHEN fit_score >= 40 THEN 'maybe' ELSE 'skip' END AS recommendation, CASE WHEN days IS NULL THEN '—' ELSE (CASE WHEN posted_at IS NULL THEN 'discovered ' ELSE 'posted ' END) || (CASE WHEN days <= 0 THEN 'today' WHEN days = 1 THEN '1 day ago' WHEN days < 30 THEN CAST(days AS VARCHAR) || ' days ago' WHEN days < 90 THEN CAST(days // 7 AS VARCHAR) || 'w ago' ELSE CAST(days // 30 AS VARCHAR) || 'mo ago' END) END AS age FROM ranked WHERE status IN ('discovered', 'ranked')")
+@query(f"{RANK_SQL} SELECT id, status, ats_platform, fit_score, desirability_score, floor(live_rank * 100 + 0.5) / 100 AS rank, CASE WHEN fit_score >= 80 THEN 'strong_match' WHEN fit_score >= 60 THEN 'consider' WHEN fit_score >= 40 THEN 'weak_match' ELSE 'skip' END AS recommendation, CASE WHEN days IS NULL THEN '—' ELSE (CASE WHEN posted_at IS NULL THEN 'discovered ' ELSE 'posted ' END) || (CASE WHEN days <= 0 THEN 'today' WHEN days = 1 THEN '1 day ago' WHEN days < 30 THEN CAST(days AS VARCHAR) || ' days ago' WHEN days < 90 THEN CAST(days // 7 AS VARCHAR) || 'w ago' ELSE CAST(days // 30 AS VARCHAR) || 'mo ago' END) END AS age FROM ranked WHERE status IN ('discovered', 'ranked')")
 def d9_inbox(spark, d):
     return views.inbox(jobs(spark, d), outcomes(spark, d), as_of())
 
@@ -209,15 +207,15 @@ def f12_high_priority(spark, d):
     return views.high_priority(jobs(spark, d), outcomes(spark, d), as_of(), 70, 60).select("id", ranking.shown(F.col("live_rank")).alias("rank"))
 
 
-@query(f"{RANK_SQL} SELECT id, status FROM ranked ORDER BY coalesce(live_rank, -1) DESC, fit_score DESC, id DESC LIMIT 50")
+@query(f"{RANK_SQL} SELECT id, status, row_number() OVER (ORDER BY coalesce(live_rank, -1) DESC, fit_score DESC, id DESC) AS place FROM ranked ORDER BY place LIMIT 50")
 def o1_top_of_board(spark, d):
     ranked = views.live_rank(jobs(spark, d), outcomes(spark, d), as_of())
-    return ranked.orderBy(F.desc(F.coalesce("live_rank", F.lit(-1.0))), F.desc("fit_score"), F.desc("id")).limit(50).select("id", "status")
+    return order.first_places(ranked, 50, F.desc(F.coalesce("live_rank", F.lit(-1.0))), F.desc("fit_score"), F.desc("id")).select("id", "status", "place")
 
 
 # Filters
 
-_DENY = ["Manager", "sales", "haedan", "the on"]
+_DENY = ["Manager", "sales", "haedan", "thethe", "the on"]
 
 
 @query(f"{WITH} SELECT id, CASE " + " ".join(f"WHEN contains(lower(title), '{p.lower()}') THEN '{p}'" for p in _DENY) + " END AS phrase FROM jobs")
@@ -239,9 +237,9 @@ def f2_f3_location_policy(spark, d):
     return _values(spark, "id long, place string", _PLACES).select("id", filters.location_verdict(F.col("place"))["allowed"].alias("allowed"))
 
 
-@query("SELECT doc_id, nullif(regexp_extract(lower(text), '\\b(intern|internship|apprentice|new[- ]grad|the|und)\\b', 1), '') AS word, length(text) >= 100 AS long_enough FROM documents WHERE lang IN ('en')")
+@query("SELECT doc_id, CASE WHEN trim(coalesce(text, '')) = '' THEN 'no title' ELSE coalesce(nullif(regexp_extract(lower(text), '\\b(intern|internship|apprentice|new[- ]grad)\\b', 1), ''), nullif(regexp_extract(lower(text), '(?:^|[^\\p{L}\\p{N}_])(the|und)(?:$|[^\\p{L}\\p{N}_])', 1), '')) END AS word, coalesce(length(text) >= 100, false) AS long_enough FROM documents")
 def f5_f6_title_rules(spark, d):
-    docs = table(prepare(spark), d, "documents").where(F.col("lang") == "en")
+    docs = table(prepare(spark), d, "documents")
     return docs.select("doc_id", filters.title_drop(F.col("text"), ["the", "und"]).alias("word"), filters.long_enough(F.col("text")).alias("long_enough"))
 
 
@@ -279,18 +277,18 @@ def f13_url_predicates(spark, d):
     return table(prepare(spark), d, "pages").select("page_id", urls.is_scoreable(F.col("url")).alias("scoreable"), urls.is_careers_index(F.col("url")).alias("careers_index"))
 
 
-_TITLES = [(1, "Careers"), (2, ""), (3, "JOIN OUR TEAM"), (4, "Platform Engineer"), (5, None), (6, "Career opportunities at Acme"), (7, "12345")]
+_TITLES = [(1, "Careers"), (2, ""), (3, "JOIN OUR TEAM"), (4, "Platform Engineer"), (5, None), (6, "Career opportunities at Acme"), (7, "12345"), (8, "SRE " * 12), (9, "Caretaker")]
 
 
-@query(f"SELECT id, trim(coalesce(title, '')) = '' OR regexp_matches(lower(coalesce(title, '')), '\\bcareers?\\b') OR (title = upper(title) AND title <> lower(title) AND length(title) < 40) AS generic FROM {_literals(_TITLES, 'id, title')}")
+@query(f"SELECT id, trim(coalesce(title, '')) = '' OR regexp_matches(lower(coalesce(title, '')), '\\bcareers?\\b') OR (title = upper(title) AND length(title) < 40) AS generic FROM {_literals(_TITLES, 'id, title')}")
 def f14_generic_title(spark, d):
     return _values(spark, "id long, title string", _TITLES).select("id", text.looks_generic(F.col("title")).alias("generic"))
 
 
-_NEEDLES = [(1, "AKIA"), (2, "password=")]
+_NEEDLES = [(1, "Secret"), (2, "token"), (3, "AKIA")]
 
 
-@query("WITH lines AS (SELECT CAST(doc_id AS VARCHAR) AS path, unnest(range(len(string_split(text, chr(10))))) + 1 AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT path, line_no, CASE WHEN contains(lower(line), 'akia') THEN 'akia' ELSE 'password=' END AS needle FROM lines WHERE contains(lower(line), 'akia') OR contains(lower(line), 'password=') ORDER BY path, line_no LIMIT 1")
+@query("WITH lines AS (SELECT CAST(doc_id AS VARCHAR) AS path, unnest(range(len(string_split(text, chr(10))))) + 1 AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT path, line_no, CASE WHEN contains(lower(line), 'secret') THEN 'secret' WHEN contains(lower(line), 'token') THEN 'token' ELSE 'akia' END AS needle FROM lines WHERE regexp_matches(lower(line), 'secret|token|akia') ORDER BY path, line_no LIMIT 1")
 def f16_lint(spark, d):
     lines = table(prepare(spark), d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.posexplode(F.split("text", "\n")).alias("p", "line")).select("path", (F.col("p") + 1).cast("long").alias("line_no"), "line")
     return filters.lint(lines, _values(spark, "pos int, needle string", _NEEDLES))
@@ -333,20 +331,22 @@ def o7_capped(spark, d):
     return dedupe.capped(jobs(spark, d), "ats_platform", "id", 5).select("id", "ats_platform")
 
 
-_WALK = """base AS (SELECT id, dedupe_key, ats_platform, CASE WHEN dedupe_key IN (SELECT dedupe_key FROM jobs WHERE status = 'closed') THEN 'seen' WHEN contains(lower(title), 'the') THEN 'denied' WHEN discovered_by = 'fr' THEN 'region' WHEN length(description) < 400 THEN 'short' END AS early FROM jobs),
- dups AS (SELECT *, early IS NULL AND row_number() OVER (PARTITION BY dedupe_key, early ORDER BY ats_platform, id) > 1 AS dup FROM base),
- live AS (SELECT *, sum(CASE WHEN early IS NULL AND NOT dup THEN 1 ELSE 0 END) OVER (PARTITION BY ats_platform ORDER BY id ROWS UNBOUNDED PRECEDING) AS n FROM dups),
- walked AS (SELECT *, coalesce(early, CASE WHEN dup THEN 'duplicate' WHEN n > 6 THEN 'capped' ELSE 'scored' END) AS exit_reason FROM live)"""
+_WALK = f"""WITH RECURSIVE {JOBS}, base AS MATERIALIZED (SELECT row_number() OVER (ORDER BY ats_platform, id) AS k, id, dedupe_key, ats_platform, dedupe_key IN (SELECT dedupe_key FROM jobs WHERE status = 'closed') AS seen, contains(lower(title), 'thethe') AS denied, discovered_by = 'fr' AS region, length(description) < 400 AS short FROM jobs),
+ state AS (SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS id, '' AS ats_platform, 0 AS n, '' AS exit_reason, CAST([] AS VARCHAR[]) AS keys
+  UNION ALL SELECT k, id, ats_platform, n + CASE WHEN reason = 'scored' THEN 1 ELSE 0 END, reason, CASE WHEN reason = 'scored' THEN list_append(keys, dedupe_key) ELSE keys END FROM (
+   SELECT *, CASE WHEN stopped THEN 'unread' WHEN seen THEN 'seen' WHEN list_contains(keys, dedupe_key) THEN 'duplicate' WHEN denied THEN 'denied' WHEN region THEN 'region' WHEN n >= 6 THEN 'capped' WHEN short THEN 'short' ELSE 'scored' END AS reason FROM (
+    SELECT b.*, s.keys, CASE WHEN b.ats_platform = s.ats_platform THEN s.n ELSE 0 END AS n, b.ats_platform = s.ats_platform AND s.exit_reason IN ('capped', 'unread') AS stopped FROM state s JOIN base b ON b.k = s.k + 1))),
+ walked AS (SELECT id, ats_platform, exit_reason FROM state WHERE k > 0)"""
 
 
 def _walked(spark, d):
     j = jobs(spark, d)
     return dedupe.poll(
-        j, j.where(F.col("status") == "closed"), denied=F.contains(F.lower("title"), F.lit("the")), allowed=F.col("discovered_by") != "fr", long_enough=F.length("description") >= 400, max_new=6, target="ats_platform", pos="id",
+        j, j.where(F.col("status") == "closed"), denied=F.contains(F.lower("title"), F.lit("thethe")), allowed=F.col("discovered_by") != "fr", long_enough=F.length("description") >= 400, max_new=6, target="ats_platform", pos="id",
     )
 
 
-@query(f"{WITH}, {_WALK} SELECT id, exit_reason FROM walked")
+@query(f"{_WALK} SELECT id, exit_reason FROM walked")
 def d1_poll_walk(spark, d):
     return _walked(spark, d).select("id", "exit_reason")
 
@@ -354,23 +354,30 @@ def d1_poll_walk(spark, d):
 _N = lambda name, *r: f"CAST(sum(CASE WHEN exit_reason IN ({', '.join(repr(x) for x in r)}) THEN 1 ELSE 0 END) AS BIGINT) AS {name}"
 
 
-@query(f"{WITH}, {_WALK} SELECT ats_platform, count(*) AS found, {_N('skipped_seen', 'seen', 'duplicate')}, {_N('denied', 'denied')}, {_N('out_of_region', 'region')}, {_N('too_short', 'short')}, {_N('capped', 'capped')}, {_N('scored', 'scored')} FROM walked GROUP BY ROLLUP (ats_platform)")
+@query(f"{_WALK} SELECT ats_platform, count(*) AS found, {_N('skipped_seen', 'seen', 'duplicate')}, {_N('denied', 'denied')}, {_N('out_of_region', 'region')}, {_N('too_short', 'short')}, {_N('capped', 'capped')}, {_N('scored', 'scored')} FROM walked GROUP BY ROLLUP (ats_platform)")
 def a6_run_totals(spark, d):
     return stats.run_totals(_walked(spark, d), "ats_platform")
 
 
 def _new_rows(spark, d):
-    j = jobs(spark, d).where(F.col("id") % 4 == 0)
-    return j.select(F.when(F.col("id") % 8 == 0, F.concat(F.lit("new"), (F.col("id") % 50).cast("string"))).otherwise(F.col("dedupe_key")).alias("dedupe_key"), F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.lit("New Co")).cast("string").alias("company"), (F.col("fit_score") / 2).alias("fit_score"), F.col("id").alias("pos"))
+    """A new row for each posting: some under a key that is unknown, some by their address only, some under neither."""
+    i = F.col("id")
+    return jobs(spark, d).select(
+        F.when(i % 8 == 0, F.concat(F.lit("new"), (i % 50).cast("string"))).when(i % 8 != 1, F.col("dedupe_key")).alias("dedupe_key"),
+        F.when(i % 16 == 1, F.concat(F.lit("https://new.example.com/"), (i % 60).cast("string"))).otherwise(F.col("url")).alias("url"),
+        F.when(i % 3 != 0, F.concat(F.lit("New "), i.cast("string"))).alias("company"), F.when(i % 5 != 0, F.col("fit_score") / 2).alias("fit_score"), i.alias("pos"),
+    )
 
 
-_CURRENT = "current AS (SELECT dedupe_key, company, fit_score, status, applied_at FROM jobs WHERE id < 400)"
-_FRESH = "fresh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dedupe_key ORDER BY pos DESC) AS n FROM (SELECT CASE WHEN id % 8 = 0 THEN 'new' || CAST(id % 50 AS VARCHAR) ELSE dedupe_key END AS dedupe_key, CASE WHEN id % 3 = 0 THEN NULL ELSE 'New Co' END AS company, fit_score / 2 AS fit_score, id AS pos FROM jobs WHERE id % 4 = 0)) WHERE n = 1)"
+_UPSERT = """fresh AS (SELECT CASE WHEN id % 8 = 0 THEN 'new' || CAST(id % 50 AS VARCHAR) WHEN id % 8 <> 1 THEN dedupe_key END AS dedupe_key, CASE WHEN id % 16 = 1 THEN 'https://new.example.com/' || CAST(id % 60 AS VARCHAR) ELSE url END AS url,
+  CASE WHEN id % 3 <> 0 THEN 'New ' || CAST(id AS VARCHAR) END AS company, CASE WHEN id % 5 <> 0 THEN fit_score / 2 END AS fit_score, id AS pos FROM jobs),
+ met AS (SELECT f.*, least((SELECT min(id) FROM jobs j WHERE j.dedupe_key = f.dedupe_key), (SELECT min(id) FROM jobs j WHERE j.url = f.url)) AS target FROM fresh f),
+ folded AS (SELECT coalesce('i' || CAST(target AS VARCHAR), 'k' || dedupe_key, 'u' || url) AS place, any_value(target) AS target, arg_max(dedupe_key, pos) FILTER (dedupe_key IS NOT NULL) AS dedupe_key, arg_max(url, pos) AS url, arg_max(company, pos) FILTER (company IS NOT NULL) AS company, arg_max(fit_score, pos) FILTER (fit_score IS NOT NULL) AS fit_score FROM met GROUP BY place)"""
 
 
-@query(f"{WITH}, {_CURRENT}, {_FRESH} SELECT coalesce(f.dedupe_key, c.dedupe_key) AS dedupe_key, coalesce(f.company, c.company) AS company, coalesce(f.fit_score, c.fit_score) AS fit_score, CASE WHEN c.dedupe_key IS NULL THEN 'discovered' ELSE c.status END AS status, c.applied_at FROM current c FULL JOIN fresh f ON c.dedupe_key = f.dedupe_key")
+@query(f"{WITH}, {_UPSERT} SELECT j.id, coalesce(j.dedupe_key, f.dedupe_key) AS dedupe_key, coalesce(f.url, j.url) AS url, coalesce(f.company, j.company) AS company, coalesce(f.fit_score, j.fit_score) AS fit_score, status, applied_at FROM jobs j LEFT JOIN folded f ON f.target = j.id UNION ALL SELECT NULL, dedupe_key, url, company, fit_score, 'discovered', NULL FROM folded WHERE target IS NULL")
 def m1_upsert(spark, d):
-    current = jobs(spark, d).where(F.col("id") < 400).select("dedupe_key", "company", "fit_score", "status", "applied_at")
+    current = jobs(spark, d).select("id", "dedupe_key", "url", "company", "fit_score", "status", "applied_at")
     return merge.upsert_jobs(current, _new_rows(spark, d), kept=("status", "applied_at"))
 
 
@@ -379,12 +386,12 @@ def m2_guarded_status(spark, d):
     return jobs(spark, d).select("id", merge.guarded_status(F.col("status"), F.when(F.col("id") % 2 == 0, "ranked")).alias("status"))
 
 
-_ACTIONS = "actions AS (SELECT user_id AS id, ts AS at, event_id, CASE event_id % 5 WHEN 0 THEN 'apply' WHEN 1 THEN 'reject' WHEN 2 THEN 'close' ELSE 'rank' END AS action FROM events WHERE event_id % 9 = 0)"
+_ACTIONS = "actions AS (SELECT user_id AS id, ts AS at, event_id, CASE event_id % 5 WHEN 0 THEN 'apply' WHEN 1 THEN 'reject' WHEN 2 THEN 'close' ELSE 'rank' END AS action FROM events)"
 
 
 @query(f"{WITH}, {_ACTIONS}, hard AS (SELECT id, arg_max(CASE action WHEN 'apply' THEN 'applied' ELSE 'closed' END, event_id) AS hard FROM actions WHERE action <> 'rank' GROUP BY id), soft AS (SELECT DISTINCT id FROM actions WHERE action = 'rank') SELECT j.id, coalesce(h.hard, CASE WHEN j.status IN ('discovered', 'ranked') AND s.id IS NOT NULL THEN 'ranked' ELSE j.status END) AS status FROM jobs j LEFT JOIN hard h USING (id) LEFT JOIN soft s ON j.id = s.id")
 def m3_fold_actions(spark, d):
-    e = table(prepare(spark), d, "events").where(F.col("event_id") % 9 == 0)
+    e = table(prepare(spark), d, "events")
     k = F.col("event_id") % 5
     actions = e.select(F.col("user_id").alias("id"), F.col("event_id").alias("at"), F.when(k == 0, "apply").when(k == 1, "reject").when(k == 2, "close").otherwise("rank").alias("action"))
     return merge.fold_actions(jobs(spark, d).withColumn("applied_at", F.lit(None).cast("long")), actions).select("id", "status")
@@ -435,7 +442,7 @@ def m10_merge_collisions(spark, d):
 
 # Screening
 
-_SCREEN = """base AS (SELECT doc_id AS id, length(text) AS n, regexp_matches(lower(substr(text, 1, 40)), '\\b(intern|internship|apprentice|new[- ]grad|are)\\b') AS word,
+_SCREEN = """base AS (SELECT doc_id AS id, length(text) AS n, trim(coalesce(text, '')) = '' OR regexp_matches(lower(text), '(?:^|[^\\p{L}\\p{N}_])(intern|internship|apprentice|new[- ]grad|are)(?:$|[^\\p{L}\\p{N}_])') AS word,
  CASE doc_id % 6 WHEN 0 THEN 'platform' WHEN 1 THEN 'sre' WHEN 2 THEN 'sales' WHEN 3 THEN NULL ELSE 'devops' END AS family, doc_id % 19 = 0 AS triage_error, doc_id % 23 = 0 AS gate_error, doc_id % 7 = 0 AS gate, doc_id % 2 = 0 AS worth, doc_id % 50 AS sketch FROM documents),
  staged AS (SELECT *, CASE WHEN word OR n < 200 THEN 'rules' WHEN NOT triage_error AND coalesce(family, '') NOT IN ('platform', 'devops', 'build-release', 'developer-experience', 'infrastructure', 'sre') THEN 'triage' WHEN gate_error THEN 'error' ELSE 'gates' END AS stage FROM base),
  judged AS (SELECT *, stage = 'error' OR (stage = 'gates' AND NOT gate AND NOT (NOT worth AND sketch < 25)) AS keep FROM staged)"""
@@ -445,7 +452,7 @@ def _screened(spark, d):
     i = F.col("doc_id")
     gates = F.when(i % 7 == 0, F.array(F.struct(F.lit("visa").alias("gate"), F.lit("none").alias("evidence")))).otherwise(F.array(F.struct(F.lit("pay").alias("gate"), F.lit(" ").alias("evidence"))))
     p = table(prepare(spark), d, "documents").select(
-        i.alias("id"), i.alias("pos"), F.substring("text", 1, 40).alias("title"), F.col("text").alias("description"),
+        i.alias("id"), i.alias("pos"), F.col("text").alias("title"), F.col("text").alias("description"),
         F.when(i % 6 == 0, "platform").when(i % 6 == 1, "sre").when(i % 6 == 2, "sales").when(i % 6 == 3, F.lit(None)).otherwise("devops").alias("family"),
         F.when(i % 19 == 0, "timeout").alias("triage_error"), F.when(i % 23 == 0, "timeout").alias("gate_error"), gates.alias("gate_failures"), (i % 2 == 0).alias("worth"), (i % 50).cast("int").alias("fit_sketch"),
     )
@@ -512,7 +519,7 @@ def o12_last_turns(spark, d):
 _TRACK = "|".join(urls.TRACKING)
 
 
-@query(f"SELECT page_id, regexp_replace(regexp_extract(url, '^([^?#]*)', 1), '/+$', '') || CASE WHEN coalesce(q, '') = '' THEN '' ELSE '?' || q END AS canonical FROM (SELECT page_id, url, array_to_string(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda p: regexp_matches(p, '^[^=]+=.+$') AND NOT regexp_matches(p, '^({_TRACK})=')), '&') AS q FROM pages)")
+@query(f"SELECT page_id, CASE WHEN regexp_matches(url, '^[a-z]+://[^/?#]+/(?:[?#]|$)') THEN regexp_extract(url, '^([^?#]*)', 1) ELSE regexp_replace(regexp_extract(url, '^([^?#]*)', 1), '/+$', '') END || CASE WHEN coalesce(q, '') = '' THEN '' ELSE '?' || q END AS canonical FROM (SELECT page_id, url, array_to_string(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda p: regexp_matches(p, '^[^=]+=.+$') AND NOT regexp_matches(p, '^({_TRACK})=')), '&') AS q FROM pages)")
 def x1_canonical_url(spark, d):
     return table(prepare(spark), d, "pages").select("page_id", urls.canonical_url(F.col("url")).alias("canonical"))
 
@@ -524,6 +531,7 @@ _KEYS = [
     ("https://www.linkedin.com/jobs/view/55501", "linkedin:55501"), ("https://www.linkedin.com/jobs/search/?currentJobId=55501", "linkedin:55501"), (f"https://jobs.ashbyhq.com/acme/{_U}/application", "ashby:0a1b2c3d"),
     (f"https://acme.example/c?ashby_jid={_U}", "ashby:0a1b2c3d"), (f"https://jobs.lever.co/acme/{_U}/apply", "lever:0a1b2c3d"), ("https://careers-acme.icims.com/jobs/77/data-eng/job?iis=x", "icims:careers-acme:77"),
     (f"https://ats.rippling.com/acme/jobs/{_U}?src=x", "rippling:0a1b2c3d"), ("https://h.taleo.net/x?org=ACME&rid=9&cws=1", "taleo:acme:9"), ("https://acme.example/roles/5/?utm_source=x&a=1#top", "https://acme.example/roles/5?a=1"),
+    ("https://acme.example/", "https://acme.example/"), ("https://acme.example/?utm_source=x", "https://acme.example/"), ("https://acme.example/a~b/?q=c~d*e&p=1%202", "https://acme.example/a~b?q=c~d%2Ae&p=1+2"), ("HTTPS://acme.example?ref=1", "https://acme.example"),
     ("manual-paste-1", "manual-paste-1"), ("", ""),
 ]
 
@@ -567,7 +575,7 @@ def x15_strip_html(spark, d):
     return table(prepare(spark), d, "pages").select("page_id", F.md5(F.encode(text.strip_html(F.col("html")), "utf-8")).alias("text_md5"))
 
 
-_HEADS = [("Acme Inc | Senior Platform Engineer | Remote", "Acme Inc", "Senior Platform Engineer"), ("Foo - remote - SRE", "Foo", "SRE"), ("Bar | $120k | New York, NY", "Bar", "")]
+_HEADS = [("Acme Inc | Senior Platform Engineer | Remote", "Acme Inc", "Senior Platform Engineer"), ("Foo - remote - SRE", "Foo", "SRE"), ("Bar | $120k | New York, NY", "Bar", "New York, NY"), ("Foo | US | SRE", "Foo", "SRE"), ("Bar | Full-time | Data Engineer", "Bar", "Data Engineer"), ("Baz \u2022 Usage analyst", "Baz", "Usage analyst"), ("Q-Corp \u2013 x | visa: yes", "Q-Corp \u2013 x", ""), ("", "", "")]
 
 
 @query(f"SELECT line, company, title FROM {_literals(_HEADS, 'line, company, title')}")
@@ -575,7 +583,7 @@ def x18_company_and_title(spark, d):
     return _values(spark, "line string", [(h[0],) for h in _HEADS]).select("line", text.company_and_title(F.col("line"))["company"].alias("company"), text.company_and_title(F.col("line"))["title"].alias("title"))
 
 
-_LINKS = [("see https://x.com/a and https://jobs.lever.co/b.", "https://jobs.lever.co/b"), ("at https://acme.example/about, or", "https://acme.example/about"), ("none", None)]
+_LINKS = [("see https://x.com/a and https://jobs.lever.co/b.", "https://jobs.lever.co/b"), ("at https://acme.example/about, or", "https://acme.example/about"), ("none", None), ("(https://a.example/x), https://b.example/JOBS/1;", "https://b.example/JOBS/1"), ("http://github.com/orgs/a", None)]
 
 
 @query(f"SELECT t, url FROM {_literals(_LINKS, 't, url')}")

@@ -7,10 +7,12 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterable
 from functools import cache
 from pathlib import Path
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,13 +20,32 @@ REPO = str(Path(__file__).resolve().parent.parent)
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@cache
+def _send(application: str) -> None:
+    """Send this package, as a zip file, to the executors, which need not see the driver's folders; once an application."""
+    target = os.path.join(tempfile.mkdtemp(prefix="larkspur-code-"), "larkspur.zip")
+    with zipfile.ZipFile(target, "w") as archive:
+        for path in sorted(Path(REPO, "larkspur").rglob("*.py")):
+            archive.write(path, path.relative_to(REPO))
+    atexit.register(shutil.rmtree, os.path.dirname(target), ignore_errors=True)
+    SparkContext.getOrCreate().addPyFile(target)
+
+
+def _on_one_machine(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the session to UTC and make this package importable in the Python workers."""
+    """Pin the session to UTC and make this package importable in the Python workers: by path on one machine, as a file that Spark sends elsewhere."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    sc = spark.sparkContext
+    if not _on_one_machine(spark):
+        _send(sc.applicationId)
+        return spark
+    paths = [p for p in sc.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if REPO not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([REPO, *paths])
+        sc.environment["PYTHONPATH"] = os.pathsep.join([REPO, *paths])
     return spark
 
 
@@ -55,10 +76,9 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    sc = spark.sparkContext
-    if sc.master != "local" and not sc.master.startswith("local["):
+    if not _on_one_machine(spark):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return _own_folder(sc.applicationId)
+    return _own_folder(spark.sparkContext.applicationId)
 
 
 def delete(spark: SparkSession, path: str) -> None:
