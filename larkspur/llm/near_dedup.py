@@ -272,7 +272,7 @@ def components(links: DataFrame, scratch: Scratch, per_task: int = LINKS_PER_TAS
 def _labelled(rows: DataFrame, key: str, found: DataFrame, name: str) -> DataFrame:
     """rows with the components of the ids in key, in a column of that name."""
     own = found.select(F.col("node").alias(key), F.col("component").alias("_own"))
-    return rows.join(own, key, "left").withColumn(name, F.coalesce("_own", key)).drop("_own")
+    return rows.join(own.hint("merge"), key, "left").withColumn(name, F.coalesce("_own", key)).drop("_own")
 
 
 def grouped(sketches: DataFrame, texts: Texts, percent: int, scratch: Scratch, *, partners: int = PARTNERS, per_task: int = LINKS_PER_TASK) -> DataFrame:
@@ -283,11 +283,11 @@ def grouped(sketches: DataFrame, texts: Texts, percent: int, scratch: Scratch, *
     classes = full.groupBy("class_a", "class_b").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"))
     entries = classes.select("id", "size", F.explode("bands").alias("bucket"))
     shared = scratch.save(entries.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1))
-    # shared grows with the documents, so it is never broadcast
+    # What these joins meet grows with the documents, so it is never broadcast, and the plan is the same at every size.
     met = scratch.save(entries.join(shared.hint("merge"), "bucket"))
     rank = met.groupBy("id").agg((-F.sum("n")).alias("rank"))
-    hubs = met.join(rank, "id").groupBy("bucket").agg(F.min(F.struct("rank", F.col("id").alias("hub"), F.col("size").alias("hub_size"))).alias("first"))
-    stars = scratch.save(met.join(hubs, "bucket").where(F.col("id") != F.col("first.hub")).select("bucket", "n", "id", "size", "first"))
+    hubs = met.join(rank.hint("merge"), "id").groupBy("bucket").agg(F.min(F.struct("rank", F.col("id").alias("hub"), F.col("size").alias("hub_size"))).alias("first"))
+    stars = scratch.save(met.join(hubs.hint("merge"), "bucket").where(F.col("id") != F.col("first.hub")).select("bucket", "n", "id", "size", "first"))
     # the most central hub of each class
     best = stars.groupBy("id", "size").agg(F.min("first").alias("first"))
     links = scratch.save(verified(best.where(alike(F.col("size"), F.col("first.hub_size"))).select(F.col("first.hub").alias("a"), F.col("id").alias("b"))))
@@ -295,7 +295,7 @@ def grouped(sketches: DataFrame, texts: Texts, percent: int, scratch: Scratch, *
     found = components(links, scratch, per_task)
     # its other hubs, as far as they are in other components
     others = stars.where(alike(F.col("size"), F.col("first.hub_size"))).select(F.col("first.hub").alias("a"), F.col("id").alias("b")).distinct()
-    others = others.join(best.select(F.col("id").alias("b"), F.col("first.hub").alias("best")), "b").where(F.col("a") != F.col("best"))
+    others = others.join(best.select(F.col("id").alias("b"), F.col("first.hub").alias("best")).hint("merge"), "b").where(F.col("a") != F.col("best"))
     across = _labelled(_labelled(others, "a", found, "c_a"), "b", found, "c_b").where(F.col("c_a") != F.col("c_b")).select("a", "b")
     links = scratch.save(links.unionByName(verified(across)))
     found = components(links, scratch, per_task)
@@ -303,7 +303,7 @@ def grouped(sketches: DataFrame, texts: Texts, percent: int, scratch: Scratch, *
     known = _labelled(stars.where(F.col("n") > 2).select("bucket", "id", "size", F.col("first.hub").alias("hub")), "id", found, "component")
     parts = known.groupBy("bucket", "component").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("same"))
     pairs_left = (F.col("n") * F.col("n") - F.col("same")) / 2
-    apart = scratch.save(known.join(parts.where(pairs_left > 0).select("bucket", (pairs_left <= F.col("n") * partners).alias("few")), "bucket"))
+    apart = scratch.save(known.join(parts.where(pairs_left > 0).select("bucket", (pairs_left <= F.col("n") * partners).alias("few")).hint("merge"), "bucket"))
     few = apart.where("few")
     other = few.select("bucket", F.col("id").alias("a"), F.col("size").alias("a_size"), F.col("component").alias("other"))
     met_in = few.join(other, "bucket").where((F.col("a") < F.col("id")) & (F.col("other") != F.col("component")) & alike(F.col("size"), F.col("a_size")))
@@ -324,7 +324,7 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
         found = grouped(sketches, Texts(documents, doc_id, text, words_per_shingle, scratch), percent, scratch, **limits)
         one = sketches.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("class_a", "class_b").agg(F.min("doc_id").alias("node"))
         named = _labelled(one, "node", found, "component").drop("node")
-        out = sketches.select("doc_id", "n_shingles", "class_a", "class_b").join(named, ["class_a", "class_b"], "left")
+        out = sketches.select("doc_id", "n_shingles", "class_a", "class_b").join(named.hint("merge"), ["class_a", "class_b"], "left")
         component = F.coalesce("component", "doc_id")
         return saved(out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")))
 
