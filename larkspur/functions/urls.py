@@ -132,7 +132,7 @@ def host_platform(host: Column) -> Column:
 
 def embedded_board(html: Column) -> Column:
     """The address of the first job board that a page embeds, in order of platforms."""
-    page = F.substring(html, 1, 500_000)
+    page = html
     wd = "([a-z0-9-]+\\.[a-z0-9-]+\\.myworkdayjobs\\.com)/([^/\"']+)/([^/?#\"']+)"
     return F.coalesce(
         F.concat(F.lit("https://boards.greenhouse.io/"), F.coalesce(_found(page, "boards\\.greenhouse\\.io/embed/job_board/js\\?for=([^\"'&]+)"), _found(page, "(?:job-)?boards\\.greenhouse\\.io/([a-z0-9_-]+)/jobs"))),
@@ -203,3 +203,32 @@ def posting_id(url: Column, platform: Column, row_id: Column) -> Column:
     wd = F.when(platform == "workday", _found(at, "_([A-Z]*\\d+)$"))
     uuid = F.when(platform.isin("ashby", "lever") & F.rlike(at, F.lit("[^/]")), F.substring_index(last, "-", 1))
     return F.coalesce(gh, wd, uuid, row_id.cast("string"))
+
+
+def url_quote(text: Column) -> Column:
+    """Percent-encoded for a path: slashes stay, spaces are %20."""
+    return F.replace(F.replace(_quoted(text), F.lit("+"), F.lit("%20")), F.lit("%2F"), F.lit("/"))
+
+
+def client_key(url: Column) -> Column:
+    """The key that the browser client makes: as dedupe_key, but LinkedIn comes first and reads its parameter before the path, hosts are
+    compared in lower case and by their ends, and what has no key keeps its slashes and posting ids as any other address.
+    """
+    host, at = F.lower(F.regexp_replace(F.regexp_replace(netloc(url), "^.*@", ""), ":\\d+$", "")), path(url)
+    linked = F.when(F.contains(host, F.lit("linkedin.com")), F.concat(F.lit("linkedin:"), F.coalesce(parameter(url, "currentJobId"), _found(at, "/jobs/view/(\\d+)"))))
+    token = F.when(F.startswith(at, F.lit("/embed/job_app")), F.nullif(F.regexp_extract(parameter(url, "token"), "^([0-9]+)$", 1), F.lit("")))
+    gh = F.coalesce(parameter(url, "gh_jid"), F.when(F.endswith(host, F.lit("greenhouse.io")), F.coalesce(_found(at, "^/[^/]+/jobs/(\\d+)/?$"), token)))
+    wd = F.when(F.endswith(host, F.lit(".myworkdayjobs.com")), F.concat(F.lit("wd:"), host, F.lit(":"), requisition_id(at)))
+    stanza = lambda pattern: F.substring_index(_found(at, pattern), "-", 1)
+    rest = [
+        F.concat(F.lit("ashby:"), F.substring_index(F.coalesce(parameter(url, "ashby_jid"), F.when(host == "jobs.ashbyhq.com", _found(at, f"(?i)^/[^/]+/({UUID})(?:/.*)?$"))), "-", 1)),
+        F.when(host == "jobs.lever.co", F.concat(F.lit("lever:"), stanza(f"(?i)^/[^/]+/({UUID})(?:/.*)?$"))),
+        F.when(host == "ats.rippling.com", F.concat(F.lit("rippling:"), stanza(f"(?i)^/[^/]+/jobs/({UUID})(?:/.*)?$"))),
+        F.when(F.endswith(host, F.lit(".icims.com")), F.concat(F.lit("icims:"), F.substring_index(host, ".", 1), F.lit(":"), _found(at, "^/jobs/(\\d+)/"))),
+        F.when(F.contains(host, F.lit("taleo.net")), F.concat(F.lit("taleo:"), F.lower(parameter(url, "org")), F.lit(":"), parameter(url, "rid"))),
+    ]
+    pairs = F.filter(F.split(query(url), "&"), lambda p: (p != "") & ~decoded(F.substring_index(p, "=", 1)).isin(TRACKING))
+    kept = F.array_join(F.transform(pairs, lambda p: F.concat(_quoted(decoded(F.substring_index(p, "=", 1))), F.lit("="), F.when(F.contains(p, F.lit("=")), _quoted(decoded(F.substring(p, F.instr(p, "=") + 1, F.length(p))))).otherwise(""))), "&")
+    root = F.when(at == "", F.lit("/")).when(F.length(at) > 1, F.regexp_replace(at, "/+$", "")).otherwise(at)
+    plain = F.concat(scheme(url), F.lit("://"), F.lower(F.regexp_replace(netloc(url), "^.*@", "")), root, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""))
+    return F.when(url.isNull() | (url == "") | (scheme(url) == ""), url).otherwise(F.coalesce(linked, F.concat(F.lit("gh:"), gh), wd, *rest, plain))

@@ -49,7 +49,7 @@ def location_verdict(location: Column, allow: list[str] = ALLOWED_LOCATIONS, den
 
 def csv_or_default(raw: Column, default: list[str]) -> Column:
     """The listed values; the default only where nothing is set, as an empty text is an empty list."""
-    parts = F.filter(F.transform(F.split(raw, ","), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(raw, ","), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(raw.isNotNull(), parts).otherwise(F.array(*map(F.lit, default)))
 
 

@@ -78,6 +78,19 @@ def sync_codes(current: DataFrame, listed: DataFrame) -> DataFrame:
     )
 
 
+def put_codes(current: DataFrame, new: DataFrame) -> DataFrame:
+    """Codes after some were put in by hand (code, label, expires, url_auth, note, created_at): each replaces what there was, as live and by hand."""
+    fresh = new.select("code", "label", "expires", "url_auth", F.lit(0).alias("revoked"), "note", F.lit("cli").alias("source"), "created_at")
+    return current.join(new.select("code"), "code", "left_anti").select(current.columns).unionByName(fresh.select(current.columns))
+
+
+def revoke_codes(current: DataFrame, codes: DataFrame) -> DataFrame:
+    """Codes after some were revoked; those that a file lists don't take it."""
+    named = codes.select("code", F.lit(True).alias("_named")).distinct()
+    gone = F.coalesce(F.col("_named"), F.lit(False)) & (F.col("source") == "cli")
+    return current.join(named, "code", "left").withColumn("revoked", F.when(gone, F.lit(1)).otherwise(F.col("revoked"))).select(current.columns)
+
+
 def exchanges(log: DataFrame) -> DataFrame:
     """Two messages of each exchange; missing usage is 0."""
     usage = ["input_tokens", "cache_read_tokens", "cache_write_tokens", "output_tokens"]
@@ -106,7 +119,7 @@ def merge_collisions(jobs: DataFrame, key: str = "dedupe_key") -> DataFrame:
 
 def update_targets(current: DataFrame, changes: DataFrame) -> DataFrame:
     """Changed columns of config rows; a deny list comes as lines of text."""
-    lines = F.filter(F.transform(F.split("deny_lines", "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("deny_lines", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     ch = changes.withColumn("deny_list", F.when(F.col("deny_lines").isNotNull(), F.to_json(lines))).drop("deny_lines").alias("n")
     columns = [c for c in current.columns if c != "id"]
     n = ch.columns

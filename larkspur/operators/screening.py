@@ -44,3 +44,27 @@ def screen(postings: DataFrame, *, extra_titles: list[str] = (), min_length: int
 def submittable(decisions: DataFrame, cap: int = 25) -> DataFrame:
     """Kept decisions that are no errors, the best first."""
     return decisions.where(F.col("keep") & (F.col("stage") != "error")).orderBy(F.desc(F.coalesce("fit_sketch", F.lit(0))), "pos").limit(cap)
+
+
+SENIOR = "(?i)(?U)\\b(senior|sr|lead)\\b"
+
+
+def screen_single(postings: DataFrame, *, extra_titles: list[str] = (), min_length: int = 200) -> DataFrame:
+    """The screen of single postings: as `screen`, but the triage model's own verdict counts (triage_keep), unless it is unsure of the level
+    (triage_level) or the title speaks of seniority; what a model failed on is kept as an error; stage is kept for those that pass.
+    """
+    title = F.trim(F.coalesce("title", F.lit("")))
+    word = title_drop(title, extra_titles)
+    gates = F.filter("gate_failures", lambda g: F.coalesce(F.trim(g["evidence"]), F.lit("")) != "")
+    unsure = F.coalesce(F.col("triage_level") == "unclear", F.lit(False)) | F.rlike(title, F.lit(SENIOR))
+    fit = F.coalesce("fit_sketch", F.lit(0))
+    low = ~F.coalesce(F.col("worth"), F.lit(False)) & (fit < MIN_SKETCH)
+    stage = (
+        F.when(word.isNotNull() | ~long_enough(F.trim("description"), min_length), "rules")
+        .when(F.col("triage_error").isNotNull(), "error")
+        .when(~F.coalesce(F.col("triage_keep"), F.lit(False)) & ~unsure, "triage")
+        .when(F.col("gate_error").isNotNull(), "error")
+        .when((F.coalesce(F.size(gates), F.lit(0)) > 0) | low, "gates")
+        .otherwise("kept")
+    )
+    return postings.withColumn("stage", stage).withColumn("keep", F.col("stage").isin("error", "kept"))

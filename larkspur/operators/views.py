@@ -45,6 +45,11 @@ def live_rank(jobs: DataFrame, outcomes: DataFrame, as_of: Column, *, preference
     return with_stats(jobs, outcomes).withColumn("live_rank", rank)
 
 
+def reranked(jobs: DataFrame, outcomes: DataFrame, as_of: Column, **options) -> DataFrame:
+    """jobs with their rank written back."""
+    return live_rank(jobs, outcomes, as_of, **options).withColumn("rank_score", F.col("live_rank")).select(jobs.columns)
+
+
 def inbox(jobs: DataFrame, outcomes: DataFrame, as_of: Column, statuses: tuple[str, ...] = ("discovered", "ranked")) -> DataFrame:
     """Rows of the statuses with rank, label and age, best first."""
     ranked = live_rank(jobs, outcomes, as_of).where(F.col("status").isin(*statuses))

@@ -30,6 +30,11 @@ def budget_limit(events: DataFrame, key: str, cost: Column, limit: float = DOLLA
     return counter(events, key, cost, size=DAY, out="spent_after", **options).withColumn("spent_before", F.col("spent_after") - cost).withColumn("within", F.col("spent_before") < limit)
 
 
+def failure_limit(failures: DataFrame, key: str, limit: int = FAILURES_PER_HOUR, *, out: str = "within", **options) -> DataFrame:
+    """Whether another try was allowed when each failure came: fewer failures than the limit before it in its hour."""
+    return counter(failures, key, F.lit(1), out="_failures", **options).withColumn(out, F.col("_failures") - 1 < limit).drop("_failures")
+
+
 def live_counters(counters: DataFrame, now: Column, size: int) -> DataFrame:
     """Counters of the current window; older ones expire."""
     return counters.where(F.col("window") >= window_number(now, size))

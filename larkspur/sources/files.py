@@ -36,6 +36,27 @@ def corpus(spark: SparkSession, folder: str) -> DataFrame:
     return own.select("path", "modified", "doc.meta", "doc.body")
 
 
+def text_file(spark: SparkSession, path: str) -> DataFrame:
+    """A text with when it was modified and the SHA-256 of its bytes."""
+    raw = spark.read.format("binaryFile").load(path)
+    return raw.select("path", F.col("modificationTime").alias("modified"), F.decode("content", "utf-8").alias("text"), F.sha2("content", 256).alias("sha256"))
+
+
+def header(path: Column, meta: Column) -> Column:
+    """A document's line of title, type, date, tags and summary; path and folder stand in for the first two."""
+    has = lambda k: F.nullif(F.try_element_at(meta, F.lit(k)), F.lit(""))
+    title = F.concat(F.lit("title: "), F.coalesce(has("title"), path))
+    kind = F.concat(F.lit("type: "), F.coalesce(has("type"), F.substring_index(path, "/", 1)))
+    return F.concat_ws(" | ", title, kind, *(F.concat(F.lit(f"{k}: "), has(k)) for k in ("date", "tags", "summary")))
+
+
+def profile_card(documents: DataFrame, names: tuple[str, ...] = ("profile.md", "profile.txt")) -> DataFrame:
+    """One row, the card: header and first twelve lines of the profile document (path, meta, body), or that there is none."""
+    head = strip(F.array_join(F.slice(F.split("body", "\\r\\n|[\\n\\r]"), 1, 12), "\n"))
+    cards = documents.where(F.col("path").isin(*names)).select("path", F.concat(header(F.col("path"), F.col("meta")), F.lit("\n\n"), head).alias("card"))
+    return cards.agg(F.coalesce(F.min_by("card", "path"), F.lit("No profile document published.")).alias("card"))
+
+
 def fingerprint(files: DataFrame) -> DataFrame:
     """One row that changes with any path or time of modification: a sum over the files, in any order."""
     return files.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("path", "modified").cast("decimal(20,0)")), F.lit(0)).alias("fingerprint"))
@@ -54,8 +75,8 @@ def codes(lines: DataFrame, line: str = "line") -> DataFrame:
     """code, label, expires, url_auth, revoked and note of lines of the form code | label | options."""
     parts = F.transform(F.split(F.trim(line), "\\|"), strip)
     rows = lines.where(~F.rlike(line, F.lit("^\\s*(#|$)"))).select(parts.alias("p")).where((F.size("p") >= 2) & (F.get("p", 0) != ""))
-    rest = F.slice("p", 3, 100)
-    last = lambda key: F.element_at(F.concat(F.array(F.lit("")), F.transform(F.filter(rest, lambda x: F.startswith(x, F.lit(f"{key}="))), lambda x: F.substring(x, len(key) + 2, 10_000))), -1)
+    rest = F.slice("p", F.lit(3), F.greatest(F.size("p") - 2, F.lit(0)))
+    last = lambda key: F.element_at(F.concat(F.array(F.lit("")), F.transform(F.filter(rest, lambda x: F.startswith(x, F.lit(f"{key}="))), lambda x: F.substring(x, F.lit(len(key) + 2), F.length(x)))), -1)
     return rows.select(F.get("p", 0).alias("code"), F.get("p", 1).alias("label"), last("expires").alias("expires"), F.array_contains(rest, "url_auth").cast("int").alias("url_auth"), F.array_contains(rest, "revoked").cast("int").alias("revoked"), last("note").alias("note"))
 
 

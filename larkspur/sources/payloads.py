@@ -84,9 +84,13 @@ def rippling(payloads: DataFrame) -> DataFrame:
     return rows.select("target_id", _placed(rows, F.col("at")).alias("pos"), "j.url", F.col("j.name").alias("title"), F.lit(None).cast("string").alias("description"), F.lit(None).cast("string").alias("posted_at"), text.alias("location"))
 
 
+def _behind_first(parts: Column) -> Column:
+    return F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+
+
 def icims(pages: DataFrame, marker: str = "iCIMS_JobCardItem") -> DataFrame:
     """pages: target_id, tenant, page and payload, the HTML of a listing. An id counts where it comes first."""
-    blocks = pages.select("target_id", "tenant", "page", F.posexplode(F.slice(F.split("payload", f"<[^>]*{marker}[^>]*>"), 2, 10_000)).alias("at", "block"))
+    blocks = pages.select("target_id", "tenant", "page", F.posexplode(_behind_first(F.split("payload", f"<[^>]*{marker}[^>]*>"))).alias("at", "block"))
     link = lambda k: F.nullif(F.regexp_extract("block", "/jobs/(\\d+)/([^/\"?]+)/job", k), F.lit(""))
     title = F.nullif(F.regexp_extract("block", "title=\"\\d+ - ([^\"]*)\"", 1), F.lit(""))
     place = F.regexp_extract("block", "(?is)<dt[^>]*>.*?location.*?</dt>\\s*<dd[^>]*>\\s*<span[^>]*>(.*?)</span>", 1)

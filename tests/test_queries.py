@@ -4,8 +4,8 @@ import pytest
 from oracle import compare, connect
 
 import __spark_entry__ as entry_points
+from larkspur.plans import more_queries, source_queries  # noqa: F401  register their queries
 from larkspur.plans import queries as own
-from larkspur.plans import source_queries  # noqa: F401  registers its queries
 
 SMALL = "/root/testdata/sf0.001"
 
