@@ -86,7 +86,7 @@ _SEPARATE = bytes(b if ALNUM[b] else 32 for b in range(256))
 
 
 def scan(texts: pa.Array, sets: dict[int, Windows]) -> Iterator[tuple[int, np.ndarray, set[str], int, np.ndarray, np.ndarray]]:
-    """For each text: its place, marks of the words that are hit, items, number of words, starts and ends of words in bytes."""
+    """For each text: its place, marks of the words that are hit, items, number of words, starts and ends of words in its bytes."""
     for block in words(texts, ALNUM, FOLD):
         owner = block.owner()
         edge = np.zeros(len(block.hashes) + 1, np.int32)
@@ -107,7 +107,7 @@ def scan(texts: pa.Array, sets: dict[int, Windows]) -> Iterator[tuple[int, np.nd
         hit = np.cumsum(edge[:-1]) > 0
         for k, doc in enumerate(block.docs):
             a, b = block.bounds[k : k + 2]
-            yield int(doc), hit[a:b], items.get(k, set()), int(b - a), block.starts[a:b], block.ends[a:b]
+            yield int(doc), hit[a:b], items.get(k, set()), int(b - a), block.starts[a:b] - block.edges[k], block.ends[a:b] - block.edges[k]
 
 
 def _items(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> tuple[DataFrame, int]:

@@ -64,7 +64,7 @@ _BYTES, _WINDOWS = Powers(_BASE), Powers(_WINDOW_BASE)
 
 @dataclass
 class Words:
-    """The words of some documents, in order. doc: index in the batch; first: index of the first document; bounds: of the documents' words."""
+    """The words of some documents, in order. docs: indexes in the batch; bounds: of the documents' words; edges: of their bytes, to which starts and ends belong."""
 
     docs: np.ndarray
     bounds: np.ndarray
@@ -72,6 +72,7 @@ class Words:
     starts: np.ndarray
     ends: np.ndarray
     data: np.ndarray
+    edges: np.ndarray
 
     @property
     def counts(self) -> np.ndarray:
@@ -161,12 +162,12 @@ def words(array: pa.Array, inside: np.ndarray, fold: np.ndarray | None = FOLD) -
         if bounds[last] - origin <= 4 * BLOCK_BYTES:
             own = bounds[first : last + 1] - origin
             folded, starts, ends, hashes = _scan(data[origin : bounds[last]], own, fold, inside)
-            yield Words(docs, np.searchsorted(starts, own), hashes, starts, ends, folded)
+            yield Words(docs, np.searchsorted(starts, own), hashes, starts, ends, folded, own)
         else:
             cuts = _cuts(data, origin, int(bounds[last]), inside, fold)
             parts = [_scan(data[a:b], np.array([0, b - a]), fold, inside) for a, b in zip(cuts, cuts[1:], strict=False)]
             hashes = np.concatenate([p[3] for p in parts])
             starts = np.concatenate([p[1] + a - origin for p, a in zip(parts, cuts, strict=False)])
             ends = np.concatenate([p[2] + a - origin for p, a in zip(parts, cuts, strict=False)])
-            yield Words(docs, np.array([0, len(hashes)]), hashes, starts, ends, np.concatenate([p[0] for p in parts]))
+            yield Words(docs, np.array([0, len(hashes)]), hashes, starts, ends, np.concatenate([p[0] for p in parts]), np.array([0, int(bounds[last]) - origin]))
         first = last
