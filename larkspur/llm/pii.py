@@ -198,16 +198,20 @@ def traits(text: str, span: Span) -> tuple[str, ...]:
     )
 
 
-#: What a labeler is trusted with at first: it says yes to 8 of 10 right candidates and to 3 of 10 wrong ones.
-YES, FALSE_YES = 0.8, 0.3
-START = {f"{name}=1": math.log(YES / FALSE_YES) for name in LABELERS} | {f"{name}=-1": 1.5 * math.log((1 - YES) / (1 - FALSE_YES)) for name in LABELERS}
+#: What a labeler is thought to say at first of right candidates and of wrong ones. That it abstains tells something as well:
+#: a labeler that only ever says yes would else tell nothing.
+SAYS = {True: {1: 0.5, 0: 0.4, -1: 0.1}, False: {1: 0.2, 0: 0.4, -1: 0.4}}
+START = {f"{name}={v}": math.log(SAYS[True][v] / SAYS[False][v]) for name in LABELERS for v in (1, 0, -1)}
+#: Votes that are imagined beside those cast, of all kinds and then of each; no estimate is below the least.
+IMAGINED, LEAST = 10, 0.02
 #: A candidate as it is counted: kind, whether it is a base span, votes, traits.
 Pattern = tuple[str, bool, tuple[int, ...], tuple[str, ...]]
 
 
 def _features(kind: str, cast: tuple[int, ...], seen: tuple[str, ...]) -> list[str]:
     """Features of the classifier."""
-    return ["bias", f"kind={kind}", *(f"{name}={v}" for name, v in zip(LABELERS, cast, strict=True) if v), *(f"{kind}.{name}={v}" for name, v in zip(TRAITS, seen, strict=True))]
+    votes_cast = [f"{name}={v}" for name, v in zip(LABELERS, cast, strict=True)]
+    return ["bias", f"kind={kind}", *votes_cast, *(f"{kind}.{f}" for f in votes_cast), *(f"{kind}.{name}={v}" for name, v in zip(TRAITS, seen, strict=True))]
 
 
 def expectation_maximisation(patterns: dict[Pattern, int], iterations: int = ITERATIONS) -> dict[Pattern, float]:
@@ -215,34 +219,33 @@ def expectation_maximisation(patterns: dict[Pattern, int], iterations: int = ITE
     counts: dict[tuple, int] = {}
     for (kind, base, cast, _), n in patterns.items():
         counts[kind, base, cast] = counts.get((kind, base, cast), 0) + n
-    right = {(kind, name): YES for kind in KINDS for name in LABELERS}
-    wrong = {(kind, name): FALSE_YES for kind in KINDS for name in LABELERS}
+    says = {(side, kind, name): dict(SAYS[side]) for side in SAYS for kind in KINDS for name in LABELERS}
     prior: dict[str, float] = dict.fromkeys(KINDS, 0.5)
     p: dict[tuple, float] = {}
+
+    def estimated(own: dict[int, float], lean: dict[int, float]) -> dict[int, float]:
+        total = sum(own.values()) + IMAGINED
+        return {v: max((own[v] + IMAGINED * lean[v]) / total, LEAST) for v in lean}
+
     for _ in range(iterations):
         for kind, base, cast in counts:
             odds = math.log(prior[kind] / (1 - prior[kind]))
             for name, v in zip(LABELERS, cast, strict=True):
-                if v:
-                    yes, false_yes = right[kind, name], wrong[kind, name]
-                    odds += math.log(yes / false_yes) if v > 0 else math.log((1 - yes) / (1 - false_yes))
+                odds += math.log(says[True, kind, name][v] / says[False, kind, name][v])
             p[kind, base, cast] = 1.0 if base else 1 / (1 + math.exp(-odds))
         for k, name in enumerate(LABELERS):
-            for side, sign in ((right, 1), (wrong, 0)):
-                votes_of = {kind: [0.0, 0.0] for kind in KINDS}
+            for side in SAYS:
+                seen = {kind: dict.fromkeys((1, 0, -1), 0.0) for kind in KINDS}
                 for x, n in counts.items():
-                    if x[2][k]:
-                        weight = n * (p[x] if sign else 1 - p[x])
-                        votes_of[x[0]][0] += weight * (x[2][k] > 0)
-                        votes_of[x[0]][1] += weight
-                # all kinds start from ten imagined votes, and each kind from ten like those of all kinds
-                yes, cast_all = (sum(v[i] for v in votes_of.values()) for i in (0, 1))
-                overall = (10 * (YES if sign else FALSE_YES) + yes) / (10 + cast_all)
-                for kind, (yes, cast_own) in votes_of.items():
-                    side[kind, name] = min(max((10 * overall + yes) / (10 + cast_own), 0.05), 0.95)
+                    seen[x[0]][x[2][k]] += n * (p[x] if side else 1 - p[x])
+                overall = estimated({v: sum(of[v] for of in seen.values()) for v in (1, 0, -1)}, SAYS[side])
+                for kind, own in seen.items():
+                    says[side, kind, name] = estimated(own, overall)
             for kind in KINDS:
-                if right[kind, name] < wrong[kind, name]:
-                    right[kind, name] = wrong[kind, name] = (right[kind, name] + wrong[kind, name]) / 2
+                right, wrong = says[True, kind, name], says[False, kind, name]
+                for v in (1, -1):  # a yes never speaks against a candidate, a no never for it
+                    if (right[v] - wrong[v]) * v < 0:
+                        right[v] = wrong[v] = (right[v] + wrong[v]) / 2
         for kind in KINDS:
             own = [(x, n) for x, n in counts.items() if x[0] == kind and not x[1]]
             prior[kind] = min(max((5 + sum(n * p[x] for x, n in own)) / (10 + sum(n for _, n in own)), 0.1), 0.9)
