@@ -101,6 +101,12 @@ def exchanges(log: DataFrame) -> DataFrame:
     return log.select("session_id", "at", F.posexplode(F.array(asked, answered)).alias("part", "m")).select("session_id", "at", "part", "m.*")
 
 
+def touched_by(sessions: DataFrame, log: DataFrame) -> DataFrame:
+    """Sessions (session_id, last_active_at, ...) after the exchanges of a log (session_id, at)."""
+    last = log.groupBy("session_id").agg(F.max("at").alias("_at"))
+    return sessions.join(last, "session_id", "left").withColumn("last_active_at", F.greatest("last_active_at", "_at")).select(sessions.columns)
+
+
 def delete(jobs: DataFrame, outcomes: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both tables without the ids."""
     return jobs.join(ids, "id", "left_anti"), outcomes.join(ids.withColumnRenamed("id", "job_id"), "job_id", "left_anti")

@@ -366,6 +366,13 @@ def m7_codes(spark, d):
     return merge.put_codes(gone, new).select("code", "label", "revoked", "source")
 
 
+@query("SELECT c.conv_id AS session_id, greatest(2, max(a.turn) FILTER (a.role = 'assistant')) AS last_active_at FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN conversations a USING (conv_id) GROUP BY c.conv_id")
+def m8_touched_sessions(spark, d):
+    c = table(prepare(spark), d, "conversations")
+    sessions = c.select(F.col("conv_id").alias("session_id"), F.lit(2).cast(c.schema["turn"].dataType).alias("last_active_at")).distinct()
+    return merge.touched_by(sessions, c.where(F.col("role") == "assistant").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("at")))
+
+
 # Targets
 
 

@@ -1,4 +1,4 @@
-"""Queries over captured payloads and kept lists, given as literals; their SQL states the expected rows."""
+"""Queries over captured payloads and kept lists: payloads made of documents where SQL can say what they hold, else literals whose rows the SQL states."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from larkspur.session import prepare, table
 from larkspur.sources import files, payloads
 
 from .queries import _literals, _values, query
@@ -18,32 +19,48 @@ def _rows(spark, reader, data, schema=_BOARD):
     return reader(_values(spark, schema, data)).select(*_SHOWN.split(", "))
 
 
-_GREENHOUSE = json.dumps({"jobs": [
-    {"absolute_url": "u1", "title": "Old", "content": "&lt;p&gt;a", "first_published": "2024-01-01T00:00:00Z", "updated_at": "2024-05-01", "location": {"name": "Berlin"}},
-    {"absolute_url": "u2", "title": "New", "content": "<p>b&amp;c</p>", "first_published": "2024-02-01T00:00:00Z"},
-    {"absolute_url": "u3", "title": "Undated", "content": None, "updated_at": "2024-03-01"},
-]})
+def _boards(spark, d, job, of="source"):
+    """A payload for each source of documents: an array of what job makes of each document, in order of ids, under a name if there is one."""
+    docs = table(prepare(spark), d, "documents").select(F.regexp_extract("source", "\\d+", 0).cast("long").alias("target_id"), F.struct("doc_id", job.alias("j")).alias("x"))
+    array = F.transform(F.sort_array(F.collect_list("x")), lambda x: x["j"])
+    return docs.groupBy("target_id").agg((F.to_json(F.struct(array.alias("jobs"))) if of == "jobs" else F.to_json(array)).alias("payload")).unionByName(_values(spark, _BOARD, [(-1, "not json")]))
 
 
-@query(f"SELECT * FROM {_literals([(0, 'u2', 'New', 'b&c', '2024-02-01', ''), (1, 'u1', 'Old', '<p>a', '2024-01-01', 'Berlin'), (2, 'u3', 'Undated', '', '2024-03-01', '')], _SHOWN)}")
-def s9_greenhouse(spark, d):
-    return _rows(spark, payloads.greenhouse, [(1, _GREENHOUSE), (2, "not json")])
+_I = F.col("doc_id")
+_ID = lambda prefix: F.concat(F.lit(prefix), _I.cast("string"))
+_DAY = lambda n: F.date_format(F.date_sub(F.lit("2024-01-31"), (_I % n).cast("int")), "yyyy-MM-dd")
+_SQL_DAY = lambda n: f"CAST(DATE '2024-01-31' - CAST(doc_id % {n} AS INTEGER) AS VARCHAR)"
+_TARGET = "CAST(regexp_extract(source, '\\d+') AS BIGINT)"
 
 
-_ASHBY = json.dumps({"jobs": [{"jobUrl": "u1", "title": "A", "descriptionPlain": "", "descriptionHtml": "<b>x</b>", "publishedAt": "2024-01-05T1", "location": "US", "secondaryLocations": ["", "Dublin"]}, {"jobUrl": "u2", "title": "B", "isListed": False}, {"jobUrl": "u3", "title": "C", "descriptionPlain": "p", "isListed": True, "publishedAt": "2024-01-09"}]})
+@query(f"""SELECT {_TARGET} AS target_id, row_number() OVER (PARTITION BY source ORDER BY published DESC, doc_id) - 1 AS pos, 'u' || doc_id AS url, 'T' || doc_id AS title, 'Job & ' || doc_id || ' <b> x' AS description,
+ CASE WHEN published <> '' THEN substr(published, 1, 10) WHEN doc_id % 5 = 0 THEN '2024-05-01' END AS posted_at, CASE WHEN doc_id % 3 = 0 THEN lang ELSE '' END AS location FROM (SELECT *, CASE WHEN doc_id % 4 > 0 THEN {_SQL_DAY(30)} || 'T00:00:00Z' ELSE '' END AS published FROM documents)""")
+def s9_greenhouse(spark, d):
+    job = F.struct(
+        _ID("u").alias("absolute_url"), _ID("T").alias("title"), F.concat(F.lit("<p>Job &amp; "), _I.cast("string"), F.lit(" &lt;b&gt;</p>  x")).alias("content"), F.when(_I % 4 > 0, F.concat(_DAY(30), F.lit("T00:00:00Z"))).alias("first_published"),
+        F.when(_I % 5 == 0, "2024-05-01T1").alias("updated_at"), F.when(_I % 3 == 0, F.struct(F.col("lang").alias("name"))).alias("location"),
+    )
+    return payloads.greenhouse(_boards(spark, d, job, "jobs")).select("target_id", *_SHOWN.split(", "))
 
 
-@query(f"SELECT * FROM {_literals([(0, 'u3', 'C', 'p', '2024-01-09', ''), (1, 'u1', 'A', 'x', '2024-01-05', 'US, Dublin')], _SHOWN)}")
+@query(f"""SELECT {_TARGET} AS target_id, row_number() OVER (PARTITION BY source ORDER BY published DESC, doc_id) - 1 AS pos, 'u' || doc_id AS url, 'T' || doc_id AS title, CASE WHEN doc_id % 2 = 0 THEN 'plain ' || doc_id ELSE 'rich ' || doc_id END AS description,
+ nullif(substr(published, 1, 10), '') AS posted_at, CASE WHEN doc_id % 3 = 0 THEN lang || ', Dublin' ELSE 'Dublin' END AS location FROM (SELECT *, CASE WHEN doc_id % 4 > 0 THEN {_SQL_DAY(30)} || 'T1' ELSE '' END AS published FROM documents WHERE doc_id % 7 <> 0)""")
 def s10_ashby(spark, d):
-    return _rows(spark, payloads.ashby, [(1, _ASHBY)])
-
-
-_LEVER = json.dumps([{"hostedUrl": "u1", "text": "A", "descriptionPlain": "x", "descriptionBodyPlain": "y ", "createdAt": 1704067200000, "categories": {"location": "Oslo"}}, {"hostedUrl": "u2", "text": "B", "descriptionPlain": "z", "country": "NO"}])
+    job = F.struct(
+        _ID("u").alias("jobUrl"), _ID("T").alias("title"), F.when(_I % 2 == 0, _ID("plain ")).otherwise("").alias("descriptionPlain"), F.concat(F.lit("<b>rich"), F.lit("</b>"), _I.cast("string")).alias("descriptionHtml"),
+        F.when(_I % 4 > 0, F.concat(_DAY(30), F.lit("T1"))).alias("publishedAt"), F.when(_I % 7 == 0, False).when(_I % 7 == 1, True).alias("isListed"), F.when(_I % 3 == 0, F.col("lang")).alias("location"), F.array(F.lit(""), F.lit("Dublin")).alias("secondaryLocations"),
+    )
+    return payloads.ashby(_boards(spark, d, job, "jobs")).select("target_id", *_SHOWN.split(", "))
 
 
-@query(f"SELECT * FROM {_literals([(0, 'u1', 'A', 'x' + chr(10) * 2 + 'y', '2024-01-01', 'Oslo'), (1, 'u2', 'B', 'z', None, 'NO')], _SHOWN)}")
+@query(f"""SELECT {_TARGET} AS target_id, row_number() OVER (PARTITION BY source ORDER BY coalesce(ms, 0) DESC, doc_id) - 1 AS pos, 'u' || doc_id AS url, 'T' || doc_id AS title, 'x' || doc_id || CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) || 'y' ELSE '' END AS description,
+ CASE WHEN ms IS NOT NULL THEN {_SQL_DAY(30)} END AS posted_at, CASE doc_id % 3 WHEN 0 THEN 'Oslo' WHEN 1 THEN lang ELSE '' END AS location FROM (SELECT *, CASE WHEN doc_id % 4 > 0 THEN epoch_ms(CAST(DATE '2024-01-31' - CAST(doc_id % 30 AS INTEGER) AS TIMESTAMP)) END AS ms FROM documents)""")
 def s11_lever(spark, d):
-    return _rows(spark, payloads.lever, [(1, _LEVER)])
+    job = F.struct(
+        _ID("u").alias("hostedUrl"), _ID("T").alias("text"), _ID("x").alias("descriptionPlain"), F.when(_I % 2 == 0, "y ").alias("descriptionBodyPlain"), F.when(_I % 4 > 0, F.unix_millis(_DAY(30).cast("timestamp"))).alias("createdAt"),
+        F.when(_I % 3 == 0, F.struct(F.lit("Oslo").alias("location"))).alias("categories"), F.when(_I % 3 == 1, F.col("lang")).alias("country"),
+    )
+    return payloads.lever(_boards(spark, d, job, "array")).select("target_id", *_SHOWN.split(", "))
 
 
 def _page(first, n, total):
@@ -58,12 +75,21 @@ def s12_workday(spark, d):
     return _rows(spark, payloads.workday, _WORKDAY, "target_id long, host string, site string, lang string, page int, payload string")
 
 
-_RIPPLING = json.dumps([{"name": "A", "url": "u1", "workLocation": "Remote"}, {"name": "B", "url": "", "workLocation": "x"}, {"name": "C", "url": "u3", "workLocation": {"label": "Paris"}}])
+@query(f"SELECT {_TARGET} AS target_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, 'u' || doc_id AS url, 'T' || doc_id AS title, CAST(NULL AS VARCHAR) AS description, CAST(NULL AS VARCHAR) AS posted_at, CASE WHEN doc_id % 3 = 0 THEN 'Remote' ELSE '' END AS location FROM documents WHERE doc_id % 5 <> 0")
+def s13_rippling(spark, d):
+    job = F.struct(_ID("T").alias("name"), F.when(_I % 5 > 0, _ID("u")).otherwise("").alias("url"), F.when(_I % 3 == 0, "Remote").alias("workLocation"))
+    return payloads.rippling(_boards(spark, d, job, "array")).select("target_id", *_SHOWN.split(", "))
 
 
-@query(f"SELECT * FROM {_literals([(0, 'u1', 'A', None, None, 'Remote'), (1, 'u3', 'C', None, None, 'Paris')], _SHOWN)}")
-def s13_rippling(spark, d):
-    return _rows(spark, payloads.rippling, [(1, _RIPPLING)])
+_PLACES = json.dumps([{"name": "A", "url": "u1", "workLocation": "Remote"}, {"name": "B", "url": "", "workLocation": "x"}, {"name": "C", "url": "u3", "workLocation": {"label": "Paris"}}])
+
+
+@query(f"SELECT platform, n_postings, n_targets FROM (SELECT 'rippling' AS platform, 2 AS n_postings, 1 AS n_targets UNION ALL SELECT 'lever', count(*), count(DISTINCT source) FROM documents UNION ALL SELECT 'ashby', count(*), count(DISTINCT source) FROM documents WHERE doc_id % 7 <> 0)")
+def s15_adapters(spark, d):
+    lever = _boards(spark, d, F.struct(_ID("u").alias("hostedUrl"), _ID("T").alias("text")), "array").withColumn("platform", F.lit("lever"))
+    ashby = _boards(spark, d, F.struct(_ID("u").alias("jobUrl"), (_I % 7 > 0).alias("isListed")), "jobs").withColumn("platform", F.lit("ashby"))
+    rest = _values(spark, "target_id long, payload string, platform string", [(1, _PLACES, "rippling"), (2, "[]", "unknown")])
+    return payloads.postings(lever.unionByName(ashby).unionByName(rest)).groupBy("platform").agg(F.count("*").alias("n_postings"), F.countDistinct("target_id").alias("n_targets"))
 
 
 def _card(job, slug, title, place):

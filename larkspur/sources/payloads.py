@@ -14,8 +14,8 @@ from larkspur.functions.text import strip, strip_html, strip_html_paragraphs, un
 
 POSTING = ["target_id", "pos", "url", "title", "description", "posted_at", "location"]
 MIN_DESCRIPTION = 200
-#: Postings on a page, and pages that are read at most.
-PAGE_SIZE, MAX_PAGES = 20, 10
+#: Postings on a page, and pages that are read at most; rows of a listing's full page.
+PAGE_SIZE, MAX_PAGES, FULL_PAGE = 20, 10, 50
 
 
 def _filled(*values: Column) -> Column:
@@ -89,13 +89,17 @@ def _behind_first(parts: Column) -> Column:
 
 
 def icims(pages: DataFrame, marker: str = "iCIMS_JobCardItem") -> DataFrame:
-    """pages: target_id, tenant, page and payload, the HTML of a listing. An id counts where it comes first."""
+    """pages: target_id, tenant, page (from 0) and payload, the HTML of a listing. An id counts where it comes first. Reading ends behind a page that isn't full or brings no new id, and after ten."""
     blocks = pages.select("target_id", "tenant", "page", F.posexplode(_behind_first(F.split("payload", f"<[^>]*{marker}[^>]*>"))).alias("at", "block"))
     link = lambda k: F.nullif(F.regexp_extract("block", "/jobs/(\\d+)/([^/\"?]+)/job", k), F.lit(""))
     title = F.nullif(F.regexp_extract("block", "title=\"\\d+ - ([^\"]*)\"", 1), F.lit(""))
     place = F.regexp_extract("block", "(?is)<dt[^>]*>.*?location.*?</dt>\\s*<dd[^>]*>\\s*<span[^>]*>(.*?)</span>", 1)
     rows = blocks.select("*", link(1).alias("job"), link(2).alias("slug"), title.alias("titled"), place.alias("place")).where(F.col("job").isNotNull())
-    first = rows.withColumn("n", F.row_number().over(Window.partitionBy("target_id", "job").orderBy("page", "at"))).where(F.col("n") == 1)
+    marked = rows.where(F.col("page") < MAX_PAGES).withColumn("n", F.row_number().over(Window.partitionBy("target_id", "job").orderBy("page", "at")))
+    sizes = marked.groupBy("target_id", "page").agg(F.count("*").alias("rows"), F.sum((F.col("n") == 1).cast("int")).alias("fresh"))
+    ended = F.max(((F.col("rows") < FULL_PAGE) | (F.col("fresh") == 0)).cast("int")).over(Window.partitionBy("target_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1))
+    read = sizes.withColumn("ended", F.coalesce(ended, F.lit(0))).where(F.col("ended") == 0).select("target_id", "page")
+    first = marked.where(F.col("n") == 1).join(read, ["target_id", "page"])
     url = F.concat(F.lit("https://"), F.col("tenant"), F.lit(".icims.com/jobs/"), F.col("job"), F.lit("/"), F.col("slug"), F.lit("/job"))
     named = F.coalesce(strip(unescape(F.col("titled"))), F.replace("slug", F.lit("-"), F.lit(" ")))
     return first.select("target_id", _placed(first, F.col("page"), F.col("at")).alias("pos"), url.alias("url"), named.alias("title"), F.lit(None).cast("string").alias("description"), F.lit(None).cast("string").alias("posted_at"), strip(unescape(F.col("place"))).alias("location"))
@@ -119,7 +123,17 @@ def rss(feeds: DataFrame) -> DataFrame:
     return rows.select("target_id", _placed(rows, F.col("at")).alias("pos"), "url", F.coalesce(F.nullif(title, F.lit("")), "full").alias("title"), company.alias("company"), body.alias("description"), F.col("region").alias("location"))
 
 
-ADAPTERS = {"greenhouse": greenhouse, "ashby": ashby, "lever": lever, "workday": workday, "rippling": rippling, "icims": icims}
+#: Readers of payloads that are one for each target. Listings that come in pages have readers of their own: workday, icims.
+ADAPTERS = {"greenhouse": greenhouse, "ashby": ashby, "lever": lever, "rippling": rippling}
+
+
+def postings(captured: DataFrame) -> DataFrame:
+    """Postings of payloads (target_id, platform, payload), each read by its platform's adapter; platforms without one have none."""
+    read = [reader(captured.where(F.col("platform") == name).drop("platform")).select(*POSTING).withColumn("platform", F.lit(name)) for name, reader in ADAPTERS.items()]
+    out = read[0]
+    for more in read[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def posting_json(html: Column) -> Column:
