@@ -162,9 +162,13 @@ class Texts:
         self.rows = documents.select(F.col(doc_id).cast(id_kind(documents, doc_id)).alias("doc"), F.col(text).cast("string").alias("text"))
         self.size = size
 
+    def keep(self, ids: DataFrame) -> None:
+        """Go on from the texts of these ids only, written once: all texts move here, and no more after that."""
+        self.rows = self.scratch.save(self.rows.join(ids.select(F.col("id").alias("doc")).distinct().hint("merge"), "doc", "left_semi"))
+
     def sets(self, wanted: DataFrame, key: str, name: str) -> DataFrame:
         """wanted, with the sets of the documents of its column key in a column of that name."""
-        met = self.rows.join(wanted, F.col("doc") == F.col(key)).select("text", *wanted.columns)
+        met = self.rows.join(wanted.hint("merge"), F.col("doc") == F.col(key)).select("text", *wanted.columns)
         size = self.size
 
         def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,10 +180,7 @@ class Texts:
         return met.mapInArrow(built, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in wanted.schema), f"{name} array<long>"]))
 
     def facing(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b, ...) with their sets, left and right. Pairs of an a with many b are dealt over several tasks.
-
-        Both sides are written before they meet the texts, so that Spark knows their sizes: texts are only shuffled where a side is too large to broadcast.
-        """
+        """The pairs (a, b, ...) with their sets, left and right. Pairs of an a with many b are dealt over several tasks."""
         tasks = self.scratch.save(pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_PER_TASK).cast("int").alias("tasks")))
         salted = self.scratch.save(pairs.join(tasks, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("tasks")).cast("int")).drop("tasks"))
         left = self.sets(tasks, "a", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).drop("tasks")
@@ -285,6 +286,7 @@ def grouped(sketches: DataFrame, texts: Texts, percent: int, scratch: Scratch, *
     shared = scratch.save(entries.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1))
     # What these joins meet grows with the documents, so it is never broadcast, and the plan is the same at every size.
     met = scratch.save(entries.join(shared.hint("merge"), "bucket"))
+    texts.keep(met)
     rank = met.groupBy("id").agg((-F.sum("n")).alias("rank"))
     hubs = met.join(rank.hint("merge"), "id").groupBy("bucket").agg(F.min(F.struct("rank", F.col("id").alias("hub"), F.col("size").alias("hub_size"))).alias("first"))
     stars = scratch.save(met.join(hubs.hint("merge"), "bucket").where(F.col("id") != F.col("first.hub")).select("bucket", "n", "id", "size", "first"))
