@@ -9,20 +9,23 @@ from larkspur.functions.dates import age_label
 from larkspur.functions.ranking import legacy_score, rank_score, shown
 from larkspur.functions.rows import recommendation
 
-from .filters import as_list
+from .filters import MAX_LISTED, as_list
 from .stats import applied_outcomes, board_positions
 
 
 def with_stats(jobs: DataFrame, outcomes: DataFrame) -> DataFrame:
     """jobs with the figures of their platform and of all platforms.
 
-    Outcomes are summed once by platform, and the global row from those sums. The platforms' are joined by key; a platform that is unknown has none.
+    Outcomes are summed once by platform; the sums of all platforms, a list that people keep, travel as one row with every job, so that
+    jobs are neither shuffled nor gathered by the few platforms there are. A platform that is unknown has no figures.
     """
     sums = applied_outcomes(jobs, outcomes).groupBy("ats_platform").agg(F.coalesce(F.sum("callback"), F.lit(0)).cast("long").alias("callbacks"), F.count("*").alias("applied"))
     rate = F.coalesce(F.try_divide(F.sum("callbacks"), F.sum("applied")), F.lit(0.0)).cast("double")
-    total = sums.agg(rate.alias("global_rate"), F.coalesce(F.sum("applied"), F.lit(0)).alias("global_applied"))
-    both = jobs.join(sums.where(F.col("ats_platform").isNotNull()), "ats_platform", "left").join(F.broadcast(total), F.lit(True))
-    return both.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("callbacks", "applied")})
+    known = F.collect_list(F.when(F.col("ats_platform").isNotNull(), F.struct(F.col("ats_platform").alias("key"), F.struct("callbacks", "applied").alias("value"))))
+    total = sums.agg(rate.alias("global_rate"), F.coalesce(F.sum("applied"), F.lit(0)).alias("global_applied"), known.alias("_known"))
+    bounded = F.when(F.size("_known") > MAX_LISTED, F.raise_error(F.lit(f"more than {MAX_LISTED} platforms"))).otherwise(F.map_from_entries("_known"))
+    both = jobs.join(F.broadcast(total.withColumn("_known", bounded)), F.lit(True)).withColumn("_own", F.try_element_at("_known", F.col("ats_platform")))
+    return both.withColumns({c: F.coalesce(F.col(f"_own.{c}"), F.lit(0)) for c in ("callbacks", "applied")}).drop("_known", "_own")
 
 
 def company_adjustment(rows: DataFrame, adjustments: DataFrame, company: str = "company") -> DataFrame:
