@@ -2,11 +2,16 @@
 
 Each stage is a function of (spark, docs, sf_dir); its result is written as Parquet and read again as
 the next one's docs. All but the last return the columns of documents.
+
+Stages take docs with more columns, of whatever names, and keep them; the last one replaces columns called
+ids, n_tokens and round_trip. Empty docs give empty results. Null and blank texts have no words and fall to
+the quality rules; in the stages behind, where none are left, they would stay as they are, without lines, links, hits or
+ids. Rows that repeat are judged alike; of near duplicates the smallest id stays, of rows that share it all do,
+and rows without an id stay. Texts of any length are read whole. Temporary columns never clash.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -15,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import bpe, decontaminate, line_dedup, near_dedup, quality
-from larkspur.session import prepare, table
+from larkspur.session import delete, prepare, shared_folder, table, unused, written
 
 #: A line on more than this share of a source's documents is boilerplate. Of the good documents of sf0.1, the
 #: commonest line is on 8.8 to 14.0 % of each of the 20 sources and no other is on more than 5.4 % of one: the
@@ -51,9 +56,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their ids, and whether the ids decode to the text."""
     prepare(spark)
+    text = unused("decoded", docs.columns)
     ids = bpe.encode(docs, BYTE_BPE, public_tokenizers.PATTERN)
-    back = bpe.decode(ids, BYTE_BPE, public_tokenizers.PATTERN)
-    return back.withColumns({"n_tokens": F.size("ids").cast("long"), "round_trip": F.col("decoded") == F.coalesce("text", F.lit(""))}).drop("decoded")
+    back = bpe.decode(ids, BYTE_BPE, public_tokenizers.PATTERN, out=text)
+    return back.withColumns({"n_tokens": F.size("ids").cast("long"), "round_trip": F.col(text) == F.coalesce("text", F.lit(""))}).drop(text)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -69,12 +75,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order. Stages are written below the folder of spark.checkpoint.dir, which all executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="larkspur-pipeline-")
-    folder = f"{shared}/pipeline-{uuid.uuid4().hex}"
-    docs = table(prepare(spark), sf_dir, "documents")
+    """All stages in order. Stages are written below the folder that all executors share; each is deleted once the next one is written."""
+    folder = f"{shared_folder(prepare(spark))}/pipeline-{uuid.uuid4().hex}"
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = written(stage(spark, docs, sf_dir), path)
+        if before:
+            delete(spark, before)
+        before = path
     return docs
