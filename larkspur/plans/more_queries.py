@@ -13,7 +13,10 @@ from .data import AS_OF, GIVEN, JOBS, OUTCOMES, RANK_SQL, _day, as_of, jobs, out
 from .queries import WITH, _literals, _screened, _values, query
 
 _S = lambda x: F.col(x).cast("string")
-I = F.col("doc_id")  # noqa: E741
+
+
+def _i():
+    return F.col("doc_id")
 
 
 def _docs(spark, d):
@@ -35,9 +38,9 @@ def _cat(*parts):
  CASE WHEN doc_id % 5 = 0 THEN 'g' ELSE '' END AS gaps, CASE WHEN doc_id % 7 = 0 THEN 'consider' END AS recommendation FROM documents""")
 def p3_normalised_analysis(spark, d):
     made = F.to_json(F.struct(
-        F.when(I % 3 == 0, _cat("new", I)).when(I % 3 == 1, F.lit("")).alias("candidate_explanation"), F.when(I % 3 < 2, _cat("old", I)).alias("summary"),
-        F.when(I % 2 == 0, F.array(_cat("a", I))).alias("candidate_strengths"), F.array(F.lit("b"), F.lit("c")).alias("strengths"),
-        F.when(I % 5 < 2, F.array().cast("array<string>")).alias("candidate_deficiencies"), F.when(I % 5 == 0, F.array(F.lit("g"))).alias("gaps"), F.when(I % 7 == 0, "consider").alias("recommendation"),
+        F.when(_i() % 3 == 0, _cat("new", _i())).when(_i() % 3 == 1, F.lit("")).alias("candidate_explanation"), F.when(_i() % 3 < 2, _cat("old", _i())).alias("summary"),
+        F.when(_i() % 2 == 0, F.array(_cat("a", _i()))).alias("candidate_strengths"), F.array(F.lit("b"), F.lit("c")).alias("strengths"),
+        F.when(_i() % 5 < 2, F.array().cast("array<string>")).alias("candidate_deficiencies"), F.when(_i() % 5 == 0, F.array(F.lit("g"))).alias("gaps"), F.when(_i() % 7 == 0, "consider").alias("recommendation"),
     ))
     n = _docs(spark, d).select("doc_id", rows.normalised_analysis(made).alias("n"))
     return n.select("doc_id", "n.summary", F.array_join("n.strengths", ",").alias("strengths"), F.array_join("n.gaps", ",").alias("gaps"), "n.recommendation")
@@ -45,13 +48,13 @@ def p3_normalised_analysis(spark, d):
 
 @query("""SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'Acme Tools X' || doc_id WHEN 1 THEN 'O''Neil ' || doc_id || 'B' WHEN 2 THEN 'Health Edge ' || doc_id WHEN 3 THEN 'Nvidia' || doc_id WHEN 4 THEN 'Unnamed' WHEN 5 THEN 'Www' || doc_id WHEN 6 THEN 'Unnamed' ELSE 'Plain ' || doc_id END AS name FROM documents""")
 def p8_display_name(spark, d):
-    k = I % 8
+    k = _i() % 8
     entry = lambda *kv: F.create_map(*(F.lit(x) if isinstance(x, str) else x for x in kv))
     ident = (
-        F.when(k == 0, entry("board", _cat("acme-tools_x", I))).when(k == 1, entry("company", _cat("o'neil ", I, "b"))).when(k == 2, entry("tenant", _cat("careers-health-edge-", I)))
-        .when((k == 3) | (k == 4), entry("host", _cat("NVIDIA", I, ".wd5.myworkdayjobs.com"))).when(k == 7, entry("board", F.lit(""), "slug", _cat("PLAIN-", I))).otherwise(F.create_map().cast("map<string,string>"))
+        F.when(k == 0, entry("board", _cat("acme-tools_x", _i()))).when(k == 1, entry("company", _cat("o'neil ", _i(), "b"))).when(k == 2, entry("tenant", _cat("careers-health-edge-", _i())))
+        .when((k == 3) | (k == 4), entry("host", _cat("NVIDIA", _i(), ".wd5.myworkdayjobs.com"))).when(k == 7, entry("board", F.lit(""), "slug", _cat("PLAIN-", _i()))).otherwise(F.create_map().cast("map<string,string>"))
     )
-    url = F.when(k == 5, _cat("https://WWW", I, ".example.com/x")).otherwise(F.lit("no address"))
+    url = F.when(k == 5, _cat("https://WWW", _i(), ".example.com/x")).otherwise(F.lit("no address"))
     return _docs(spark, d).select("doc_id", rows.display_name(ident, F.when(k == 3, "workday").otherwise("other"), url).alias("name"))
 
 
@@ -74,15 +77,15 @@ _PARTS = "doc_id, 'a b c' || CASE WHEN doc_id % 4 = 0 THEN ' d e f g' ELSE '' EN
 
 @query(f"SELECT doc_id, length(t) >= 200 AND regexp_matches(lower(t), '(^|[^\\p{{L}}\\p{{N}}_])({'|'.join(text.HIRING).replace(chr(39), chr(39) * 2)})([^\\p{{L}}\\p{{N}}_]|$)') AND doc_id % 7 IN (0, 6) AND doc_id % 4 <> 0 AS plausible FROM (SELECT {_PARTS} FROM documents)")
 def f15_plausible_posting(spark, d):
-    k = I % 7
+    k = _i() % 7
     title = F.when(k == 0, "Engineer").when(k == 1, "70k").when(k == 2, "New York, NY").when(k == 3, "QA").when(k == 4, "remote").when(k == 5, "$120,000 - 150k").otherwise("Lead, Data")
-    company = F.when(I % 4 == 0, "a b c d e f g").otherwise("a b c")
-    return _docs(spark, d).select("doc_id", text.looks_like_posting(company, title, F.concat("text", F.when(I % 2 == 0, " apply").otherwise(""))).alias("plausible"))
+    company = F.when(_i() % 4 == 0, "a b c d e f g").otherwise("a b c")
+    return _docs(spark, d).select("doc_id", text.looks_like_posting(company, title, F.concat("text", F.when(_i() % 2 == 0, " apply").otherwise(""))).alias("plausible"))
 
 
 @query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'x|y' WHEN 1 THEN '' WHEN 2 THEN 'a|b c' ELSE '' END AS listed FROM documents")
 def f4_csv_setting(spark, d):
-    raw = F.when(I % 4 == 0, F.lit(None).cast("string")).when(I % 4 == 1, "").when(I % 4 == 2, " a ,, b c,").otherwise(" , ")
+    raw = F.when(_i() % 4 == 0, F.lit(None).cast("string")).when(_i() % 4 == 1, "").when(_i() % 4 == 2, " a ,, b c,").otherwise(" , ")
     return _docs(spark, d).select("doc_id", F.array_join(filters.csv_or_default(raw, ["x", "y"]), "|").alias("listed"))
 
 
@@ -249,8 +252,8 @@ def o11_kept_entries(spark, d):
 def d17_cached_scores(spark, d):
     now = F.lit("2024-01-20 12:00:00").cast("timestamp")
     cache = table(prepare(spark), d, "events").where(F.col("ts") < now).select((F.col("user_id") % 400).alias("key"), F.when(F.col("event_id") % 3 == 0, F.col("value")).alias("score"), F.col("ts").alias("at"))
-    store = _docs(spark, d).where(I % 4 == 0).select(I.alias("key"), (I % 100).cast("double").alias("score"))
-    return lookup.cached_scores(_docs(spark, d).select(I.alias("key")), cache, store, now, 86_400)
+    store = _docs(spark, d).where(_i() % 4 == 0).select(_i().alias("key"), (_i() % 100).cast("double").alias("score"))
+    return lookup.cached_scores(_docs(spark, d).select(_i().alias("key")), cache, store, now, 86_400)
 
 
 # Ingest
@@ -272,8 +275,8 @@ _SNAPSHOT = "CASE source WHEN 'src0' THEN NULL WHEN 'src1' THEN 'none' ELSE 'lis
 @query(f"""WITH s AS (SELECT source, {_SNAPSHOT} AS given, doc_id FROM documents) SELECT 'poller' AS reader, source, 'k' || doc_id AS key FROM s WHERE given = 'listed' UNION ALL SELECT 'discovery', source, 'k' || doc_id FROM s WHERE given = 'listed'
  UNION ALL SELECT 'poller', source, 'gh:' || doc_id FROM s WHERE given IS NULL UNION ALL SELECT 'discovery', source, 'gh:' || doc_id FROM s WHERE coalesce(given, 'none') = 'none'""")
 def s26_seen_keys(spark, d):
-    given = F.when(F.col("source") == "src0", F.lit(None)).when(F.col("source") == "src1", F.array(F.lit(""))).otherwise(F.array(_cat("k", I), F.lit("")))
-    snapshots = _docs(spark, d).select("source", given.cast("array<string>").alias("dedupe_keys"), F.array(_cat("https://acme.example/?gh_jid=", I)).alias("urls"))
+    given = F.when(F.col("source") == "src0", F.lit(None)).when(F.col("source") == "src1", F.array(F.lit(""))).otherwise(F.array(_cat("k", _i()), F.lit("")))
+    snapshots = _docs(spark, d).select("source", given.cast("array<string>").alias("dedupe_keys"), F.array(_cat("https://acme.example/?gh_jid=", _i())).alias("urls"))
     readers = [ingest.known_keys(snapshots, empty_counts=strict).select(F.lit(name).alias("reader"), "source", "key") for name, strict in (("poller", True), ("discovery", False))]
     return readers[0].unionByName(readers[1])
 
@@ -291,11 +294,11 @@ _JUDGED = """told AS (SELECT *, coalesce(known, first_value(fit IGNORE NULLS) OV
 
 def _ingested(spark, d):
     docs = _docs(spark, d)
-    url = F.when(I % 29 == 0, " ").when(I % 31 == 0, "manual-paste").otherwise(_cat("https://acme.example/?gh_jid=", I % 300, "&utm_source=x"))
-    incoming = docs.select(I.alias("pos"), url.alias("url"), F.lit("T").alias("title"), F.lit(None).cast("string").alias("company"), F.col("text").alias("description"), F.col("source").alias("ats_platform"), F.lit(None).cast("string").alias("posted_at"), F.when(I % 10 == 0, (I % 90).cast("double")).alias("fit_score"), (I % 13 == 0).alias("force"))
-    current = docs.where(I < 200).select(
-        I.alias("id"), _cat("gh:", I).alias("dedupe_key"), _cat("https://acme.example/?gh_jid=", I).alias("url"), F.lit("Old").alias("title"), F.lit("Co").alias("company"), F.lit("d").alias("description"), F.col("source").alias("ats_platform"), F.lit(None).cast("string").alias("posted_at"),
-        F.when(I % 2 == 0, (I % 77).cast("double")).alias("fit_score"), F.lit(None).cast("double").alias("desirability_score"), F.lit(0).alias("gated"), F.when(I % 3 == 0, "applied").when(I % 3 == 1, "ranked").otherwise("discovered").alias("status"), F.lit(None).cast("string").alias("applied_at"),
+    url = F.when(_i() % 29 == 0, " ").when(_i() % 31 == 0, "manual-paste").otherwise(_cat("https://acme.example/?gh_jid=", _i() % 300, "&utm_source=x"))
+    incoming = docs.select(_i().alias("pos"), url.alias("url"), F.lit("T").alias("title"), F.lit(None).cast("string").alias("company"), F.col("text").alias("description"), F.col("source").alias("ats_platform"), F.lit(None).cast("string").alias("posted_at"), F.when(_i() % 10 == 0, (_i() % 90).cast("double")).alias("fit_score"), (_i() % 13 == 0).alias("force"))
+    current = docs.where(_i() < 200).select(
+        _i().alias("id"), _cat("gh:", _i()).alias("dedupe_key"), _cat("https://acme.example/?gh_jid=", _i()).alias("url"), F.lit("Old").alias("title"), F.lit("Co").alias("company"), F.lit("d").alias("description"), F.col("source").alias("ats_platform"), F.lit(None).cast("string").alias("posted_at"),
+        F.when(_i() % 2 == 0, (_i() % 77).cast("double")).alias("fit_score"), F.lit(None).cast("double").alias("desirability_score"), F.lit(0).alias("gated"), F.when(_i() % 3 == 0, "applied").when(_i() % 3 == 1, "ranked").otherwise("discovered").alias("status"), F.lit(None).cast("string").alias("applied_at"),
     )
     n = F.col("n")
     answers = prepare(spark).range(300).select(F.col("id").alias("n")).where(n % 4 > 0)
@@ -336,7 +339,7 @@ def f11_missing_gates(spark, d):
 
 @query("SELECT doc_id, CASE WHEN length(text) > 200 AND doc_id % 2 = 0 THEN md5(text) ELSE 'scraped' END AS chosen FROM documents")
 def d16_extraction(spark, d):
-    chosen = ingest.extraction(F.lit("scraped"), F.when(I % 2 == 0, F.col("text")))
+    chosen = ingest.extraction(F.lit("scraped"), F.when(_i() % 2 == 0, F.col("text")))
     return _docs(spark, d).select("doc_id", F.when(chosen == "scraped", chosen).otherwise(F.md5(F.encode(chosen, "utf-8"))).alias("chosen"))
 
 
@@ -385,8 +388,8 @@ def j12_watched_already(spark, d):
 
 @query("SELECT doc_id FROM documents WHERE doc_id % 3 <> 0")
 def j11_unlisted(spark, d):
-    own = _docs(spark, d).select("doc_id", _cat("AB-", I).alias("posting"))
-    return targets.unlisted(own, _docs(spark, d).where(I % 3 == 0).select(_cat("ab-", I).alias("posting"))).select("doc_id")
+    own = _docs(spark, d).select("doc_id", _cat("AB-", _i()).alias("posting"))
+    return targets.unlisted(own, _docs(spark, d).where(_i() % 3 == 0).select(_cat("ab-", _i()).alias("posting"))).select("doc_id")
 
 
 @query("""SELECT doc_id AS pos, CASE doc_id % 10 WHEN 0 THEN 'missing' WHEN 1 THEN 'added' WHEN 2 THEN CASE WHEN doc_id % 20 = 2 THEN 'added' ELSE 'unverified' END WHEN 3 THEN CASE WHEN doc_id = 3 THEN 'added' ELSE 'existing' END WHEN 4 THEN 'existing' WHEN 5 THEN 'added' WHEN 6 THEN 'unsupported' WHEN 7 THEN 'added' WHEN 8 THEN 'added' ELSE 'added' END AS outcome,
@@ -394,20 +397,20 @@ def j11_unlisted(spark, d):
   WHEN 7 THEN 'https://jobs.lever.co/emb' || doc_id WHEN 8 THEN 'https://t' || doc_id || '.icims.com/jobs/search?ss=1' ELSE 'https://w' || doc_id || '.wd1.myworkdayjobs.com/en-US/Site' END AS careers_url,
  CASE doc_id % 10 WHEN 0 THEN 'Unnamed' WHEN 1 THEN 'Acme ' || doc_id WHEN 2 THEN CASE WHEN doc_id % 20 = 2 THEN 'Board ' || doc_id ELSE 'B' || doc_id END WHEN 3 THEN 'Given' WHEN 4 THEN 'Known' || doc_id WHEN 5 THEN 'Van ' || doc_id WHEN 6 THEN 'Plain' || doc_id WHEN 7 THEN 'Emb' || doc_id WHEN 8 THEN 'T' || doc_id ELSE 'W' || doc_id END AS name FROM documents""")
 def d14_register_target(spark, d):
-    k = I % 10
+    k = _i() % 10
     url = (
-        F.when(k == 0, "  ").when(k == 1, _cat("https://jobs.lever.co/acme-", I)).when(k == 2, _cat("https://boards.greenhouse.io/b", I)).when(k == 3, " https://jobs.ashbyhq.com/one").when(k == 4, _cat("https://jobs.lever.co/known", I))
-        .when(k == 5, _cat("https://careers.van", I, ".com/jobs/1000", I)).when(k == 6, _cat("https://plain", I, ".example.com/careers")).when(k == 7, _cat("https://emb", I, ".example.com/careers")).when(k == 8, _cat("https://t", I, ".icims.com/jobs/7/a/job")).otherwise(_cat("https://w", I, ".wd1.myworkdayjobs.com/en-US/Site"))
+        F.when(k == 0, "  ").when(k == 1, _cat("https://jobs.lever.co/acme-", _i())).when(k == 2, _cat("https://boards.greenhouse.io/b", _i())).when(k == 3, " https://jobs.ashbyhq.com/one").when(k == 4, _cat("https://jobs.lever.co/known", _i()))
+        .when(k == 5, _cat("https://careers.van", _i(), ".com/jobs/1000", _i())).when(k == 6, _cat("https://plain", _i(), ".example.com/careers")).when(k == 7, _cat("https://emb", _i(), ".example.com/careers")).when(k == 8, _cat("https://t", _i(), ".icims.com/jobs/7/a/job")).otherwise(_cat("https://w", _i(), ".wd1.myworkdayjobs.com/en-US/Site"))
     )
     docs = _docs(spark, d)
-    asked = docs.select(I.alias("pos"), url.alias("careers_url"), F.when(k == 3, "Given").alias("name"))
+    asked = docs.select(_i().alias("pos"), url.alias("careers_url"), F.when(k == 3, "Given").alias("name"))
     current = docs.where(k == 4).select(url.alias("careers_url"))
-    postings = docs.where(k == 5).select(_cat("van", I, "jobs").alias("board"), _cat("1000", I).alias("job_id"))
-    pages = docs.where(k.isin(6, 7)).select(url.alias("careers_url"), F.when(k == 7, _cat("x jobs.lever.co/emb", I)).otherwise("x").alias("html"))
-    verified = docs.where(((k == 2) & (I % 20 == 2)) | k.isin(5, 8, 9)).select(
+    postings = docs.where(k == 5).select(_cat("van", _i(), "jobs").alias("board"), _cat("1000", _i()).alias("job_id"))
+    pages = docs.where(k.isin(6, 7)).select(url.alias("careers_url"), F.when(k == 7, _cat("x jobs.lever.co/emb", _i())).otherwise("x").alias("html"))
+    verified = docs.where(((k == 2) & (_i() % 20 == 2)) | k.isin(5, 8, 9)).select(
         F.when(k == 8, "icims").when(k == 9, "workday").otherwise("greenhouse").alias("platform"),
-        F.when(k == 2, _cat("b", I)).when(k == 5, _cat("van", I, "jobs")).when(k == 8, _cat("t", I)).otherwise(_cat("w", I, ".wd1.myworkdayjobs.com/Site")).alias("board"),
-        F.when(k == 2, _cat("Board ", I)).when(k == 5, _cat("Van ", I)).alias("name"),
+        F.when(k == 2, _cat("b", _i())).when(k == 5, _cat("van", _i(), "jobs")).when(k == 8, _cat("t", _i())).otherwise(_cat("w", _i(), ".wd1.myworkdayjobs.com/Site")).alias("board"),
+        F.when(k == 2, _cat("Board ", _i())).when(k == 5, _cat("Van ", _i())).alias("name"),
     )
     return targets.register(asked, current, postings=postings, pages=pages, boards=verified).select("pos", "outcome", "careers_url", "name")
 
@@ -449,7 +452,7 @@ def o10_gate_drops(spark, d):
 
 @query(f"WITH {_SCREEN_SQL}, src AS (SELECT 'u' || (doc_id % 550) AS url, max(doc_id) AS last FROM documents GROUP BY 1) SELECT id, CASE WHEN last IS NULL THEN 'discovery' ELSE 's' || last END AS source FROM judged LEFT JOIN src USING (url)")
 def j6_decision_sources(spark, d):
-    postings = _docs(spark, d).select(_cat("u", I % 550).alias("url"), I.alias("pos"), _cat("s", I).alias("source"), F.lit("2024-01-01").alias("posted_at"), F.lit("x").alias("description"))
+    postings = _docs(spark, d).select(_cat("u", _i() % 550).alias("url"), _i().alias("pos"), _cat("s", _i()).alias("source"), F.lit("2024-01-01").alias("posted_at"), F.lit("x").alias("description"))
     return report.with_sources(_decisions(spark, d).drop("description"), postings).select("id", "source")
 
 
@@ -461,8 +464,8 @@ def a12_action_summary(spark, d):
 @query("""SELECT doc_id, stage, stage IN ('error', 'kept') AS keep FROM (SELECT doc_id, CASE WHEN doc_id % 17 = 0 OR length(trim(text)) < 200 THEN 'rules' WHEN doc_id % 19 = 0 THEN 'error' WHEN doc_id % 3 <> 0 AND doc_id % 5 <> 0 AND doc_id % 7 <> 0 THEN 'triage' WHEN doc_id % 23 = 0 THEN 'error' WHEN doc_id % 11 = 0 OR (doc_id % 2 = 1 AND doc_id % 50 < 25) THEN 'gates' ELSE 'kept' END AS stage FROM documents)""")
 def d6_single_screen(spark, d):
     p = _docs(spark, d).select(
-        "doc_id", F.when(I % 17 == 0, " ").when(I % 7 == 0, "Senior Engineer").otherwise("Engineer").alias("title"), F.col("text").alias("description"), (I % 3 == 0).alias("triage_keep"), F.when(I % 5 == 0, "unclear").otherwise("mid").alias("triage_level"),
-        F.when(I % 19 == 0, "timeout").alias("triage_error"), F.when(I % 23 == 0, "timeout").alias("gate_error"), F.array(F.struct(F.lit("visa").alias("gate"), F.when(I % 11 == 0, "none").otherwise(" ").alias("evidence"))).alias("gate_failures"), (I % 2 == 0).alias("worth"), (I % 50).cast("int").alias("fit_sketch"),
+        "doc_id", F.when(_i() % 17 == 0, " ").when(_i() % 7 == 0, "Senior Engineer").otherwise("Engineer").alias("title"), F.col("text").alias("description"), (_i() % 3 == 0).alias("triage_keep"), F.when(_i() % 5 == 0, "unclear").otherwise("mid").alias("triage_level"),
+        F.when(_i() % 19 == 0, "timeout").alias("triage_error"), F.when(_i() % 23 == 0, "timeout").alias("gate_error"), F.array(F.struct(F.lit("visa").alias("gate"), F.when(_i() % 11 == 0, "none").otherwise(" ").alias("evidence"))).alias("gate_failures"), (_i() % 2 == 0).alias("worth"), (_i() % 50).cast("int").alias("fit_sketch"),
     )
     return screening.screen_single(p).select("doc_id", "stage", "keep")
 
@@ -481,8 +484,8 @@ def o16_latest_thread(spark, d):
  FROM documents WHERE doc_id % 3 = 0 AND doc_id % 4 <> 0 AND (doc_id % 5 = 0 OR doc_id % 7 = 0) ORDER BY doc_id LIMIT 500""")
 def s17_thread(spark, d):
     stories = _values(spark, "story_id long, title string, created_at string", _STORIES)
-    head = F.when(I % 5 == 0, _cat("Acme ", I, " | REMOTE | Data Engineer | US")).when(I % 7 == 0, _cat("Acme ", I, " - Lead - full-time")).otherwise("only a remark")
-    link = F.when(I % 4 != 0, _cat('see <a href="x">https://x.com/y</a> https://example.org/z and https://jobs.lever.co/a/', I, "."))
+    head = F.when(_i() % 5 == 0, _cat("Acme ", _i(), " | REMOTE | Data Engineer | US")).when(_i() % 7 == 0, _cat("Acme ", _i(), " - Lead - full-time")).otherwise("only a remark")
+    link = F.when(_i() % 4 != 0, _cat('see <a href="x">https://x.com/y</a> https://example.org/z and https://jobs.lever.co/a/', _i(), "."))
     body = _cat(head, "<p>We&#x27;re hiring. ", F.repeat(F.lit("word "), 60), "<p>", F.coalesce(link, F.lit("no address")))
-    comments = _docs(spark, d).select(I.alias("comment_id"), F.when(I % 3 == 0, 2).otherwise(I + 100).cast("long").alias("parent_id"), body.alias("comment_text"), F.lit("2024-02-01T10:00:00Z").alias("created_at"))
+    comments = _docs(spark, d).select(_i().alias("comment_id"), F.when(_i() % 3 == 0, 2).otherwise(_i() + 100).cast("long").alias("parent_id"), body.alias("comment_text"), F.lit("2024-02-01T10:00:00Z").alias("created_at"))
     return thread.thread_postings(thread.latest_thread(stories), comments).select("comment_id", "company", "title", "url", "source", "posted_at")

@@ -26,9 +26,9 @@ def _boards(spark, d, job, of="source"):
     return docs.groupBy("target_id").agg((F.to_json(F.struct(array.alias("jobs"))) if of == "jobs" else F.to_json(array)).alias("payload")).unionByName(_values(spark, _BOARD, [(-1, "not json")]))
 
 
-_I = F.col("doc_id")
-_ID = lambda prefix: F.concat(F.lit(prefix), _I.cast("string"))
-_DAY = lambda n: F.date_format(F.date_sub(F.lit("2024-01-31"), (_I % n).cast("int")), "yyyy-MM-dd")
+_i = lambda: F.col("doc_id")
+_ID = lambda prefix: F.concat(F.lit(prefix), _i().cast("string"))
+_DAY = lambda n: F.date_format(F.date_sub(F.lit("2024-01-31"), (_i() % n).cast("int")), "yyyy-MM-dd")
 _SQL_DAY = lambda n: f"CAST(DATE '2024-01-31' - CAST(doc_id % {n} AS INTEGER) AS VARCHAR)"
 _TARGET = "CAST(regexp_extract(source, '\\d+') AS BIGINT)"
 
@@ -37,8 +37,8 @@ _TARGET = "CAST(regexp_extract(source, '\\d+') AS BIGINT)"
  CASE WHEN published <> '' THEN substr(published, 1, 10) WHEN doc_id % 5 = 0 THEN '2024-05-01' END AS posted_at, CASE WHEN doc_id % 3 = 0 THEN lang ELSE '' END AS location FROM (SELECT *, CASE WHEN doc_id % 4 > 0 THEN {_SQL_DAY(30)} || 'T00:00:00Z' ELSE '' END AS published FROM documents)""")
 def s9_greenhouse(spark, d):
     job = F.struct(
-        _ID("u").alias("absolute_url"), _ID("T").alias("title"), F.concat(F.lit("<p>Job &amp; "), _I.cast("string"), F.lit(" &lt;b&gt;</p>  x")).alias("content"), F.when(_I % 4 > 0, F.concat(_DAY(30), F.lit("T00:00:00Z"))).alias("first_published"),
-        F.when(_I % 5 == 0, "2024-05-01T1").alias("updated_at"), F.when(_I % 3 == 0, F.struct(F.col("lang").alias("name"))).alias("location"),
+        _ID("u").alias("absolute_url"), _ID("T").alias("title"), F.concat(F.lit("<p>Job &amp; "), _i().cast("string"), F.lit(" &lt;b&gt;</p>  x")).alias("content"), F.when(_i() % 4 > 0, F.concat(_DAY(30), F.lit("T00:00:00Z"))).alias("first_published"),
+        F.when(_i() % 5 == 0, "2024-05-01T1").alias("updated_at"), F.when(_i() % 3 == 0, F.struct(F.col("lang").alias("name"))).alias("location"),
     )
     return payloads.greenhouse(_boards(spark, d, job, "jobs")).select("target_id", *_SHOWN.split(", "))
 
@@ -47,8 +47,8 @@ def s9_greenhouse(spark, d):
  nullif(substr(published, 1, 10), '') AS posted_at, CASE WHEN doc_id % 3 = 0 THEN lang || ', Dublin' ELSE 'Dublin' END AS location FROM (SELECT *, CASE WHEN doc_id % 4 > 0 THEN {_SQL_DAY(30)} || 'T1' ELSE '' END AS published FROM documents WHERE doc_id % 7 <> 0)""")
 def s10_ashby(spark, d):
     job = F.struct(
-        _ID("u").alias("jobUrl"), _ID("T").alias("title"), F.when(_I % 2 == 0, _ID("plain ")).otherwise("").alias("descriptionPlain"), F.concat(F.lit("<b>rich"), F.lit("</b>"), _I.cast("string")).alias("descriptionHtml"),
-        F.when(_I % 4 > 0, F.concat(_DAY(30), F.lit("T1"))).alias("publishedAt"), F.when(_I % 7 == 0, False).when(_I % 7 == 1, True).alias("isListed"), F.when(_I % 3 == 0, F.col("lang")).alias("location"), F.array(F.lit(""), F.lit("Dublin")).alias("secondaryLocations"),
+        _ID("u").alias("jobUrl"), _ID("T").alias("title"), F.when(_i() % 2 == 0, _ID("plain ")).otherwise("").alias("descriptionPlain"), F.concat(F.lit("<b>rich"), F.lit("</b>"), _i().cast("string")).alias("descriptionHtml"),
+        F.when(_i() % 4 > 0, F.concat(_DAY(30), F.lit("T1"))).alias("publishedAt"), F.when(_i() % 7 == 0, False).when(_i() % 7 == 1, True).alias("isListed"), F.when(_i() % 3 == 0, F.col("lang")).alias("location"), F.array(F.lit(""), F.lit("Dublin")).alias("secondaryLocations"),
     )
     return payloads.ashby(_boards(spark, d, job, "jobs")).select("target_id", *_SHOWN.split(", "))
 
@@ -57,8 +57,8 @@ def s10_ashby(spark, d):
  CASE WHEN ms IS NOT NULL THEN {_SQL_DAY(30)} END AS posted_at, CASE doc_id % 3 WHEN 0 THEN 'Oslo' WHEN 1 THEN lang ELSE '' END AS location FROM (SELECT *, CASE WHEN doc_id % 4 > 0 THEN epoch_ms(CAST(DATE '2024-01-31' - CAST(doc_id % 30 AS INTEGER) AS TIMESTAMP)) END AS ms FROM documents)""")
 def s11_lever(spark, d):
     job = F.struct(
-        _ID("u").alias("hostedUrl"), _ID("T").alias("text"), _ID("x").alias("descriptionPlain"), F.when(_I % 2 == 0, "y ").alias("descriptionBodyPlain"), F.when(_I % 4 > 0, F.unix_millis(_DAY(30).cast("timestamp"))).alias("createdAt"),
-        F.when(_I % 3 == 0, F.struct(F.lit("Oslo").alias("location"))).alias("categories"), F.when(_I % 3 == 1, F.col("lang")).alias("country"),
+        _ID("u").alias("hostedUrl"), _ID("T").alias("text"), _ID("x").alias("descriptionPlain"), F.when(_i() % 2 == 0, "y ").alias("descriptionBodyPlain"), F.when(_i() % 4 > 0, F.unix_millis(_DAY(30).cast("timestamp"))).alias("createdAt"),
+        F.when(_i() % 3 == 0, F.struct(F.lit("Oslo").alias("location"))).alias("categories"), F.when(_i() % 3 == 1, F.col("lang")).alias("country"),
     )
     return payloads.lever(_boards(spark, d, job, "array")).select("target_id", *_SHOWN.split(", "))
 
@@ -77,7 +77,7 @@ def s12_workday(spark, d):
 
 @query(f"SELECT {_TARGET} AS target_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, 'u' || doc_id AS url, 'T' || doc_id AS title, CAST(NULL AS VARCHAR) AS description, CAST(NULL AS VARCHAR) AS posted_at, CASE WHEN doc_id % 3 = 0 THEN 'Remote' ELSE '' END AS location FROM documents WHERE doc_id % 5 <> 0")
 def s13_rippling(spark, d):
-    job = F.struct(_ID("T").alias("name"), F.when(_I % 5 > 0, _ID("u")).otherwise("").alias("url"), F.when(_I % 3 == 0, "Remote").alias("workLocation"))
+    job = F.struct(_ID("T").alias("name"), F.when(_i() % 5 > 0, _ID("u")).otherwise("").alias("url"), F.when(_i() % 3 == 0, "Remote").alias("workLocation"))
     return payloads.rippling(_boards(spark, d, job, "array")).select("target_id", *_SHOWN.split(", "))
 
 
@@ -87,7 +87,7 @@ _PLACES = json.dumps([{"name": "A", "url": "u1", "workLocation": "Remote"}, {"na
 @query(f"SELECT platform, n_postings, n_targets FROM (SELECT 'rippling' AS platform, 2 AS n_postings, 1 AS n_targets UNION ALL SELECT 'lever', count(*), count(DISTINCT source) FROM documents UNION ALL SELECT 'ashby', count(*), count(DISTINCT source) FROM documents WHERE doc_id % 7 <> 0)")
 def s15_adapters(spark, d):
     lever = _boards(spark, d, F.struct(_ID("u").alias("hostedUrl"), _ID("T").alias("text")), "array").withColumn("platform", F.lit("lever"))
-    ashby = _boards(spark, d, F.struct(_ID("u").alias("jobUrl"), (_I % 7 > 0).alias("isListed")), "jobs").withColumn("platform", F.lit("ashby"))
+    ashby = _boards(spark, d, F.struct(_ID("u").alias("jobUrl"), (_i() % 7 > 0).alias("isListed")), "jobs").withColumn("platform", F.lit("ashby"))
     rest = _values(spark, "target_id long, payload string, platform string", [(1, _PLACES, "rippling"), (2, "[]", "unknown")])
     return payloads.postings(lever.unionByName(ashby).unionByName(rest)).groupBy("platform").agg(F.count("*").alias("n_postings"), F.countDistinct("target_id").alias("n_targets"))
 

@@ -1,5 +1,9 @@
 """Every registered query that has SQL agrees with it; the others run."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 from oracle import compare, connect
 
@@ -32,3 +36,10 @@ def test_entry(spark):
 
 def test_every_sql_has_its_query():
     assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
+
+
+def test_modules_need_no_session_to_be_imported():
+    """Names of queries are asked for before there is a session."""
+    root = Path(__file__).resolve().parent.parent
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()) >= len(e.oracle_sql()) > 100)"], cwd=root, capture_output=True, text=True, timeout=120)
+    assert done.stdout.strip() == "True", done.stderr
