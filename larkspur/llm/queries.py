@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.session import prepare, saved, table
+from larkspur.session import Scratch, prepare, saved, table
 
-from . import bpe, decontaminate, line_dedup, lm_score, near_dedup, pii, quality, secret_scan, token_counts, warc
+from . import bpe, decontaminate, line_dedup, lm_score, merkle, near_dedup, pii, quality, secret_scan, token_counts, vector_codes, warc, weighted_sampling
 
 #: Where the public tokenizers lie; the path is a parameter of the operators.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -63,6 +63,30 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(prepare(spark), sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(prepare(spark), sf_dir, "documents")
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    tampered = merkle.leaf([F.col(c) if c != "text" else F.replace("text", F.lit("\n"), F.lit("")) for c in columns])
+    with Scratch(spark) as scratch:
+        rows = merkle.manifest(scratch, documents, columns, key="doc_id", group="source", other=F.when(even & F.contains("text", F.lit("\n")), tampered))
+        rows = rows.withColumn("folded_root", merkle.fold(F.coalesce("other", "leaf"), F.col("proof")))
+        return saved(rows.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified")))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with Scratch(prepare(spark)) as scratch:
+        return saved(weighted_sampling.with_next(scratch, table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with Scratch(prepare(spark)) as scratch:
+        rows, books = vector_codes.compress(scratch, table(spark, sf_dir, "embeddings"))
+        code = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+        coded = saved(rows.select(F.col("id").alias("vec_id"), "label", code.alias("code"), "error"))
+    return vector_codes.label_errors(coded).select("vec_id", "code", "error", "label_error", F.lit(vector_codes.books_sha256(books)).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_secrets": op2_secrets,
@@ -74,6 +98,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_line_dedup": op9_line_dedup,
     "op10_lm_score": op10_lm_score,
+    "op11_merkle": op11_merkle,
+    "op12_fingerprints": op12_fingerprints,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLES: dict[str, str] = {}
