@@ -58,11 +58,11 @@ def long_enough(text: Column, least: int = 100) -> Column:
 
 
 def title_drop(title: Column, extra: list[str] = ()) -> Column:
-    """Why a title is dropped: the word in it, the general ones first, or that there is none."""
-    own = F.regexp_replace(F.coalesce(title, F.lit("")), "(?U)^\\s+|\\s+$", "")
-    word = lambda terms: F.nullif(F.lower(F.regexp_extract(own, f"(?i)(?U)\\b({terms})\\b", 1)), F.lit(""))
+    """Why a title is dropped: the word in it, the general ones first, or that there is none. A title is read once, or once more where only words of its own list are in it."""
+    word = lambda terms: F.nullif(F.lower(F.regexp_extract(title, f"(?i)(?U)\\b({terms})\\b", 1)), F.lit(""))
     more = [word("|".join("\\Q" + t + "\\E" for t in extra))] if extra else []
-    return F.when(own == "", F.lit(NO_TITLE)).otherwise(F.coalesce(word(TITLE_DROPS), *more))
+    blank = title.isNull() | ~F.rlike(title, F.lit("(?U)\\S"))
+    return F.when(blank, F.lit(NO_TITLE)).otherwise(F.coalesce(word(TITLE_DROPS), *more))
 
 
 def code_status(revoked: Column, expires: Column, as_of: Column) -> Column:

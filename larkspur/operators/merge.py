@@ -9,30 +9,31 @@ OPEN = ("discovered", "ranked")
 STATEFUL = ("applied", "closed")
 
 
-def upsert_jobs(current: DataFrame, new: DataFrame, *, id: str = "id", key: str = "dedupe_key", url: str = "url", pos: str = "pos", kept: tuple[str, ...] = ("status", "applied_at", "branch")) -> DataFrame:
+def upsert_jobs(current: DataFrame, new: DataFrame, *, id: str = "id", key: str = "dedupe_key", url: str = "url", pos: str = "pos", kept: tuple[str, ...] = ("status", "applied_at", "branch"), first: str | None = None) -> DataFrame:
     """current after the rows of new were written one by one, in order of pos.
 
     A new row meets the current row (of several the one with the smallest id) that has its key or its address; rows that meet none
     are inserted, once for each key, or address where there is no key. New values win over old ones unless they are null, later
     ones over earlier ones; a key is only filled in where there was none, and kept columns never change. Inserted rows are
-    discovered and have a null id, which the sink gives out.
+    discovered and have a null id, which the sink (`store.upsert`) gives out; first: a column for the pos of the row that each was first inserted by.
     """
     columns = [c for c in current.columns if c not in (id, key, *kept)]
-    first = lambda c, name: current.where(F.col(c).isNotNull()).groupBy(c).agg(F.min(id).alias(name))
-    met = new.join(first(key, "_by_key"), key, "left").join(first(url, "_by_url"), url, "left").withColumn("_target", F.least("_by_key", "_by_url"))
+    least = lambda c, name: current.where(F.col(c).isNotNull()).groupBy(c).agg(F.min(id).alias(name))
+    met = new.join(least(key, "_by_key"), key, "left").join(least(url, "_by_url"), url, "left").withColumn("_target", F.least("_by_key", "_by_url"))
     tag = lambda name, c: F.concat(F.lit(name), F.col(c).cast("string"))
     place = F.coalesce(tag("id:", "_target"), tag("key:", key), tag("url:", url), tag("pos:", pos))
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col(pos))).alias(c)
-    folded = met.groupBy(place.alias("_place")).agg(F.first("_target").alias("_target"), *(last(c) for c in (key, *columns)))
+    folded = met.groupBy(place.alias("_place")).agg(F.first("_target").alias("_target"), F.min(pos).alias("_pos"), *(last(c) for c in (key, *columns)))
     c, n = current.alias("c"), folded.where(F.col("_target").isNotNull()).alias("n")
     updated = c.join(n, F.col(f"c.{id}") == F.col("n._target"), "left").select(
         f"c.{id}", F.coalesce(f"c.{key}", f"n.{key}").alias(key), *(F.coalesce(f"n.{x}", f"c.{x}").alias(x) for x in columns), *(f"c.{x}" for x in kept)
     )
     types = dict(current.dtypes)
+    at = [] if first is None else [F.col("_pos").alias(first)]
     inserted = folded.where(F.col("_target").isNull()).select(
-        F.lit(None).cast(types[id]).alias(id), key, *columns, *((F.lit("discovered") if x == "status" else F.lit(None).cast(types[x])).alias(x) for x in kept)
+        F.lit(None).cast(types[id]).alias(id), key, *columns, *((F.lit("discovered") if x == "status" else F.lit(None).cast(types[x])).alias(x) for x in kept), *at
     )
-    return updated.unionByName(inserted).select(current.columns)
+    return updated.unionByName(inserted, allowMissingColumns=True).select(*current.columns, *([] if first is None else [first]))
 
 
 def guarded_status(status: Column, wanted: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.session import once
+
 from .filters import NO_TITLE, long_enough, title_drop
 
 # Families that are kept.
@@ -17,7 +19,8 @@ def screen(postings: DataFrame, *, extra_titles: list[str] = (), min_length: int
 
     A failed triage passes; a failed gate keeps the posting as an error.
     """
-    word = title_drop(F.col("title"), extra_titles)
+    rows = once(postings, _word=title_drop(F.col("title"), extra_titles))
+    word = F.col("_word")
     gates = F.filter("gate_failures", lambda g: F.coalesce(F.trim(g["evidence"]), F.lit("")) != "")
     stage = (
         F.when(word.isNotNull() | ~long_enough(F.col("description"), min_length), "rules")
@@ -26,7 +29,7 @@ def screen(postings: DataFrame, *, extra_titles: list[str] = (), min_length: int
         .otherwise("gates")
     )
     low = ~F.coalesce(F.col("worth"), F.lit(False)) & (F.coalesce("fit_sketch", F.lit(0)) < MIN_SKETCH)
-    out = postings.withColumn("stage", stage).withColumn("n_gates", F.coalesce(F.size(gates), F.lit(0)))
+    out = rows.withColumn("stage", stage).withColumn("n_gates", F.coalesce(F.size(gates), F.lit(0)))
     out = out.withColumn("keep", (F.col("stage") == "error") | ((F.col("stage") == "gates") & (F.col("n_gates") <= 0) & ~low))
     reason = (
         F.when((F.col("stage") == "rules") & (word == NO_TITLE), F.lit(NO_TITLE))
@@ -38,7 +41,7 @@ def screen(postings: DataFrame, *, extra_titles: list[str] = (), min_length: int
         .when(~F.col("keep"), F.lit("sketch"))
         .otherwise(F.lit("kept"))
     )
-    return out.withColumn("reason", reason)
+    return out.withColumn("reason", reason).select(*postings.columns, "stage", "n_gates", "keep", "reason")
 
 
 def submittable(decisions: DataFrame, cap: int = 25) -> DataFrame:
@@ -54,7 +57,7 @@ def screen_single(postings: DataFrame, *, extra_titles: list[str] = (), min_leng
     (triage_level) or the title speaks of seniority; what a model failed on is kept as an error; stage is kept for those that pass.
     """
     title = F.trim(F.coalesce("title", F.lit("")))
-    word = title_drop(title, extra_titles)
+    rows, word = once(postings, _word=title_drop(title, extra_titles)), F.col("_word")
     gates = F.filter("gate_failures", lambda g: F.coalesce(F.trim(g["evidence"]), F.lit("")) != "")
     unsure = F.coalesce(F.col("triage_level") == "unclear", F.lit(False)) | F.rlike(title, F.lit(SENIOR))
     fit = F.coalesce("fit_sketch", F.lit(0))
@@ -67,4 +70,4 @@ def screen_single(postings: DataFrame, *, extra_titles: list[str] = (), min_leng
         .when((F.coalesce(F.size(gates), F.lit(0)) > 0) | low, "gates")
         .otherwise("kept")
     )
-    return postings.withColumn("stage", stage).withColumn("keep", F.col("stage").isin("error", "kept"))
+    return rows.withColumn("stage", stage).withColumn("keep", F.col("stage").isin("error", "kept")).select(*postings.columns, "stage", "keep")

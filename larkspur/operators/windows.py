@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.session import saved
+
 # Requests an hour for a code, dollars a day for a code and for all, failures an hour for an address and for all.
 REQUESTS_PER_HOUR, DOLLARS_PER_DAY, DOLLARS_PER_DAY_ALL, FAILURES_PER_HOUR, FAILURES_PER_HOUR_ALL = 60, 5.0, 25.0, 10, 100
 HOUR, DAY = 3600, 86_400
@@ -67,3 +72,22 @@ def usage_summary(codes: DataFrame, sessions_: DataFrame, messages: DataFrame) -
     per = messages.groupBy("session_id").agg(F.count("*").alias("n_messages"), F.sum("cost_usd").alias("cost_usd"))
     own = sessions_.join(per, "session_id", "left").groupBy("code").agg(F.count("*").alias("n_sessions"), F.coalesce(F.sum("n_messages"), F.lit(0)).alias("n_messages"), F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("cost_usd"), F.max("last_active_at").alias("last_active_at"))
     return codes.select("code").join(own, "code", "left").select("code", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_sessions", "n_messages")), F.coalesce("cost_usd", F.lit(0.0)).alias("cost_usd"), "last_active_at")
+
+
+def running(events: DataFrame, amount: Column, by: list[str] = (), *, at: str = "ts", tie: str = "event_id", size: int | None = HOUR, out: str = "value") -> DataFrame:
+    """events with the running amount in their fixed window, of all events or of those that agree in some columns; for keys that hold many rows, or all.
+
+    Rows are sorted by ranges and written; a range's sums in each window it meets give what stands before the next ones, so a task holds a range
+    and never a key. Without a size there is one window for all time. Null keys are a key; rows of equal time are ordered by tie.
+    """
+    keys = [f"_by{k}" for k in range(len(by))]
+    own = events.withColumns({k: F.col(c) for k, c in zip(keys, by, strict=True)} | {"_window": F.lit(0) if size is None else window_number(F.col(at), size), "_amount": F.coalesce(amount, F.lit(0))})
+    place = [*keys, "_window"]
+    ranged = saved(own.repartitionByRange(*place, at, tie).withColumn("_part", F.spark_partition_id()))
+    sums = ranged.groupBy(*place, "_part").agg(F.sum("_amount").alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(Window.partitionBy(*place).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sums.select(*(F.col(c).alias(f"{c}_") for c in (*place, "_part")), before.alias("_before"))
+    within = F.sum("_amount").over(Window.partitionBy(*place, "_part").orderBy(at, tie).rowsBetween(Window.unboundedPreceding, 0))
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in (*place, "_part")]
+    joined = ranged.withColumn("_within", within).join(offsets, reduce(and_, same))
+    return joined.withColumn(out, F.col("_before") + F.col("_within")).select(*events.columns, out)

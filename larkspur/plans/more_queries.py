@@ -75,7 +75,7 @@ def p12_badge(spark, d):
 _PARTS = "doc_id, 'a b c' || CASE WHEN doc_id % 4 = 0 THEN ' d e f g' ELSE '' END AS company, CASE doc_id % 7 WHEN 0 THEN 'Engineer' WHEN 1 THEN '70k' WHEN 2 THEN 'New York, NY' WHEN 3 THEN 'QA' WHEN 4 THEN 'remote' WHEN 5 THEN '$120,000 - 150k' ELSE 'Lead, Data' END AS title, text || CASE WHEN doc_id % 2 = 0 THEN ' apply' ELSE '' END AS t"
 
 
-@query(f"SELECT doc_id, length(t) >= 200 AND regexp_matches(lower(t), '(^|[^\\p{{L}}\\p{{N}}_])({'|'.join(text.HIRING).replace(chr(39), chr(39) * 2)})([^\\p{{L}}\\p{{N}}_]|$)') AND doc_id % 7 IN (0, 6) AND doc_id % 4 <> 0 AS plausible FROM (SELECT {_PARTS} FROM documents)")
+@query(f"SELECT doc_id, length(t) >= 200 AND regexp_matches(lower(t), '(^|[^\\p{{L}}\\p{{N}}_])({'|'.join([*text.HIRING, *text.HIRING_PAIRS, 'full-time'])})([^\\p{{L}}\\p{{N}}_]|$)') AND doc_id % 7 IN (0, 6) AND doc_id % 4 <> 0 AS plausible FROM (SELECT {_PARTS} FROM documents)")
 def f15_plausible_posting(spark, d):
     k = _i() % 7
     title = F.when(k == 0, "Engineer").when(k == 1, "70k").when(k == 2, "New York, NY").when(k == 3, "QA").when(k == 4, "remote").when(k == 5, "$120,000 - 150k").otherwise("Lead, Data")
@@ -213,15 +213,15 @@ def u4_u5_concatenated_distinct(spark, d):
 @query("""WITH failures AS (SELECT event_id, user_id, ts, floor(epoch(ts) / 3600) AS w FROM events WHERE event_type = 'error')
  SELECT event_id, count(*) OVER (PARTITION BY user_id, w ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) - 1 < 10 AS address_ok, count(*) OVER (PARTITION BY w ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) - 1 < 100 AS all_ok FROM failures""")
 def t2_failure_limits(spark, d):
-    failures = table(prepare(spark), d, "events").where(F.col("event_type") == "error").withColumn("everyone", F.lit(1))
+    failures = table(prepare(spark), d, "events").where(F.col("event_type") == "error").select("event_id", "user_id", "ts")
     own = windows.failure_limit(failures, "user_id", windows.FAILURES_PER_HOUR, out="address_ok")
-    return windows.failure_limit(own, "everyone", windows.FAILURES_PER_HOUR_ALL, out="all_ok").select("event_id", "address_ok", "all_ok")
+    return windows.running(own, F.lit(1), out="n").select("event_id", "address_ok", (F.col("n") - 1 < windows.FAILURES_PER_HOUR_ALL).alias("all_ok"))
 
 
 @query("SELECT event_id, coalesce(sum(value) OVER (PARTITION BY floor(epoch(ts) / 86400) ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 25 AS within FROM (SELECT event_id, ts, CAST(event_id % 4 AS DOUBLE) / 4 AS value FROM events)")
 def t2_budget_of_all(spark, d):
-    e = table(prepare(spark), d, "events").withColumn("everyone", F.lit(1))
-    return windows.budget_limit(e, "everyone", (F.col("event_id") % 4).cast("double") / 4, limit=windows.DOLLARS_PER_DAY_ALL).select("event_id", "within")
+    e = table(prepare(spark), d, "events").select("event_id", "ts", ((F.col("event_id") % 4).cast("double") / 4).alias("cost"))
+    return windows.running(e, F.col("cost"), size=windows.DAY, out="spent").select("event_id", (F.col("spent") - F.col("cost") < windows.DOLLARS_PER_DAY_ALL).alias("within"))
 
 
 @query("SELECT user_id, CAST(w AS BIGINT) AS \"window\", n FROM (SELECT user_id, floor(epoch(ts) / 3600) AS w, count(*) AS n FROM events GROUP BY ALL) WHERE w >= floor(epoch(TIMESTAMP '2024-01-15 00:30:00') / 3600)")

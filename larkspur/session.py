@@ -13,7 +13,7 @@ from functools import cache
 from pathlib import Path
 
 from pyspark import SparkContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REPO = str(Path(__file__).resolve().parent.parent)
@@ -64,6 +64,13 @@ def unused(name: str, columns: Iterable[str]) -> str:
     return name
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once a row, however often what follows uses them: a generator of one row stands between, which the optimiser neither merges nor filters through."""
+    parts = F.struct(*(c.alias(name) for name, c in columns.items()))
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*(F.col(f"`{c}`") for c in kept), F.explode(F.array(parts)).alias("_once")).select(*(F.col(f"`{c}`") for c in kept), *(F.col(f"_once.`{name}`") for name in columns))
+
+
 @cache
 def _own_folder(application: str) -> str:
     folder = tempfile.mkdtemp(prefix="larkspur-")
@@ -100,15 +107,24 @@ def written(df: DataFrame, path: str) -> DataFrame:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """Write df as a table below the shared folder and go on from it, which cuts its lineage."""
-    return written(df, f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}")
+    """Write df as a table below the shared folder and go on from it, which cuts its lineage. It belongs to the application, which `clear` ends."""
+    return written(df, f"{_tables(df.sparkSession)}/{uuid.uuid4().hex}")
+
+
+def _tables(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/tables/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the tables that this application's results still read; to be called once these are written or collected."""
+    delete(spark, _tables(spark))
 
 
 class Scratch:
     """Tables below the shared folder that are deleted together, when a with block ends."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.folder, self.count = spark, f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}", 0
+        self.spark, self.folder, self.count = spark, f"{_tables(spark)}/{uuid.uuid4().hex}", 0
 
     def save(self, df: DataFrame) -> DataFrame:
         self.count += 1

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import best_url, company_and_title, looks_like_posting, strip, strip_html_paragraphs
+from larkspur.session import once
 
 # How the thread's title begins, and what its sister threads have in theirs.
 THREAD, NOT_THREAD = "ask hn: who is hiring?", "freelance"
@@ -25,10 +26,9 @@ def thread_postings(thread: DataFrame, comments: DataFrame, most: int = MOST) ->
     A comment's first line names company and title; without a company or an address, or without the looks of a posting, it is none.
     """
     own = comments.join(F.broadcast(thread.limit(1).select(F.col("story_id").alias("parent_id"), F.col("title").alias("_thread"))), "parent_id")
-    text = strip_html_paragraphs(F.col("comment_text"))
-    read = own.withColumn("description", text).withColumn("_first", F.get(F.filter(F.split("description", "\\R"), lambda x: strip(x) != ""), 0))
-    parts = company_and_title(F.col("_first"))
-    read = read.withColumns({"company": parts["company"], "title": parts["title"], "url": best_url(F.col("description"))})
+    read = once(own, description=strip_html_paragraphs(F.col("comment_text")))
+    first = F.get(F.filter(F.split("description", "\\R"), lambda x: strip(x) != ""), 0)
+    read = once(read, _parts=company_and_title(first), url=best_url(F.col("description"))).withColumns({"company": F.col("_parts.company"), "title": F.col("_parts.title")})
     good = read.where(F.col("url").isNotNull() & (F.col("company") != "") & looks_like_posting(F.col("company"), F.col("title"), F.col("description")))
     return good.orderBy("comment_id").limit(most).select(
         "comment_id", "url", "title", "company", "description", F.concat(F.lit("hn:"), F.coalesce("_thread", F.lit("who-is-hiring"))).alias("source"),
