@@ -19,7 +19,7 @@ other, 0 to others. A text without words, such as one of signs only, is one term
 `with_next` gives each row what follows it in an order: rows are sorted by ranges, one sort that moves each text
 once, and a range is read as a stream that holds one row. Only the last row of a range still lacks its successor, the first row of the next
 range that has any; these are written with their texts and joined, two rows a range. Nulls in the order come last; rows of equal
-order are ordered by their texts. Rows that repeat follow each other; a table of one row follows itself; an empty one gives an empty result.
+order are ordered by a hash of their texts. Rows that repeat follow each other; a table of one row follows itself; an empty one gives an empty result.
 Only the columns named are read, so others, whatever their names, are of no effect.
 """
 
@@ -43,17 +43,19 @@ from .wordhash import ALNUM, FOLD, U, mix, words
 SAMPLES = 128
 #: Terms with their weights of which a worker keeps the values: 64 MB at 128 samples.
 CACHED = 1 << 17
-_GAMMA_BITS, _STEP = 1.0 / (1 << 53), U(0x9E3779B97F4A7C15)
+_BITS, _HALVES, _STEP = 1.0 / (1 << 53), 1.0 / (1 << 64), U(0x9E3779B97F4A7C15)
 
 
 def draw(terms: np.ndarray, weights: np.ndarray, samples: int) -> np.ndarray:
     """Values of terms (64-bit hashes) with their weights: a row a term, a column a sample."""
     with np.errstate(over="ignore"):
         seeds = mix(terms[:, None] ^ mix(np.arange(1, samples + 1, dtype=np.uint64) * _STEP)[None, :])
-        u = [((mix(seeds + U(k) * _STEP) >> U(11)).astype(np.float64) + 0.5) * _GAMMA_BITS for k in range(5)]
-    r = -np.log(u[0] * u[1])
-    t = np.floor(np.log(weights)[:, None] / r + u[4])
-    return (np.log(-np.log(u[2] * u[3])) - r * (t - u[4] + 1)).astype(np.float32)
+        one, two = mix(seeds + _STEP), mix(seeds + _STEP + _STEP)
+    # Each hash gives two numbers of 32 bits; -log of the product of two is a draw from Gamma(2, 1).
+    gamma = lambda x: -np.log(((x >> U(32)).astype(np.float64) + 0.5) * ((x & U(0xFFFFFFFF)).astype(np.float64) + 0.5) * _HALVES)
+    r, b = gamma(one), (seeds >> U(11)).astype(np.float64) * _BITS
+    t = np.floor(np.log(weights)[:, None] / r + b)
+    return (np.log(gamma(two)) - r * (t - b + 1)).astype(np.float32)
 
 
 class Sampler:
@@ -74,8 +76,8 @@ class Sampler:
             self.keys, self.places, known, new = self.keys[:0], self.places[:0], np.zeros(len(fresh), np.int64), np.ones(len(fresh), bool)
         if new.any():
             rows, n = np.arange(len(self.keys), len(self.keys) + new.sum()), at[new]
-            for a in range(0, len(n), 2048):
-                self.values[rows[a : a + 2048]] = draw(terms[n[a : a + 2048]], weights[n[a : a + 2048]], self.samples)
+            for a in range(0, len(n), 256):  # so many that their numbers stay in the processor's cache
+                self.values[rows[a : a + 256]] = draw(terms[n[a : a + 256]], weights[n[a : a + 256]], self.samples)
             self.keys, self.places = np.insert(self.keys, known[new], fresh[new]), np.insert(self.places, known[new], rows)
         return self.values[self.places[np.searchsorted(self.keys, keys)]]
 
@@ -235,11 +237,11 @@ def with_next(scratch: Scratch, docs: DataFrame, *, key: str = "doc_id", text: s
 
     The result reads tables of scratch, so it must be written before these are deleted.
     """
-    rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
+    rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
     kind = _ROW.format(key=dict(rows.dtypes)["key"])
     arrow = to_arrow_schema(docs.sparkSession.createDataFrame([], kind).schema)
-    order = [F.col("key").desc_nulls_last(), F.col("text")]
-    read = scratch.save(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_stream(samples, width, arrow), kind))
+    order = [F.col("key").desc_nulls_last(), F.col("tie")]  # bounds of ranges are sampled from what orders, so texts are not in it
+    read = scratch.save(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("key", "text").mapInArrow(_stream(samples, width, arrow), kind))
     # Two narrow rows a range: each range's successor, and the first one's for the last.
     in_order = Window.orderBy("part")
     parts = read.where(F.col("kind") == _FIRST).select("part").withColumn("_next", F.coalesce(F.lead("part").over(in_order), F.first("part").over(in_order)))
