@@ -5,15 +5,17 @@ window of an item is `width` consecutive words; an item of fewer words, but not
 Every occurrence of a window in a document is found by its hash, verified on the words themselves,
 and all its words are hit.
 
-A broadcast set is made of at most `block_bytes` of items' text, which is checked first. A larger
-benchmark is dealt into such blocks by a hash: the documents are scanned for one block at a time, the
-hits so far being written beside them as bits, and a block's broadcast is destroyed before the next is
-made. Driver and workers thus hold one block at a time; an item beyond a block's size is a block of its
-own. Documents are never shuffled.
+A broadcast set is made of at most `block_bytes` of items' text, which is checked first, and takes about five times that: a
+hash, an item and two offsets for each window, beside the words. Items that repeat are taken once. A larger benchmark is
+packed into blocks by the running size of its items, so a block holds `block_bytes` and what its last item has beyond them. The
+documents are scanned for one block at a time, and a block's broadcast is destroyed before the next is made, so
+driver and workers hold one block at a time. Of all blocks but the last only the hits are written: for each text that has any a
+digest, its marked words as bits and its items; these are joined to the documents by the text's digest in the last scan and deleted. With one
+block documents are never shuffled.
 
 Nulls and texts without words have no words, no hits and no items. Items that are null or have no
 words have no windows; an empty benchmark hits nothing, an empty table gives an empty result. A null
-item_id counts for hits but is not listed. Repeated rows are judged alike, each by itself; of items with
+item_id counts for hits but is not listed. Repeated rows are judged alike, each by itself; there are no ties, as of items with
 equal windows all are listed. Texts of any length are scanned whole, a block of words at a time. Other
 columns of the inputs are kept as they are, whatever their names.
 """
@@ -22,13 +24,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.session import saved, unused
+from larkspur.operators.windows import running
+from larkspur.session import Scratch, saved, unused
 
 from .wordhash import ALNUM, FOLD, U, windows, words
 
@@ -38,42 +42,54 @@ BLOCK_BYTES = 32 << 20
 
 @dataclass
 class Windows:
-    """The windows of one size: sorted hashes, and for each the words (joined by spaces) and items that have it."""
+    """The windows of one size in order of their hashes, with the item of each and where its words (joined by spaces) stand in the block's text."""
 
     hashes: np.ndarray
-    texts: list[dict[bytes, list[str]]]
+    items: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
     bits: np.ndarray
+    text: bytes
+    ids: list[str | None]
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of the hashes that are in the set, and their places in it."""
+        """Positions of the hashes that are in the set, and their first places in it."""
         maybe = np.flatnonzero(self.bits[(hashes >> U(44)).astype(np.int64)])
         place = np.searchsorted(self.hashes, hashes[maybe])
         found = self.hashes[np.minimum(place, len(self.hashes) - 1)] == hashes[maybe]
         return maybe[found], place[found]
 
+    def items_of(self, place: int, words: bytes) -> set[str] | None:
+        """The items that have a window of these words, from its hash's first place on; nothing if none has."""
+        last = int(np.searchsorted(self.hashes, self.hashes[place], "right"))
+        same = [q for q in range(place, last) if self.text[self.starts[q] : self.ends[q]] == words]
+        return {self.ids[self.items[q]] for q in same} - {None} if same else None
+
 
 def item_windows(ids: list[str | None], texts: list[str | None], width: int) -> dict[int, Windows]:
     """The windows of some items by their size."""
-    by_size: dict[int, dict[int, dict[bytes, list[str]]]] = {}
-    for block in words(pa.array(texts, pa.string()), ALNUM):
+    found: dict[int, list[tuple[np.ndarray, ...]]] = {}
+    text, base = [], 0
+    for block in words(pa.array(texts, pa.large_string()), ALNUM):
         for k, doc in enumerate(block.docs):
             a, b = block.bounds[k : k + 2]
             size = min(width, int(b - a))
             if not size:
                 continue
-            own = [block.data[s:e].tobytes() for s, e in zip(block.starts[a:b], block.ends[a:b], strict=True)]
-            hashes = block.hashes[a:b]
-            starts, found = windows(hashes, np.zeros(len(hashes), np.int8), size)
-            for i, h in zip(starts.tolist(), found.tolist(), strict=True):
-                items = by_size.setdefault(size, {}).setdefault(h, {}).setdefault(b" ".join(own[i : i + size]), [])
-                if ids[doc] is not None and (not items or items[-1] != ids[doc]):
-                    items.append(ids[doc])
+            lengths = block.ends[a:b] - block.starts[a:b]
+            text.append(b" ".join(block.data[s:e].tobytes() for s, e in zip(block.starts[a:b], block.ends[a:b], strict=True)))
+            at = base + np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
+            base += len(text[-1]) + 1
+            starts, hashes = windows(block.hashes[a:b], np.zeros(b - a, np.int8), size)
+            found.setdefault(size, []).append((hashes, np.full(len(starts), doc, np.int32), at[starts], at[starts + size - 1] + lengths[starts + size - 1]))
+    whole = b" ".join(text)
     out = {}
-    for size, sets in by_size.items():
-        hashes = np.array(sorted(sets), np.uint64)
+    for size, parts in found.items():
+        hashes, items, starts, ends = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(hashes, kind="stable")
         bits = np.zeros(1 << 20, bool)
         bits[(hashes >> U(44)).astype(np.int64)] = True
-        out[size] = Windows(hashes, [sets[h] for h in hashes.tolist()], bits)
+        out[size] = Windows(hashes[order], items[order], starts[order], ends[order], bits, whole, ids)
     return out
 
 
@@ -91,7 +107,7 @@ def scan(texts: pa.Array, sets: dict[int, Windows]) -> Iterator[tuple[int, np.nd
         owner = block.owner()
         edge = np.zeros(len(block.hashes) + 1, np.int32)
         items: dict[int, set[str]] = {}
-        known: dict[tuple[int, bytes], list[str] | None] = {}
+        known: dict[tuple[int, bytes], set[str] | None] = {}
         raw = block.data
         for size, own in sets.items():
             starts, hashes = block.windows(size)
@@ -99,7 +115,7 @@ def scan(texts: pa.Array, sets: dict[int, Windows]) -> Iterator[tuple[int, np.nd
             for i, p in zip(starts[at].tolist(), place.tolist(), strict=True):
                 span = raw[block.starts[i] : block.ends[i + size - 1]].tobytes()
                 if (size, span) not in known:
-                    known[size, span] = own.texts[p].get(_separated(span))
+                    known[size, span] = own.items_of(p, _separated(span))
                 if (got := known[size, span]) is not None:
                     edge[i] += 1
                     edge[i + size] -= 1
@@ -110,16 +126,19 @@ def scan(texts: pa.Array, sets: dict[int, Windows]) -> Iterator[tuple[int, np.nd
             yield int(doc), hit[a:b], items.get(k, set()), int(b - a), block.starts[a:b] - block.edges[k], block.ends[a:b] - block.edges[k]
 
 
-def _items(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> tuple[DataFrame, int]:
-    """The benchmark's items with the block of each, and the number of blocks."""
-    own = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).cast("string").alias("words")).where(F.length("words") > 0)
-    total = own.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()[0]
-    n = 1 if total <= block_bytes else -(-2 * total // block_bytes)
-    return own.withColumn("block", F.pmod(F.xxhash64("item", "words"), F.lit(n))), n
+def _blocks(scratch: Scratch, benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> tuple[DataFrame, list[int]]:
+    """The benchmark's different items with the block of each, and the blocks that have any."""
+    name = lambda c: F.col(f"`{c}`").cast("string")
+    own = scratch.save(benchmark.select(name(item_id).alias("item"), name(text).alias("words")).where(F.length("words") > 0).distinct())
+    size = F.octet_length("words")
+    if own.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0] <= block_bytes:
+        return own.withColumn("block", F.lit(0)), [0]
+    sized = running(own.withColumn("digest", F.xxhash64("words", "item")), size, at="digest", tie="item", size=None, out="upto")
+    dealt = scratch.save(sized.select("item", "words", F.floor((F.col("upto") - size) / F.lit(block_bytes)).cast("int").alias("block")))
+    return dealt, [r.block for r in dealt.select("block").distinct().orderBy("block").collect()]
 
 
 _RESULT = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
-_SO_FAR = pa.struct([("bits", pa.binary()), ("items", pa.list_(pa.string()))])
 
 
 def find(documents: DataFrame, benchmark: DataFrame, *, out: str = "found", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, block_bytes: int = BLOCK_BYTES, offsets: bool = True) -> DataFrame:
@@ -129,46 +148,59 @@ def find(documents: DataFrame, benchmark: DataFrame, *, out: str = "found", text
     """
     if unused(out, documents.columns) != out:
         raise ValueError(f"documents has a column {out!r}")
-    items, n = _items(benchmark, item_id, item_text, block_bytes)
-    if n > 1:
-        items = saved(items)
     sc = documents.sparkSession.sparkContext
+    kind = "struct<n_words:long,n_hit:long,spans:array<struct<start:long,end:long>>,items:array<string>>"
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
-    so_far = unused("so_far", [*documents.columns, out])
-    own = documents
-    for block in range(n):
-        rows = items.where(F.col("block") == block).collect()
-        sets = sc.broadcast(item_windows([r.item for r in rows], [r.words for r in rows], width))
-        last = block == n - 1
-        kind, name = ("struct<n_words:long,n_hit:long,spans:array<struct<start:long,end:long>>,items:array<string>>", out) if last else ("struct<bits:binary,items:array<string>>", so_far)
-        own = own.mapInArrow(_scanner(sets, text, documents.columns, name, so_far, last, offsets), f"{fields}, `{name}` {kind}")
-        if not last:
-            own = saved(own)
-            sets.destroy()
-    return own
-
-
-def _scanner(sets, text: str, columns: list[str], name: str, so_far: str, last: bool, offsets: bool):
-    """Scans batches for the windows of one block and adds them to what was found before."""
+    own, so_far = documents, None
+    with Scratch(documents.sparkSession) as scratch:
+        items, blocks = _blocks(scratch, benchmark, item_id, item_text, block_bytes)
+        held = lambda block: (r := items.where(F.col("block") == block).collect(), sc.broadcast(item_windows([x.item for x in r], [x.words for x in r], width)))[1]
+        if len(blocks) > 1:
+            so_far = unused("so_far", [*documents.columns, out])
+            keyed = documents.select(F.md5(F.col(f"`{text}`").cast("string").cast("binary")).alias("digest"), F.col(f"`{text}`").alias("text"))
+            hits = []
+            for block in blocks[:-1]:
+                sets = held(block)
+                marked = keyed.mapInArrow(_marker(sets), "digest string, bits binary, items array<string>")
+                hits.append(scratch.save(marked.groupBy("digest").agg(F.first("bits").alias("bits"), F.first("items").alias("items"))))
+                sets.destroy()
+            each = F.collect_list(F.struct("bits", "items")).alias(so_far)  # one a block at most
+            known = saved(reduce(DataFrame.unionByName, hits).groupBy(F.col("digest").alias(f"{so_far}_")).agg(each))
+            own = documents.join(known, F.md5(F.col(f"`{text}`").cast("string").cast("binary")) == F.col(f"{so_far}_"), "left").drop(f"{so_far}_")
+        sets = held(blocks[-1])
+    return own.mapInArrow(_scanner(sets, text, documents.columns, out, so_far, offsets), f"{fields}, `{out}` {kind}")
+
+
+def _marker(sets):
+    """The texts that hold windows of one block, by their digests, with their marked words as bits and their items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests = batch.column("digest")
+            rows = [(digests[doc].as_py(), np.packbits(hit).tobytes(), sorted(items)) for doc, hit, items, *_ in scan(batch.column("text"), sets.value) if hit.any()]
+            columns = list(zip(*rows, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.binary(), pa.list_(pa.string())), strict=True)], ["digest", "bits", "items"])
+
+    return run
+
+
+def _scanner(sets, text: str, columns: list[str], name: str, so_far: str | None, offsets: bool):
+    """Scans batches for the windows of the last block and adds what was found before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             given = dict(zip(batch.schema.names, batch.columns, strict=True))
-            before = given[so_far] if so_far in given else None
             rows: list[dict] = []
             for doc, hit, items, n, starts, ends in scan(given[text], sets.value):
-                if before is not None and (known := before[doc].as_py())["bits"] is not None:
+                for known in (given[so_far][doc].as_py() or []) if so_far else []:
                     hit = hit | np.unpackbits(np.frombuffer(known["bits"], np.uint8), count=n).astype(bool)
                     items = items | set(known["items"])
-                if not last:
-                    rows.append({"bits": np.packbits(hit).tobytes() if hit.any() else None, "items": sorted(items)})
-                    continue
                 row: dict = {"n_words": n, "n_hit": int(hit.sum()), "spans": [], "items": sorted(items)}
                 if offsets and row["n_hit"]:
                     turn = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
                     row["spans"] = [{"start": int(starts[i]), "end": int(ends[j - 1])} for i, j in zip(turn[::2], turn[1::2], strict=True)]
                 rows.append(row)
-            yield pa.RecordBatch.from_arrays([*(given[c] for c in columns), pa.array(rows, _RESULT if last else _SO_FAR)], [*columns, name])
+            yield pa.RecordBatch.from_arrays([*(given[c] for c in columns), pa.array(rows, _RESULT)], [*columns, name])
 
     return run
 
