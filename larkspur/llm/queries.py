@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from larkspur.session import Scratch, prepare, saved, table
 
-from . import bpe, decontaminate, line_dedup, lm_score, merkle, near_dedup, pii, quality, secret_scan, token_counts, vector_codes, warc, weighted_sampling
+from . import bpe, decontaminate, line_dedup, lm_score, merkle, near_dedup, oracles, pii, quality, secret_scan, token_counts, vector_codes, warc, weighted_sampling
 
 #: Where the public tokenizers lie; the path is a parameter of the operators.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -103,4 +103,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_vector_codes": op13_vector_codes,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_merkle": oracles.OP11, "op13_vector_codes": oracles.OP13}

@@ -10,8 +10,8 @@ number of vectors. Each task sums what falls to each entry, and sums of sums tra
 shares are fewer than HOT a position; they are joined back by a broadcast of so many rows at most, all others by a
 shuffle in which no key has more than one row in HOT.
 
-Dropped: vectors that are null, hold a null or a component that is not finite, or are not as long as that of the smallest id, or of a length
-that parts do not divide. Integers are held to 26 bits and their sign, so that sums of squares fit in 64: components
+Dropped: vectors that are null, hold a null or a component that is not finite, are of a length that parts do not divide, or not as long as that
+of the smallest id among the others. Integers are held to 26 bits and their sign, so that sums of squares fit in 64: components
 of 16,384 and more at a scale of 4096 count as the greatest integer. Codebooks begin as the parts of the `entries` smallest ids
 (null ids last, ties by the vector); fewer vectors make fewer entries. Repeated rows are vectors each. An empty table, or one of which nothing is
 kept, gives an empty result. Columns other than those named are of no effect, whatever their names.
@@ -144,10 +144,10 @@ def compress(scratch: Scratch, vectors: DataFrame, *, id: str = "vec_id", vector
     spark = vectors.sparkSession
     given = vectors.select(name(id).alias("id"), name(label).alias("label"), name(vector).cast("array<double>").alias("vector"))
     kinds = dict(given.dtypes)
-    usable = given.where(F.col("vector").isNotNull() & (F.size("vector") > 0) & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+    usable = given.where(F.col("vector").isNotNull() & (F.size("vector") > 0) & (F.size("vector") % parts == 0) & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
     first = usable.orderBy(F.col("id").asc_nulls_last(), "vector").select(F.size("vector").alias("n")).first()
     empty = spark.createDataFrame([], f"id {kinds['id']}, label {kinds['label']}, codes array<int>, error long")
-    if first is None or first.n % parts:
+    if first is None:
         return empty, []
     width = first.n // parts
     heads = usable.where(F.size("vector") == first.n).orderBy(F.col("id").asc_nulls_last(), "vector").select("vector").limit(entries).collect()
