@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from larkspur.functions.dates import age_label
 from larkspur.functions.ranking import legacy_score, rank_score, shown
 from larkspur.functions.rows import recommendation
+from larkspur.session import saved
 
 from .filters import MAX_LISTED, as_list
 from .stats import applied_outcomes, board_positions
@@ -66,12 +67,16 @@ def high_priority(jobs: DataFrame, outcomes: DataFrame, as_of: Column, fit_min:
 
 
 def backtest(jobs: DataFrame, outcomes: DataFrame, as_of: Column, top: int = 5) -> DataFrame:
-    """For both formulas: how many applied postings would be among the board's first places, and how many have no desirability yet."""
+    """For both formulas: how many applied postings would be among the board's first places, and how many have no desirability yet.
+
+    Ranks are made once and written as narrow rows, which the counts, the board's histogram and the placing then read.
+    """
     s = {c: F.col(c) for c in ("callbacks", "applied", "global_rate", "global_applied")}
     cols = [F.col(c) for c in ("fit_score", "desirability_score", "posted_at", "discovered_at")]
     both = live_rank(jobs, outcomes, as_of).withColumn("legacy", legacy_score(*cols, as_of, **s)).where(F.col("status").isin("discovered", "ranked", "applied"))
     formulas = F.array(*(F.struct(F.lit(name).alias("formula"), F.col(rank).alias("rank")) for name, rank in (("current", "live_rank"), ("legacy", "legacy"))))
-    rows = both.select("id", (F.col("status") != "applied").alias("on_board"), F.col("fit_score").alias("fit"), F.col("desirability_score").isNull().alias("pending"), F.explode(formulas).alias("f")).select("id", "on_board", "fit", "pending", "f.*")
+    rows = both.select("id", (F.col("status") != "applied").alias("on_board"), F.col("fit_score").alias("fit"), F.col("desirability_score").isNull().alias("pending"), F.explode(formulas).alias("f"))
+    rows = saved(rows.select("id", "on_board", "fit", "pending", "f.*"))
     counts = rows.where(~F.col("on_board")).groupBy("formula").agg(F.count("*").alias("n_applied"), F.sum(F.col("pending").cast("long")).alias("n_pending"))
     placed = board_positions(rows.where("on_board"), rows.where(~F.col("on_board")))
     hits = placed.groupBy("formula").agg(F.sum((F.col("position") <= top).cast("long")).alias("hits"), F.min("position").alias("best"))
