@@ -122,6 +122,27 @@ def detect_platform(url: Column) -> Column:
     return chain.when(host.isNotNull(), out("workday", entry("host", host, "site", first))).otherwise(out("other", none))
 
 
+def site_candidates(url: Column, landing: Column) -> Column:
+    """What may identify a Workday board, likeliest first: host, lang and site by the first two segments of the path, or host and site by the first.
+
+    A first segment that looks like a locale is tried as one first. An address without a path goes by where its root leads (landing), if that is known. Addresses of other hosts have none.
+    """
+    host = _found(url, "([a-z0-9-]+\\.[a-z0-9-]+\\.myworkdayjobs\\.com)")
+    segments = lambda at: F.filter(F.split(F.coalesce(at, F.lit("")), "/"), lambda x: x != "")
+    parts = F.when(F.size(segments(path(url))) > 0, segments(path(url))).otherwise(segments(landing))
+    first, second = F.get(parts, 0), F.get(parts, 1)
+    kind = "array<struct<host:string,lang:string,site:string>>"
+    one = F.struct(host.alias("host"), F.lit(None).cast("string").alias("lang"), first.alias("site"))
+    two = F.struct(host.alias("host"), first.alias("lang"), second.alias("site"))
+    both = F.when(F.rlike(first, F.lit("^[a-z]{2}(-[A-Z]{2})?$")), F.array(two, one)).otherwise(F.array(one, two))
+    return F.when(host.isNull() | first.isNull(), F.array().cast(kind)).when(second.isNull(), F.array(one)).otherwise(both).cast(kind)
+
+
+def resolved_site(candidates: Column, live: Column) -> Column:
+    """The first of the candidates that is among those known to answer (an array of the same kind); null if none is."""
+    return F.get(F.filter(candidates, lambda c: F.exists(live, lambda x: (x["host"] == c["host"]) & x["lang"].eqNullSafe(c["lang"]) & (x["site"] == c["site"]))), 0)
+
+
 def host_platform(host: Column) -> Column:
     """The platform of a host name."""
     chain = F.when(F.lit(False), F.lit(""))

@@ -12,8 +12,6 @@ from larkspur.sources import files, thread
 from .data import AS_OF, GIVEN, JOBS, OUTCOMES, RANK_SQL, _day, as_of, jobs, outcomes
 from .queries import WITH, _literals, _screened, _values, query
 
-_S = lambda x: F.col(x).cast("string")
-
 
 def _i():
     return F.col("doc_id")
@@ -148,18 +146,6 @@ def x13_posting_id(spark, d):
     return _pages(spark, d).select("page_id", urls.posting_id(url, platform, _cat("row", i)).alias("posting"), urls.same_origin(F.col("url"), _cat(urls.scheme(F.col("url")), "://", other, "/y")).alias("same_origin"))
 
 
-_CLIENT = [
-    ("https://www.linkedin.com/jobs/view/1?currentJobId=2", "linkedin:2"), ("https://www.linkedin.com/x?gh_jid=3&currentJobId=4", "linkedin:4"), ("https://u:p@acme.example/a/?b=1&ref=x", "https://acme.example/a?b=1"), ("https://ACME.example", "https://acme.example/"),
-    ("https://notgreenhouse.io/a/jobs/7", "gh:7"), ("https://greenhouse.io.example/a/jobs/7", "https://greenhouse.io.example/a/jobs/7"), ("https://t.wd1.myworkdayjobs.com/S/job/x_R-12", "wd:t.wd1.myworkdayjobs.com:R-12"), ("https://acme.example/?a=&utm_source=b", "https://acme.example/?a="),
-    ("https://acme.example/j?gh_jid=9", "gh:9"), ("plain", "plain"), ("", ""),
-]
-
-
-@query(f"SELECT url, client_key FROM {_literals(_CLIENT, 'url, client_key')}")
-def x4_client_key(spark, d):
-    return _values(spark, "url string", [(u,) for u, _ in _CLIENT]).select("url", urls.client_key(F.col("url")).alias("client_key"))
-
-
 @query("SELECT page_id, 'a/' || page_id || '%20b%26c~' AS quoted FROM pages")
 def x24_url_quote(spark, d):
     return _pages(spark, d).select("page_id", urls.url_quote(_cat("a/", F.col("page_id"), " b&c~")).alias("quoted"))
@@ -417,8 +403,6 @@ def d14_register_target(spark, d):
 
 # Screening and reports
 
-_GATES = "CASE WHEN doc_id % 7 = 0 THEN 'visa: none' ELSE 'pay:  ' END"
-
 
 def _decisions(spark, d):
     return _screened(spark, d).withColumns({"company": _cat("Company ", F.col("id") % 97), "url": _cat("u", F.col("id") % 600)})
@@ -475,11 +459,6 @@ def d6_single_screen(spark, d):
 _STORIES = [(1, "Ask HN: Who is hiring? (January 2024)", "2024-01-02"), (2, "Ask HN: Who is hiring? (February 2024)", "2024-02-01"), (3, "Ask HN: Freelancer? Who is hiring?", "2024-02-02"), (4, "ask hn: who is hiring? freelance only", "2024-02-03"), (5, "Show HN: a thing", "2024-02-04")]
 
 
-@query(f"SELECT story_id, title FROM {_literals(_STORIES, 'story_id, title, created_at')} WHERE lower(title) LIKE 'ask hn: who is hiring?%' AND lower(title) NOT LIKE '%freelance%' ORDER BY created_at DESC LIMIT 1")
-def o16_latest_thread(spark, d):
-    return thread.latest_thread(_values(spark, "story_id long, title string, created_at string", _STORIES)).select("story_id", "title")
-
-
 @query("""SELECT doc_id AS comment_id, 'Acme ' || doc_id AS company, CASE WHEN doc_id % 5 = 0 THEN 'Data Engineer' ELSE 'Lead' END AS title, 'https://jobs.lever.co/a/' || doc_id AS url, 'hn:Ask HN: Who is hiring? (February 2024)' AS source, '2024-02-01' AS posted_at
  FROM documents WHERE doc_id % 3 = 0 AND doc_id % 4 <> 0 AND (doc_id % 5 = 0 OR doc_id % 7 = 0) ORDER BY doc_id LIMIT 500""")
 def s17_thread(spark, d):

@@ -73,14 +73,6 @@ def s6_targets_by_name(spark, d):
     return order.numbered(table(prepare(spark), d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")), F.lower("name"), F.col("id"))
 
 
-_SETTINGS = [("theme", "dark"), ("limit", "20")]
-
-
-@query(f"SELECT coalesce((SELECT value FROM {_literals(_SETTINGS, 'key, value')} WHERE key = 'missing'), 'fallback') AS value")
-def s7_setting_or_default(spark, d):
-    return _values(spark, "key string, value string", _SETTINGS).where(F.col("key") == "missing").agg(F.coalesce(F.first("value"), F.lit("fallback")).alias("value"))
-
-
 # Aggregates
 
 
@@ -130,14 +122,6 @@ def a8_most_common(spark, d):
     return stats.most_common(jobs(spark, d), "company", "id", 12)
 
 
-_SUMMARIES = [(1, 0, True), (2, 0, True), (3, 1, False)]
-
-
-@query(f"SELECT CASE WHEN sum(CASE WHEN skipped = 0 THEN 1 ELSE 0 END) > 0 AND sum(CASE WHEN skipped = 0 THEN 1 ELSE 0 END) = sum(CASE WHEN skipped = 0 AND failed = 1 THEN 1 ELSE 0 END) THEN 1 ELSE 0 END AS exit_code FROM {_literals([(a, b, int(c)) for a, b, c in _SUMMARIES], 'id, skipped, failed')}")
-def a7_exit_code(spark, d):
-    return stats.systemic_failure(_values(spark, "id long, skipped int, adapter_error boolean", _SUMMARIES))
-
-
 _POSITIONS = " UNION ALL ".join(
     f"SELECT '{n}' AS formula, count(*) AS n_applied, CAST(coalesce(sum(CASE WHEN desirability_score IS NULL THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_pending, CAST(coalesce(sum(CASE WHEN position <= 5 THEN 1 ELSE 0 END), 0) AS BIGINT) AS hits, min(position) AS best FROM (SELECT a.id, a.desirability_score, CASE WHEN a.{c} IS NOT NULL THEN 1 + (SELECT count(*) FROM ranked b WHERE b.status IN ('discovered', 'ranked') AND (b.{c} > a.{c} OR (b.{c} = a.{c} AND b.fit_score > a.fit_score))) END AS position FROM ranked a WHERE a.status = 'applied')"
     for n, c in (("current", "live_rank"), ("legacy", "legacy"))
@@ -224,34 +208,12 @@ def f1_denied_phrase(spark, d):
     return jobs(spark, d).select("id", filters.denied_phrase(F.col("title"), F.array(*map(F.lit, _DENY))).alias("phrase"))
 
 
-_PLACES = [(1, "AUS-Perth"), (2, "AUS-Sydney"), (3, "US-TX-Austin"), (4, "United States, Canada"), (5, "Berlin, Germany"), (6, ""), (7, "Atlantis"), (8, None), (9, "Remote | UK"), (10, "RUS-Moscow")]
-
-
-def _phrase_sql(p: str) -> str:
-    low = p.lower()
-    escaped = "".join("\\" + c if c in ".|" else c for c in low).replace("'", "''")
-    return f"regexp_matches(lower(place), '{'(^|[^a-z0-9])' if low[0].isalnum() else ''}{escaped}')"
-
-
-@query(f"SELECT id, coalesce(trim(place), '') = '' OR ({' OR '.join(map(_phrase_sql, filters.ALLOWED_LOCATIONS))}) OR NOT ({' OR '.join(map(_phrase_sql, filters.DENIED_LOCATIONS))}) AS allowed FROM {_literals(_PLACES, 'id, place')}")
-def f2_f3_location_policy(spark, d):
-    return _values(spark, "id long, place string", _PLACES).select("id", filters.location_verdict(F.col("place"))["allowed"].alias("allowed"))
-
-
 @query("SELECT doc_id, CASE WHEN trim(coalesce(text, '')) = '' THEN 'no title' ELSE coalesce(nullif(regexp_extract(lower(text), '\\b(intern|internship|apprentice|new[- ]grad)\\b', 1), ''), nullif(regexp_extract(lower(text), '(?:^|[^\\p{L}\\p{N}_])(the|und)(?:$|[^\\p{L}\\p{N}_])', 1), '')) END AS word, coalesce(length(text) >= 100, false) AS long_enough FROM documents")
 def f5_f6_title_rules(spark, d):
     docs = table(prepare(spark), d, "documents")
     return docs.select("doc_id", filters.title_drop(F.col("text"), ["the", "und"]).alias("word"), filters.long_enough(F.col("text")).alias("long_enough"))
 
 
-_CODES = [("a", 0, "2024-02-10"), ("b", 0, "2024-01-01"), ("c", 1, "2025-01-01"), ("d", 0, ""), ("e", 0, "never"), ("f", None, None)]
-
-
-@query(f"SELECT code, CASE WHEN coalesce(revoked, 0) <> 0 THEN 'revoked' WHEN coalesce(expires, '') = '' OR coalesce(TRY_CAST(expires AS DATE) >= DATE '{AS_OF}', false) THEN 'ok' ELSE 'expired' END AS status FROM {_literals(_CODES, 'code, revoked, expires')}")
-def f7_code_status(spark, d):
-    return _values(spark, "code string, revoked int, expires string", _CODES).select("code", filters.code_status(F.col("revoked"), F.col("expires"), as_of()).alias("status"))
-
-
 _IDLE = "coalesce(referral, 0) = 0 AND coalesce(callback, 0) = 0 AND coalesce(ghosted, 0) = 0 AND coalesce(rejected, 0) = 0 AND coalesce(offer, 0) = 0 AND coalesce(trim(notes), '') = ''"
 _CANDIDATES = f"candidates AS (SELECT jobs.* FROM jobs LEFT JOIN outcomes ON id = job_id WHERE status IN ('discovered', 'ranked') AND {_IDLE})"
 
@@ -278,14 +240,6 @@ def f13_url_predicates(spark, d):
     return table(prepare(spark), d, "pages").select("page_id", urls.is_scoreable(F.col("url")).alias("scoreable"), urls.is_careers_index(F.col("url")).alias("careers_index"))
 
 
-_TITLES = [(1, "Careers"), (2, ""), (3, "JOIN OUR TEAM"), (4, "Platform Engineer"), (5, None), (6, "Career opportunities at Acme"), (7, "12345"), (8, "SRE " * 12), (9, "Caretaker")]
-
-
-@query(f"SELECT id, trim(coalesce(title, '')) = '' OR regexp_matches(lower(coalesce(title, '')), '\\bcareers?\\b') OR (title = upper(title) AND length(title) < 40) AS generic FROM {_literals(_TITLES, 'id, title')}")
-def f14_generic_title(spark, d):
-    return _values(spark, "id long, title string", _TITLES).select("id", text.looks_generic(F.col("title")).alias("generic"))
-
-
 _NEEDLES = [(1, "Secret"), (2, "token"), (3, "AKIA")]
 
 
@@ -410,16 +364,6 @@ def m5_touch_sessions(spark, d):
     return merge.touch_sessions(e, key="user_id")
 
 
-_HAVE = [("a", "A", "2025-01-01", 0, "file", "t1"), ("b", "B", "", 0, "file", "t1"), ("c", "C", "", 0, "cli", "t1"), ("d", "D", "", 0, "cli", "t1")]
-_LISTED = [("a", "A2", "2026-01-01", 0, "t2"), ("c", "C2", "", 0, "t2"), ("e", "E", "", 1, "t2")]
-
-
-@query(f"SELECT coalesce(f.code, c.code) AS code, CASE WHEN f.code IS NOT NULL THEN f.label ELSE c.label END AS label, CASE WHEN f.code IS NOT NULL THEN f.expires ELSE c.expires END AS expires, CASE WHEN f.code IS NOT NULL THEN f.revoked WHEN c.source = 'file' THEN 1 ELSE c.revoked END AS revoked, CASE WHEN f.code IS NOT NULL THEN 'file' ELSE c.source END AS source, coalesce(c.created_at, f.created_at) AS created_at FROM (SELECT * FROM {_literals(_HAVE, 'code, label, expires, revoked, source, created_at')}) c FULL JOIN (SELECT * FROM {_literals(_LISTED, 'code, label, expires, revoked, created_at')}) f ON c.code = f.code")
-def m6_sync_codes(spark, d):
-    have = _values(spark, "code string, label string, expires string, revoked int, source string, created_at string", _HAVE)
-    return merge.sync_codes(have, _values(spark, "code string, label string, expires string, revoked int, created_at string", _LISTED))
-
-
 @query("SELECT q.conv_id AS session_id, q.turn AS at, 0 AS part, 'user' AS role, md5(q.text) AS content_md5 FROM conversations q JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 WHERE q.role = 'user' AND a.role = 'assistant' UNION ALL SELECT q.conv_id, q.turn, 1, 'assistant', md5(a.text) FROM conversations q JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 WHERE q.role = 'user' AND a.role = 'assistant'")
 def m8_exchanges(spark, d):
     c = table(prepare(spark), d, "conversations")
@@ -525,47 +469,6 @@ def x1_canonical_url(spark, d):
     return table(prepare(spark), d, "pages").select("page_id", urls.canonical_url(F.col("url")).alias("canonical"))
 
 
-_U = "0a1b2c3d-1111-2222-3333-444455556666"
-_KEYS = [
-    ("https://acme.example/jd?gh_jid=700100200", "gh:700100200"), ("https://boards.greenhouse.io/acme/jobs/700100200/", "gh:700100200"), ("https://boards.greenhouse.io/embed/job_app?token=700100200", "gh:700100200"),
-    ("https://acme.wd1.myworkdayjobs.com/en-US/Ext/job/Austin/Data-Eng_R-0042", "wd:acme.wd1.myworkdayjobs.com:R-0042"), ("https://acme.wd1.myworkdayjobs.com/Ext/job/Austin/Data-Eng_R-0042?source=x", "wd:acme.wd1.myworkdayjobs.com:R-0042"),
-    ("https://www.linkedin.com/jobs/view/55501", "linkedin:55501"), ("https://www.linkedin.com/jobs/search/?currentJobId=55501", "linkedin:55501"), (f"https://jobs.ashbyhq.com/acme/{_U}/application", "ashby:0a1b2c3d"),
-    (f"https://acme.example/c?ashby_jid={_U}", "ashby:0a1b2c3d"), (f"https://jobs.lever.co/acme/{_U}/apply", "lever:0a1b2c3d"), ("https://careers-acme.icims.com/jobs/77/data-eng/job?iis=x", "icims:careers-acme:77"),
-    (f"https://ats.rippling.com/acme/jobs/{_U}?src=x", "rippling:0a1b2c3d"), ("https://h.taleo.net/x?org=ACME&rid=9&cws=1", "taleo:acme:9"), ("https://acme.example/roles/5/?utm_source=x&a=1#top", "https://acme.example/roles/5?a=1"),
-    ("https://acme.example/", "https://acme.example/"), ("https://acme.example/?utm_source=x", "https://acme.example/"), ("https://acme.example/a~b/?q=c~d*e&p=1%202", "https://acme.example/a~b?q=c~d%2Ae&p=1+2"), ("HTTPS://acme.example?ref=1", "https://acme.example"),
-    ("manual-paste-1", "manual-paste-1"), ("", ""),
-]
-
-
-@query(f"SELECT url, dedupe_key FROM {_literals(_KEYS, 'url, dedupe_key')}")
-def x2_dedupe_key(spark, d):
-    return _values(spark, "url string", [(u,) for u, _ in _KEYS]).select("url", urls.dedupe_key(F.col("url")).alias("dedupe_key"))
-
-
-_HOSTS = [(f"https://{h}/x", p) for h, p in (("boards.greenhouse.io", "greenhouse"), ("a.lever.co", "lever"), ("careers.ibm.com", "ibm"), ("example.org", "unknown"))]
-
-
-@query(f"SELECT url, platform FROM {_literals(_HOSTS, 'url, platform')}")
-def x6_host_platform(spark, d):
-    return _values(spark, "url string", [(u,) for u, _ in _HOSTS]).select("url", urls.host_platform(urls.netloc(F.col("url"))).alias("platform"))
-
-
-_BOARDS = [("https://boards.greenhouse.io/acme/jobs/1", "greenhouse", "https://boards.greenhouse.io/acme"), (f"https://jobs.lever.co/acme/{_U}", "lever", "https://jobs.lever.co/acme"), ("https://t.wd5.myworkdayjobs.com/en-US/Site/job/x", "workday", "https://t.wd5.myworkdayjobs.com/en-US/Site"), ("https://x.icims.com/jobs/1/a/job", "icims", "https://x.icims.com/jobs/search?ss=1"), ("https://example.org/about", "other", None)]
-
-
-@query(f"SELECT url, platform, careers FROM {_literals(_BOARDS, 'url, platform, careers')}")
-def x5_x8_boards(spark, d):
-    return _values(spark, "url string", [(b[0],) for b in _BOARDS]).select("url", urls.detect_platform(F.col("url"))["platform"].alias("platform"), urls.careers_url(F.col("url")).alias("careers"))
-
-
-_SLUGS = [("Data-Eng_R-0042", "Data Eng"), ("Senior--Data---Lead", "Senior, Data - Lead"), ("Plain-title", "Plain title")]
-
-
-@query(f"SELECT slug, title FROM {_literals(_SLUGS, 'slug, title')}")
-def x14_slug_title(spark, d):
-    return _values(spark, "slug string", [(s,) for s, _ in _SLUGS]).select("slug", text.slug_title(F.col("slug")).alias("title"))
-
-
 _sql = lambda x: "'" + x.replace("'", "''") + "'"
 #: A page without tags, cut at ampersands; each piece behind one with the reference that it starts with, by the standard's table of names.
 _UNESCAPED = f"""names AS (SELECT map_from_entries([{', '.join(f'({_sql(k)}, {_sql(v)})' for k, v in html5.items())}]) AS m),
@@ -580,31 +483,6 @@ def x15_strip_html(spark, d):
     return table(prepare(spark), d, "pages").select("page_id", F.md5(F.encode(text.strip_html(F.col("html")), "utf-8")).alias("text_md5"))
 
 
-_HEADS = [("Acme Inc | Senior Platform Engineer | Remote", "Acme Inc", "Senior Platform Engineer"), ("Foo - remote - SRE", "Foo", "SRE"), ("Bar | $120k | New York, NY", "Bar", "New York, NY"), ("Foo | US | SRE", "Foo", "SRE"), ("Bar | Full-time | Data Engineer", "Bar", "Data Engineer"), ("Baz \u2022 Usage analyst", "Baz", "Usage analyst"), ("Q-Corp \u2013 x | visa: yes", "Q-Corp \u2013 x", ""), ("", "", "")]
-
-
-@query(f"SELECT line, company, title FROM {_literals(_HEADS, 'line, company, title')}")
-def x18_company_and_title(spark, d):
-    return _values(spark, "line string", [(h[0],) for h in _HEADS]).select("line", text.company_and_title(F.col("line"))["company"].alias("company"), text.company_and_title(F.col("line"))["title"].alias("title"))
-
-
-_LINKS = [("see https://x.com/a and https://jobs.lever.co/b.", "https://jobs.lever.co/b"), ("at https://acme.example/about, or", "https://acme.example/about"), ("none", None), ("(https://a.example/x), https://b.example/JOBS/1;", "https://b.example/JOBS/1"), ("http://github.com/orgs/a", None)]
-
-
-@query(f"SELECT t, url FROM {_literals(_LINKS, 't, url')}")
-def x19_best_url(spark, d):
-    return _values(spark, "t string", [(x[0],) for x in _LINKS]).select("t", text.best_url(F.col("t")).alias("url"))
-
-
-_DOCS = [("---\nTitle: A\ntype: note\ntitle: B\n---\nbody\n", "B", "body\n"), ("---\nnever closed", None, "---\nnever closed"), ("plain", None, "plain")]
-
-
-@query(f"SELECT doc, title, body FROM {_literals(_DOCS, 'doc, title, body')}")
-def x20_front_matter(spark, d):
-    f = text.front_matter(F.col("doc"))
-    return _values(spark, "doc string", [(x[0],) for x in _DOCS]).select("doc", F.try_element_at(f["meta"], F.lit("title")).alias("title"), f["body"].alias("body"))
-
-
 @query(f"WITH {MESSAGES} SELECT session_id, floor(sum((input_tokens * 3.0::DOUBLE + output_tokens * 15.0::DOUBLE) / 1000000) * 1000000 + 0.5) / 1000000 AS cost_usd FROM messages GROUP BY session_id")
 def x22_token_cost(spark, d):
     usage = {"input": F.col("input_tokens"), "output": F.col("output_tokens"), "cache_read": F.lit(None).cast("long"), "cache_write": F.lit(None).cast("long")}
@@ -624,19 +502,6 @@ def p7_branch_name(spark, d):
     return jobs(spark, d).select("id", rows.branch_name(F.col("company"), F.col("id"), as_of()).alias("branch"))
 
 
-_LABELS = [(" AshbyHQ ", "ashby"), ("Greenhouse", "greenhouse"), ("ashby", "ashby")]
-
-
-@query(f"SELECT raw, label FROM {_literals(_LABELS, 'raw, label')}")
-def p6_platform_label(spark, d):
-    return _values(spark, "raw string", [(x[0],) for x in _LABELS]).select("raw", rows.platform_label(F.col("raw")).alias("label"))
-
-
-@query("SELECT n, CAST(unnest(range(n)) * 24 // n AS BIGINT) AS hour FROM (VALUES (1), (5), (6), (24)) AS t(n)")
-def p13_cron_hours(spark, d):
-    return _values(spark, "n int", [(1,), (5,), (6,), (24,)]).select("n", F.explode(rows.cron_hours(F.col("n"))).alias("hour")).withColumn("hour", F.col("hour").cast("long"))
-
-
 @query(f"{WITH} SELECT id FROM jobs WHERE status = 'closed' UNION SELECT id FROM jobs WHERE gated = 1")
 def u1_union_distinct(spark, d):
     j = jobs(spark, d)

@@ -15,13 +15,9 @@ _SHOWN = "pos, url, title, description, posted_at, location"
 _BOARD = "target_id long, payload string"
 
 
-def _rows(spark, reader, data, schema=_BOARD):
-    return reader(_values(spark, schema, data)).select(*_SHOWN.split(", "))
-
-
-def _boards(spark, d, job, of="source"):
-    """A payload for each source of documents: an array of what job makes of each document, in order of ids, under a name if there is one."""
-    docs = table(prepare(spark), d, "documents").select(F.regexp_extract("source", "\\d+", 0).cast("long").alias("target_id"), F.struct("doc_id", job.alias("j")).alias("x"))
+def boards(spark, d, job, of="jobs"):
+    """A payload for each fifty documents: an array of what job makes of each document, in order of ids, under a name if there is one."""
+    docs = table(prepare(spark), d, "documents").select(F.floor(_i() / 50).alias("target_id"), F.struct("doc_id", job.alias("j")).alias("x"))
     array = F.transform(F.sort_array(F.collect_list("x")), lambda x: x["j"])
     return docs.groupBy("target_id").agg((F.to_json(F.struct(array.alias("jobs"))) if of == "jobs" else F.to_json(array)).alias("payload")).unionByName(_values(spark, _BOARD, [(-1, "not json")]))
 
@@ -30,113 +26,36 @@ _i = lambda: F.col("doc_id")
 _ID = lambda prefix: F.concat(F.lit(prefix), _i().cast("string"))
 _DAY = lambda n: F.date_format(F.date_sub(F.lit("2024-01-31"), (_i() % n).cast("int")), "yyyy-MM-dd")
 _SQL_DAY = lambda n: f"CAST(DATE '2024-01-31' - CAST(doc_id % {n} AS INTEGER) AS VARCHAR)"
-_TARGET = "CAST(regexp_extract(source, '\\d+') AS BIGINT)"
+_TARGET = "doc_id // 50"
 
 
-@query(f"""SELECT {_TARGET} AS target_id, row_number() OVER (PARTITION BY source ORDER BY published DESC, doc_id) - 1 AS pos, 'u' || doc_id AS url, 'T' || doc_id AS title, 'Job & ' || doc_id || ' <b> x' AS description,
+@query(f"""SELECT {_TARGET} AS target_id, row_number() OVER (PARTITION BY doc_id // 50 ORDER BY published DESC, doc_id) - 1 AS pos, 'u' || doc_id AS url, 'T' || doc_id AS title, 'Job & ' || doc_id || ' <b> x' AS description,
  CASE WHEN published <> '' THEN substr(published, 1, 10) WHEN doc_id % 5 = 0 THEN '2024-05-01' END AS posted_at, CASE WHEN doc_id % 3 = 0 THEN lang ELSE '' END AS location FROM (SELECT *, CASE WHEN doc_id % 4 > 0 THEN {_SQL_DAY(30)} || 'T00:00:00Z' ELSE '' END AS published FROM documents)""")
 def s9_greenhouse(spark, d):
     job = F.struct(
         _ID("u").alias("absolute_url"), _ID("T").alias("title"), F.concat(F.lit("<p>Job &amp; "), _i().cast("string"), F.lit(" &lt;b&gt;</p>  x")).alias("content"), F.when(_i() % 4 > 0, F.concat(_DAY(30), F.lit("T00:00:00Z"))).alias("first_published"),
         F.when(_i() % 5 == 0, "2024-05-01T1").alias("updated_at"), F.when(_i() % 3 == 0, F.struct(F.col("lang").alias("name"))).alias("location"),
     )
-    return payloads.greenhouse(_boards(spark, d, job, "jobs")).select("target_id", *_SHOWN.split(", "))
+    return payloads.greenhouse(boards(spark, d, job, "jobs")).select("target_id", *_SHOWN.split(", "))
 
 
-@query(f"""SELECT {_TARGET} AS target_id, row_number() OVER (PARTITION BY source ORDER BY published DESC, doc_id) - 1 AS pos, 'u' || doc_id AS url, 'T' || doc_id AS title, CASE WHEN doc_id % 2 = 0 THEN 'plain ' || doc_id ELSE 'rich ' || doc_id END AS description,
+@query(f"""SELECT {_TARGET} AS target_id, row_number() OVER (PARTITION BY doc_id // 50 ORDER BY published DESC, doc_id) - 1 AS pos, 'u' || doc_id AS url, 'T' || doc_id AS title, CASE WHEN doc_id % 2 = 0 THEN 'plain ' || doc_id ELSE 'rich ' || doc_id END AS description,
  nullif(substr(published, 1, 10), '') AS posted_at, CASE WHEN doc_id % 3 = 0 THEN lang || ', Dublin' ELSE 'Dublin' END AS location FROM (SELECT *, CASE WHEN doc_id % 4 > 0 THEN {_SQL_DAY(30)} || 'T1' ELSE '' END AS published FROM documents WHERE doc_id % 7 <> 0)""")
 def s10_ashby(spark, d):
     job = F.struct(
         _ID("u").alias("jobUrl"), _ID("T").alias("title"), F.when(_i() % 2 == 0, _ID("plain ")).otherwise("").alias("descriptionPlain"), F.concat(F.lit("<b>rich"), F.lit("</b>"), _i().cast("string")).alias("descriptionHtml"),
         F.when(_i() % 4 > 0, F.concat(_DAY(30), F.lit("T1"))).alias("publishedAt"), F.when(_i() % 7 == 0, False).when(_i() % 7 == 1, True).alias("isListed"), F.when(_i() % 3 == 0, F.col("lang")).alias("location"), F.array(F.lit(""), F.lit("Dublin")).alias("secondaryLocations"),
     )
-    return payloads.ashby(_boards(spark, d, job, "jobs")).select("target_id", *_SHOWN.split(", "))
+    return payloads.ashby(boards(spark, d, job, "jobs")).select("target_id", *_SHOWN.split(", "))
 
 
-@query(f"""SELECT {_TARGET} AS target_id, row_number() OVER (PARTITION BY source ORDER BY coalesce(ms, 0) DESC, doc_id) - 1 AS pos, 'u' || doc_id AS url, 'T' || doc_id AS title, 'x' || doc_id || CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) || 'y' ELSE '' END AS description,
+@query(f"""SELECT {_TARGET} AS target_id, row_number() OVER (PARTITION BY doc_id // 50 ORDER BY coalesce(ms, 0) DESC, doc_id) - 1 AS pos, 'u' || doc_id AS url, 'T' || doc_id AS title, 'x' || doc_id || CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) || 'y' ELSE '' END AS description,
  CASE WHEN ms IS NOT NULL THEN {_SQL_DAY(30)} END AS posted_at, CASE doc_id % 3 WHEN 0 THEN 'Oslo' WHEN 1 THEN lang ELSE '' END AS location FROM (SELECT *, CASE WHEN doc_id % 4 > 0 THEN epoch_ms(CAST(DATE '2024-01-31' - CAST(doc_id % 30 AS INTEGER) AS TIMESTAMP)) END AS ms FROM documents)""")
 def s11_lever(spark, d):
     job = F.struct(
         _ID("u").alias("hostedUrl"), _ID("T").alias("text"), _ID("x").alias("descriptionPlain"), F.when(_i() % 2 == 0, "y ").alias("descriptionBodyPlain"), F.when(_i() % 4 > 0, F.unix_millis(_DAY(30).cast("timestamp"))).alias("createdAt"),
         F.when(_i() % 3 == 0, F.struct(F.lit("Oslo").alias("location"))).alias("categories"), F.when(_i() % 3 == 1, F.col("lang")).alias("country"),
     )
-    return payloads.lever(_boards(spark, d, job, "array")).select("target_id", *_SHOWN.split(", "))
-
-
-def _page(first, n, total):
-    return json.dumps({"jobPostings": [{"externalPath": f"/job/{first + k}", "title": f"T{first + k}", "locationsText": "X", "startDate": "2024-01-02" if k else "Posted Today"} for k in range(n)], "total": total})
-
-
-_WORKDAY = [(1, "a.wd1.myworkdayjobs.com", "S", "en-US", 0, _page(0, 20, 25)), (1, "a.wd1.myworkdayjobs.com", "S", "en-US", 1, _page(20, 5, 0)), (1, "a.wd1.myworkdayjobs.com", "S", "en-US", 2, _page(25, 5, 0))]
-
-
-@query("SELECT n AS pos, 'https://a.wd1.myworkdayjobs.com/en-US/S/job/' || n AS url, 'T' || n AS title, CAST(NULL AS VARCHAR) AS description, CASE WHEN n % 20 > 0 THEN '2024-01-02' END AS posted_at, 'X' AS location FROM range(25) AS t(n)")
-def s12_workday(spark, d):
-    return _rows(spark, payloads.workday, _WORKDAY, "target_id long, host string, site string, lang string, page int, payload string")
-
-
-@query(f"SELECT {_TARGET} AS target_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, 'u' || doc_id AS url, 'T' || doc_id AS title, CAST(NULL AS VARCHAR) AS description, CAST(NULL AS VARCHAR) AS posted_at, CASE WHEN doc_id % 3 = 0 THEN 'Remote' ELSE '' END AS location FROM documents WHERE doc_id % 5 <> 0")
-def s13_rippling(spark, d):
-    job = F.struct(_ID("T").alias("name"), F.when(_i() % 5 > 0, _ID("u")).otherwise("").alias("url"), F.when(_i() % 3 == 0, "Remote").alias("workLocation"))
-    return payloads.rippling(_boards(spark, d, job, "array")).select("target_id", *_SHOWN.split(", "))
-
-
-_PLACES = json.dumps([{"name": "A", "url": "u1", "workLocation": "Remote"}, {"name": "B", "url": "", "workLocation": "x"}, {"name": "C", "url": "u3", "workLocation": {"label": "Paris"}}])
-
-
-@query(f"SELECT platform, n_postings, n_targets FROM (SELECT 'rippling' AS platform, 2 AS n_postings, 1 AS n_targets UNION ALL SELECT 'lever', count(*), count(DISTINCT source) FROM documents UNION ALL SELECT 'ashby', count(*), count(DISTINCT source) FROM documents WHERE doc_id % 7 <> 0)")
-def s15_adapters(spark, d):
-    lever = _boards(spark, d, F.struct(_ID("u").alias("hostedUrl"), _ID("T").alias("text")), "array").withColumn("platform", F.lit("lever"))
-    ashby = _boards(spark, d, F.struct(_ID("u").alias("jobUrl"), (_i() % 7 > 0).alias("isListed")), "jobs").withColumn("platform", F.lit("ashby"))
-    rest = _values(spark, "target_id long, payload string, platform string", [(1, _PLACES, "rippling"), (2, "[]", "unknown")])
-    return payloads.postings(lever.unionByName(ashby).unionByName(rest)).groupBy("platform").agg(F.count("*").alias("n_postings"), F.countDistinct("target_id").alias("n_targets"))
-
-
-def _card(job, slug, title, place):
-    return f'<li class="iCIMS_JobCardItem"><a href="https://t.icims.com/jobs/{job}/{slug}/job?x=1" title="{job} - {title}">x</a><dl><dt>Job Locations</dt><dd><span>{place}</span></dd></dl></li>'
-
-
-_ICIMS = [(1, "t", 0, "<ul>" + _card(7, "data-eng", "Data &amp; Eng", " US-TX ") + _card(8, "ops", "Ops", "DE")), (1, "t", 1, "<ul>" + _card(7, "data-eng", "Again", "US"))]
-
-
-@query(f"SELECT * FROM {_literals([(0, 'https://t.icims.com/jobs/7/data-eng/job', 'Data & Eng', None, None, 'US-TX'), (1, 'https://t.icims.com/jobs/8/ops/job', 'Ops', None, None, 'DE')], _SHOWN)}")
-def s14_icims(spark, d):
-    return _rows(spark, payloads.icims, _ICIMS, "target_id long, tenant string, page int, payload string")
-
-
-_JD = "word " * 60
-_FEED = f"<rss><item><title>Acme: Dev: senior</title><link>u1</link><region>EU</region><description>&lt;p&gt;{_JD}&lt;/p&gt;</description></item><item><title>Thin: x</title><link>u2</link><region>EU</region><description>short</description></item><item><title>No company</title><link>u3</link><description><![CDATA[<p>{_JD}</p>]]></description></item></rss>"
-
-
-@query(f"SELECT * FROM {_literals([(0, 'u1', 'Dev: senior', 'Acme', 'Region: EU' + chr(10) * 2 + _JD.strip(), 'EU'), (1, 'u3', 'No company', '', _JD.strip(), '')], 'pos, url, title, company, description, location')}")
-def s18_rss(spark, d):
-    return payloads.rss(_values(spark, "target_id string, payload string", [("f", _FEED)])).drop("target_id")
-
-
-_PAGES = [
-    (1, '<script type="application/ld+json">{"@graph": [{"@type": "Thing"}, {"@type": ["JobPosting", "X"], "title": "A", "description": "<p>d</p>", "datePosted": "2024-01-02T00", "hiringOrganization": {"name": "Acme"}}]}</script>', "A", "Acme", "d", "2024-01-02"),
-    (2, '<script id="__NEXT_DATA__" type="application/json">{"props": {"pageProps": {"apiData": {"jobPost": {"name": "B", "companyName": "Bee", "createdOn": "2024-03-04T1", "description": {"company": "<i>c</i>", "role": "<b>r</b>"}}}}}}</script>', "B", "Bee", "r\n\nc", "2024-03-04"),
-    (3, "<p>none</p>", None, None, None, None),
-]
-
-
-@query(f"SELECT id, title, company, description, posted_at FROM {_literals(_PAGES, 'id, html, title, company, description, posted_at')}")
-def s24_s25_page_posting(spark, d):
-    p = payloads.page_posting(F.col("html"))
-    return _values(spark, "id long, html string", [r[:2] for r in _PAGES]).select("id", p["title"].alias("title"), p["company"].alias("company"), p["description"].alias("description"), p["posted_at"].alias("posted_at"))
-
-
-_CODE_LINES = ["# comment", "", "abc | Label | expires=2026-01-01 | url_auth | note=a=b", "def|L2|revoked", "bad line", " | x"]
-
-
-@query(f"SELECT * FROM {_literals([('abc', 'Label', '2026-01-01', 1, 0, 'a=b'), ('def', 'L2', '', 0, 1, '')], 'code, label, expires, url_auth, revoked, note')}")
-def s21_codes(spark, d):
-    return files.codes(_values(spark, "line string", [(x,) for x in _CODE_LINES]))
-
-
-_ADJUST_LINES = [(1, "# x: 1"), (2, "Acme: EU: -5 # why"), (3, "bad: many"), (4, "Foo: 2.5"), (5, "foo: 3"), (6, "nothing")]
+    return payloads.lever(boards(spark, d, job, "array")).select("target_id", *_SHOWN.split(", "))
 
 
-@query(f"SELECT pos, name, CAST(points AS DOUBLE) AS points FROM {_literals([(2, 'acme: eu', -5), (4, 'foo', 3)], 'pos, name, points')}")
-def s21_adjustments(spark, d):
-    return files.adjustments(_values(spark, "pos int, line string", _ADJUST_LINES))

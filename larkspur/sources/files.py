@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable, Iterator
+from urllib.parse import unquote
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.rows import platform_label
 from larkspur.functions.text import front_matter, strip
+from larkspur.session import Scratch, saved
+
+from .store import Store
 
 
 def flag(value: Column) -> Column:
@@ -36,6 +45,101 @@ def corpus(spark: SparkSession, folder: str) -> DataFrame:
     return own.select("path", "modified", "doc.meta", "doc.body")
 
 
+def listing(spark: SparkSession, folder: str, glob: str = "*.{md,txt}") -> DataFrame:
+    """path, modified and length of the files below a folder; their contents aren't read."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder)
+    return raw.select("path", F.col("modificationTime").alias("modified"), "length")
+
+
+def opened(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of an address, and the path in it; what names none is local."""
+    kind, _, rest = path.partition(":")
+    if not rest or kind == "file":
+        return fs.LocalFileSystem(), "/" + unquote((rest if kind == "file" else path).lstrip("/"))
+    return fs.FileSystem.from_uri(path)
+
+
+def read_files(listed: DataFrame) -> DataFrame:
+    """listed (path, ...) with the text of each file and the SHA-256 of its bytes; those that are gone by now are left out. Each task opens the files of its rows, so only those are read."""
+    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in listed.schema), "text string, sha256 string"])
+    names = listed.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, path in enumerate(batch.column("path").to_pylist()):
+                files, own = opened(path)
+                try:
+                    with files.open_input_stream(own) as file:
+                        raw = file.read()
+                except FileNotFoundError:
+                    continue
+                columns = [*(c.slice(k, 1) for c in batch.columns), pa.array([raw.decode("utf-8", "replace")]), pa.array([hashlib.sha256(raw).hexdigest()])]
+                yield pa.RecordBatch.from_arrays(columns, [*names, "text", "sha256"])
+
+    return listed.mapInArrow(run, kinds)
+
+
+def write_files(rows: DataFrame, folder: str) -> None:
+    """Write rows (path, text) as files below a folder; each task writes its own, and one that is tried again writes the same. A null text is an empty file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = opened(folder)
+        written = 0
+        for batch in batches:
+            for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                files.create_dir(f"{root}/{path}".rpartition("/")[0], recursive=True)
+                with files.open_output_stream(f"{root}/{path}") as file:
+                    file.write((text or "").encode())
+                written += 1
+        yield pa.RecordBatch.from_arrays([pa.array([written])], ["n"])
+
+    rows.select("path", "text").mapInArrow(run, "n long").count()
+
+
+#: Columns of a stored corpus.
+STORED = ["path", "modified", "length", "sha256", "meta", "body"]
+
+
+def changes(stored: DataFrame, present: DataFrame) -> DataFrame:
+    """path and change (added, changed, gone) of files whose listing (path, modified, length) differs from what is stored.
+
+    Files that keep time and length count as unchanged and aren't read. Of the others, whose contents are read, those that keep their hash are left out too.
+    Repeated paths are one file.
+    """
+    s = stored.select("path", F.col("modified").alias("_modified"), F.col("length").alias("_length"), F.col("sha256").alias("_sha256")).dropDuplicates(["path"])
+    both = present.dropDuplicates(["path"]).withColumn("_here", F.lit(True)).join(s, "path", "full")
+    gone = both.where(F.col("_here").isNull()).select("path", F.lit("gone").alias("change"))
+    read = read_files(both.where(F.col("_here") & ~(F.col("modified").eqNullSafe(F.col("_modified")) & F.col("length").eqNullSafe(F.col("_length")))).select("path", "modified", "length", "_sha256"))
+    kind = F.when(F.col("_sha256").isNull(), "added").when(F.col("_sha256") != F.col("sha256"), "changed").otherwise("touched")
+    front = front_matter(F.col("text"))
+    found = read.select("path", kind.alias("change"), "modified", "length", "sha256", front["meta"].alias("meta"), front["body"].alias("body"))
+    return found.unionByName(gone, allowMissingColumns=True)
+
+
+def reload(store: Store, folder: str, check: Callable[[DataFrame], None] | None = None) -> DataFrame:
+    """Bring a stored corpus up to date with a folder; gives path and change of what differed.
+
+    Contents are read of new and of touched files only, and once; all others are taken from the version before. check may raise on the new corpus, which
+    leaves the version before as the latest. Nothing is published where nothing differs, touched times apart.
+    """
+    spark = store.spark
+    base = store.latest()
+    present = listing(spark, folder)
+    empty = "path string, modified timestamp, length long, sha256 string, meta map<string,string>, body string"
+    stored = spark.createDataFrame([], empty) if base is None else store.read(base)
+    with Scratch(spark) as scratch:
+        found = scratch.save(changes(stored, present))
+        told = found.where(F.col("change") != "touched").select("path", "change")
+        out = saved(told)
+        if found.isEmpty():
+            return out
+        rows = stored.join(found.select("path"), "path", "left_anti").unionByName(found.where(F.col("change") != "gone").select(STORED))
+        if check is not None:
+            check(rows)
+        store.write(rows.select(STORED), base=base)
+        return out
+
+
 def text_file(spark: SparkSession, path: str) -> DataFrame:
     """A text with when it was modified and the SHA-256 of its bytes."""
     raw = spark.read.format("binaryFile").load(path)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import strip, strip_html, strip_html_paragraphs, unescape
+from larkspur.session import once
 
 POSTING = ["target_id", "pos", "url", "title", "description", "posted_at", "location"]
 MIN_DESCRIPTION = 200
@@ -76,12 +77,28 @@ def workday(pages: DataFrame) -> DataFrame:
 
 
 def rippling(payloads: DataFrame) -> DataFrame:
-    """A place of work is a text or an object with a label."""
-    rows = _exploded(payloads, "array<struct<name:string,url:string,workLocation:string>>").where(F.coalesce("j.url", F.lit("")) != "")
-    place = F.col("j.workLocation")
-    label = F.coalesce(_filled(F.get_json_object(place, "$.label"), F.get_json_object(place, "$.name")), F.lit(""))
-    text = F.when(F.startswith(place, F.lit("{")), label).otherwise(F.coalesce(place, F.lit("")))
-    return rows.select("target_id", _placed(rows, F.col("at")).alias("pos"), "j.url", F.col("j.name").alias("title"), F.lit(None).cast("string").alias("description"), F.lit(None).cast("string").alias("posted_at"), text.alias("location"))
+    """A place of work is a text, or an object with a label or a name; values of other shapes name no place.
+
+    Postings are read as variants, so each keeps the shape that it was sent with and no shape is guessed for all of them.
+    """
+    kept = [c for c in payloads.columns if c != "payload"]
+    each = payloads.select(*kept, F.posexplode(F.try_variant_get(F.try_parse_json("payload"), "$", "array<variant>")).alias("at", "j"))
+    text = lambda v, path: F.try_variant_get(v, path, "string")
+    place = F.try_variant_get(F.col("j"), "$.workLocation", "variant")
+    shape = F.schema_of_variant(place)
+    where = F.when(shape == "STRING", text(place, "$")).when(F.startswith(shape, F.lit("OBJECT")), _filled(text(place, "$.label"), text(place, "$.name")))
+    rows = once(each, url=text(F.col("j"), "$.url"), title=text(F.col("j"), "$.name"), location=F.coalesce(where, F.lit(""))).where(F.coalesce("url", F.lit("")) != "")
+    return rows.select("target_id", _placed(rows, F.col("at")).alias("pos"), "url", "title", F.lit(None).cast("string").alias("description"), F.lit(None).cast("string").alias("posted_at"), "location")
+
+
+def shapes(payloads: DataFrame, path: str) -> DataFrame:
+    """The shape of what stands at a path of each payload's postings, and how many have it; and one shape that holds them all (a null `shape`).
+
+    A path that a posting lacks has no shape and is left out. Malformed payloads have no postings.
+    """
+    each = payloads.select(F.explode(F.try_variant_get(F.try_parse_json("payload"), "$", "array<variant>")).alias("j")).select(F.try_variant_get("j", path, "variant").alias("v")).where("v IS NOT NULL")
+    own = each.groupBy(F.schema_of_variant("v").alias("shape")).agg(F.count("*").alias("n"))
+    return own.select("shape", "n", F.lit(None).cast("string").alias("common")).unionByName(each.agg(F.count("*").alias("n"), F.schema_of_variant_agg("v").alias("common")).withColumn("shape", F.lit(None).cast("string")).where("n > 0"))
 
 
 def _behind_first(parts: Column) -> Column:

@@ -8,7 +8,7 @@ import pytest
 from oracle import compare, connect
 
 import __spark_entry__ as entry_points
-from larkspur.plans import more_queries, source_queries, state_queries  # noqa: F401  register their queries
+from larkspur.plans import case_queries, more_queries, source_queries, state_queries  # noqa: F401  register their queries
 from larkspur.plans import queries as own
 
 SMALL = "/root/testdata/sf0.001"
