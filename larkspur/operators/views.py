@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.dates import age_label
 from larkspur.functions.ranking import legacy_score, rank_score, shown
-from larkspur.functions.rows import recommendation
-from larkspur.session import saved
+from larkspur.functions.rows import badge_color, normalised_analysis, recommendation
+from larkspur.session import once, saved
 
 from .filters import MAX_LISTED, as_list
 from .stats import applied_outcomes, board_positions
@@ -61,6 +61,19 @@ def inbox(jobs: DataFrame, outcomes: DataFrame, as_of: Column, statuses: tuple[s
     return out.orderBy(F.desc(F.coalesce("live_rank", F.lit(-1.0))), F.desc(F.coalesce("fit_score", F.lit(0.0))), F.desc("id")).drop("live_rank")
 
 
+def decorated(jobs: DataFrame, outcomes: DataFrame, as_of: Column, analysis: str = "analysis_json") -> DataFrame:
+    """jobs as a page shows them: with rank, recommendation (the analysis' own, else that of the score), age, colour, and the analysis under one set of names.
+
+    A null analysis, or one that is malformed, has an empty summary and empty lists. Columns of these names are replaced.
+    """
+    ranked = once(live_rank(jobs, outcomes, as_of), _a=normalised_analysis(F.col(analysis)))
+    made = {
+        "rank": shown(F.col("live_rank")), "recommendation": F.coalesce(F.nullif(F.col("_a.recommendation"), F.lit("")), recommendation(F.col("fit_score"))), "age": age_label(F.col("posted_at"), F.col("discovered_at"), as_of),
+        "color": badge_color(F.col("desirability_score")), "summary": F.col("_a.summary"), "strengths": F.col("_a.strengths"), "gaps": F.col("_a.gaps"),
+    }
+    return ranked.withColumns(made).select(*(c for c in jobs.columns if c not in (*made, analysis)), *made)
+
+
 def high_priority(jobs: DataFrame, outcomes: DataFrame, as_of: Column, fit_min: float, rank_min: float) -> DataFrame:
     open_ = live_rank(jobs, outcomes, as_of).where(F.col("status").isin("discovered", "ranked"))
     return open_.where((F.col("fit_score") > fit_min) & (F.col("live_rank") > rank_min))

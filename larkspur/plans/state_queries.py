@@ -6,12 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from larkspur.operators import answers, phrases, windows
+from larkspur.operators import answers, phrases, views, windows
 from larkspur.session import prepare, shared_folder, table
 from larkspur.sources.store import Store, migrate, upsert
 from larkspur.streaming import limits, replay, seen
 
-from .data import jobs
+from .data import RANK_SQL, as_of, jobs, outcomes
 from .queries import WITH, _new_rows, query
 
 
@@ -133,3 +133,19 @@ def f1_many_phrases(spark, d):
     words = F.split(F.lower("text"), " ")
     listed = documents.select(F.col("doc_id").alias("pos"), F.concat(F.get(words, 2), F.lit(" "), F.get(words, 3)).alias("phrase"))
     return phrases.match(documents, listed, text="text").select("doc_id", "phrase")
+
+
+
+@query(f"""{RANK_SQL} SELECT id, floor(live_rank * 100 + 0.5) / 100 AS rank, CASE WHEN id % 4 = 0 THEN 'own' WHEN fit_score IS NULL THEN NULL WHEN fit_score >= 80 THEN 'strong_match' WHEN fit_score >= 60 THEN 'consider' WHEN fit_score >= 40 THEN 'weak_match' ELSE 'skip' END AS recommendation,
+ CASE WHEN id % 3 = 0 THEN 'new' || id WHEN id % 3 = 1 THEN 'old' || id ELSE '' END AS summary, CASE WHEN id % 3 = 2 THEN 0 ELSE 2 END AS n_strengths FROM ranked""")
+def p4_decorated(spark, d):
+    """Jobs with their analyses, under newer names, older ones, or malformed."""
+    i = F.col("id")
+    text = lambda prefix: F.concat(F.lit(prefix), i.cast("string"))
+    listed = F.array(F.lit("a"), F.lit("b"))
+    own = F.when(i % 4 == 0, F.lit("own"))
+    newer = F.to_json(F.struct(text("new").alias("candidate_explanation"), listed.alias("candidate_strengths"), own.alias("recommendation")))
+    older = F.to_json(F.struct(text("old").alias("summary"), listed.alias("strengths"), own.alias("recommendation")))
+    given = jobs(spark, d).withColumn("analysis_json", F.when(i % 3 == 0, newer).when(i % 3 == 1, older).when(i % 4 == 0, F.lit('{"recommendation": "own"}')).when(i % 2 == 0, F.lit("broken")))
+    shown = views.decorated(given, outcomes(spark, d), as_of())
+    return shown.select("id", "rank", "recommendation", "summary", F.size("strengths").alias("n_strengths"))

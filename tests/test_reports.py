@@ -16,14 +16,22 @@ def test_write_reports(spark, tmp_path):
         (3, "C", "T3", "u3", False, "gates", "gate: visa", 40, [("visa", "must | hold"), ("pay", "low")]), (4, "A", "T4", "u4", False, "rules", "no title", None, []),
     ]
     decisions = spark.createDataFrame(rows, f"pos long, company string, title string, url string, keep boolean, stage string, reason string, fit_sketch int, gate_failures {GATES}")
-    text = write_reports(decisions, str(tmp_path / "out"), "2024-01-31")
-    assert "- kept: **2**" in text and "- rules: 1" in text and "| C | T3 | visa | must \\| hold |" in text and text.index("| A | 1 |") > text.index("| B | 1 |")
+    scored = spark.createDataFrame([(12.5, 80, "B", "T1"), (None, 7, "A", "a|b"), (90.0, 60, "A", "T2")], "rank double, score int, company string, title string")
+    problems = spark.createDataFrame([("feed", "timed out"), ("board", None)], "source string, message string")
+    text = write_reports(decisions, str(tmp_path / "out"), "2024-01-31", scored=scored, problems=problems)
+    assert "2 of 4 postings go on." in text and "| rules | 0 | 1 |" in text and "| visa | C | T3 | must \\| hold |" in text and text.index("| 1 | A |") > text.index("| 1 | B |")
+    assert text.index("| A | T2 | 60 | 90.0 |") < text.index("| B | T1 | 80 | 12.5 |") < text.index("| A | a\\|b | 7 |  |")
+    assert "| A | T2 | not judged | u2 |" in text and "| feed | timed out |" in text and "board" not in text
+    dry = write_reports(decisions, str(tmp_path / "dry"), "x", scored=scored, dry_run=True)
+    assert "Dry run" in dry and "## Scores" not in dry
+    many = decisions.where("pos = 1").crossJoin(spark.range(60).withColumnRenamed("id", "k"))
+    assert "(10 more in the CSV.)" in write_reports(many, str(tmp_path / "many"), "x")
     parts = sorted((tmp_path / "out" / "prescreen-2024-01-31").glob("part-*.csv"))
     read = [r for p in parts for r in csv.DictReader(p.open())]
     assert [r["url"] for r in read] == ["u2", "u1", "u4", "u3"] and list(read[0]) == FIELDS
     assert read[0]["reason"] == 'model, "down"' and read[3]["gates"] == "visa: must | hold; pay: low"
     empty = write_reports(decisions.limit(0), str(tmp_path / "none"), "x")
-    assert "- screened: **0**" in empty
+    assert "0 of 0 postings" in empty
 
 
 def test_single_files(spark, tmp_path):
