@@ -15,6 +15,8 @@ from . import bpe, decontaminate, line_dedup, lm_score, merkle, near_dedup, orac
 #: Where the public tokenizers lie; the path is a parameter of the operators.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+#: The time of capture of pages, whose tables tell none.
+CAPTURED = "2024-01-31T00:00:00Z"
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,8 +47,8 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = warc.derive(warc.responses(table(prepare(spark), sf_dir, "pages")))
-    return records.select("page_id", "type", "record_id", "refers_to", "concurrent_to", "target_uri", "content_type", "content_length", "source_status", "source_headers", "payload_digest", "block_digest")
+    records = warc.derive(warc.responses(table(prepare(spark), sf_dir, "pages")), CAPTURED)
+    return records.select("page_id", "type", "record_id", "refers_to", "concurrent_to", "target_uri", "date", "content_type", "content_length", "source_status", "source_headers", "payload_digest", "block_digest")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

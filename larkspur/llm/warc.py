@@ -6,21 +6,25 @@ no shuffle. Records can be written as WARC files and read again.
 
 Responses have record_id, target_uri, date and block, all strings; the block is an HTTP message, whose
 status line and headers are parsed, and whose body is the payload. A block that is no HTTP message is
-payload as a whole and has no headers. A null block is empty; null dates and addresses leave their
-fields out. A null record_id leaves Refers-To out. Rows that repeat give equal records, an empty table
+payload as a whole and has no headers. A null block is empty; a null date is that of the whole capture, if
+one is given; null addresses leave their field out. Records without a date are not written, as no reader takes them. A null record_id leaves Refers-To out. Rows that repeat give equal records, an empty table
 gives none, and texts may be of any length: all patterns run through a page once. There are no ties.
 Other columns stay beside the records; those whose names the records use get underscores behind them.
 """
 
 from __future__ import annotations
 
-import html as markup
-from html.entities import html5
+import gzip
+import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.functions.text import unescape
 from larkspur.session import unused
+from larkspur.sources.files import opened
 
 CRLF = "\r\n"
 COLUMNS = ["record_id", "type", "refers_to", "concurrent_to", "target_uri", "date", "content_type", "source_status", "source_headers", "payload_digest", "block_digest", "content_length", "block"]
@@ -34,55 +38,16 @@ RESPONSE = ["record_id", "target_uri", "date", "block"]
 #: Elements whose ends break a line, and those whose content is no text; where these aren't closed, the rest of the page is none.
 BREAKS = "(?i)</?(p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|nav|header|footer|title|body|head|html|pre|blockquote)(\\s[^<>]*)?/?>"
 SILENT = "(?is)<script[^<>]*>.*?(?:</script>|\\z)|<style[^<>]*>.*?(?:</style>|\\z)|<!--.*?(?:-->|\\z)"
-#: HTML's named references, and the numeric ones of control characters, which stand for others or for nothing; no-break spaces become spaces.
-NAMED = {name: text.replace("\xa0", " ") for name, text in html5.items()}
-CONTROLS = {str(n): markup.unescape(f"&#{n};").replace("\xa0", " ") for n in (*range(32), *range(127, 161))}
-#: Names that hold without a semicolon, the longest first.
-OPEN_NAMES = sorted((name for name in html5 if not name.endswith(";")), key=lambda name: (-len(name), name))
-
-
 def uuid_of(seed: Column) -> Column:
     """A name-based identifier in the form of WARC record ids."""
     return F.regexp_replace(F.md5(F.encode(seed, "utf-8")), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "<urn:uuid:$1-$2-$3-$4-$5>")
 
 
-def _constant(table: dict[str, str]) -> Column:
-    """A map that is one literal once the plan is made."""
-    return F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in table.items())), F.lit("\x01"), F.lit("\x02"))
-
-
-def _character(number: Column) -> Column:
-    """The character of a numeric reference, by HTML's rules for those that stand for none."""
-    digits = F.regexp_extract(number, "^#[xX]?0*([0-9a-fA-F]*)", 1)
-    given = F.concat(F.lit("0"), F.substring(digits, 1, 8))
-    code = F.when(number.rlike("^#[xX]"), F.conv(given, 16, 10)).otherwise(F.conv(given, 10, 10)).cast("long")
-    return (
-        F.when((F.length(digits) > 7) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF), F.lit("\ufffd"))
-        .when((code < 32) | code.between(127, 160), F.try_element_at(_constant(CONTROLS), code.cast("string")))
-        .when(code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(0xFFFE) == 0xFFFE), F.lit(""))
-        .otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "utf-32"))
-    )
-
-
-def _reference(part: Column) -> Column:
-    """What follows an ampersand, with the reference that it starts with decoded; with the ampersand where it starts with none."""
-    after = lambda found: F.substring(part, F.length(found) + 1, F.length(part))
-    whole, number = F.regexp_extract(part, "^[A-Za-z][A-Za-z0-9]{0,30};", 0), F.regexp_extract(part, "^#([0-9]+|[xX][0-9a-fA-F]+);?", 0)
-    short = F.regexp_extract(part, f"^({'|'.join(OPEN_NAMES)})", 0)
-    return F.when(number != "", F.concat(_character(number), after(number))).otherwise(
-        F.coalesce(
-            F.concat(F.try_element_at(_constant(NAMED), F.nullif(whole, F.lit(""))), after(whole)),
-            F.concat(F.try_element_at(_constant(NAMED), F.nullif(short, F.lit(""))), after(short)),
-            F.concat(F.lit("&"), part),
-        )
-    )
-
-
 def plain_text(html: Column) -> Column:
-    """A page's text, a line for each block; character references are decoded, white space is collapsed."""
+    """A page's text, a line for each block; character references are decoded, white space is collapsed, no-break spaces are plain ones."""
     text = F.regexp_replace(F.regexp_replace(html, SILENT, ""), BREAKS, "\n")
     text = F.regexp_replace(text, "<[^<>]*>", "")
-    text = F.array_join(F.transform(F.split(text, "&"), lambda part, k: F.when(k == 0, part).otherwise(_reference(part))), "")
+    text = F.translate(unescape(text), "\u00a0", " ")
     text = F.regexp_replace(F.regexp_replace(text, "[ \\t\\f\\r]+", " "), " ?\n[ \n]*", "\n")
     return F.regexp_replace(text, "^[ \n]+|[ \n]+$", "")
 
@@ -123,12 +88,13 @@ def _field(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit(CRLF)), F.lit(""))
 
 
-def derive(source: DataFrame) -> DataFrame:
-    """Two records for each response."""
+def derive(source: DataFrame, captured: str | None = None) -> DataFrame:
+    """Two records for each response. captured: the date of those that have none, as 2024-01-31T00:00:00Z."""
     others = [c for c in source.columns if c not in RESPONSE]
     source = _kept(source.select(*(F.col(f"`{c}`") for c in others), *(F.col(c).alias(f"{unused('of', others)}{c}") for c in RESPONSE)), COLUMNS)
     others, names = source.columns[: len(others)], source.columns[len(others) :]
     given, target, date, message = (F.col(c) for c in names)
+    date = F.coalesce(date, F.lit(captured))
     made = unused("made", source.columns)
     # Projections of their own, so that each text, digest and identifier is made once.
     parts = F.split(F.coalesce(message, F.lit("")), CRLF * 2, 2)
@@ -155,25 +121,83 @@ def derive(source: DataFrame) -> DataFrame:
 
 
 def serialised(records: DataFrame) -> DataFrame:
-    """One string column, the records in WARC/1.1 form without the two line ends that follow each."""
-    head = F.concat(F.lit(f"WARC/1.1{CRLF}"), *(_field(name, F.col(c).cast("string")) for c, name in FIELDS.items()), F.lit(CRLF))
+    """One string column, the records in WARC/1.1 form without the two line ends that follow each. A record without a date is refused."""
+    dated = F.coalesce(F.col("date"), F.raise_error(F.lit("a WARC record must have a date")).cast("string"))
+    head = F.concat(F.lit(f"WARC/1.1{CRLF}"), *(_field(name, dated if c == "date" else F.col(c).cast("string")) for c, name in FIELDS.items()), F.lit(CRLF))
     return records.select(F.concat(head, F.col("block")).alias("value"))
 
 
-def write(records: DataFrame, path: str, compression: str = "gzip") -> None:
-    """WARC files below path, one for each partition."""
-    serialised(records).write.option("lineSep", CRLF * 2).option("compression", compression).text(path)
+def write(records: DataFrame, path: str) -> None:
+    """WARC files below path, one for each partition that has records, each record a gzip member of its own, so that readers can seek.
 
+    A task writes beside and renames when it is done; one that is tried again writes the same file. path is one that pyarrow's file systems reach from all executors.
+    """
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """The records of WARC files that hold text.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        files, root = opened(path)
+        name, beside, n = f"{root}/part-{task.partitionId():06d}.warc.gz", f"{root}/.part-{task.partitionId():06d}-{task.taskAttemptId()}", 0
+        out = None
+        for batch in batches:
+            for value in batch.column("value"):
+                if out is None:
+                    files.create_dir(root, recursive=True)
+                    out = files.open_output_stream(beside)
+                out.write(gzip.compress(value.as_py().encode() + f"{CRLF}{CRLF}".encode(), 6, mtime=0))
+                n += 1
+        if out is not None:
+            out.close()
+            files.move(beside, name)
+        yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
+
+    serialised(records).mapInArrow(run, "n long").agg(F.sum("n")).first()
+
+
+_LINE = re.compile(r"^([A-Za-z-]+):[ \t]*(.*?)\r?$", re.M)
+
+
+def members(stream) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Heads (by field, the first of several) and blocks of a WARC stream, walked by the lengths that heads tell. One record is held at a time."""
+    held = b""
+    while True:
+        while (cut := held.find(b"\r\n\r\n")) < 0:
+            more = stream.read(1 << 16)
+            if not more:
+                return
+            held += more
+        head = held[:cut].decode("utf-8", "replace").lstrip("\r\n")
+        fields = {}
+        for name, value in _LINE.findall(head):
+            fields.setdefault(name.lower(), value)
+        size = int(fields.get("content-length", 0))
+        held = held[cut + 4 :]
+        while len(held) < size + 4 and (more := stream.read(max(1 << 16, size + 4 - len(held)))):
+            held += more
+        yield fields, held[:size]
+        held = held[size:].lstrip(b"\r\n")
 
-    A block must not hold an empty line and the start of a record behind it; those that derive makes don't, as they have no empty lines.
-    """
-    raw = spark.read.option("lineSep", f"{CRLF}{CRLF}WARC/1.1{CRLF}").text(path).where(F.length("value") > 0)
-    cut = F.instr("value", CRLF * 2)
-    head, rest = F.substring(F.col("value"), F.lit(1), cut + 1), F.substring(F.col("value"), cut + 4, F.length("value"))
-    fields = {c: F.nullif(F.regexp_extract(head, f"(?im)^{name}: (.*?)\r?$", 1), F.lit("")) for c, name in FIELDS.items()}
-    fields["content_length"] = fields["content_length"].cast("long")
-    block = F.decode(F.substring(F.encode(rest, "utf-8"), F.lit(1), fields["content_length"].cast("int")), "utf-8")
-    return raw.select(*(c.alias(name) for name, c in fields.items()), block.alias("block")).select(COLUMNS)
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """The records of WARC files (.warc or .warc.gz) below path whose blocks are text; bytes that are no UTF-8 are replaced. A file is read by one task, a record at a time."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").option("recursiveFileLookup", True).load(path).select("path")
+    kinds = ", ".join(f"{c} {'long' if c == 'content_length' else 'string'}" for c in COLUMNS)
+    schema = pa.schema([(c, pa.int64() if c == "content_length" else pa.string()) for c in COLUMNS])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column("path").to_pylist():
+                files, own = opened(name)
+                with files.open_input_stream(own, compression=None) as raw:
+                    rows, held = [], 0
+                    for fields, block in members(gzip.GzipFile(fileobj=raw) if own.endswith(".gz") else raw):
+                        row = {c: fields.get(field.lower()) for c, field in FIELDS.items()}
+                        rows.append(row | {"content_length": len(block), "block": block.decode("utf-8", "replace")})
+                        held += len(block)
+                        if held > 4 << 20:
+                            yield pa.RecordBatch.from_pylist(rows, schema)
+                            rows, held = [], 0
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return listed.mapInArrow(run, kinds)

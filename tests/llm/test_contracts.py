@@ -1,11 +1,13 @@
 """The registered queries against plain brute-force readings of what they promise, over a whole small table."""
 
+import gzip
 import hashlib
 import html as markup
 import math
 import random
 import re
 import string
+import zlib
 from collections import Counter
 from html.entities import html5
 
@@ -183,13 +185,37 @@ def test_quality_holds_on_labels(spark):
 
 def test_warc(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a/x", "<p>Hi &amp; bye</p><script>no</script><p>two</p>"), (2, None, None)], "page_id long, url string, html string")
-    records = warc.derive(warc.responses(pages))
+    with pytest.raises(Exception, match="must have a date"):
+        warc.write(warc.derive(warc.responses(pages)), str(tmp_path / "none"))
+    records = warc.derive(warc.responses(pages), "2024-01-31T00:00:00Z")
     got = {(r.page_id, r.type): r for r in records.collect()}
     assert len(got) == 4 and got[1, "conversion"].block == "Hi & bye\ntwo" and got[2, "conversion"].block == ""
     assert got[1, "metadata"].refers_to == got[1, "conversion"].refers_to and got[1, "metadata"].concurrent_to == got[1, "conversion"].record_id
     warc.write(records, str(tmp_path / "w"))
-    back = {r.record_id: (r.type, r.refers_to, r.block_digest, r.block) for r in warc.read(spark, str(tmp_path / "w")).collect()}
-    assert back == {r.record_id: (r.type, r.refers_to, r.block_digest, r.block) for r in got.values()}
+    kept = lambda r: (r.type, r.refers_to, r.date, r.source_headers, r.content_length, r.block_digest, r.block)
+    back = {r.record_id: kept(r) for r in warc.read(spark, str(tmp_path / "w")).collect()}
+    assert back == {r.record_id: kept(r) for r in got.values()}
+
+
+def test_warc_files_are_walked_by_lengths(spark, tmp_path):
+    """Blocks that hold empty lines and the start of a record; one gzip member a record, each of which reads by itself."""
+    blocks = ["", "a\r\n\r\nWARC/1.1\r\nWARC-Type: x\r\n\r\nb", "\r\n\r\n", "é" * 100_000, "WARC-Type: y"]
+    rows = [{c: f"{c}{k}" for c in warc.FIELDS} | {"content_length": len(b.encode()), "block": b} for k, b in enumerate(blocks)]
+    kinds = ", ".join(f"{c} {'long' if c == 'content_length' else 'string'}" for c in warc.COLUMNS)
+    records = spark.createDataFrame([tuple(r[c] for c in warc.COLUMNS) for r in rows], kinds)
+    warc.write(records.coalesce(1), str(tmp_path / "w"))
+    read = warc.read(spark, str(tmp_path / "w"))
+    assert sorted(map(tuple, read.collect())) == sorted(map(tuple, records.collect()))
+    assert warc.read(spark, str(tmp_path / "w")).columns == warc.COLUMNS
+    (file,) = (tmp_path / "w").iterdir()
+    raw = file.read_bytes()
+    starts = [m.start() for m in re.finditer(b"\x1f\x8b\x08", raw)]
+    assert len(starts) >= len(blocks) and all(gzip.decompress(raw[a:]).startswith(b"WARC/1.1") for a in starts[:1])
+    first = zlib.decompressobj(31)
+    assert first.decompress(raw).endswith(b"\r\n\r\n") and first.unused_data.startswith(b"\x1f\x8b")
+    warc.write(records.limit(0), str(tmp_path / "none"))
+    (tmp_path / "none").mkdir(exist_ok=True)
+    assert warc.read(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_references(spark):
