@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.functions.text import OPEN_NAMES
 from larkspur.session import prepare, table
 
 AS_OF = "2024-01-31"
@@ -91,3 +94,14 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MESSAGES = """messages AS (SELECT conv_id AS session_id, turn, role, text AS content, CASE WHEN role = 'assistant' THEN 0 ELSE length(text) // 4 END AS input_tokens,
  CASE WHEN role = 'assistant' THEN length(text) // 4 ELSE 0 END AS output_tokens FROM conversations)"""
+
+
+def unescaped_sql(text: str) -> str:
+    """The relation plain (page_id, text) of pages with the references of a text decoded: it is cut at ampersands, and each piece behind one loses the reference that it starts with, by the standard's table of names."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    table_of_names = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in html5.items())
+    return f"""names AS (SELECT map_from_entries([{table_of_names}]) AS m),
+ pieces AS (SELECT page_id, string_split({text}, '&') AS p FROM pages),
+ named AS (SELECT page_id, p[1] AS head, list_transform(p[2:], lambda x: {{'x': x, 'number': regexp_extract(x, '^#([0-9]+);?', 1), 'hex': regexp_extract(x, '^#[xX]([0-9a-fA-F]+);?', 1), 'whole': regexp_extract(x, '^[A-Za-z][A-Za-z0-9]*;'), 'open': regexp_extract(x, '^({'|'.join(OPEN_NAMES)})')}}) AS t FROM pieces),
+ plain AS (SELECT page_id, head || array_to_string(list_transform(t, lambda s: CASE WHEN s.number <> '' THEN chr(CAST(s.number AS INTEGER)) || regexp_replace(s.x, '^#[0-9]+;?', '') WHEN s.hex <> '' THEN chr(CAST('0x' || s.hex AS INTEGER)) || regexp_replace(s.x, '^#[xX][0-9a-fA-F]+;?', '')
+   WHEN m[s.whole] IS NOT NULL THEN m[s.whole] || substr(s.x, length(s.whole) + 1) WHEN m[s.open] IS NOT NULL THEN m[s.open] || substr(s.x, length(s.open) + 1) ELSE '&' || s.x END), '') AS text FROM named, names)"""

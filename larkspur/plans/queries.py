@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from html.entities import html5
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +11,7 @@ from larkspur.functions import dates, ranking, rows, text, urls
 from larkspur.operators import dedupe, filters, merge, order, screening, stats, views, windows
 from larkspur.session import prepare, table
 
-from .data import AS_OF, JOBS, MESSAGES, OUTCOMES, RANK_SQL, STATS, _day, as_of, jobs, messages, outcomes
+from .data import AS_OF, JOBS, MESSAGES, OUTCOMES, RANK_SQL, STATS, _day, as_of, jobs, messages, outcomes, unescaped_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -469,16 +468,10 @@ def x1_canonical_url(spark, d):
     return table(prepare(spark), d, "pages").select("page_id", urls.canonical_url(F.col("url")).alias("canonical"))
 
 
-_sql = lambda x: "'" + x.replace("'", "''") + "'"
-#: A page without tags, cut at ampersands; each piece behind one with the reference that it starts with, by the standard's table of names.
-_UNESCAPED = f"""names AS (SELECT map_from_entries([{', '.join(f'({_sql(k)}, {_sql(v)})' for k, v in html5.items())}]) AS m),
- pieces AS (SELECT page_id, string_split(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&') AS p FROM pages),
- named AS (SELECT page_id, p[1] AS head, list_transform(p[2:], lambda x: {{'x': x, 'number': regexp_extract(x, '^#([0-9]+);?', 1), 'hex': regexp_extract(x, '^#[xX]([0-9a-fA-F]+);?', 1), 'whole': regexp_extract(x, '^[A-Za-z][A-Za-z0-9]*;'), 'open': regexp_extract(x, '^({'|'.join(text.OPEN_NAMES)})')}}) AS t FROM pieces),
- plain AS (SELECT page_id, head || array_to_string(list_transform(t, lambda s: CASE WHEN s.number <> '' THEN chr(CAST(s.number AS INTEGER)) || regexp_replace(s.x, '^#[0-9]+;?', '') WHEN s.hex <> '' THEN chr(CAST('0x' || s.hex AS INTEGER)) || regexp_replace(s.x, '^#[xX][0-9a-fA-F]+;?', '')
-   WHEN m[s.whole] IS NOT NULL THEN m[s.whole] || substr(s.x, length(s.whole) + 1) WHEN m[s.open] IS NOT NULL THEN m[s.open] || substr(s.x, length(s.open) + 1) ELSE '&' || s.x END), '') AS text FROM named, names)"""
+_UNTAGGED = "regexp_replace(html, '<[^>]+>', ' ', 'g')"
 
 
-@query(f"WITH {_UNESCAPED} SELECT page_id, md5(regexp_replace(regexp_replace(text, '[\\s\u00a0]+', ' ', 'g'), '^ | $', '', 'g')) AS text_md5 FROM plain")
+@query(f"WITH {unescaped_sql(_UNTAGGED)} SELECT page_id, md5(regexp_replace(regexp_replace(text, '[\\s\u00a0]+', ' ', 'g'), '^ | $', '', 'g')) AS text_md5 FROM plain")
 def x15_strip_html(spark, d):
     return table(prepare(spark), d, "pages").select("page_id", F.md5(F.encode(text.strip_html(F.col("html")), "utf-8")).alias("text_md5"))
 
