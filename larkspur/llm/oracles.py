@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from larkspur.plans.data import unescaped_sql
+
+from .warc import BREAKS, SILENT
+
 _VALUE = lambda x: f"coalesce(CAST(strlen(CAST({x} AS VARCHAR)) AS VARCHAR) || ':' || CAST({x} AS VARCHAR), '-')"
 _LEAF = lambda text: "sha256(" + " || ".join(map(_VALUE, ["doc_id", "source", "lang", "n_chars", text])) + ")"
 #: CRC-32 of a number's decimal digits, bit by bit.
@@ -44,3 +48,30 @@ OP13 = f"""WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda
  b0 AS (SELECT s, row - 1 AS k, v FROM parts WHERE row <= {_ENTRIES}), {', '.join(f'{_assigned(r)}, {_moved(r)}' for r in range(_ROUNDS))}, {_assigned(_ROUNDS)},
  coded AS (SELECT k.row, any_value(k.vec_id) AS vec_id, any_value(k.label) AS label, string_agg(lpad(lower(to_hex(best % {_ENTRIES})), 2, '0'), '' ORDER BY s) AS code, CAST(sum(best // {_ENTRIES}) AS BIGINT) AS error FROM a{_ROUNDS} JOIN kept k USING (row) GROUP BY k.row)
  SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY s, k)) FROM b{_ROUNDS}) AS codebooks_sha256 FROM coded"""
+
+
+_QUOTED = lambda x: "'" + x.replace("'", "''") + "'"
+#: The text of each page by the same rules: silent elements go, breaks are line ends, other tags go, references are decoded, white space is collapsed.
+_BARE = f"regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), {_QUOTED(SILENT)}, '', 'g'), {_QUOTED(BREAKS)}, chr(10), 'g'), '<[^<>]*>', '', 'g')"
+_TEXTS = f"""{unescaped_sql(_BARE)},
+ texts AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(replace(text, chr(160), ' '), '[ \\t\\f\\r]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g') AS text FROM plain)"""
+_UUID = lambda x: f"regexp_replace(md5({x}), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '<urn:uuid:\\1-\\2-\\3-\\4-\\5>')"
+_LINE = lambda name, x: f"coalesce('{name}: ' || {x} || chr(13) || chr(10), '')"
+_RECORD = lambda kind, other, mime, block: f"SELECT page_id, '{kind}' AS type, {kind} AS record_id, given AS refers_to, {other} AS concurrent_to, url AS target_uri, '2024-01-31T00:00:00Z' AS date, '{mime}' AS content_type, CAST(strlen({block}) AS BIGINT) AS content_length, status AS source_status, headers AS source_headers, payload_digest, 'sha1:' || sha1({block}) AS block_digest FROM parts"
+
+OP7 = f"""WITH {_TEXTS},
+ given AS (SELECT page_id, url, {_UUID("'response|' || coalesce(url, '') || '|' || sha1(coalesce(html, ''))")} AS given, 'sha1:' || sha1(coalesce(html, '')) AS payload_digest, strlen(coalesce(html, '')) AS size, CASE WHEN html IS NOT NULL THEN '200' END AS status,
+  CASE WHEN html IS NOT NULL THEN 'Content-Type: text/html; charset=utf-8; Content-Length: ' || strlen(html) END AS headers, t.text FROM pages JOIN texts t USING (page_id)),
+ ided AS (SELECT *, {_UUID("'metadata|' || given || '|' || coalesce(url, '') || '|' || payload_digest")} AS metadata, {_UUID("'conversion|' || given || '|' || coalesce(url, '') || '|' || payload_digest")} AS conversion FROM given),
+ parts AS (SELECT *, {_LINE('source-record', 'given')} || {_LINE('source-payload-digest', 'payload_digest')} || {_LINE('source-length', 'size')} || {_LINE('source-status', 'status')} || {_LINE('source-headers', 'headers')} || {_LINE('conversion', 'conversion')} AS lines FROM ided)
+ {_RECORD('metadata', 'conversion', 'application/warc-fields', 'lines')} UNION ALL {_RECORD('conversion', 'metadata', 'text/plain; charset=utf-8', 'text')}"""
+
+_STRIPPED = "trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+OP9 = f"""WITH {_TEXTS},
+ hosted AS (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host, t.text FROM pages JOIN texts t USING (page_id)),
+ split AS (SELECT page_id, host, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS place FROM hosted),
+ keyed AS (SELECT *, nullif({_STRIPPED}, '') AS key FROM split),
+ totals AS (SELECT host, count(*) AS host_pages FROM hosted GROUP BY host),
+ common AS (SELECT host, key FROM (SELECT host, key, count(DISTINCT page_id) AS n FROM keyed WHERE key IS NOT NULL GROUP BY ALL) JOIN totals USING (host) WHERE n >= 2 AND CAST(n AS DOUBLE) / host_pages > 0.1),
+ marked AS (SELECT k.*, c.key IS NOT NULL AS gone FROM keyed k LEFT JOIN common c ON c.host = k.host AND c.key = k.key)
+ SELECT page_id, host, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped, greatest(CAST(count(*) FILTER (WHERE NOT gone) AS BIGINT), 1) AS n_lines, sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS text_sha256 FROM marked GROUP BY page_id, host"""

@@ -105,4 +105,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_vector_codes": op13_vector_codes,
 }
 
-ORACLES: dict[str, str] = {"op11_merkle": oracles.OP11, "op13_vector_codes": oracles.OP13}
+ORACLES: dict[str, str] = {"op7_warc": oracles.OP7, "op9_line_dedup": oracles.OP9, "op11_merkle": oracles.OP11, "op13_vector_codes": oracles.OP13}
