@@ -3,7 +3,9 @@
 Four base kinds (email, ip, card, phone) are found by rule and always reported. Further candidates are
 looser forms: numbers without a country code, addresses with spelled-out signs, other identifiers,
 names behind a form of address. Regex labelers judge the form, gazetteer labelers the words around a
-candidate and its parts, context labelers what stands beside it; each votes yes, no or abstains.
+candidate and its parts, context labelers what stands beside it; each votes yes, no or abstains. What gazetteers
+know by themselves is short; names, places, top-level names and further cue words come as a table of any
+length up to a checked size.
 Expectation-maximisation over the counts of vote patterns of all documents estimates how reliable each
 labeler is on each kind (rare kinds lean on the estimate for all kinds). A logistic classifier over the
 votes and over features that no labeler sees, of the form (digits, separators, words) and the context
@@ -25,6 +27,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +61,7 @@ _LOOSE = {
     "name": re.compile(r"(?<!\w)(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra)\.? (?:[A-ZÀ-Þ][\w'-]{1,30})(?: [A-ZÀ-Þ][\w'-]{1,30}){0,2}"),
 }
 _SPELLED = re.compile(r"(?i)[\[({@]|\sdot\s")
+_MARKED = re.compile(r"[\[({@]")
 #: The stricter forms first.
 _ORDER = ["email", "iban", "ipv6", "ssn", "card", "phone", "name"]
 #: What a text must contain for a looser pattern to be worth trying.
@@ -75,12 +79,45 @@ CUES = {
     "name": "name contact dear patient customer sincerely regards",
 }
 AGAINST = "version release build order invoice isbn issn page section chapter figure ratio price total item id ref code no nr version commit line"
-_CUES = {k: frozenset(v.split()) for k, v in CUES.items()}
-_AGAINST = frozenset(AGAINST.split())
-TOP_LEVEL = frozenset("com org net edu gov io co info biz de fr es uk eu us ca ch at it nl example".split())
+TOP_LEVEL = "com org net edu gov io co info biz de fr es uk eu us ca ch at it nl example"
+#: Bytes of gazetteers that are broadcast at most.
+MOST_BYTES = 32 << 20
 _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)?")
 
 
+@dataclass(frozen=True)
+class Gazetteer:
+    """What the gazetteer labelers know, in lower case: words that speak for each kind or against all, top-level names of domains, people's names, places."""
+
+    cues: dict[str, frozenset[str]]
+    against: frozenset[str]
+    top: frozenset[str]
+    names: frozenset[str] = frozenset()
+    places: frozenset[str] = frozenset()
+
+    def with_lists(self, lists: dict[str, set[str]]) -> Gazetteer:
+        """This one and what lists add: `top`, `against`, `name`, `place`, and `cue:` with a kind behind it."""
+        more = lambda own, name: own | frozenset(lists.get(name, ()))
+        return Gazetteer({k: more(v, f"cue:{k}") for k, v in self.cues.items()}, more(self.against, "against"), more(self.top, "top"), more(self.names, "name"), more(self.places, "place"))
+
+
+KNOWN = Gazetteer({k: frozenset(v.split()) for k, v in CUES.items()}, frozenset(AGAINST.split()), frozenset(TOP_LEVEL.split()))
+
+
+def gazetteer(lists: DataFrame | None) -> Gazetteer:
+    """The gazetteer with the entries of a table (list, entry) beside its own; null and empty entries are none. A table of more than MOST_BYTES is refused."""
+    if lists is None:
+        return KNOWN
+    rows = lists.select("list", F.lower(F.trim("entry")).alias("entry")).where(F.length("entry") > 0).distinct()
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("entry")), F.lit(0))).first()[0]
+    if size > MOST_BYTES:
+        raise ValueError(f"{size} bytes of gazetteers, more than {MOST_BYTES}")
+    found: dict[str, set[str]] = {}
+    for r in rows.collect():
+        found.setdefault(r["list"], set()).add(r["entry"])
+    return KNOWN.with_lists(found)
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for k, c in enumerate(reversed(digits)):
@@ -141,7 +178,7 @@ def _iban(x: str) -> bool:
     return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
 
 
-def votes(text: str, span: Span) -> tuple[int, ...]:
+def votes(text: str, span: Span, known: Gazetteer = KNOWN) -> tuple[int, ...]:
     """The labelers' votes: 1 yes, -1 no, 0 abstains."""
     kind, a, b = span
     found = text[a:b]
@@ -150,7 +187,7 @@ def votes(text: str, span: Span) -> tuple[int, ...]:
     words = [w.lower() for w in _WORD.findall(before)][-6:]
     # regex: the form
     if kind in ("email", "ip", "ipv6"):
-        form = 1 if kind != "email" or _SPELLED.search(found) else -1
+        form = 1 if kind != "email" or _MARKED.search(found) else 0  # words alone, as in "noon at river dot left", tell nothing
     elif kind == "card":
         form = 1 if luhn("".join(digits)) else -1
     elif kind == "iban":
@@ -162,16 +199,19 @@ def votes(text: str, span: Span) -> tuple[int, ...]:
     else:
         form = 1 if " " in found[found.index(" ") + 1 :] else 0
     # gazetteer: words that go with the kind, and known parts
-    cue = 1 if any(w in _CUES[kind] for w in words) else 0
+    cue = 1 if any(w in known.cues[kind] for w in words) else 0
     part = 0
     if kind == "email":
-        part = 1 if re.split(r"\W+|\sdot\s", found.rstrip("])} "))[-1].lower() in TOP_LEVEL else -1
+        part = 1 if re.split(r"\W+|\sdot\s", found.rstrip("])} "))[-1].lower() in known.top else -1
     elif kind == "phone":
         part = 1 if found[0] in "+(" or found[:2] == "00" else 0
     elif kind == "card":
         part = 1 if digits[:1] and digits[0] in "3456" else -1
+    elif kind == "name" and (known.names or known.places):
+        own = [w.lower() for w in _WORD.findall(found)[1:]]
+        part = 1 if any(w in known.names for w in own) else -1 if any(w in known.places for w in own) else 0
     # context: what stands beside it
-    near = -1 if any(w in _AGAINST for w in words[-2:]) else 0
+    near = -1 if any(w in known.against for w in words[-2:]) else 0
     left, right = text[a - 1 : a], text[b : b + 1]
     edge = -1 if left and left in "$€£#=/_" or right and right in "%€/_=" else 1 if (not left or left in " \n\t(:,;<\"'") and (not right or right in " \n\t).,;>\"'!?") else 0
     shape = -1 if len(set(digits)) == 1 and len(digits) > 4 else 0
@@ -282,8 +322,9 @@ _SPOTTED = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("e
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
-def spotted(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
+def spotted(documents: DataFrame, doc_id: str, text: str, known: Gazetteer = KNOWN) -> DataFrame:
     """doc_id, base and loose: the candidates, with their votes and traits as one string."""
+    shared = documents.sparkSession.sparkContext.broadcast(known)
     names = [doc_id, unused("base", [doc_id]), unused("loose", [doc_id])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,7 +334,7 @@ def spotted(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
                 t = x.as_py() or ""
                 base = base_spans(t)
                 for found, spans in zip(out, (base, loose_spans(t, base)), strict=True):
-                    found.append([{"kind": s[0], "start": s[1], "end": s[2], "pattern": ",".join(map(str, (*votes(t, s), *traits(t, s))))} for s in spans])
+                    found.append([{"kind": s[0], "start": s[1], "end": s[2], "pattern": ",".join(map(str, (*votes(t, s, shared.value), *traits(t, s))))} for s in spans])
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, _SPOTTED) for x in out)], names)
 
     own = documents.select(F.col(doc_id), F.col(text).cast("string"))
@@ -311,14 +352,14 @@ def fit(candidates: DataFrame) -> dict[str, float]:
     _, base, loose = candidates.columns
     each = [candidates.select(F.explode(c).alias("s"), F.lit(c == base).alias("base")) for c in (base, loose)]
     rows = each[0].unionByName(each[1]).groupBy("s.kind", "base", "s.pattern").agg(F.count("*").alias("n")).collect()
-    patterns = {(r["kind"], r["base"], *_pattern(r["pattern"])): r["n"] for r in rows}
+    patterns = {(r["kind"], r["base"], *_pattern(r["pattern"])): r["n"] for r in rows}  # thousands: votes are of kind and form, traits of five short sets
     return train(patterns, expectation_maximisation(patterns))
 
 
-def find(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", weights: dict[str, float] | None = None) -> DataFrame:
-    """doc_id, base and spans: arrays of (kind, start, end). weights: of a classifier fitted before."""
+def find(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", weights: dict[str, float] | None = None, gazetteers: DataFrame | None = None) -> DataFrame:
+    """doc_id, base and spans: arrays of (kind, start, end). weights: of a classifier fitted before; gazetteers: a table (list, entry) of what the labelers know besides (`gazetteer`)."""
     with Scratch(documents.sparkSession) as scratch:
-        candidates = scratch.save(spotted(documents, doc_id, text))
+        candidates = scratch.save(spotted(documents, doc_id, text, gazetteer(gazetteers)))
         return saved(_judged(candidates, fit(candidates) if weights is None else weights))
 
 

@@ -152,3 +152,32 @@ def test_personal_data_is_found_and_the_rest_left(spark):
     hit = sum(any(a < planted[k][1] and b > planted[k][0] for a, b in got[k]) for k in planted)
     false = sum(len(got[k]) for k in got if k not in planted)
     assert hit / len(planted) >= 0.9 and false / 300 <= 0.1, (hit / len(planted), false / 300)
+
+
+def test_cues_that_no_list_holds(spark):
+    """Right and wrong candidates among words that no gazetteer knows: the form, and what stands beside it, must tell. And what a table of gazetteers adds."""
+    draw = random.Random(11)
+    number = lambda n: "".join(draw.choices("0123456789", k=n))
+    word = lambda: "".join(draw.choices("abcdefghijklmnoprstuvw", k=draw.randrange(4, 9)))
+    right = [lambda: f"({number(3)}) {number(3)}-{number(4)}", lambda: f"{word()} [at] {word()} [dot] org", lambda: f"{draw.randrange(100, 600)}-{draw.randrange(10, 99)}-{draw.randrange(1000, 9999)}", lambda: ":".join(f"{draw.randrange(16, 65535):x}" for _ in range(8)), lambda: f"Mrs {word().title()} {word().title()}"]
+    wrong = [lambda: f"={number(3)} {number(3)} {number(4)}%", lambda: f"#{number(3)}-{number(2)}-0000", lambda: f"{word()} at {word()} dot {word()}", lambda: f"€0{number(3)} {number(5)}", lambda: f"9{number(2)}-00-{number(4)}"]
+    rows, planted = [], {}
+    for k in range(400):
+        lead = " ".join(word() for _ in range(12)) + " "
+        found = (right if k % 2 else wrong)[draw.randrange(5)]()
+        rows.append((k, lead + found + ", " + word()))
+        if k % 2:
+            planted[k] = (len(lead), len(lead + found))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = lambda **more: {r.doc_id: [(s.start, s.end) for s in r.spans] for r in pii.find(docs, **more).collect()}
+    got = spans()
+    hit = sum(any(a < planted[k][1] and b > planted[k][0] for a, b in got[k]) for k in planted) / len(planted)
+    false = sum(len(got[k]) for k in got if k not in planted) / 200
+    assert hit >= 0.9 and false <= 0.1, (hit, false)
+    lists = spark.createDataFrame([("name", "Anna"), ("place", " Springfield "), ("top", "zz"), ("cue:phone", "zvonite"), ("cue:none", "x"), ("name", None), ("name", ""), (None, "y")], "list string, entry string")
+    known = pii.gazetteer(lists)
+    assert known.names == {"anna"} and known.places == {"springfield"} and "zz" in known.top and "zvonite" in known.cues["phone"]
+    assert pii.gazetteer(None) == pii.gazetteer(lists.limit(0)) == pii.KNOWN
+    part = lambda text, kind: pii.votes(text, (kind, 0, len(text)), known)[pii.LABELERS.index("part")]
+    assert (part("Mrs Anna Springfield", "name"), part("Mr Springfield", "name"), part("Mr Other", "name"), part("a [at] b [dot] zz", "email")) == (1, -1, 0, 1)
+    assert pii.find(docs, gazetteers=lists).count() == 400
