@@ -242,6 +242,14 @@ def d17_cached_scores(spark, d):
     return lookup.cached_scores(_docs(spark, d).select(_i().alias("key")), cache, store, now, 86_400)
 
 
+@query("""WITH calls AS (SELECT page_id, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host FROM pages) SELECT page_id, host, coalesce(sum(CASE WHEN page_id % 7 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY host ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= 1 AS dead FROM calls""")
+def t6_refused_hosts(spark, d):
+    """Whether a host had refused before each call to it: one refusal is enough. Hosts may hold any share of the calls."""
+    calls = _pages(spark, d).select("page_id", F.lower(urls.netloc(F.col("url"))).alias("host"), (F.col("page_id") % 7 == 0).cast("int").alias("refused"))
+    counted = windows.running(calls, F.col("refused"), ["host"], at="page_id", tie="refused", size=None, out="n")
+    return counted.select("page_id", "host", (F.col("n") - F.col("refused") >= 1).alias("dead"))
+
+
 # Ingest
 
 

@@ -8,7 +8,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import cache
 from pathlib import Path
 
@@ -108,13 +109,33 @@ def written(df: DataFrame, path: str) -> DataFrame:
 
 def saved(df: DataFrame) -> DataFrame:
     """Write df as a table below the shared folder and go on from it, which cuts its lineage. It belongs to the application, which `clear` ends."""
-    return written(df, f"{_tables(df.sparkSession)}/{uuid.uuid4().hex}")
+    path = f"{_tables(df.sparkSession)}/{uuid.uuid4().hex}"
+    for paths in _OWNED:
+        paths.append(path)
+    return written(df, path)
 
 
 def _tables(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/tables/{spark.sparkContext.applicationId}"
 
 
+#: Paths of tables saved within each `owned` block that is open.
+_OWNED: list[list[str]] = []
+
+
+@contextmanager
+def owned(spark: SparkSession) -> Iterator[None]:
+    """The tables that are saved within the block go when it ends; results must be written or collected by then. For one thread of a driver."""
+    paths: list[str] = []
+    _OWNED.append(paths)
+    try:
+        yield
+    finally:
+        _OWNED.remove(paths)
+        for path in paths:
+            delete(spark, path)
+
+
 def clear(spark: SparkSession) -> None:
     """Delete the tables that this application's results still read; to be called once these are written or collected."""
     delete(spark, _tables(spark))
