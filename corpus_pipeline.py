@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import bpe, decontaminate, line_dedup, near_dedup, quality
-from larkspur.session import delete, prepare, shared_folder, table, unused, written
+from larkspur.session import delete, owned, prepare, shared_folder, table, unused, written
 
 #: A line on more than this share of a source's documents is boilerplate. Of the good documents of sf0.1, the
 #: commonest line is on 8.8 to 14.0 % of each of the 20 sources and no other is on more than 5.4 % of one: the
@@ -75,12 +75,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order. Stages are written below the folder that all executors share; each is deleted once the next one is written."""
+    """All stages in order. Stages are written below the folder that all executors share; each is deleted once the next one is written, and what a stage saved in between once it is."""
     folder = f"{shared_folder(prepare(spark))}/pipeline-{uuid.uuid4().hex}"
     docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
-        docs = written(stage(spark, docs, sf_dir), path)
+        with owned(spark):
+            docs = written(stage(spark, docs, sf_dir), path)
         if before:
             delete(spark, before)
         before = path

@@ -3,7 +3,8 @@
 from collections import Counter
 
 import corpus_pipeline
-from larkspur.llm import line_dedup
+from larkspur.llm import line_dedup, quality, queries
+from larkspur.session import shared_folder
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -48,3 +49,31 @@ def test_a_line_is_judged_alike_on_all_sources(spark):
     before = line_dedup.lines_of(docs, "doc_id", "source", "text").groupBy("key").count()
     changed = before.withColumnRenamed("count", "n").join(left, "key", "left").na.fill(0, ["count"]).where("n != count").collect()
     assert [(r.n, r["count"]) for r in changed] == [(1061, 0)]
+
+
+def test_a_run_leaves_its_result_alone(spark, tmp_path_factory):
+    """What stages save in between goes with them."""
+    import os
+
+    folder = shared_folder(spark).removeprefix("file:")
+    held = lambda: set(os.listdir(f"{folder}/tables/{spark.sparkContext.applicationId}")) if os.path.isdir(f"{folder}/tables/{spark.sparkContext.applicationId}") else set()
+    before, runs = held(), {x for x in os.listdir(folder) if x.startswith("pipeline-")}
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert held() == before and out.count() > 0
+    (own,) = {x for x in os.listdir(folder) if x.startswith("pipeline-")} - runs
+    assert os.listdir(f"{folder}/{own}") == ["4-bpe"]
+
+
+def test_stages_keep_what_their_operators_judge_good(spark):
+    """Quality and decontamination as stages against the verdicts of their operators, which are held by brute force; ids of the last stage against the library."""
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
+    assert ids(corpus_pipeline.keep_quality(spark, docs, SMALL)) == ids(quality.assess(docs).where("kept"))
+    assert ids(corpus_pipeline.drop_contaminated(spark, docs, SMALL)) == ids(queries.op5_decontaminate(spark, SMALL).where("NOT contaminated"))
+    library = Tokenizer.from_file(corpus_pipeline.BYTE_BPE)
+    library.no_truncation()
+    library.no_padding()
+    for r in corpus_pipeline.encode(spark, docs, SMALL).collect():
+        assert r.ids == library.encode(r.text or "", add_special_tokens=False).ids and r.round_trip
