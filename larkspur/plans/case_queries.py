@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from larkspur.functions import rows, text, urls
-from larkspur.operators import filters, merge, stats
+from larkspur.operators import filters, merge, report, stats
 from larkspur.session import delete, once, prepare, table
 from larkspur.sources import files, page_tree, paged, payloads, thread
 from larkspur.sources.store import Store
@@ -380,3 +380,62 @@ def s22_corpus_changes(spark, d):
     files.write_files(after, f"{folder}/notes")
     told = files.reload(store, f"{folder}/notes")
     return told.select(F.substring_index("path", "/", -1).alias("path"), "change")
+
+
+# Files
+
+
+_APPLIED = [(" true ", True), ("TRUE", True), ("FALSE", False), ("", False), (None, False)]
+
+
+@query(f"""SELECT 'csv-import://' || branch AS url, company, branch AS title, platform AS ats_platform, 'applied' AS status, referral, callback, 0 AS ghosted, 0 AS offer, notes FROM (SELECT 'branch' || doc_id AS branch, 'Company, "' || doc_id || '"' AS company, CASE WHEN doc_id % 2 = 0 THEN 'ashby' ELSE 'lever' END AS platform,
+ CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS referral, CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END AS callback, CASE WHEN doc_id % 6 = 0 THEN 'two' || chr(10) || 'lines' ELSE '' END AS notes FROM documents WHERE {_sql(_columns(_APPLIED, 1))} AND doc_id % 7 <> 0)""")
+def s8_history(spark, d):
+    """A history in CSV with quoted cells of several lines, written from documents and imported; a seventh of its addresses are known."""
+    i = F.col("doc_id")
+    branch = F.concat(F.lit("branch"), _N)
+    rows_ = _docs(spark, d).select(
+        _case(_columns(_APPLIED, 0)).alias("Applied T/F"), branch.alias("Position (branch)"), F.concat(F.lit('Company, "'), _N, F.lit('"')).alias("Company"), F.when(i % 2 == 0, "AshbyHQ").otherwise(" Lever").alias("Platform Name"), F.when(i % 3 == 0, "TRUE").alias("Referral"),
+        F.when(i % 4 == 0, "true").otherwise("no").alias("Callback T/F"), F.lit(None).cast("string").alias("Ghosted"), F.lit("").alias("Offer"), F.when(i % 6 == 0, "two\nlines").alias("Notes"),
+    )
+    folder = _folder(spark, "history")
+    rows_.write.csv(folder, header=True, quoteAll=True, escape='"')
+    known = _docs(spark, d).where(i % 7 == 0).select(F.concat(F.lit("csv-import://"), branch).alias("url"))
+    return files.import_history(files.history(spark, folder), known)
+
+
+_NOTES = [("---\nTitle: T{n}\n---\n", "T{n}"), ("", None)]
+
+
+@query(f"SELECT 'f' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.md' ELSE '.txt' END AS path, {_sql(_columns(_NOTES, 1))} AS title, md5('body ' || lang || doc_id) AS body_md5 FROM documents WHERE doc_id % 5 <> 4")
+def s20_corpus(spark, d):
+    """Notes of a folder of a file a document, in folders below it; files that are no notes are left out."""
+    i = F.col("doc_id")
+    name = F.concat(F.lit("d"), (i % 10).cast("string"), F.lit("/f"), _N, F.when(i % 5 == 4, F.lit(".bin")).when(i % 3 == 0, F.lit(".md")).otherwise(F.lit(".txt")))
+    folder = _folder(spark, "notes")
+    files.write_files(_docs(spark, d).select(name.alias("path"), F.concat(_case(_columns(_NOTES, 0)), F.lit("body "), "lang", _N).alias("text")), folder)
+    read = files.corpus(spark, folder)
+    return read.select(F.substring_index("path", "/", -1).alias("path"), F.try_element_at("meta", F.lit("title")).alias("title"), F.md5(F.encode("body", "utf-8")).alias("body_md5"))
+
+
+@query("SELECT 'f' || doc_id || '.md' AS path, sha256(coalesce(text, '')) AS sha256, strlen(coalesce(text, '')) AS size FROM documents")
+def s23_files_with_hash(spark, d):
+    """Whole texts read as files, with the hashes of their bytes."""
+    folder = _folder(spark, "texts")
+    files.write_files(_docs(spark, d).select(F.concat(F.lit("f"), _N, F.lit(".md")).alias("path"), "text"), folder)
+    return files.text_file(spark, folder).select(F.substring_index("path", "/", -1).alias("path"), "sha256", F.octet_length("text").cast("long").alias("size"))
+
+
+@query("""SELECT 'Company ' || doc_id % 97 AS company, 'T "' || doc_id || '", x' AS title, 'u' || doc_id AS url, CASE WHEN doc_id % 3 = 0 THEN 'true' ELSE 'false' END AS keep, CASE doc_id % 3 WHEN 0 THEN 'kept' WHEN 1 THEN 'gates' ELSE 'rules' END AS stage, 'because' AS reason,
+ CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id % 50 AS VARCHAR) ELSE '' END AS fit_sketch, CASE WHEN doc_id % 3 = 1 THEN 'visa: must | hold ' || doc_id ELSE '' END AS gates FROM documents""")
+def m12_report_file(spark, d):
+    """The report's file of all decisions, written and read again."""
+    i = F.col("doc_id")
+    gate = F.array(F.struct(F.lit("visa").alias("gate"), F.concat(F.lit("must | hold "), _N).alias("evidence")))
+    decisions = _docs(spark, d).select(
+        i.alias("pos"), F.concat(F.lit("Company "), (i % 97).cast("string")).alias("company"), F.concat(F.lit('T "'), _N, F.lit('", x')).alias("title"), F.concat(F.lit("u"), _N).alias("url"), (i % 3 == 0).alias("keep"),
+        F.when(i % 3 == 0, "kept").when(i % 3 == 1, "gates").otherwise("rules").alias("stage"), F.lit("because").alias("reason"), F.when(i % 2 == 0, (i % 50).cast("int")).alias("fit_sketch"), F.when(i % 3 == 1, gate).alias("gate_failures"),
+    )
+    folder = _folder(spark, "reports")
+    report.write_reports(decisions, folder, "x", problems=spark.createDataFrame([("feed", "timed out")], "source string, message string"))
+    return spark.read.csv(f"{folder}/prescreen-x", header=True, escape='"').na.fill("")
