@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.rows import display_name
 from larkspur.functions.urls import board_candidates, detect_platform, embedded_board, netloc, parameter, path
-from larkspur.session import saved
+from larkspur.session import once, saved
 
 
 def vanity_boards(rows: DataFrame, postings: DataFrame, url: str = "careers_url") -> DataFrame:
@@ -30,12 +30,12 @@ def register(rows: DataFrame, current: DataFrame, *, postings: DataFrame, pages:
     """
     given = rows.withColumn("careers_url", F.trim(F.coalesce("careers_url", F.lit("")))).withColumn("_asked", F.col("careers_url"))
     known = vanity_boards(given, postings).join(pages.select("careers_url", embedded_board(F.col("html")).alias("_embedded")).dropDuplicates(["careers_url"]), "careers_url", "left")
-    # Written in between, as what an address names is a large expression that must not be copied into every use of it.
-    known = saved(known.withColumn("_direct", detect_platform(F.col("careers_url"))))
+    # What an address names is a large expression, which must not be copied into every use of it.
+    known = once(known, _direct=detect_platform(F.col("careers_url")))
     other = F.col("_direct.platform") == "other"
     resolved = F.when(other & F.col("vanity_board").isNotNull(), F.concat(F.lit("https://boards.greenhouse.io/"), F.col("vanity_board"))).when(other & F.col("_embedded").isNotNull(), F.col("_embedded")).otherwise(F.col("careers_url"))
-    known = saved(known.withColumn("careers_url", resolved))
-    known = saved(known.withColumn("_found", detect_platform(F.col("careers_url")))).withColumns({"platform": F.col("_found.platform"), "identifier": F.col("_found.identifier")})
+    known = once(known, careers_url=resolved)
+    known = once(known, _found=detect_platform(F.col("careers_url"))).withColumns({"platform": F.col("_found.platform"), "identifier": F.col("_found.identifier")})
     at = lambda k: F.try_element_at("identifier", F.lit(k))
     board = F.coalesce(at("board"), at("slug"), at("tenant"), at("org"), at("company"), F.concat_ws("/", at("host"), at("site")))
     canonical = (
@@ -49,7 +49,7 @@ def register(rows: DataFrame, current: DataFrame, *, postings: DataFrame, pages:
     checked = F.col("platform").isin("greenhouse", "icims", "rippling", "workday")
     name = F.coalesce(F.nullif(F.trim("name"), F.lit("")), F.when(F.col("platform") == "greenhouse", F.nullif("_board_name", F.lit(""))), display_name(F.col("identifier"), F.col("platform"), F.col("careers_url")))
     outcome = F.when(F.col("_asked") == "", "missing").when(F.col("platform") == "other", "unsupported").when(checked & F.col("_real").isNull(), "unverified").otherwise("ok")
-    judged = saved(known.withColumns({"name": name, "outcome": outcome}))
+    judged = saved(known.withColumns({"name": name, "outcome": outcome}).select("pos", "outcome", "platform", "identifier", "careers_url", "name"))
     taken = current.select("careers_url", F.lit(True).alias("_taken")).distinct()
     first = judged.where(F.col("outcome") == "ok").groupBy("careers_url").agg(F.min("pos").alias("_first"))
     both = judged.join(taken, "careers_url", "left").join(first, "careers_url", "left")
