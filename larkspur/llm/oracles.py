@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from larkspur.plans.data import unescaped_sql
 
+from .quality import BAD_RANGE, GOOD_RANGE, ITERATIONS, KEEP, MAX_REPEAT_PERCENT, MIN_WORDS, PRIOR_RANGE, RULES, START, WINDOW
 from .warc import BREAKS, SILENT
 
 _VALUE = lambda x: f"coalesce(CAST(strlen(CAST({x} AS VARCHAR)) AS VARCHAR) || ':' || CAST({x} AS VARCHAR), '-')"
@@ -75,3 +76,55 @@ OP9 = f"""WITH {_TEXTS},
  common AS (SELECT host, key FROM (SELECT host, key, count(DISTINCT page_id) AS n FROM keyed WHERE key IS NOT NULL GROUP BY ALL) JOIN totals USING (host) WHERE n >= 2 AND CAST(n AS DOUBLE) / host_pages > 0.1),
  marked AS (SELECT k.*, c.key IS NOT NULL AS gone FROM keyed k LEFT JOIN common c ON c.host = k.host AND c.key = k.key)
  SELECT page_id, host, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped, greatest(CAST(count(*) FILTER (WHERE NOT gone) AS BIGINT), 1) AS n_lines, sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS text_sha256 FROM marked GROUP BY page_id, host"""
+
+_R = range(1, len(RULES) + 1)
+_VOTES = {
+    "length": ("n_words >= 50", f"n_words < {MIN_WORDS}"), "word_length": ("word_chars >= 3 * n_words AND word_chars <= 9 * n_words", "word_chars < 2 * n_words OR word_chars > 15 * n_words"), "symbols": ("n_symbols * 50 <= n_words", "n_symbols * 5 > n_words"), "marks": ("n_marks * 50 <= n_words", "n_marks * 5 > n_words"),
+    "dup_lines": ("n_dup_lines = 0", "n_dup_lines * 100 > n_lines * 30"), "repeats": ("n_repeat_words * 20 <= n_words", f"n_repeat_words * 100 > n_words * {MAX_REPEAT_PERCENT}"), "upper": ("n_upper * 5 <= n_letters", "n_upper * 2 > n_letters"), "vocabulary": ("n_distinct * 4 >= n_words", "n_distinct * 100 < n_words * 15"),
+    "sentences": ("n_stops * 60 >= n_words AND n_stops * 2 <= n_words", "n_stops * 150 < n_words AND n_words >= 40"),
+}
+_CAST = ", ".join(f"CASE WHEN {_VOTES[r][1]} THEN 0 WHEN {_VOTES[r][0]} THEN 1 END" for r in RULES)
+_ODDS = "ln(prior / (1 - prior)) + " + " + ".join(f"CASE v[{i}] WHEN 1 THEN ln(good[{i}] / bad[{i}]) WHEN 0 THEN ln((1 - good[{i}]) / (1 - bad[{i}])) ELSE 0 END" for i in _R)
+
+
+def _estimates(share: str, low: float, high: float) -> str:
+    each = (f"least(greatest((1 + coalesce(sum(n * {share} * v[{i}]) FILTER (WHERE v[{i}] IS NOT NULL), 0)) / (2 + coalesce(sum(n * {share}) FILTER (WHERE v[{i}] IS NOT NULL), 0)), {low}), {high})" for i in _R)
+    return f"[{', '.join(each)}]"
+
+
+_SYMBOLS = "#*$%&|<>"
+_BLANK = "[ \\t\\n\\x0b\\f\\r]"
+#: Features by unnesting; expectation-maximisation as a recursion over the counts of vote patterns.
+OP6 = f"""WITH RECURSIVE texts AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '{_BLANK}+'), lambda w: w <> '') AS words, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ \\t\\n\\x0b\\f\\r]')) AS lines FROM documents),
+ windows AS (SELECT doc_id, words, unnest(range(1, len(words) - {WINDOW} + 2)) AS i FROM texts), grams AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(words[i:i + {WINDOW - 1}], ' ')) AS n FROM windows),
+ covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM grams, range({WINDOW}) AS r(k) WHERE n > 1 GROUP BY doc_id),
+ counted AS (SELECT t.doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, length(t) - length(translate(t, '{_SYMBOLS}', '')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(lines) AS n_lines,
+  length(regexp_replace(t, '[^A-Za-z]+', '', 'g')) AS n_letters, length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS n_upper, len(list_distinct(words)) AS n_distinct, len(regexp_extract_all(t || ' ', '[.!?]{_BLANK}')) AS n_stops, len(regexp_extract_all(t, '[{_SYMBOLS}]+')) AS n_marks FROM texts t LEFT JOIN covered c USING (doc_id)),
+ voted AS MATERIALIZED (SELECT *, [{_CAST}] AS v FROM counted), patterns AS MATERIALIZED (SELECT v, CAST(count(*) AS DOUBLE) AS n FROM voted GROUP BY v),
+ em(k, prior, good, bad) AS (SELECT 0, CAST({START['prior']} AS DOUBLE), CAST([{', '.join(str(START['good']) for _ in _R)}] AS DOUBLE[]), CAST([{', '.join(str(START['bad']) for _ in _R)}] AS DOUBLE[])
+  UNION ALL SELECT k + 1, least(greatest(sum(n * p) / sum(n), {PRIOR_RANGE[0]}), {PRIOR_RANGE[1]}), {_estimates('p', *GOOD_RANGE)}, {_estimates('(1 - p)', *BAD_RANGE)} FROM (SELECT k, v, n, 1 / (1 + exp(-({_ODDS}))) AS p FROM em, patterns WHERE k < {ITERATIONS}) GROUP BY k),
+ judged AS (SELECT d.*, 1 / (1 + exp(-({_ODDS}))) AS quality FROM voted d, (SELECT * FROM em WHERE k = {ITERATIONS}) m),
+ hard AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM judged)
+ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, floor(quality * 1000000 + 0.5) / 1000000 AS quality, NOT base_failed AND quality >= {KEEP} AS kept FROM hard"""
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_FOLDED = lambda x: f"translate(coalesce({x}, ''), '{_UPPER}', '{_LOWER}')"
+
+#: All pairs that share a shingle, those that are alike, and what can be reached over them.
+OP4 = f"""WITH RECURSIVE texts AS (SELECT doc_id, list_filter(regexp_split_to_array({_FOLDED('text')}, '{_BLANK}+'), lambda w: w <> '') AS w FROM documents),
+ shingles AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM texts),
+ sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id), pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+ links AS MATERIALIZED (SELECT a, b FROM pairs p JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * p.n >= 80 * (x.n + y.n - p.n)), ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+ reach(doc_id, node) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, w.b FROM reach r JOIN ways w ON w.a = r.node)
+ SELECT r.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(r.node) AS component_id, min(r.node) = r.doc_id AS kept FROM reach r LEFT JOIN sizes s USING (doc_id) GROUP BY r.doc_id"""
+
+_WORDS_OF = lambda x: f"regexp_extract_all({_FOLDED(x)}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_GRAMS = lambda size: f"unnest(list_transform(range(1, len(w) - {size} + 2), lambda i: {{'i': i, 'g': array_to_string(w[i:i + {size} - 1], ' ')}}))"
+#: Windows of items, of as many words as the item has but thirteen at most, joined to the windows of documents.
+OP5 = f"""WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS_OF('text')} AS w FROM benchmark), sized AS (SELECT *, least(len(w), 13) AS size FROM items WHERE len(w) > 0),
+ theirs AS MATERIALIZED (SELECT DISTINCT item, size, x.g AS g FROM (SELECT item, size, {_GRAMS('size')} AS x FROM sized)),
+ docs AS MATERIALIZED (SELECT doc_id, {_WORDS_OF('text')} AS w FROM documents), ours AS (SELECT doc_id, size, {_GRAMS('size')} AS x FROM docs, (SELECT DISTINCT size FROM sized)),
+ hits AS MATERIALIZED (SELECT o.doc_id, o.x.i AS i, o.size, t.item FROM ours o JOIN theirs t ON t.size = o.size AND t.g = o.x.g),
+ marks AS (SELECT doc_id, count(DISTINCT word) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS word FROM hits) GROUP BY doc_id),
+ named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated FROM docs d LEFT JOIN marks USING (doc_id) LEFT JOIN named USING (doc_id)"""

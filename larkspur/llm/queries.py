@@ -43,7 +43,8 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.assess(table(prepare(spark), sf_dir, "documents"))
+    shown = F.floor(F.col("quality") * 1_000_000 + 0.5) / 1_000_000
+    return quality.assess(table(prepare(spark), sf_dir, "documents")).withColumn("quality", shown)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,4 +106,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_vector_codes": op13_vector_codes,
 }
 
-ORACLES: dict[str, str] = {"op7_warc": oracles.OP7, "op9_line_dedup": oracles.OP9, "op11_merkle": oracles.OP11, "op13_vector_codes": oracles.OP13}
+ORACLES: dict[str, str] = {"op4_near_dedup": oracles.OP4, "op5_decontaminate": oracles.OP5, "op6_quality": oracles.OP6, "op7_warc": oracles.OP7, "op9_line_dedup": oracles.OP9, "op11_merkle": oracles.OP11, "op13_vector_codes": oracles.OP13}
