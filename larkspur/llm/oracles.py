@@ -96,7 +96,7 @@ _SYMBOLS = "#*$%&|<>"
 _BLANK = "[ \\t\\n\\x0b\\f\\r]"
 #: Features by unnesting; expectation-maximisation as a recursion over the counts of vote patterns.
 OP6 = f"""WITH RECURSIVE texts AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '{_BLANK}+'), lambda w: w <> '') AS words, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ \\t\\n\\x0b\\f\\r]')) AS lines FROM documents),
- windows AS (SELECT doc_id, words, unnest(range(1, len(words) - {WINDOW} + 2)) AS i FROM texts), grams AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(words[i:i + {WINDOW - 1}], ' ')) AS n FROM windows),
+ windows AS (SELECT doc_id, unnest(list_transform(range(1, len(words) - {WINDOW} + 2), lambda i: {{'i': i, 'g': hash(array_to_string(words[i:i + {WINDOW - 1}], ' '))}})) AS x FROM texts), grams AS (SELECT doc_id, x.i AS i, count(*) OVER (PARTITION BY doc_id, x.g) AS n FROM windows),
  covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM grams, range({WINDOW}) AS r(k) WHERE n > 1 GROUP BY doc_id),
  counted AS (SELECT t.doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, length(t) - length(translate(t, '{_SYMBOLS}', '')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(lines) AS n_lines,
   length(regexp_replace(t, '[^A-Za-z]+', '', 'g')) AS n_letters, length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS n_upper, len(list_distinct(words)) AS n_distinct, len(regexp_extract_all(t || ' ', '[.!?]{_BLANK}')) AS n_stops, len(regexp_extract_all(t, '[{_SYMBOLS}]+')) AS n_marks FROM texts t LEFT JOIN covered c USING (doc_id)),
