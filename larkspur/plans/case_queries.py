@@ -24,14 +24,16 @@ def _docs(spark, d):
     return table(prepare(spark), d, "documents")
 
 
-_N = F.col("doc_id").cast("string")
+def _id() -> Column:
+    return F.col("doc_id").cast("string")
+
 
 
 def _case(values: list) -> Column:
     """The value of a document's case, with its id for {n}."""
     chain = F.when(F.lit(False), F.lit(None))
     for k, v in enumerate(values):
-        chain = chain.when(F.col("doc_id") % len(values) == k, F.replace(F.lit(v), F.lit("{n}"), _N) if isinstance(v, str) else F.lit(v))
+        chain = chain.when(F.col("doc_id") % len(values) == k, F.replace(F.lit(v), F.lit("{n}"), _id()) if isinstance(v, str) else F.lit(v))
     return chain
 
 
@@ -77,7 +79,7 @@ def f7_code_status(spark, d):
  CASE WHEN f.doc_id IS NOT NULL THEN 'file' ELSE h.source END AS source, coalesce(h.created_at, f.created_at) AS created_at FROM have h FULL JOIN listed f ON h.doc_id = f.doc_id""")
 def m6_sync_codes(spark, d):
     i = F.col("doc_id")
-    code = F.concat(F.lit("c"), _N).alias("code")
+    code = F.concat(F.lit("c"), _id()).alias("code")
     have = _docs(spark, d).where(i % 5 != 0).select(code, F.concat(F.lit("L"), "lang").alias("label"), F.lit("2025-01-01").alias("expires"), F.lit(0).alias("revoked"), F.when(i % 2 == 0, "file").otherwise("cli").alias("source"), F.lit("t1").alias("created_at"))
     listed = _docs(spark, d).where(i % 3 == 0).select(code, F.concat(F.lit("N"), "lang").alias("label"), F.lit("").alias("expires"), (i % 2).cast("int").alias("revoked"), F.lit("t2").alias("created_at"))
     return merge.sync_codes(have, listed)
@@ -273,7 +275,7 @@ def s12_workday(spark, d):
     """Pages captured of listings of 250 postings, read through the paged source: ten pages of even targets, as far as the first page's total of the others."""
     i = F.col("doc_id")
     target, at = F.floor(i / 250), i % 250
-    job = F.struct(F.concat(F.lit("/job/"), _N).alias("externalPath"), F.concat(F.lit("T"), _N).alias("title"), F.lit("X").alias("locationsText"), F.when(i % 20 > 0, "2024-01-02").otherwise("Posted Today").alias("startDate"))
+    job = F.struct(F.concat(F.lit("/job/"), _id()).alias("externalPath"), F.concat(F.lit("T"), _id()).alias("title"), F.lit("X").alias("locationsText"), F.when(i % 20 > 0, "2024-01-02").otherwise("Posted Today").alias("startDate"))
     listed = _docs(spark, d).where((target % 2 == 0) | (at < 45)).select(target.alias("target_id"), (F.floor(at / 20) * 20).alias("offset"), F.struct("doc_id", job.alias("j")).alias("x"))
     pages = listed.groupBy("target_id", "offset").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["j"]).alias("jobPostings"))
     total = F.when(F.col("offset") == 0, F.when(F.col("target_id") % 2 == 0, 250).otherwise(45)).otherwise(0)
@@ -288,7 +290,7 @@ _WORK = [('"Remote {n}"', "Remote {n}"), ('{"label": "Paris {n}", "name": "x"}',
 
 def _places(spark, d):
     """Payloads of fifty postings each, whose places of work come in all shapes."""
-    one = F.concat(F.lit('{"name": "T'), _N, F.lit('", "url": "'), F.when(F.col("doc_id") % 5 > 0, F.concat(F.lit("u"), _N)).otherwise(""), F.lit('", "workLocation": '), _case(_columns(_WORK, 0)), F.lit("}"))
+    one = F.concat(F.lit('{"name": "T'), _id(), F.lit('", "url": "'), F.when(F.col("doc_id") % 5 > 0, F.concat(F.lit("u"), _id())).otherwise(""), F.lit('", "workLocation": '), _case(_columns(_WORK, 0)), F.lit("}"))
     listed = _docs(spark, d).groupBy(F.floor(F.col("doc_id") / 50).alias("target_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", one.alias("j")))), lambda x: x["j"]).alias("all"))
     return listed.select("target_id", F.concat(F.lit("["), F.array_join("all", ","), F.lit("]")).alias("payload")).unionByName(spark.createDataFrame([(-1, "not json"), (-2, "{}"), (-3, None)], "target_id long, payload string"))
 
@@ -306,7 +308,7 @@ def s13_shapes(spark, d):
 
 @query("SELECT platform, n_postings, n_targets FROM (SELECT 'rippling' AS platform, count(*) AS n_postings, count(DISTINCT doc_id // 50) AS n_targets FROM documents WHERE doc_id % 5 <> 0 UNION ALL SELECT 'lever', count(*), count(DISTINCT doc_id // 50) FROM documents UNION ALL SELECT 'ashby', count(*), count(DISTINCT doc_id // 50) FROM documents WHERE doc_id % 7 <> 0)")
 def s15_adapters(spark, d):
-    named = lambda prefix: F.concat(F.lit(prefix), _N)
+    named = lambda prefix: F.concat(F.lit(prefix), _id())
     lever = boards(spark, d, F.struct(named("u").alias("hostedUrl"), named("T").alias("text")), "array").withColumn("platform", F.lit("lever"))
     ashby = boards(spark, d, F.struct(named("u").alias("jobUrl"), (F.col("doc_id") % 7 > 0).alias("isListed")), "jobs").withColumn("platform", F.lit("ashby"))
     both = lever.unionByName(ashby).unionByName(_places(spark, d).withColumn("platform", F.lit("rippling"))).unionByName(lever.withColumn("platform", F.lit("unknown")))
@@ -317,7 +319,7 @@ def s15_adapters(spark, d):
 def s14_icims(spark, d):
     """Listings of 120 postings on pages of fifty cards; a page repeats the first card of the one before it."""
     i = F.col("doc_id")
-    card = F.concat(F.lit('<li class="iCIMS_JobCardItem"><a href="https://t.icims.com/jobs/'), _N, F.lit('/data-eng/job?x=1" title="'), _N, F.lit(" - Data &amp; "), _N, F.lit('">x</a><dl><dt>Job Locations</dt><dd><span> US-'), F.col("lang"), F.lit(" </span></dd></dl></li>"))
+    card = F.concat(F.lit('<li class="iCIMS_JobCardItem"><a href="https://t.icims.com/jobs/'), _id(), F.lit('/data-eng/job?x=1" title="'), _id(), F.lit(" - Data &amp; "), _id(), F.lit('">x</a><dl><dt>Job Locations</dt><dd><span> US-'), F.col("lang"), F.lit(" </span></dd></dl></li>"))
     cards = _docs(spark, d).select(F.floor(i / 120).alias("target_id"), F.floor(i % 120 / 50).cast("int").alias("page"), "doc_id", card.alias("card"))
     again = cards.where((i % 120 % 50 == 0) & (i % 120 < 70)).withColumn("page", F.col("page") + 1)
     listed = cards.unionByName(again).groupBy("target_id", "page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "card"))), lambda x: x["card"]), "").alias("payload"))
@@ -333,7 +335,7 @@ _ITEMS = [
 
 @query(f"""SELECT target_id, row_number() OVER (PARTITION BY target_id ORDER BY doc_id) - 1 AS pos, 'u' || doc_id AS url, title, company, description, location FROM (SELECT doc_id, CAST(doc_id // 50 AS VARCHAR) AS target_id, {', '.join(f'{_sql(_columns(_ITEMS, k))} AS {c}' for k, c in ((1, 'title'), (2, 'company'), (3, 'location'), (5, 'description')))} FROM documents) WHERE title IS NOT NULL""")
 def s18_rss(spark, d):
-    item = F.concat(F.lit("<item><title>"), _case(_columns(_ITEMS, 0)), F.lit("</title><link>u"), _N, F.lit("</link><region>"), _case(_columns(_ITEMS, 3)), F.lit("</region><description>"), _case(_columns(_ITEMS, 4)), F.lit("</description></item>"))
+    item = F.concat(F.lit("<item><title>"), _case(_columns(_ITEMS, 0)), F.lit("</title><link>u"), _id(), F.lit("</link><region>"), _case(_columns(_ITEMS, 3)), F.lit("</region><description>"), _case(_columns(_ITEMS, 4)), F.lit("</description></item>"))
     feeds = _docs(spark, d).groupBy(F.floor(F.col("doc_id") / 50).cast("string").alias("target_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", item.alias("x")))), lambda x: x["x"]).alias("all"))
     return payloads.rss(feeds.select("target_id", F.concat(F.lit("<rss>"), F.array_join("all", "\n"), F.lit("</rss>")).alias("payload"))).select("target_id", "pos", "url", "title", "company", "description", "location")
 
@@ -352,7 +354,7 @@ def s24_s25_page_posting(spark, d):
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN trim(repeat('word' || doc_id || ' ', 60)) END AS streamed FROM documents")
 def s24_streamed_state(spark, d):
     """The description in a page's streamed state: of a third of the pages; another third name a row that isn't there, the rest are too short."""
-    body = F.concat(F.lit("<p>"), F.repeat(F.concat(F.lit("word"), _N, F.lit(" ")), 60), F.lit("</p>"))
+    body = F.concat(F.lit("<p>"), F.repeat(F.concat(F.lit("word"), _id(), F.lit(" ")), 60), F.lit("</p>"))
     state = F.concat(F.lit(r'1:{\"job_description\":\"$2a\"}\n'), F.when(F.col("doc_id") % 3 == 1, F.lit("2b")).otherwise(F.lit("2a")), F.lit(":T"), F.lower(F.hex(F.length(body))), F.lit(","), F.when(F.col("doc_id") % 3 == 2, F.lit("<p>short</p>")).otherwise(body))
     html = F.concat(F.lit('<script>self.__next_f.push([1,"'), state, F.lit('"])</script><script>self.__next_f.push([1,"\\n3:x"])</script>'))
     return page_tree.posting_texts(_docs(spark, d).select("doc_id", html.alias("html"))).select("doc_id", F.col("posting.streamed").alias("streamed"))
@@ -369,7 +371,7 @@ def s24_page_text(spark, d):
 def s22_corpus_changes(spark, d):
     """A corpus of a file for each document, stored, then written anew with changes: what the second reload tells; files that only have a new time are none."""
     i = F.col("doc_id")
-    name = F.concat(F.lit("f"), _N, F.lit(".md"))
+    name = F.concat(F.lit("f"), _id(), F.lit(".md"))
     before = _docs(spark, d).where(i % 11 != 1).select(name.alias("path"), F.col("text").alias("text"))
     after = _docs(spark, d).where((i % 7 != 3) | (i % 11 == 1)).select(name.alias("path"), F.when((i % 5 == 0) & (i % 11 != 1), F.concat(F.lit("new "), F.coalesce("text", F.lit("")))).otherwise(F.col("text")).alias("text"))
     folder = _folder(spark, "corpus")
@@ -393,9 +395,9 @@ _APPLIED = [(" true ", True), ("TRUE", True), ("FALSE", False), ("", False), (No
 def s8_history(spark, d):
     """A history in CSV with quoted cells of several lines, written from documents and imported; a seventh of its addresses are known."""
     i = F.col("doc_id")
-    branch = F.concat(F.lit("branch"), _N)
+    branch = F.concat(F.lit("branch"), _id())
     rows_ = _docs(spark, d).select(
-        _case(_columns(_APPLIED, 0)).alias("Applied T/F"), branch.alias("Position (branch)"), F.concat(F.lit('Company, "'), _N, F.lit('"')).alias("Company"), F.when(i % 2 == 0, "AshbyHQ").otherwise(" Lever").alias("Platform Name"), F.when(i % 3 == 0, "TRUE").alias("Referral"),
+        _case(_columns(_APPLIED, 0)).alias("Applied T/F"), branch.alias("Position (branch)"), F.concat(F.lit('Company, "'), _id(), F.lit('"')).alias("Company"), F.when(i % 2 == 0, "AshbyHQ").otherwise(" Lever").alias("Platform Name"), F.when(i % 3 == 0, "TRUE").alias("Referral"),
         F.when(i % 4 == 0, "true").otherwise("no").alias("Callback T/F"), F.lit(None).cast("string").alias("Ghosted"), F.lit("").alias("Offer"), F.when(i % 6 == 0, "two\nlines").alias("Notes"),
     )
     folder = _folder(spark, "history")
@@ -411,9 +413,9 @@ _NOTES = [("---\nTitle: T{n}\n---\n", "T{n}"), ("", None)]
 def s20_corpus(spark, d):
     """Notes of a folder of a file a document, in folders below it; files that are no notes are left out."""
     i = F.col("doc_id")
-    name = F.concat(F.lit("d"), (i % 10).cast("string"), F.lit("/f"), _N, F.when(i % 5 == 4, F.lit(".bin")).when(i % 3 == 0, F.lit(".md")).otherwise(F.lit(".txt")))
+    name = F.concat(F.lit("d"), (i % 10).cast("string"), F.lit("/f"), _id(), F.when(i % 5 == 4, F.lit(".bin")).when(i % 3 == 0, F.lit(".md")).otherwise(F.lit(".txt")))
     folder = _folder(spark, "notes")
-    files.write_files(_docs(spark, d).select(name.alias("path"), F.concat(_case(_columns(_NOTES, 0)), F.lit("body "), "lang", _N).alias("text")), folder)
+    files.write_files(_docs(spark, d).select(name.alias("path"), F.concat(_case(_columns(_NOTES, 0)), F.lit("body "), "lang", _id()).alias("text")), folder)
     read = files.corpus(spark, folder)
     return read.select(F.substring_index("path", "/", -1).alias("path"), F.try_element_at("meta", F.lit("title")).alias("title"), F.md5(F.encode("body", "utf-8")).alias("body_md5"))
 
@@ -422,7 +424,7 @@ def s20_corpus(spark, d):
 def s23_files_with_hash(spark, d):
     """Whole texts read as files, with the hashes of their bytes."""
     folder = _folder(spark, "texts")
-    files.write_files(_docs(spark, d).select(F.concat(F.lit("f"), _N, F.lit(".md")).alias("path"), "text"), folder)
+    files.write_files(_docs(spark, d).select(F.concat(F.lit("f"), _id(), F.lit(".md")).alias("path"), "text"), folder)
     return files.text_file(spark, folder).select(F.substring_index("path", "/", -1).alias("path"), "sha256", F.octet_length("text").cast("long").alias("size"))
 
 
@@ -431,9 +433,9 @@ def s23_files_with_hash(spark, d):
 def m12_report_file(spark, d):
     """The report's file of all decisions, written and read again."""
     i = F.col("doc_id")
-    gate = F.array(F.struct(F.lit("visa").alias("gate"), F.concat(F.lit("must | hold "), _N).alias("evidence")))
+    gate = F.array(F.struct(F.lit("visa").alias("gate"), F.concat(F.lit("must | hold "), _id()).alias("evidence")))
     decisions = _docs(spark, d).select(
-        i.alias("pos"), F.concat(F.lit("Company "), (i % 97).cast("string")).alias("company"), F.concat(F.lit('T "'), _N, F.lit('", x')).alias("title"), F.concat(F.lit("u"), _N).alias("url"), (i % 3 == 0).alias("keep"),
+        i.alias("pos"), F.concat(F.lit("Company "), (i % 97).cast("string")).alias("company"), F.concat(F.lit('T "'), _id(), F.lit('", x')).alias("title"), F.concat(F.lit("u"), _id()).alias("url"), (i % 3 == 0).alias("keep"),
         F.when(i % 3 == 0, "kept").when(i % 3 == 1, "gates").otherwise("rules").alias("stage"), F.lit("because").alias("reason"), F.when(i % 2 == 0, (i % 50).cast("int")).alias("fit_sketch"), F.when(i % 3 == 1, gate).alias("gate_failures"),
     )
     folder = _folder(spark, "reports")
