@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.dates import iso_date
 
+from .phrases import match
+
 # Regions that are allowed and denied unless settings say otherwise.
 ALLOWED_LOCATIONS = ["United States", "USA", "U.S.", "US-", "US,", "US |", "Americas", "North America", "Locations"]
 DENIED_LOCATIONS = [
@@ -19,7 +21,7 @@ DENIED_LOCATIONS = [
 ]
 TITLE_DROPS = "intern|internship|apprentice|new[- ]grad"
 NO_TITLE = "no title"
-#: Lists that people keep by hand travel as one array with every row, up to this length.
+#: Figures of platforms travel as one map with every row, up to this many.
 MAX_LISTED = 10_000
 
 
@@ -94,16 +96,7 @@ def cleanup_decision(candidates: DataFrame, dead: DataFrame, as_of: Column, days
     return candidates.join(gone, "id", "left").withColumn("reason", reason).where(F.col("reason").isNotNull()).drop("dead")
 
 
-def as_list(rows: DataFrame, entry: Column, name: str, limit: int = MAX_LISTED) -> DataFrame:
-    """One row with the sorted entries of a list kept by hand, marked for broadcast; longer lists are refused."""
-    n = rows.count()
-    if n > limit:
-        raise ValueError(f"{name}: {n} entries, more than the {limit} of a list kept by hand")
-    return F.broadcast(rows.agg(F.sort_array(F.collect_list(entry)).alias(name)))
-
-
 def lint(lines: DataFrame, needles: DataFrame) -> DataFrame:
-    """The first hit: the least path, then line, then needle order. lines: path, line_no, line. needles: pos, needle."""
-    listed = as_list(needles, F.struct("pos", F.lower("needle").alias("needle")), "needles")
-    hits = lines.join(listed, F.lit(True)).withColumn("hit", F.get(F.filter("needles", lambda n: (n["needle"] != "") & F.contains(F.lower(F.col("line")), n["needle"])), 0)["needle"])
-    return hits.where(F.col("hit").isNotNull()).select("path", "line_no", F.col("hit").alias("needle")).orderBy("path", "line_no").limit(1)
+    """The first hit: the least path, then line, then needle order. lines: path, line_no, line. needles: pos, needle; all are looked for in one pass over a line, whatever their number."""
+    hits = match(lines.select("path", "line_no", "line"), needles, text="line", phrase="needle", out="needle").where(F.col("needle").isNotNull())
+    return hits.select("path", "line_no", F.lower("needle").alias("needle")).orderBy("path", "line_no").limit(1)

@@ -10,7 +10,8 @@ from larkspur.functions.ranking import legacy_score, rank_score, shown
 from larkspur.functions.rows import badge_color, normalised_analysis, recommendation
 from larkspur.session import once, saved
 
-from .filters import MAX_LISTED, as_list
+from .filters import MAX_LISTED
+from .phrases import match
 from .stats import applied_outcomes, board_positions
 
 
@@ -32,14 +33,16 @@ def with_stats(jobs: DataFrame, outcomes: DataFrame) -> DataFrame:
 def company_adjustment(rows: DataFrame, adjustments: DataFrame, company: str = "company") -> DataFrame:
     """rows with an adjustment: that of the company's own name, else of the first listed name that is part of it, else 0.
 
-    adjustments (pos, name, points) are a list that people keep by hand; every row looks through it.
+    adjustments: pos, name and points. Names are looked for by one automaton, so the list may be long (`phrases.MOST_BYTES`); of equal names the first counts. Different companies are looked up once each.
     """
     own = F.lower(F.trim(F.coalesce(F.col(company), F.lit(""))))
-    listed = as_list(adjustments, F.struct("pos", F.lower(F.trim("name")).alias("name"), F.col("points").cast("double").alias("points")), "_adjustments")
-    exact = F.filter("_adjustments", lambda x: x["name"] == own)
-    within = F.filter("_adjustments", lambda x: (x["name"] != "") & F.contains(own, x["name"]))
-    both = rows.join(listed, F.lit(True), "left")
-    return both.withColumn("adjustment", F.coalesce(F.get(exact, 0)["points"], F.get(within, 0)["points"], F.lit(0.0))).drop("_adjustments")
+    listed = adjustments.select(F.lower(F.trim("name")).alias("_name"), F.struct("pos", F.col("points").cast("double").alias("points")).alias("x"))
+    firsts = listed.groupBy("_name").agg(F.min("x").alias("x")).select("_name", "x.pos", "x.points")
+    points = lambda name: firsts.select(F.col("_name").alias(f"_{name}_name"), F.col("points").alias(f"_{name}_points"))
+    names = match(rows.select(own.alias("_own")).distinct(), firsts, text="_own", phrase="_name", out="_within")
+    names = names.join(points("own"), F.col("_own") == F.col("_own_name"), "left").join(points("part"), F.col("_within") == F.col("_part_name"), "left")
+    known = names.select("_own", F.coalesce("_own_points", "_part_points", F.lit(0.0)).alias("adjustment"))
+    return rows.drop("adjustment").join(known, own == F.col("_own"), "left").drop("_own")
 
 
 def live_rank(jobs: DataFrame, outcomes: DataFrame, as_of: Column, *, preferences: bool = False, adjustment: Column | None = None) -> DataFrame:
