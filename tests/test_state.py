@@ -288,3 +288,31 @@ def test_corpus_reload(spark, tmp_path):
     assert store.latest().number == number and store.read().where("body = 'plain'").count() == 1
     assert told() == [("a b.md", "gone"), ("c.txt", "changed"), ("e.md", "added")]
     assert sorted(r.body for r in store.read().collect()) == ["changed", "new"]
+
+
+def test_many_adjustments(spark):
+    """A company's own name wins over parts of it, the first listed part over others; names that are null or blank."""
+    from larkspur.operators import views
+
+    rng = random.Random(9)
+    name = lambda n: "".join(rng.choices("abcd ", k=n)).strip()
+    listed = [(k, f" {name(rng.randrange(2, 7)).title()} ", float(k % 11 - 5)) for k in range(12_000)] + [(12_001, None, 9.0), (12_002, "", 8.0)]
+    asked = [(k, rng.choice([None, "", name(5), name(30), f" {name(12).upper()}"])) for k in range(400)]
+    got = {r.id: r.adjustment for r in views.company_adjustment(spark.createDataFrame(asked, "id long, company string").withColumn("adjustment", F.lit(1)), spark.createDataFrame(listed, "pos long, name string, points double")).collect()}
+    low = [(n.strip().lower(), p) for _, n, p in listed if n is not None]
+    for k, company in asked:
+        own = (company or "").strip().lower()
+        exact = [p for n, p in low if n == own]
+        part = [p for n, p in low if n and n in own]
+        assert got[k] == (exact + part + [0.0])[0], (k, company)
+
+
+def test_site_that_answers(spark):
+    from larkspur.functions import urls
+
+    url = "https://a.wd1.myworkdayjobs.com/Ext/job/x_R-1"
+    live = lambda *sites: F.array(*(F.struct(F.lit("a.wd1.myworkdayjobs.com").alias("host"), F.lit(lang).cast("string").alias("lang"), F.lit(site).alias("site")) for lang, site in sites))
+    row = spark.createDataFrame([(url, None)], "url string, landing string")
+    found = lambda *sites: row.select(urls.resolved_site(urls.site_candidates(F.col("url"), F.col("landing")), live(*sites)).alias("s")).first().s
+    assert found((None, "Ext"), ("Ext", "job"))["site"] == "Ext" and found(("Ext", "job")).lang == "Ext" and found((None, "Other")) is None
+    assert row.select(F.size(urls.site_candidates(F.lit(None).cast("string"), F.col("landing"))).alias("n")).first().n == 0
