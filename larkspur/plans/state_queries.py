@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from larkspur.operators import answers, phrases, views, windows
-from larkspur.session import prepare, shared_folder, table
+from larkspur.session import prepare, table, temporary
 from larkspur.sources.store import Store, migrate, upsert
 from larkspur.streaming import limits, replay, seen
 
@@ -16,7 +14,7 @@ from .queries import WITH, _new_rows, query
 
 
 def _folder(spark, name):
-    return f"{shared_folder(prepare(spark))}/stores/{name}-{uuid.uuid4().hex}"
+    return temporary(prepare(spark), name)
 
 
 def _upserted(now: str, fresh: str, out: str) -> str:

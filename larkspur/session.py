@@ -119,6 +119,11 @@ def _tables(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/tables/{spark.sparkContext.applicationId}"
 
 
+def temporary(spark: SparkSession, name: str) -> str:
+    """A new path among the application's tables, which goes with them."""
+    return f"{_tables(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 #: Paths of tables saved within each `owned` block that is open.
 _OWNED: list[list[str]] = []
 

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.session import shared_folder
+from larkspur.session import temporary
 
 
 def in_order(rows: DataFrame, order: str, batches: int, folder: str | None = None) -> DataFrame:
@@ -16,7 +14,7 @@ def in_order(rows: DataFrame, order: str, batches: int, folder: str | None = Non
     The ranges' bounds are approximate quantiles, one number a batch; the ranges are written one after another, as a stream's source takes files by age.
     """
     spark = rows.sparkSession
-    folder = folder or f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+    folder = folder or temporary(spark, "stream")
     number = F.unix_micros(F.col(order).cast("timestamp")) if dict(rows.dtypes)[order].startswith("timestamp") else F.col(order)
     bounds = rows.agg(F.percentile_approx(number, [k / batches for k in range(1, batches)], 10_000).alias("b")).first()["b"] or []
     edges = [None, *sorted(set(bounds)), None]
@@ -31,7 +29,7 @@ def in_order(rows: DataFrame, order: str, batches: int, folder: str | None = Non
 def result(stream: DataFrame, folder: str | None = None) -> DataFrame:
     """All that a stream gives for what has come by now, written and read again."""
     spark = stream.sparkSession
-    folder = folder or f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+    folder = folder or temporary(spark, "stream")
     query = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
