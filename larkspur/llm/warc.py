@@ -47,8 +47,7 @@ def plain_text(html: Column) -> Column:
     """A page's text, a line for each block; character references are decoded, white space is collapsed, no-break spaces are plain ones."""
     text = F.regexp_replace(F.regexp_replace(html, SILENT, ""), BREAKS, "\n")
     text = F.regexp_replace(text, "<[^<>]*>", "")
-    text = F.translate(unescape(text), "\u00a0", " ")
-    text = F.regexp_replace(F.regexp_replace(text, "[ \\t\\f\\r]+", " "), " ?\n[ \n]*", "\n")
+    text = F.regexp_replace(F.regexp_replace(unescape(text), "[ \\t\\f\\r\u00a0]+", " "), " ?\n[ \n]*", "\n")
     return F.regexp_replace(text, "^[ \n]+|[ \n]+$", "")
 
 
