@@ -9,8 +9,8 @@ from larkspur.operators import filters, ingest, lookup, merge, order, report, sc
 from larkspur.session import prepare, table
 from larkspur.sources import files, thread
 
-from .data import AS_OF, GIVEN, JOBS, OUTCOMES, RANK_SQL, _day, as_of, jobs, outcomes
-from .queries import WITH, _literals, _screened, _values, query
+from .data import JOBS, RANK_SQL, _day, as_of, jobs, outcomes
+from .queries import WITH, _screened, _values, query
 
 
 def _i():

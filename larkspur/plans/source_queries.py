@@ -1,15 +1,13 @@
-"""Queries over captured payloads and kept lists: payloads made of documents where SQL can say what they hold, else literals whose rows the SQL states."""
+"""Queries over captured payloads of boards, made of documents, fifty to a board."""
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from larkspur.session import prepare, table
-from larkspur.sources import files, payloads
+from larkspur.sources import payloads
 
-from .queries import _literals, _values, query
+from .queries import _values, query
 
 _SHOWN = "pos, url, title, description, posted_at, location"
 _BOARD = "target_id long, payload string"
