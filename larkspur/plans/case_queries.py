@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import rows, text, urls
 from larkspur.operators import filters, merge, report, stats
-from larkspur.session import delete, once, prepare, table
+from larkspur.session import once, prepare, table
 from larkspur.sources import files, page_tree, paged, payloads, thread
 from larkspur.sources.store import Store
 
@@ -371,14 +371,14 @@ def s24_page_text(spark, d):
 def s22_corpus_changes(spark, d):
     """A corpus of a file for each document, stored, then written anew with changes: what the second reload tells; files that only have a new time are none."""
     i = F.col("doc_id")
-    name = F.concat(F.lit("f"), _id(), F.lit(".md"))
+    name = F.concat(F.lit("d"), (i % 100).cast("string"), F.lit("/f"), _id(), F.lit(".md"))
     before = _docs(spark, d).where(i % 11 != 1).select(name.alias("path"), F.col("text").alias("text"))
     after = _docs(spark, d).where((i % 7 != 3) | (i % 11 == 1)).select(name.alias("path"), F.when((i % 5 == 0) & (i % 11 != 1), F.concat(F.lit("new "), F.coalesce("text", F.lit("")))).otherwise(F.col("text")).alias("text"))
     folder = _folder(spark, "corpus")
     store = Store(spark, f"{folder}/store")
     files.write_files(before, f"{folder}/notes")
     files.reload(store, f"{folder}/notes")
-    delete(spark, f"{folder}/notes")
+    files.delete_files(spark, f"{folder}/notes")
     files.write_files(after, f"{folder}/notes")
     told = files.reload(store, f"{folder}/notes")
     return told.select(F.substring_index("path", "/", -1).alias("path"), "change")

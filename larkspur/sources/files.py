@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Callable, Iterator
+from itertools import islice
+from stat import S_ISDIR
 from urllib.parse import unquote
 
 import pyarrow as pa
@@ -13,7 +16,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.rows import platform_label
 from larkspur.functions.text import front_matter, strip
-from larkspur.session import Scratch, saved
+from larkspur.session import Scratch, delete, saved
 
 from .store import Store
 
@@ -45,20 +48,72 @@ def corpus(spark: SparkSession, folder: str) -> DataFrame:
     return own.select("path", "modified", "doc.meta", "doc.body")
 
 
-def listing(spark: SparkSession, folder: str, glob: str = "*.{md,txt}") -> DataFrame:
-    """path, modified and length of the files below a folder; their contents aren't read."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder)
-    return raw.select("path", F.col("modificationTime").alias("modified"), "length")
-
-
 def opened(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of an address, and the path in it; what names none is local."""
+    """The file system of an address, and the path in it; what names none is local. file:///a%20b is an address, file:/a b a path as Hadoop writes it."""
     kind, _, rest = path.partition(":")
     if not rest or kind == "file":
-        return fs.LocalFileSystem(), "/" + unquote((rest if kind == "file" else path).lstrip("/"))
+        return fs.LocalFileSystem(), "/" + (unquote(rest) if kind == "file" and rest.startswith("//") else rest if kind == "file" else unquote(path)).lstrip("/")
     return fs.FileSystem.from_uri(path)
 
 
+def _within(path: str) -> Iterator[tuple[str, int, int, bool]]:
+    """What lies directly in a folder, or a file itself: path, time of modification in milliseconds, length, and whether it is a folder. Names that Spark passes over are left out. A local folder is never held whole."""
+    files, own = opened(path)
+    seen = lambda name: not name.startswith(".") and not (name.startswith("_") and "=" not in name)
+    if isinstance(files, fs.LocalFileSystem) and os.path.isdir(own):
+        with os.scandir(own) as found:
+            for entry in found:
+                try:
+                    status = entry.stat()
+                except FileNotFoundError:
+                    continue
+                if seen(entry.name):
+                    yield f"{path.rstrip('/')}/{entry.name}", status.st_mtime_ns // 1_000_000, status.st_size, S_ISDIR(status.st_mode)
+        return
+    itself = files.get_file_info(own)
+    if itself.type == fs.FileType.NotFound:
+        raise FileNotFoundError(path)
+    alone = itself.type == fs.FileType.File
+    for entry in [itself] if alone else files.get_file_info(fs.FileSelector(own)):
+        if alone or seen(entry.base_name):
+            yield path if alone else f"{path.rstrip('/')}/{entry.base_name}", (entry.mtime_ns or 0) // 1_000_000, entry.size or 0, entry.type == fs.FileType.Directory
+
+
+def _levels(spark: SparkSession, folder: str, save: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """All files and folders below a folder, told level by level: the folders of a level are shared out to tasks, so the driver holds no list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = (x for batch in batches for path in batch.column("path").to_pylist() for x in _within(path))
+        while some := list(islice(found, 10_000)):
+            path, modified, length, is_folder = zip(*some, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(path), pa.array(modified, pa.int64()), pa.array(length, pa.int64()), pa.array(is_folder)], ["path", "modified", "length", "is_folder"])
+
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString()
+    folders, out = spark.createDataFrame([(root,)], "path string"), None
+    while True:
+        level = save(folders.mapInArrow(run, "path string, modified long, length long, is_folder boolean").select("path", F.timestamp_millis("modified").alias("modified"), "length", "is_folder"))
+        out = level if out is None else out.union(level)
+        folders = _shared_out(level.where("is_folder").select("path"))
+        if level.where("is_folder").isEmpty():
+            return out
+
+
+def _shared_out(rows: DataFrame) -> DataFrame:
+    """rows dealt out evenly, as what is done for each takes much longer than their bytes tell."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def listing(spark: SparkSession, folder: str, endings: tuple[str, ...] = (".md", ".txt"), scratch: Scratch | None = None) -> DataFrame:
+    """path, modified and length of the files below a folder whose names end so (all files, for no endings), or of a file itself; their contents aren't read. With a scratch, what is written goes with it."""
+    found = _levels(spark, folder, scratch.save if scratch else saved).where("NOT is_folder").drop("is_folder")
+    return found.where(F.greatest(F.lit(False), *(F.endswith("path", F.lit(e)) for e in endings))) if endings else found
+
+
+#: Files and bytes that a task reads before it hands them on.
+MOST_FILES, MOST_READ = 1_000, 4 << 20
+
+
 def read_files(listed: DataFrame) -> DataFrame:
     """listed (path, ...) with the text of each file and the SHA-256 of its bytes; those that are gone by now are left out. Each task opens the files of its rows, so only those are read."""
     kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in listed.schema), "text string, sha256 string"])
@@ -66,6 +121,7 @@ def read_files(listed: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows, texts, hashes, size = [], [], [], 0
             for k, path in enumerate(batch.column("path").to_pylist()):
                 files, own = opened(path)
                 try:
@@ -73,10 +129,17 @@ def read_files(listed: DataFrame) -> DataFrame:
                         raw = file.read()
                 except FileNotFoundError:
                     continue
-                columns = [*(c.slice(k, 1) for c in batch.columns), pa.array([raw.decode("utf-8", "replace")]), pa.array([hashlib.sha256(raw).hexdigest()])]
-                yield pa.RecordBatch.from_arrays(columns, [*names, "text", "sha256"])
+                rows.append(k)
+                texts.append(raw.decode("utf-8", "replace"))
+                hashes.append(hashlib.sha256(raw).hexdigest())
+                size += len(raw)
+                if len(rows) == MOST_FILES or size > MOST_READ:
+                    yield pa.RecordBatch.from_arrays([*batch.take(pa.array(rows)).columns, pa.array(texts), pa.array(hashes)], [*names, "text", "sha256"])
+                    rows, texts, hashes, size = [], [], [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(rows)).columns, pa.array(texts), pa.array(hashes)], [*names, "text", "sha256"])
 
-    return listed.mapInArrow(run, kinds)
+    return _shared_out(listed).mapInArrow(run, kinds)
 
 
 def write_files(rows: DataFrame, folder: str) -> None:
@@ -84,18 +147,41 @@ def write_files(rows: DataFrame, folder: str) -> None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = opened(folder)
-        written = 0
+        written, made = 0, set()
         for batch in batches:
-            for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                files.create_dir(f"{root}/{path}".rpartition("/")[0], recursive=True)
-                with files.open_output_stream(f"{root}/{path}") as file:
-                    file.write((text or "").encode())
+            for path, text in zip(batch.column("path"), batch.column("text"), strict=True):
+                own = f"{root}/{path.as_py()}"
+                if (above := own.rpartition("/")[0]) not in made:
+                    files.create_dir(above, recursive=True)
+                    made.add(above)
+                with files.open_output_stream(own) as file:
+                    file.write((text.as_py() or "").encode())
                 written += 1
         yield pa.RecordBatch.from_arrays([pa.array([written])], ["n"])
 
     rows.select("path", "text").mapInArrow(run, "n long").count()
 
 
+def delete_files(spark: SparkSession, folder: str) -> None:
+    """Delete a folder and all below it; each task deletes its share of the files, and only folders are left to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gone = 0
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                files, own = opened(path)
+                try:
+                    files.delete_file(own)
+                except FileNotFoundError:  # a task that is tried again
+                    continue
+                gone += 1
+        yield pa.RecordBatch.from_arrays([pa.array([gone])], ["n"])
+
+    with Scratch(spark) as scratch:
+        _shared_out(listing(spark, folder, (), scratch).select("path")).mapInArrow(run, "n long").count()
+    delete(spark, folder)
+
+
 #: Columns of a stored corpus.
 STORED = ["path", "modified", "length", "sha256", "meta", "body"]
 
@@ -124,11 +210,10 @@ def reload(store: Store, folder: str, check: Callable[[DataFrame], None] | None
     """
     spark = store.spark
     base = store.latest()
-    present = listing(spark, folder)
     empty = "path string, modified timestamp, length long, sha256 string, meta map<string,string>, body string"
     stored = spark.createDataFrame([], empty) if base is None else store.read(base)
     with Scratch(spark) as scratch:
-        found = scratch.save(changes(stored, present))
+        found = scratch.save(changes(stored, listing(spark, folder, scratch=scratch)))
         told = found.where(F.col("change") != "touched").select("path", "change")
         out = saved(told)
         if found.isEmpty():

@@ -1,6 +1,7 @@
 """Readers of files."""
 
 from larkspur.sources import files
+from larkspur.sources.store import Store
 
 
 def test_history(spark, tmp_path):
@@ -20,3 +21,30 @@ def test_corpus(spark, tmp_path):
     before = files.fingerprint(docs).first()
     (tmp_path / "d.md").write_text("more")
     assert files.fingerprint(files.corpus(spark, str(tmp_path))).first() != before
+
+
+def _tree(folder, n=200):
+    """n notes in a folder, one more in a folder below it, and what no reader takes."""
+    (folder / "sub" / "more").mkdir(parents=True)
+    for k in range(n):
+        (folder / f"f{k}.md").write_text(f"note {k}")
+    (folder / "sub" / "more" / "a b%20c.txt").write_text("odd")
+    (folder / "sub" / "empty.md").write_text("")
+    (folder / "_hidden.md").write_text("no")
+    (folder / ".hidden.md").write_text("no")
+
+
+def test_many_files_are_listed_by_few_tasks(spark, tmp_path):
+    """A file is no share of a task's size: 202 small files are few tasks. Names are taken as they are, and empty files, which Spark passes over, are files."""
+    notes = tmp_path / "notes"
+    _tree(notes)
+    listed = files.listing(spark, str(notes))
+    own = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{md,txt}").load(str(notes)).select("path", "modificationTime", "length")
+    assert sorted(map(tuple, listed.where("length > 0").collect())) == sorted(map(tuple, own.collect())) and listed.count() == 202
+    assert listed.rdd.getNumPartitions() < own.rdd.getNumPartitions()
+    store = Store(spark, str(tmp_path / "store"))
+    assert files.reload(store, str(notes)).count() == 202 and store.read().where("body = 'odd'").count() == 1
+    files.delete_files(spark, str(notes))
+    assert not notes.exists()
+    notes.mkdir()
+    assert files.reload(store, str(notes)).where("change = 'gone'").count() == 202
