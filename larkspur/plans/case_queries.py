@@ -424,7 +424,7 @@ def s20_corpus(spark, d):
 def s23_files_with_hash(spark, d):
     """Whole texts read as files, with the hashes of their bytes."""
     folder = _folder(spark, "texts")
-    files.write_files(_docs(spark, d).select(F.concat(F.lit("f"), _id(), F.lit(".md")).alias("path"), "text"), folder)
+    files.write_files(_docs(spark, d).select(F.concat(F.lit("d"), (F.col("doc_id") % 100).cast("string"), F.lit("/f"), _id(), F.lit(".md")).alias("path"), "text"), folder)
     return files.text_file(spark, folder).select(F.substring_index("path", "/", -1).alias("path"), "sha256", F.octet_length("text").cast("long").alias("size"))
 
 

@@ -226,9 +226,8 @@ def reload(store: Store, folder: str, check: Callable[[DataFrame], None] | None
 
 
 def text_file(spark: SparkSession, path: str) -> DataFrame:
-    """A text with when it was modified and the SHA-256 of its bytes."""
-    raw = spark.read.format("binaryFile").load(path)
-    return raw.select("path", F.col("modificationTime").alias("modified"), F.decode("content", "utf-8").alias("text"), F.sha2("content", 256).alias("sha256"))
+    """A text, or each one below a folder, with when it was modified and the SHA-256 of its bytes."""
+    return read_files(listing(spark, path, ())).select("path", "modified", "text", "sha256")
 
 
 def header(path: Column, meta: Column) -> Column:

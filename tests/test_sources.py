@@ -1,5 +1,7 @@
 """Readers of files."""
 
+import hashlib
+
 from larkspur.sources import files
 from larkspur.sources.store import Store
 
@@ -48,3 +50,12 @@ def test_many_files_are_listed_by_few_tasks(spark, tmp_path):
     assert not notes.exists()
     notes.mkdir()
     assert files.reload(store, str(notes)).where("change = 'gone'").count() == 202
+
+
+def test_texts_of_a_folder_with_hashes(spark, tmp_path):
+    """Texts of all folders below are read, and many small ones by few tasks."""
+    _tree(tmp_path / "texts")
+    read = files.text_file(spark, str(tmp_path / "texts"))
+    got = {r.path.rsplit("/", 1)[1]: (r.text, r.sha256) for r in read.collect()}
+    assert len(got) == 202 and got["a b%20c.txt"] == ("odd", hashlib.sha256(b"odd").hexdigest()) and got["empty.md"][0] == ""
+    assert read.rdd.getNumPartitions() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
