@@ -43,8 +43,7 @@ def import_history(rows: DataFrame, known: DataFrame) -> DataFrame:
 
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
     """Notes below a folder, one row a file: path, modified, meta and body."""
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{md,txt}").text(folder, wholetext=True)
-    own = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), front_matter(F.col("value")).alias("doc"))
+    own = read_files(listing(spark, folder)).select("path", "modified", front_matter(F.col("text")).alias("doc"))
     return own.select("path", "modified", "doc.meta", "doc.body")
 
 

@@ -59,3 +59,11 @@ def test_texts_of_a_folder_with_hashes(spark, tmp_path):
     got = {r.path.rsplit("/", 1)[1]: (r.text, r.sha256) for r in read.collect()}
     assert len(got) == 202 and got["a b%20c.txt"] == ("odd", hashlib.sha256(b"odd").hexdigest()) and got["empty.md"][0] == ""
     assert read.rdd.getNumPartitions() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_corpus_of_many_files(spark, tmp_path):
+    """Many small notes are read by few tasks."""
+    _tree(tmp_path / "notes")
+    read = files.corpus(spark, str(tmp_path / "notes"))
+    assert read.rdd.getNumPartitions() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted(r.body for r in read.collect()) == sorted(["", "odd", *(f"note {k}" for k in range(200))])
