@@ -33,7 +33,7 @@ def with_stats(jobs: DataFrame, outcomes: DataFrame) -> DataFrame:
 def company_adjustment(rows: DataFrame, adjustments: DataFrame, company: str = "company") -> DataFrame:
     """rows with an adjustment: that of the company's own name, else of the first listed name that is part of it, else 0.
 
-    adjustments: pos, name and points. Names are looked for by one automaton, so the list may be long (`phrases.MOST_BYTES`); of equal names the first counts. Different companies are looked up once each.
+    adjustments: pos, name and points. Names are looked for by automata, so the list may be long (`phrases.match`); of equal names the first counts. Different companies are looked up once each.
     """
     own = F.lower(F.trim(F.coalesce(F.col(company), F.lit(""))))
     listed = adjustments.select(F.lower(F.trim("name")).alias("_name"), F.struct("pos", F.col("points").cast("double").alias("points")).alias("x"))

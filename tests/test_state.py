@@ -178,6 +178,19 @@ def test_fifty_thousand_phrases(spark):
     assert phrases.match(documents, spark.createDataFrame([], "pos long, phrase string"), text="text").where("phrase IS NOT NULL").count() == 0
 
 
+def test_phrases_in_blocks(spark, monkeypatch):
+    """Blocks of a few hundred bytes, of which a worker holds one at a time, give what trying each phrase gives; the list is in no order."""
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choices("abÄ ", k=n))
+    listed = [(k, word(rng.randrange(3, 9))) for k in range(700)]
+    rng.shuffle(listed)
+    texts = [(k, rng.choice([None, "", word(4), word(12), word(40), "zz"])) for k in range(3_000)]
+    monkeypatch.setattr(phrases, "GATHERED", 500)
+    found = phrases.match(spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(listed, "pos long, phrase string"), text="text", block_bytes=300)
+    order = [p for _, p in sorted(listed)]
+    assert {r.id: (r.text, r.phrase) for r in found.collect()} == {k: (t, next((p for p in order if t and p.lower() in t.lower()), None)) for k, t in texts}
+
+
 def test_null_keys_are_one_key(spark):
     incoming = spark.createDataFrame([(None, 1, "a"), (None, 2, "a"), ("", 3, "a"), ("k", 4, "w"), ("k", 5, "a"), ("k", 6, None), ("s", 7, "a")], "dedupe_key string, pos long, company string")
     got = dedupe.label_incoming(incoming, spark.createDataFrame([("s",)], "dedupe_key string"), spark.createDataFrame([(" W ",)], "company string"))
