@@ -12,8 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -36,29 +35,27 @@ class _Fold(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("state", self.schema)
 
-    def _forget_at(self, second: int) -> None:
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
-        self.handle.registerTimer(second * 1000)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.state.clear()
         return iter([])
 
     def close(self) -> None:
         pass
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values(["event_second", self.tie], kind="stable")
-        known = self.state.get() if self.state.exists() else None
-        told = []
-        for second, amount in zip(events["event_second"].tolist(), events["event_amount"].fillna(0.0).tolist(), strict=True):
-            known, said = self.step(known, second, amount)
-            told.append(said)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        """Each call of the state store is a message to the JVM, so a key's state is read and written once, and its timer is set only if it moves."""
+        before = self.state.get()
+        known, told = before, Row(self.key, self.tie, *self.names)
+        for row in sorted(rows, key=lambda r: (r["event_second"], r[self.tie] is None, r[self.tie])):
+            known, said = self.step(known, row["event_second"], row["event_amount"])
+            yield told(key[0], row[self.tie], *said)
         self.state.update(known)
-        self._forget_at(self.over(known))
-        out = pd.DataFrame({self.key: [key[0]] * len(events), self.tie: events[self.tie].to_numpy()})
-        yield out.assign(**{name: [t[k] for t in told] for k, name in enumerate(self.names)})
+        over = self.over(known) * 1000
+        if before is None:
+            self.handle.registerTimer(over)
+        elif self.over(before) * 1000 != over:
+            self.handle.deleteTimer(self.over(before) * 1000)
+            self.handle.registerTimer(over)
 
 
 class FixedWindows(_Fold):
@@ -101,7 +98,7 @@ def _told(events: DataFrame, processor: _Fold, amount: Column, at: str, kinds: s
     types = dict(events.dtypes)  # names that begin with an underscore don't reach the processor
     rows = events.withWatermark(at, late).select(processor.key, processor.tie, at, F.unix_timestamp(at).alias("event_second"), F.coalesce(amount, F.lit(0)).cast("double").alias("event_amount"))
     schema = f"`{processor.key}` {types[processor.key]}, `{processor.tie}` {types[processor.tie]}, {kinds}"
-    return rows.groupBy(processor.key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="eventTime")
+    return rows.groupBy(processor.key).transformWithState(statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="eventTime")
 
 
 def decided(events: DataFrame, key: str, amount: Column, *, limit: float, size: int, before: bool = False, at: str = "ts", tie: str = "event_id", late: str = LATE) -> DataFrame:

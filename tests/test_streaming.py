@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.streaming import events
+from larkspur.streaming import events, replay
 
 SCHEMA = "event_id long, ts timestamp, user_id long"
 
@@ -36,3 +36,15 @@ def test_window_totals(spark, folder):
 def test_first_seen(spark, folder):
     got = {r.user_id for r in run(spark, folder, lambda s: events.first_seen(s, "user_id", late="2 days")).collect()}
     assert got == {0, 1, 2, 7}
+
+
+def test_a_range_is_written_by_many_tasks_and_is_one_batch(spark, tmp_path):
+    """Ranges of few rows too: what they lack in files is made up with empty ones, so no range is cut or joined with the next."""
+    rows = spark.range(0, 900, numPartitions=3).select(F.col("id").alias("event_id"), F.timestamp_seconds("id").alias("ts")).unionByName(spark.createDataFrame([(-1, None)], "event_id long, ts timestamp"))
+    for name, part in (("many", rows), ("few", rows.where("event_id < 3"))):
+        stream = replay.in_order(part, "ts", 3, str(tmp_path / name))
+        told = []
+        query = stream.writeStream.foreachBatch(lambda batch, k, told=told: told.append(sorted(r.event_id for r in batch.collect()))).option("checkpointLocation", str(tmp_path / f"{name}-at")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        assert len(told) == 3 and [x for batch in told for x in batch] == sorted(r.event_id for r in part.collect())
+    assert len([f for f in spark.read.parquet(str(tmp_path / "many")).inputFiles()]) == 3 * spark.sparkContext.defaultParallelism
