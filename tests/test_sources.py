@@ -2,7 +2,9 @@
 
 import hashlib
 
-from larkspur.sources import files
+import pyarrow as pa
+
+from larkspur.sources import files, page_tree
 from larkspur.sources.store import Store
 
 
@@ -67,3 +69,11 @@ def test_corpus_of_many_files(spark, tmp_path):
     read = files.corpus(spark, str(tmp_path / "notes"))
     assert read.rdd.getNumPartitions() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert sorted(r.body for r in read.collect()) == sorted(["", "odd", *(f"note {k}" for k in range(200))])
+
+
+def test_pages_are_handed_on_a_few_at_a_time():
+    """A batch of many pages is not held with all its texts; what comes is the same."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(250)), pa.array([f"<div>page {k}</div>" for k in range(250)])], ["id", "_html"])
+    got = list(page_tree.read_batches(iter([batch]), ["id", "posting"]))
+    assert max(b.num_rows for b in got) <= page_tree.PAGES
+    assert [(r["id"], r["posting"]["longest"]) for b in got for r in b.to_pylist()] == [(k, f"page {k}") for k in range(250)]
