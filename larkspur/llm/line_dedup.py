@@ -19,6 +19,8 @@ the name of the report is replaced.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,22 +29,24 @@ from larkspur.session import saved, unused
 RATIO = 0.1
 MIN_REPEATS = 2
 BLANKS = " \t\n\x0b\f\r"
+#: The digest of a blank line.
+BLANK = hashlib.md5(b"").hexdigest()
 
 
 def page_lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def _key(line: Column) -> Column:
-    """The line's 128-bit digest; null for blank ones."""
-    bare = F.btrim(line, F.lit(BLANKS))
-    return F.when(bare != "", F.unhex(F.md5(F.encode(bare, "utf-8"))))
+def _digest(line: Column) -> Column:
+    """The line's 128-bit digest in hex."""
+    return F.md5(F.btrim(line, F.lit(BLANKS)).cast("binary"))
 
 
 def lines_of(pages: DataFrame, page_id: str, host: str, text: str) -> DataFrame:
     """id, host and key of each different line of a page that isn't blank."""
-    keys = F.array_distinct(F.filter(F.transform(page_lines(F.col(text).cast("string")), _key), lambda k: k.isNotNull()))
-    return pages.select(F.col(page_id).alias("id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.explode(keys).alias("key"))
+    # Distinct as strings, of which Spark makes a hash set; binary values it compares each with each.
+    keys = F.array_distinct(F.filter(F.transform(page_lines(F.col(text).cast("string")), _digest), lambda k: k != BLANK))
+    return pages.select(F.col(page_id).alias("id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.explode(keys).alias("key")).withColumn("key", F.unhex("key"))
 
 
 def boilerplate(lines: DataFrame, pages: DataFrame, host: str, ratio: float, min_repeats: int) -> DataFrame:
@@ -67,11 +71,12 @@ def clean(pages: DataFrame, *, page_id: str = "page_id", host: str = "host", tex
     """
     own_id, keys, lines, kept, n = (unused(x, [*pages.columns, report or ""]) for x in ("own_id", "keys", "lines", "kept_lines", "n_gone"))
     gone = dropped(pages, page_id=page_id, host=host, text=text, **limits).select(F.col("id").alias(own_id), F.col("keys").alias(keys))
-    split = F.transform(page_lines(F.col(text)), lambda x: F.struct(x.alias("line"), _key(x).alias("key")))
+    split = F.transform(page_lines(F.col(text)), lambda x: F.struct(x.alias("line"), F.unhex(_digest(x)).alias("key")))
+    blank = F.unhex(F.lit(BLANK))
     out = pages.join(gone, F.col(page_id) == F.col(own_id), "left").withColumn(lines, F.when(F.col(keys).isNotNull(), split))
-    out = out.withColumn(kept, F.filter(lines, lambda x: x["key"].isNull() | ~F.array_contains(F.col(keys), x["key"]))).withColumn(n, F.size(lines) - F.size(kept))
+    out = out.withColumn(kept, F.filter(lines, lambda x: (x["key"] == blank) | ~F.array_contains(F.col(keys), x["key"]))).withColumn(n, F.size(lines) - F.size(kept))
     if not emptied:
-        filled = F.size(F.filter(lines, lambda x: x["key"].isNotNull()))
+        filled = F.size(F.filter(lines, lambda x: x["key"] != blank))
         out = out.withColumn(n, F.when(F.col(n) < filled, F.col(n)))
     joined = F.array_join(F.transform(kept, lambda x: x["line"]), "\n")
     out = out.withColumn(text, F.when(F.col(n).isNotNull(), joined).otherwise(F.col(text)))

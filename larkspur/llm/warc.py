@@ -37,7 +37,14 @@ FIELDS = {
 RESPONSE = ["record_id", "target_uri", "date", "block"]
 #: Elements whose ends break a line, and those whose content is no text; where these aren't closed, the rest of the page is none.
 BREAKS = "(?i)</?(p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|nav|header|footer|title|body|head|html|pre|blockquote)(\\s[^<>]*)?/?>"
-SILENT = "(?is)<script[^<>]*>.*?(?:</script>|\\z)|<style[^<>]*>.*?(?:</style>|\\z)|<!--.*?(?:-->|\\z)"
+_SILENT = ["script[^<>]*>.*?(?:</script>|\\z)", "style[^<>]*>.*?(?:</style>|\\z)", "!--.*?(?:-->|\\z)"]
+SILENT = f"(?is){'|'.join(f'<{x}' for x in _SILENT)}"
+#: The same, with what all start with in front: else Java tries each at every character.
+SILENT_AT = f"(?is)<(?:{'|'.join(_SILENT)})"
+#: Runs of blanks, but for those that are one space already.
+UNEVEN = "[ \\t\\f\\r\u00a0](?:[ \\t\\f\\r\u00a0]+|(?<! ))"
+
+
 def uuid_of(seed: Column) -> Column:
     """A name-based identifier in the form of WARC record ids."""
     return F.regexp_replace(F.md5(F.encode(seed, "utf-8")), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "<urn:uuid:$1-$2-$3-$4-$5>")
@@ -45,10 +52,9 @@ def uuid_of(seed: Column) -> Column:
 
 def plain_text(html: Column) -> Column:
     """A page's text, a line for each block; character references are decoded, white space is collapsed, no-break spaces are plain ones."""
-    text = F.regexp_replace(F.regexp_replace(html, SILENT, ""), BREAKS, "\n")
-    text = F.regexp_replace(text, "<[^<>]*>", "")
-    text = F.regexp_replace(F.regexp_replace(unescape(text), "[ \\t\\f\\r\u00a0]+", " "), " ?\n[ \n]*", "\n")
-    return F.regexp_replace(text, "^[ \n]+|[ \n]+$", "")
+    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, SILENT_AT, ""), BREAKS, "\n"), "<[^<>]*>", "")
+    lines = F.transform(F.split(unescape(text), "\n"), lambda line: F.trim(F.regexp_replace(line, UNEVEN, " ")))
+    return F.array_join(F.filter(lines, lambda line: line != ""), "\n")
 
 
 def digest(block: Column) -> Column:

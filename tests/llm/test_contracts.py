@@ -7,6 +7,7 @@ import math
 import random
 import re
 import string
+import time
 import zlib
 from collections import Counter
 from html.entities import html5
@@ -228,6 +229,13 @@ def test_references(spark):
     assert [(texts[k], got[k]) for k in range(len(texts)) if lines(got[k]) != lines(expected[k])] == []
 
 
+def test_ends_of_texts(spark):
+    # what other scripts end lines with is no white space here, at the end of a page neither
+    texts = {"a \u2028": "a \u2028", "<p>a&nbsp;\x85": "a \x85", "a\n \u2029": "a\n\u2029", " \n\t&nbsp;\n": "", "": "", "\ta\f\rb  c&#9; \n\n &nbsp; d ": "a b c\nd", "<SCRIPT x>1</p></Script><Style>2<!--3-->4": "", "x<!-- <p> --><script": "x<script"}
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string").select("k", warc.plain_text(F.col("t")).alias("text"))
+    assert [r.text for r in df.sort("k").collect()] == list(texts.values())
+
+
 def test_token_counts(spark):
     own = token_counts.Vocabulary(["▁a", "b", "ab", "▁ab", "c"])
     words = ["", "a", "ab", "abc", "abab", "zé", "cab"]
@@ -255,6 +263,15 @@ def test_line_dedup(spark):
     assert got == expected
 
 
+def test_line_dedup_on_a_long_page(spark):
+    n = 100_000
+    df = spark.range(2).select(F.col("id").alias("page_id"), F.lit("h").alias("host"), F.concat(F.lit("menu\n \n"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.concat(F.col("id") * n + k, F.lit(""))), "\n")).alias("text"))
+    lines = line_dedup.lines_of(df, "page_id", "host", "text")
+    start = time.monotonic()
+    assert (lines.count(), lines.select("key").distinct().count()) == (2 * n + 2, 2 * n + 1)
+    assert time.monotonic() - start < 30  # comparing each line with each takes minutes
+
+
 def test_line_dedup_on_small_hosts(spark):
     pages = [(10 * n + k, f"h{n}", f"menu\nown {n} {k}" + ("\ntwo" if k < 2 else "")) for n in range(1, 10) for k in range(n)]
     df = spark.createDataFrame(pages, "page_id long, host string, text string")
